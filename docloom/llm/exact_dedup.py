@@ -6,8 +6,8 @@ how many rows it stands for. Runs then meet in binomial rounds: in each round
 the runs whose numbers agree but for their lowest bits are merged, sorted by
 digest, keeping the smallest id. A digest of which there are a billion copies
 is thus at most ``runs`` entries after the first (map-side) step, and no round
-gathers more than ``FAN_IN`` entries of it. The way back is by (digest, run), so
-a hot digest is spread over all runs there as well.
+gathers more than ``FAN_IN`` entries of it. The way back joins all rows to the last
+run; both sides come straight from an exchange, so Spark splits a hot digest there.
 
 Entries only meet if the SHA-256 digest, the byte length and an independent
 64-bit hash all agree, in every round.
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import shuffle_partitions, stage
 
-FAN_BITS = 2
+FAN_BITS = 4
 FAN_IN = 2**FAN_BITS
+LAST_ID = 2**63 - 1
 ENTRY = ["digest", "n_bytes", "other_hash"]
 
 
@@ -37,6 +38,11 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def id_order(column: str):
+    """Null ids come after all others."""
+    return F.coalesce(F.col(column), F.lit(LAST_ID))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     text = normalised(F.col("text"))
     rows = docs.select("doc_id", text.alias("t"))
@@ -55,33 +61,26 @@ def exact_dedup(docs: DataFrame, runs: int | None = None) -> DataFrame:
     number of shuffle partitions, so that a digest held by all rows is still
     spread over all tasks.
     """
-    spark = docs.sparkSession
-    bits = max(1, math.ceil(math.log2(max(2, runs or shuffle_partitions(spark)))))
-    rows = stage(digests(docs), "digests").withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(2**bits)))
+    bits = max(1, math.ceil(math.log2(max(2, runs or shuffle_partitions(docs.sparkSession)))))
+    rows = stage(digests(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
 
-    first = rows.groupBy(*ENTRY, "run").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    merged = first
+    merged = (
+        rows.withColumn("run", F.pmod(F.xxhash64("row"), F.lit(2**bits)))
+        .groupBy(*ENTRY, "run")
+        .agg(F.min("doc_id").alias("keep_id"), F.min_by("row", id_order("doc_id")).alias("keep_row"), F.count(F.lit(1)).alias("group_size"))
+    )
     for left in range(bits, 0, -FAN_BITS):
-        step = min(left, FAN_BITS)
         merged = (
-            merged.withColumn("run", F.shiftright("run", step))
+            merged.withColumn("run", F.shiftright("run", min(left, FAN_BITS)))
             .groupBy(*ENTRY, "run")
-            .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
-    whole = merged.select(*ENTRY, "keep_id", "group_size")
-
-    by_run = first.select(*ENTRY, "run").join(whole, ENTRY)
-    in_run = Window.partitionBy(*ENTRY, "run").orderBy(F.col("doc_id").asc_nulls_last())
-    return (
-        rows.join(by_run, [*ENTRY, "run"])
-        .withColumn("nth", F.row_number().over(in_run))
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"),
+            .agg(F.min("keep_id").alias("keep_id"), F.min_by("keep_row", id_order("keep_id")).alias("keep_row"), F.sum("group_size").alias("group_size"))
         )
+    return rows.join(merged.drop("run"), ENTRY).select(
+        "doc_id",
+        "keep_id",
+        "group_size",
+        (F.col("row") == F.col("keep_row")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
