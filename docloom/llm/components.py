@@ -1,0 +1,61 @@
+"""Connected components of a link table by alternating large-star and small-star rounds.
+
+Every round is a handful of shuffles over the links, written as a table in the
+shared folder, so lineage stays short and a lost executor costs one round. The
+number of rounds grows with the logarithm of the longest chain. Only two numbers
+per round reach the driver.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docloom.llm.common import stage
+
+MAX_ROUNDS = 60
+
+
+def _star(links: DataFrame, small: bool) -> DataFrame:
+    """Link neighbours of each node to the smallest node among them and itself.
+
+    large star: neighbours above the node; small star: the node and those below.
+    """
+    if small:
+        ends = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    else:
+        ends = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
+    lowest = ends.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+    met = ends.join(lowest, "u")
+    if small:
+        moved = met.select(F.col("v").alias("a"), F.col("low").alias("b")).union(
+            lowest.select(F.col("u").alias("a"), F.col("low").alias("b"))
+        )
+    else:
+        moved = met.where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b"))
+    return moved.where("a <> b").distinct()
+
+
+def _state(links: DataFrame) -> tuple:
+    row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    return tuple(row)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``links(a, b)``: root is its component's smallest node.
+
+    Self links and repeated links are harmless; null ends are dropped; an empty
+    table gives an empty result.
+    """
+    current = stage(links.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "links")
+    before = _state(current)
+    for _ in range(MAX_ROUNDS):
+        current = stage(_star(_star(current, small=False), small=True), "links")
+        now = _state(current)
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.union(roots.select("root", "root").distinct())

@@ -6,17 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.common import read
 from docloom.llm.exact_dedup import exact_dedup
+from docloom.llm.simhash_dedup import near_classes
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(read(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+QUERIES = {
+    "op5_simhash_dedup": op5_simhash_dedup,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 SQL = {"op9_exact_dedup": OP9_SQL}
