@@ -122,7 +122,9 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
-vocabulary = functools.lru_cache(maxsize=2)(Vocabulary)
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
 class Lexicon:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docloom.llm.bpe import build_lexicon, decode, encode
 from docloom.llm.common import read
 from docloom.llm.exact_dedup import exact_dedup
+from docloom.llm.packing import FIELDS, pack
 from docloom.llm.simhash_dedup import near_classes
 
 
@@ -17,6 +21,25 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read(spark, sf_dir, "documents"))
 
 
+def word_bpe() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), word_bpe(), with_ids=False).select(*FIELDS)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    coded = decode(encode(docs, word_bpe(), build_lexicon(docs, word_bpe())), word_bpe())
+    return coded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 OP9_SQL = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
@@ -25,6 +48,8 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 QUERIES = {
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_packing": op6_packing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_bpe": op10_bpe,
 }
 SQL = {"op9_exact_dedup": OP9_SQL}
