@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from docloom.llm import langid, pii, quality
 from docloom.llm.bpe import build_lexicon, decode, encode
 from docloom.llm.chat import canonical_turns, conversation_digests, format_chats
-from docloom.llm.common import read
+from docloom.llm.common import read, stage
 from docloom.llm.exact_dedup import exact_dedup
+from docloom.llm.fingerprint import edited_fingerprints, hexadecimal, likeness, search
 from docloom.llm.packing import FIELDS, pack
 from docloom.llm.simhash_dedup import near_classes
 
@@ -39,6 +40,26 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_chats(canonical_turns(rows.union(own))))
 
 
+QUERY_STEP = 50  # searches take every row whose id this divides as a query
+
+
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_within: for every queried row, how many rows have a fingerprint within the radius; null for the others."""
+    rows = stage(edited_fingerprints(read(spark, sf_dir, "documents")), "fingerprints")
+    asked = F.col("doc_id") % QUERY_STEP == 0
+    found = search(rows.where(asked).select("fp"), rows.select("fp")).groupBy("fp").agg(F.sum("n").alias("n"))
+    return rows.join(found, "fp", "left").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        hexadecimal(F.col("fp")).alias("fingerprint"),
+        hexadecimal(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        F.when(asked, F.col("n")).alias("n_within"),
+    )
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read(spark, sf_dir, "documents"))
 
@@ -102,6 +123,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_chat": op3_chat,
+    "op4_fingerprint": op4_fingerprint,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
