@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20
 _staged: dict[str, SparkSession] = {}
 _local_dir: list[str] = []
 
@@ -43,19 +45,39 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def staged_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
-    _staged[path] = spark
-    return path
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers get texts in batches of ``BATCH_BYTES`` at most, for this session from now on."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read any more, and the shuffle files of the jobs that made them.
+
+    Spark removes shuffle files when the driver's JVM collects the plans that own them; on a
+    large job that may be late, so it is asked to collect now.
+    """
+    spark = tables[0].sparkSession
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            found = next((p for p in _staged if p.split("/")[-1] == path.split("/")[-1]), None)
+            if found:
+                _remove(spark, found)
+                del _staged[found]
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _remove_staged() -> None:
     for path, spark in _staged.items():
         try:
-            jvm = spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # the JVM may be gone already; the folder is then left to its owner
             return
 

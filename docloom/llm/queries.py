@@ -15,6 +15,7 @@ from docloom.llm.common import read, stage
 from docloom.llm.exact_dedup import exact_dedup
 from docloom.llm.fingerprint import edited_fingerprints, hexadecimal, likeness, search
 from docloom.llm.packing import FIELDS, pack
+from docloom.llm.repeats import remove_repeats, removed_bytes
 from docloom.llm.simhash_dedup import near_classes
 
 
@@ -113,6 +114,17 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(read(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        removed_bytes(F.col("removed")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 OP9_SQL = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
@@ -127,6 +139,7 @@ QUERIES = {
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
+    "op8_repeats": op8_repeats,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
 }
