@@ -39,14 +39,17 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import small_batches
+
 LEXICON_WORDS = 1 << 16
-WORDS_HELD = 1 << 18  # distinct words that a worker remembers before it starts anew
+WORDS_HELD = 1 << 17  # distinct words that a worker remembers before it starts anew
 ROWS_AT_ONCE = 512
+LONG_WORD = 64  # longer words are merged one by one, with a heap
 
 # The split of words, once for text below U+0250 and once for any text. Fixed values of the tokenizer format.
 _NARROW = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]"
-    r"|[^\t-\r \u0085 A-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+"
+    r"[a-zªµºß-öø-ɏA-ZÀ-ÖØ-Þ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼-¾]"
+    r"|[^\t-\r \u0085\u00a0A-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+"
 )
 _WIDE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 _BEYOND = re.compile(r"[^\u0000-ɏ]")
@@ -71,6 +74,37 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+class PairTable:
+    """Rank and result of a merge by its pair of ids, for whole arrays: an open-addressing hash table."""
+
+    BITS, NONE = 19, np.int64(1 << 30)
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]) -> None:
+        self.key = np.full(1 << self.BITS, -1, np.int64)
+        self.rank = np.full(1 << self.BITS, self.NONE)
+        self.made = np.zeros(1 << self.BITS, np.int64)
+        left, right = np.array([*merges], np.int64).reshape(-1, 2).T
+        slots = self._slot(left << 20 | right)
+        for (a, b), (rank, made), slot in zip(merges, merges.values(), slots.tolist(), strict=True):
+            while self.key[slot] >= 0:
+                slot = (slot + 1) & ((1 << self.BITS) - 1)
+            self.key[slot], self.rank[slot], self.made[slot] = a << 20 | b, rank, made
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The slot of each pair; that of a pair that doesn't merge has rank ``NONE``."""
+        key = left << 20 | right
+        slot = self._slot(key)
+        open_ = np.flatnonzero((self.key[slot] != key) & (self.key[slot] >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.BITS) - 1)
+            held = self.key[slot[open_]]
+            open_ = open_[(held != key[open_]) & (held >= 0)]
+        return slot
+
+
 class Vocabulary:
     """Token strings, merge ranks and special tokens of a tokenizer file."""
 
@@ -92,6 +126,7 @@ class Vocabulary:
         alphabet = byte_alphabet()
         self.inner = [self.ids[c] for c in alphabet]
         self.final = [self.ids[c + self.suffix] for c in alphabet]
+        self.pairs = PairTable(self.merges)
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word by exact merging."""
@@ -121,6 +156,33 @@ class Vocabulary:
             offer(at)
         return [i for i in ids if i >= 0]
 
+    def merge_many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, their numbers) by exact merging: every step does one merge in every word."""
+        raw = [w.encode("utf-8") for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        short = np.flatnonzero(size <= LONG_WORD)
+        parts = {int(i): self.merge(words[i]) for i in np.flatnonzero(size > LONG_WORD)}
+        letters = np.frombuffer(b"".join([raw[i] for i in short]), np.uint8)
+        word = np.repeat(short, size[short])
+        ids = np.array(self.inner, np.int64)[letters]
+        ends = np.cumsum(size[short]) - 1
+        ids[ends] = np.array(self.final, np.int64)[letters[ends]]
+        done: list[tuple[np.ndarray, np.ndarray]] = [(np.repeat(i, len(x)), np.array(x, np.int64)) for i, x in parts.items()]
+        while len(ids):
+            start = np.flatnonzero(np.diff(word, prepend=-1))
+            slot = self.pairs.find(ids[:-1], ids[1:])
+            rank = np.append(np.where(word[:-1] == word[1:], self.pairs.rank[slot], PairTable.NONE), PairTable.NONE)
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), start)
+            merges = best < (int(PairTable.NONE) << 32)
+            goes_on = np.repeat(merges, np.diff(np.append(start, len(ids))))
+            done.append((word[~goes_on], ids[~goes_on]))
+            at = best[merges] & 0xFFFFFFFF
+            ids[at] = self.pairs.made[slot[at]]
+            goes_on[at + 1] = False
+            word, ids = word[goes_on], ids[goes_on]
+        word, ids = (np.concatenate([d[k] for d in done] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        return ids[np.argsort(word, kind="stable")].astype(np.uint32), np.bincount(word, minlength=len(words))
+
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -226,7 +288,7 @@ class _Codes(dict):
 
 
 class Encoder:
-    """Encodes texts; ``resolve`` gives the id lists of words not met before."""
+    """Encodes texts; ``resolve`` gives the ids, one after the other, and their numbers, of words not met before."""
 
     def __init__(self, special: dict[str, int], split_special: re.Pattern, resolve) -> None:
         self.special, self.split_special, self.resolve = special, split_special, resolve
@@ -235,13 +297,14 @@ class Encoder:
     def _restart(self) -> None:
         self.codes = _Codes()
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self._add([self.codes[s] for s in self.special] and [[i] for i in self.special.values()])
+        for token in self.special:
+            self.codes[token]
+        self._add(np.array([*self.special.values()], np.uint32), np.ones(len(self.special), np.int64))
 
-    def _add(self, found: list[list[int]]) -> None:
-        length = np.fromiter(map(len, found), np.int64, len(found))
+    def _add(self, ids: np.ndarray, length: np.ndarray) -> None:
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(length.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
         self.codes.fresh = []
 
     def _text(self, text: str) -> list[int]:
@@ -261,7 +324,7 @@ class Encoder:
                 self._restart()
             coded = [np.array(self._text(t) if t else [], np.int64) for t in texts[at : at + ROWS_AT_ONCE]]
             if self.codes.fresh:
-                self._add(self.resolve(self.codes.fresh))
+                self._add(*self.resolve(self.codes.fresh))
             for codes in coded:
                 length = self.length[codes]
                 ends = np.cumsum(length)
@@ -273,28 +336,25 @@ class Encoder:
 def lexicon_encoder(tokenizer_path: str, lexicon_path: str) -> Encoder:
     words, lexicon = vocabulary(tokenizer_path), Lexicon.open(lexicon_path)
 
-    def resolve(fresh: list[str]) -> list[list[int]]:
+    def resolve(fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
         number = lexicon.numbers([w.encode("utf-8") for w in fresh])
-        ends = np.append(number, -1)[:-1] + 1
-        out = []
-        for word, n, end in zip(fresh, number.tolist(), ends.tolist(), strict=True):
-            out.append(lexicon.ids[lexicon.start[n] : lexicon.start[end]].tolist() if n >= 0 else words.merge(word))
-        return out
+        held, start = number >= 0, np.asarray(lexicon.start, np.int64)
+        others, other_length = words.merge_many([fresh[i] for i in np.flatnonzero(~held)])
+        length = np.zeros(len(fresh), np.int64)
+        length[held], length[~held] = start[number[held] + 1] - start[number[held]], other_length
+        # Where each word's ids begin: in the lexicon, or behind it among the merged ones.
+        begin = np.zeros(len(fresh), np.int64)
+        begin[held], begin[~held] = start[number[held]], len(lexicon.ids) + np.cumsum(other_length) - other_length
+        source = np.concatenate([np.asarray(lexicon.ids).astype(np.uint32), others])
+        return source[np.repeat(begin - np.cumsum(length) + length, length) + np.arange(int(length.sum()))], length
 
     return Encoder(words.special, words.split_special, resolve)
 
 
-def library_encoder(tokenizer_path: str) -> Encoder:
-    """The same, with new words encoded by the tokenizers library."""
-    from tokenizers import Tokenizer
-
-    words, library = vocabulary(tokenizer_path), Tokenizer.from_file(tokenizer_path)
-    library.encode_special_tokens = True
-
-    def resolve(fresh: list[str]) -> list[list[int]]:
-        return [x.ids for x in library.encode_batch(fresh, add_special_tokens=False)]
-
-    return Encoder(words.special, words.split_special, resolve)
+def merging_encoder(tokenizer_path: str) -> Encoder:
+    """The same without a lexicon: all words are merged."""
+    words = vocabulary(tokenizer_path)
+    return Encoder(words.special, words.split_special, words.merge_many)
 
 
 def word_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -333,6 +393,7 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, size: int = LEXICON_WORD
 
 def encode(docs: DataFrame, tokenizer_path: str, lexicon: str) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers in a binary column."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

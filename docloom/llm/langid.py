@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import small_batches
 from docloom.llm.sampling import bounded_sample, fold
 
 BITS, MOST, TRAIN_ROWS, PASSES = 15, 3, 8_000, 2
@@ -137,6 +138,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``rows`` labelled rows; the ids of that sample are broadcast."""
+    small_batches(docs.sparkSession)
     usable = learning_rows(docs)
     frequency, total = document_frequencies(usable)
     chosen = bounded_sample(usable.select("doc_id", F.col("lang").alias("label")), rows)

@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.bpe import library_encoder
-from docloom.llm.common import stage
+from docloom.llm.bpe import merging_encoder
+from docloom.llm.common import small_batches, stage
 
 CAPACITY, OPEN_WINDOWS, END_ID, MERGED_TOGETHER = 2048, 16, 1, 64
 MERGED_FROM = 1 << 62
@@ -92,7 +92,7 @@ def pack(
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, windows, task, sequence = library_encoder(tokenizer_path), Windows(capacity, open_windows), TaskContext.get().partitionId(), 0
+        encoder, windows, task, sequence = merging_encoder(tokenizer_path), Windows(capacity, open_windows), TaskContext.get().partitionId(), 0
 
         def batch(found: list[list[tuple]], is_open: bool) -> Iterator[pa.RecordBatch]:
             nonlocal sequence
@@ -113,6 +113,7 @@ def pack(
                 windows.full = []
         yield from batch([w[1] for w in windows.open], True)
 
+    small_batches(docs.sparkSession)
     placed = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(first, f"{PIECE}, task long, is_open boolean, ids binary"), "pieces")
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

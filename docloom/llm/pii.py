@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import small_batches
+
 KINDS = ["email", "ip", "card", "phone", "account"]
 BASE_KINDS = KINDS[:4]
 # The base patterns.
@@ -143,6 +145,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): every row's spans, by kind as listed in ``KINDS``, then start."""
+    small_batches(docs.sparkSession)
     struct = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +172,8 @@ def redacted(text: str | None) -> str | None:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` redacted; where it has a column ``n_chars``, that follows."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(redacted)

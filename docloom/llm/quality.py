@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import small_batches
 from docloom.llm.sampling import bounded_sample, fold
 
 BITS, TRAIN_ROWS, PASSES, COST, SMOOTHING = 18, 12_000, 12, 1.0, 1.0
@@ -225,6 +226,7 @@ def learning_labels(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``rows`` labelled rows. Their ids are broadcast: ``rows`` bounds that."""
+    small_batches(docs.sparkSession)
     chosen = bounded_sample(learning_labels(labels), rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     got = _trained_pairs(sample.select("text", "label")).limit(2 * rows).collect()

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stage
+from docloom.llm.common import small_batches, stage
 from docloom.llm.components import components
 
 RADIUS, SEGMENTS, BUCKET_LIMIT, SHINGLE, SEED = 2, 7, 64, 3, 42
@@ -139,6 +139,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGM
 
 def near_classes(docs: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
+    small_batches(docs.sparkSession)
     rows = stage(fingerprints(docs), "fingerprints")
     by_fp = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-ids")
     roots = components(fingerprint_links(by_fp.select("fp"), radius, segments, bucket_limit))
