@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "c20_chunk_statistics"
-QUERIES: dict = {}
-SQL: dict = {}
+from docloom.plans import job_queries
+
+FLAGSHIP = "j09_store_statistics"
+_MODULES = [job_queries]
+QUERIES: dict = {name: q for module in _MODULES for name, q in module.QUERIES.items()}
+SQL: dict = {name: s for module in _MODULES for name, s in module.SQL.items()}
