@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -360,20 +361,23 @@ def merging_encoder(tokenizer_path: str) -> Encoder:
 def word_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(word, n) over all texts, counted in each partition before the shuffle."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch(counts: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([*counts.keys()], pa.string()), pa.array([*counts.values()], pa.int64())], names=["word", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = vocabulary(tokenizer_path).split_special
         counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch["text"]:
+        for rows in batches:
+            for text in rows.column("text").to_pylist():
                 if text:
                     for part in special.split(text)[::2] if "<|" in text else [text]:
                         counts.update(split_words(part))
                 if len(counts) > WORDS_HELD:
-                    yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
+                    yield batch(counts)
                     counts.clear()
-        yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())}, columns=["word", "n"]).astype({"n": "int64"})
+        yield batch(counts)
 
-    return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, size: int = LEXICON_WORDS) -> str:

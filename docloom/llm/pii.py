@@ -9,7 +9,7 @@ whose check holds; a match that fails its check is passed over whole.
 
 Added spans, where they overlap no base span: ``account`` (the value behind a cue
 such as ``account no:`` or ``token =``, with at least four digits, IBANs by their
-check digits; user name and password in a URL) . Offsets are code points, the end exclusive.
+check digits; user name and password in a URL). Offsets are code points, the end exclusive.
 
 Defined results: null text counts as empty; texts of any length are searched whole,
 in time linear in their length; repeated rows give repeated results; an empty table
@@ -135,11 +135,14 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if sum("0" <= c <= "9" for c in word) >= 4 and (text[start:end].lower() != "iban" or word.isascii() and _is_iban(word.replace("-", "").replace("_", ""))):
                 added.append(value.span(1))
     added += [login.span(1) for end in schemes if (login := _LOGIN.match(text, end))]
-    taken = sorted((s, e) for _, s, e in spans)
+    taken, at, reach = sorted((s, e) for _, s, e in spans), 0, 0
     for start, end in sorted(set(added)):
-        if all(e <= start or s >= end for s, e in taken):
+        while at < len(taken) and taken[at][0] < end:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= start:
             spans.append(("account", start, end))
-            taken.append((start, end))
+            reach = end
     return spans
 
 
@@ -171,7 +174,6 @@ def redacted(text: str | None) -> str | None:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` redacted; where it has a column ``n_chars``, that follows."""
-
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
