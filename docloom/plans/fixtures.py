@@ -74,7 +74,8 @@ def spark_fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in FIXTURES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = FIXTURES[name][0]
-    return spark.sql(sql, **{n: spark_fixture(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", sql))})
+    plain = re.sub(r"\{(?!\w+\})|(?<!\w)\}", lambda m: m[0] * 2, sql)
+    return spark.sql(plain, **{n: spark_fixture(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", sql))})
 
 
 def duck(sql: str) -> str:

@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import jobs, review
-from docloom.plans.fixtures import duck, spark_fixture
+from docloom.plans.registration import Registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str, *fixtures: str):
-    """Register a function of fixtures as a query, under its name, with its SQL for DuckDB."""
-
-    def register(function):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(*[spark_fixture(spark, sf_dir, f) for f in fixtures])
-
-        run.__doc__ = function.__doc__
-        QUERIES[function.__name__] = run
-        SQL[function.__name__] = duck(sql)
-        return function
-
-    return register
+registry = Registry()
+query = registry.query
 
 
 @query("SELECT job_id, status, created_at FROM {jobs} WHERE status = 'completed' ORDER BY created_at DESC, job_id LIMIT 50", "jobs")

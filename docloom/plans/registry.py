@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.plans import job_queries
+from docloom.plans import job_queries, text_queries
 
 FLAGSHIP = "j09_store_statistics"
-_MODULES = [job_queries]
-QUERIES: dict = {name: q for module in _MODULES for name, q in module.QUERIES.items()}
-SQL: dict = {name: s for module in _MODULES for name, s in module.SQL.items()}
+_MODULES = [text_queries, job_queries]
+QUERIES: dict = {name: q for module in _MODULES for name, q in module.registry.queries.items()}
+SQL: dict = {name: s for module in _MODULES for name, s in module.registry.sql.items()}
