@@ -59,8 +59,12 @@ FIXTURES: dict[str, tuple[str, str]] = {
         r"""SELECT doc_id, page_number, text || CASE WHEN page_number % 4 = 0 THEN ' see page 3' ELSE '' END || CASE WHEN page_number % 5 = 0 THEN ' shall mean' ELSE '' END || CASE WHEN page_number % 3 = 0 THEN ' coverage eligibility' ELSE '' END AS text FROM {doc_pages}""",
     ),
     "headings": (
-        r"""SELECT doc_id, page_number, CAST(1 AS INT) AS ord, CASE page_number % 6 WHEN 1 THEN 'I. ' || upper(substr(text, 1, 30)) WHEN 3 THEN 'A. ' || substr(text, 1, 30) ELSE '1.1 ' || substr(text, 1, 30) END AS text, CAST(CASE page_number % 6 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS INT) AS level FROM (SELECT doc_id, page_number, split_part(text, '\n', 1) AS text FROM {doc_pages}) q WHERE page_number % 2 = 1""",
-        r"""SELECT doc_id, page_number, CAST(1 AS INT) AS ord, CASE page_number % 6 WHEN 1 THEN 'I. ' || upper(substr(text, 1, 30)) WHEN 3 THEN 'A. ' || substr(text, 1, 30) ELSE '1.1 ' || substr(text, 1, 30) END AS text, CAST(CASE page_number % 6 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS INT) AS level FROM (SELECT doc_id, page_number, split_part(text, chr(10), 1) AS text FROM {doc_pages}) q WHERE page_number % 2 = 1""",
+        r"""SELECT doc_id, page_number, CAST(1 AS INT) AS ord, CASE page_number % 6 WHEN 1 THEN 'I. ' || upper(replace(substr(text, 1, 30), 'ß', 'ss')) WHEN 3 THEN 'A. ' || substr(text, 1, 30) ELSE '1.1 ' || substr(text, 1, 30) END AS text, CAST(CASE page_number % 6 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS INT) AS level FROM (SELECT doc_id, page_number, split_part(text, '\n', 1) AS text FROM {doc_pages}) q WHERE page_number % 2 = 1""",
+        r"""SELECT doc_id, page_number, CAST(1 AS INT) AS ord, CASE page_number % 6 WHEN 1 THEN 'I. ' || upper(replace(substr(text, 1, 30), 'ß', 'ss')) WHEN 3 THEN 'A. ' || substr(text, 1, 30) ELSE '1.1 ' || substr(text, 1, 30) END AS text, CAST(CASE page_number % 6 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS INT) AS level FROM (SELECT doc_id, page_number, split_part(text, chr(10), 1) AS text FROM {doc_pages}) q WHERE page_number % 2 = 1""",
+    ),
+    "routing_rules": (
+        r"""SELECT tree_id, node_id, 'no' AS answer_value, node_id * 2 AS next_node_id, CASE WHEN node_id % 20 = 0 THEN 'in_range' ELSE 'equals' END AS comparison, CASE WHEN node_id % 20 = 0 THEN 9.0D END AS range_min, CASE WHEN node_id % 20 = 0 THEN CAST(node_id % 3 AS DOUBLE) * 9 END AS range_max FROM {tree_nodes} WHERE node_id % 5 = 0""",
+        r"""SELECT tree_id, node_id, 'no' AS answer_value, node_id * 2 AS next_node_id, CASE WHEN node_id % 20 = 0 THEN 'in_range' ELSE 'equals' END AS comparison, CASE WHEN node_id % 20 = 0 THEN CAST(9.0 AS DOUBLE) END AS range_min, CASE WHEN node_id % 20 = 0 THEN CAST(node_id % 3 AS DOUBLE) * 9 END AS range_max FROM {tree_nodes} WHERE node_id % 5 = 0""",
     ),
     "page_types": (
         r"""SELECT doc_id, page_number, element_at(array('policy_content', 'definitions', 'coverage', 'administrative', 'index'), CAST((doc_id + page_number div 3) % 5 AS INT) + 1) AS primary_type, (page_number % 10) / 10.0D AS chunk_priority FROM {doc_pages}""",
@@ -74,8 +78,8 @@ def spark_fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in FIXTURES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = FIXTURES[name][0]
-    plain = re.sub(r"\{(?!\w+\})|(?<!\w)\}", lambda m: m[0] * 2, sql)
-    return spark.sql(plain, **{n: spark_fixture(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", sql))})
+    plain = re.sub(r"\{(?![a-z_]+\})|(?<![a-z_])\}", lambda m: m[0] * 2, sql)
+    return spark.sql(plain, **{n: spark_fixture(spark, sf_dir, n) for n in set(re.findall(r"\{([a-z_]+)\}", sql))})
 
 
 def duck(sql: str) -> str:
@@ -83,7 +87,7 @@ def duck(sql: str) -> str:
     ordered: list[str] = []
 
     def need(text: str) -> None:
-        for name in re.findall(r"\{(\w+)\}", text):
+        for name in re.findall(r"\{([a-z_]+)\}", text):
             if name in FIXTURES and name not in ordered:
                 need(FIXTURES[name][1])
                 ordered.append(name)
@@ -97,4 +101,4 @@ def duck(sql: str) -> str:
         body = "WITH " + ", ".join(heads) + ", " + body[len("WITH ") :]
     elif heads:
         body = "WITH " + ", ".join(heads) + " " + body
-    return re.sub(r"\{(\w+)\}", lambda m: f"f_{m[1]}" if m[1] in FIXTURES else m[1], body)
+    return re.sub(r"\{([a-z_]+)\}", lambda m: f"f_{m[1]}" if m[1] in FIXTURES else m[1], body)
