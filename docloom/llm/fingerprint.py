@@ -3,8 +3,7 @@
 A text's terms are its lower-cased word pairs (the word itself, if it has only one).
 A term weighs 1, and 1 more for each of its words of over three characters; every
 occurrence casts its weight on the 64 bits of the term's hash, and a bit is set if
-the votes for it outweigh those against. Votes are counted in packed lanes of eight
-bits, ``LANE_TERMS`` terms at a time, which no lane can overflow.
+the votes for it outweigh those against. Votes are summed in packed lanes.
 
 ``search`` finds all fingerprints within a Hamming radius: the bits are cut into
 ``radius + EXTRA_BLOCKS`` blocks; whichever bits differ, ``EXTRA_BLOCKS`` blocks agree, so one
@@ -27,56 +26,42 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import shuffle_partitions, stage
 
-LANE_TERMS = 42  # 42 terms of weight 3 at most keep a lane under 128, so the highest never reaches the sign
+TERMS_IN_PART = 8192  # terms of weight 3 at most: a lane of 16 bits stays below its sign
 RADIUS, EXTRA_BLOCKS = 3, 2
 BUCKETS_PER_PARTITION = 4
 
 
-def simhash(text: Column) -> Column:
-    """The 64 bits of the fingerprint as a signed long. ``text`` should be a plain column: it is used more than once."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-    def weight(word: Column) -> Column:
-        return (F.length(word) > 3).cast("long")
-
-    def terms(w: Column) -> Column:
-        pairs = F.transform(
-            F.sequence(F.lit(1), F.size(w) - 1),
-            lambda i: F.struct(F.xxhash64(F.get(w, i - 1), F.get(w, i)).alias("h"), (1 + weight(F.get(w, i - 1)) + weight(F.get(w, i))).alias("w")),
-        )
-        single = F.transform(w, lambda x: F.struct(F.xxhash64(x).alias("h"), (1 + weight(x)).alias("w")))
-        return F.when(F.size(w) > 1, pairs).otherwise(single)
-
-    # One-element arrays bind intermediate values, so that each is computed once.
-    return F.get(F.transform(F.transform(F.array(words), terms), _signed_votes), 0)
-
-
-def _add_lane(bit: int):
-    return lambda acc, part: acc + F.shiftrightunsigned(part[f"a{bit % 8}"], bit - bit % 8).bitwiseAND(F.lit(255))
-
-
-def _signed_votes(terms: Column) -> Column:
-    ones = F.lit(0x0101010101010101)
-
-    def counted(chunk: Column) -> Column:
-        zero = F.struct(*[F.lit(0).cast("long").alias(f"a{i}") for i in range(8)])
-        return F.aggregate(
-            F.slice(terms, chunk * LANE_TERMS + 1, LANE_TERMS),
-            zero,
-            lambda acc, t: F.struct(*[(acc[f"a{i}"] + F.shiftrightunsigned(t["h"], i).bitwiseAND(ones) * t["w"]).alias(f"a{i}") for i in range(8)]),
-        )
+def simhash(rows: DataFrame, keys: list[str], text: str, name: str = "fp") -> DataFrame:
+    """``keys`` and the fingerprint's 64 bits as a signed long, for each row; ``keys`` must tell the rows apart.
 
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(terms) - 1) / LANE_TERMS).cast("int")), counted)
-    total = F.aggregate(terms, F.lit(0).cast("long"), lambda acc, t: acc + t["w"])
-
-    def decided(parts: Column) -> Column:
-        bits = F.lit(0).cast("long")
-        for b in range(64):
-            votes = F.aggregate(parts, F.lit(0).cast("long"), _add_lane(b))
-            bits = bits.bitwiseOR(F.when(2 * votes > total, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")))
-        return bits
-
-    return F.when(F.size(terms) > 0, F.get(F.transform(F.array(chunks), decided), 0)).otherwise(F.lit(0).cast("long"))
+    The words are exploded and their votes summed in the same task, sixteen longs of four lanes each, so what is
+    shuffled is one row per text (and per ``TERMS_IN_PART`` terms of a long one).
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    listed = rows.select(*keys, words.alias("words"))
+    terms = listed.select(*keys, F.size("words").alias("n"), "words", F.posexplode_outer("words").alias("pos", "word")).where("pos is null or pos = 0 or pos < n - 1")
+    after = F.get("words", F.col("pos") + 1)
+
+    def heavy(word: Column) -> Column:
+        return F.when(F.length(word) > 3, 1).otherwise(0)
+
+    weight = F.when(F.col("word").isNull(), 0).otherwise(1 + heavy(F.col("word")) + F.coalesce(heavy(after), F.lit(0))).cast("long")
+    hashed = F.when(F.col("n") > 1, F.xxhash64("word", after)).otherwise(F.xxhash64("word"))
+    votes = terms.select(*keys, F.expr(f"coalesce(pos, 0) div {TERMS_IN_PART}").alias("part"), hashed.alias("h"), weight.alias("w"))
+    lanes, pairs = F.lit(0x0001000100010001), F.lit(0x0000FFFF0000FFFF)
+    parts = votes.groupBy(*keys, "part").agg(
+        F.sum("w").alias("total"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(lanes) * F.col("w")).alias(f"a{i}") for i in range(16)]
+    )
+    wide = parts.groupBy(*keys).agg(
+        F.sum("total").alias("total"),
+        *[F.sum(F.shiftrightunsigned(f"a{i}", shift).bitwiseAND(pairs)).alias(f"a{i}_{shift}") for i in range(16) for shift in (0, 16)],
+    )
+    bits = F.lit(0).cast("long")
+    for b in range(64):
+        lane = b // 16  # lanes 0 and 2 are the halves of the unshifted sums, 1 and 3 those of the shifted ones
+        count = F.shiftrightunsigned(f"a{b % 16}_{16 * (lane % 2)}", 32 * (lane // 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+        bits = bits.bitwiseOR(F.when(2 * count > F.col("total"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")))
+    return wide.select(*keys, bits.alias(name))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -100,8 +85,8 @@ def _bucket(doc_id: Column, bounds: list[int]) -> Column:
     return F.when(doc_id.isNull(), F.lit(0)).otherwise(below(0, len(bounds)) if bounds else F.lit(0))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` with ``next_<column>`` of the document that follows in descending ``doc_id``.
+def with_next(docs: DataFrame, columns: list[str], tie: str) -> DataFrame:
+    """``docs`` with ``next_<column>`` of the document that follows in descending ``doc_id``, then ``tie``, and ``nth``, its place in its bucket.
 
     The ids are cut into buckets at existing ids (quantiles, a fixed number for the driver);
     the largest document of each bucket is copied into the bucket above, whose last document it
@@ -120,32 +105,31 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
             F.when(F.col("doc_id") == bounds[-1], F.struct(F.lit(0).alias("bucket"), F.lit(2).alias("rank"))),
         ]
     placed = docs.select("doc_id", *columns, F.inline(F.array_compact(F.array(*places))))
-    order = Window.partitionBy("bucket").orderBy("rank", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    order = Window.partitionBy("bucket").orderBy("rank", F.col("doc_id").desc_nulls_last(), F.col(tie).asc_nulls_first())
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follows = [(F.lead(c).over(order) if bounds else F.coalesce(F.lead(c).over(order), F.first(c).over(whole))).alias(f"next_{c}") for c in columns]
-    return placed.select("rank", "doc_id", *columns, *follows).where("rank = 0").drop("rank")
+    return placed.select("rank", "doc_id", *columns, *follows, F.row_number().over(order).alias("nth")).where("rank = 0").drop("rank")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its text with the second half taken from the next one, and their likeness."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(texts.withColumn("fp", simhash(F.col("text"))), ["text", "fp"])
+    rows = with_next(texts, ["text"], "text")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = rows.select(
+        F.monotonically_increasing_id().alias("row"),
         "doc_id",
+        "nth",
         F.length("text").cast("long").alias("n_chars"),
-        "fp",
-        "next_fp",
+        "text",
         F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half)).alias("edited"),
-    )
-    return edited.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        "fp",
-        simhash(F.col("edited")).alias("edited_fp"),
-        "next_fp",
-    )
+    ).withColumn("sha", F.unhex(F.sha2("edited", 256)))
+    keys = ["row", "doc_id", "nth", "n_chars", "sha"]
+    both = edited.select(*keys, F.inline(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("t")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("t")))))
+    prints = simhash(both, [*keys, "is_edited"], "t").groupBy(*keys).agg(F.max(F.when(~F.col("is_edited"), F.col("fp"))).alias("fp"), F.max(F.when(F.col("is_edited"), F.col("fp"))).alias("edited_fp"))
+    done = stage(prints.drop("row"), "edited")
+    after = with_next(done.withColumnRenamed("nth", "tie"), ["fp", "edited_fp", "n_chars", "sha", "tie"], "tie")
+    return after.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fp", "edited_fp", "next_fp")
 
 
 def block_masks(radius: int = RADIUS) -> list[int]:

@@ -297,8 +297,9 @@ def test_fingerprint_votes(spark):
     terms = [(f"{a} {b}", 1 + (len(a) > 3) + (len(b) > 3)) for a, b in itertools.pairwise(words)]
     hashed = spark.createDataFrame(list(itertools.pairwise(words)), "a string, b string").select(F.xxhash64("a", "b").alias("h")).collect()
     want = sum(1 << b for b in range(64) if sum(w if r.h >> b & 1 else -w for r, (_, w) in zip(hashed, terms, strict=True)) > 0)
-    got = spark.createDataFrame([(text,)], "text string").select(fingerprint.simhash(F.col("text")).alias("fp")).first().fp
-    assert got % (1 << 64) == want
+    rows = spark.createDataFrame([(1, text), (2, " ".join([text] * 9000)), (3, "")], "id long, text string")
+    got = {r.id: r.fp for r in fingerprint.simhash(rows, ["id"], "text").collect()}
+    assert got[1] % (1 << 64) == want and got[3] == 0 and len(got) == 3
 
 
 def test_fingerprint_search(spark):
