@@ -44,18 +44,16 @@ def depths(nodes: DataFrame, group: str, node: str, parent: str) -> DataFrame:
             "g", "id", F.when(F.col("there"), F.col("up")).alias("up"), F.when(F.col("there"), 1).otherwise(0).alias("depth"), F.when(F.col("there"), F.col("up")).otherwise(F.col("id")).alias("top")
         )
     )
-    for _ in range(MAX_ROUNDS.bit_length() + 24):
-        open_before = state.where("up is not null").count()
-        if not open_before:
-            break
+    # A round that closes nothing leaves only cycles: any deeper chain has nodes that this round reaches the root from.
+    before = None
+    while (still_open := state.where("up is not null").count()) and still_open != before:
+        before = still_open
         above = state.select("g", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("top").alias("top2"))
         state = cut(
             state.join(above, ["g", "up"], "left").select(
                 "g", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("top2", "top").alias("top")
             )
         )
-        if state.agg(F.max("depth")).first()[0] > 1 << 40:
-            break
     looped = F.col("up").isNotNull()
     return state.select(F.col("g").alias(group), F.col("id").alias(node), F.when(~looped, F.col("depth")).alias("depth"), F.when(~looped, F.col("top")).alias("root"))
 
