@@ -131,9 +131,13 @@ def document_statistics(types: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def document_complexity(statistics: DataFrame) -> DataFrame:
-    """Mean of page, zone, mixing and policy shares; expensive tier above 0.7."""
-    score = (F.least(F.lit(1.0), F.col("pages") / 100) + F.least(F.lit(1.0), F.col("zones") / 10) + (1 - F.col("extractability")) + F.when(F.col("definitions_from").isNotNull(), 0.3).otherwise(0.7)) / 4
-    return statistics.select("doc_id", score.alias("complexity")).withColumn("expensive_tier", F.col("complexity") > 0.7)
+    """Mean of five shares: pages, zones, mixed pages, tables a page, and whether it defines or excludes; the expensive tier is above 0.7.
+
+    ``statistics(doc_id, pages, zones, mixed_ratio, tables_a_page, has_complex_sections)``.
+    """
+    one = F.lit(1.0)
+    shares = [F.least(one, F.col("pages") / 100), F.least(one, F.col("zones") / 10), F.col("mixed_ratio"), F.least(one, F.col("tables_a_page") / 3), F.when(F.col("has_complex_sections"), 0.7).otherwise(0.3)]
+    return statistics.select("doc_id", (sum(shares[1:], shares[0]) / 5).alias("complexity")).withColumn("expensive_tier", F.col("complexity") > 0.7)
 
 
 def document_aggregates(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import is_policy_heading
 from docloom.operators import chunks as C
+from docloom.operators import classify as K
 from docloom.operators import structure as D
 from docloom.plans.registration import Registry
 from docloom.plans.text_queries import DEFINES
@@ -110,11 +111,56 @@ def d09_document_statistics(t):
 
 
 @query(
-    f"""SELECT doc_id, round(c, 6) AS complexity, c > 0.7 AS expensive_tier FROM (SELECT doc_id, (least(1.0, CAST(pages AS DOUBLE) / 100) + least(1.0, CAST(zones AS DOUBLE) / 10) + (1 - extractability) + CASE WHEN definitions_from IS NOT NULL THEN 0.3 ELSE 0.7 END) / 4 AS c FROM ({STATISTICS}) s) q""",
+    f"""SELECT doc_id, round(c, 6) AS complexity, c > 0.7 AS expensive_tier FROM (SELECT doc_id, (least(1.0, CAST(pages AS DOUBLE) / 100) + least(1.0, CAST(zones AS DOUBLE) / 10) + CAST(admin_pages AS DOUBLE) / pages + least(1.0, CAST(pages % 4 AS DOUBLE) / 3) + CASE WHEN definitions_from IS NOT NULL THEN 0.7 ELSE 0.3 END) / 5 AS c FROM ({STATISTICS}) s) q""",
     "page_types",
 )
 def d12_d27_document_complexity(t):
-    return D.document_complexity(D.document_statistics(t, D.content_zones(t))).withColumn("complexity", F.round("complexity", 6))
+    s = D.document_statistics(t, D.content_zones(t))
+    s = s.withColumns({"mixed_ratio": F.col("admin_pages") / F.col("pages"), "tables_a_page": F.col("pages") % 4, "has_complex_sections": F.col("definitions_from").isNotNull()})
+    return D.document_complexity(s).withColumn("complexity", F.round("complexity", 6))
+
+
+def scored_types() -> str:
+    """The classifier's scores in SQL: text t, headings h, place r, importance i."""
+    out = []
+    for rank, (name, words) in enumerate(K.KEYWORDS.items()):
+        hits = " + ".join(f"CASE WHEN contains(lower(t), '{w}') THEN 1.0 ELSE 0 END" for w in words) or "0"
+        named = " OR ".join(f"contains(lower(h), '{w}')" for w in words) or "FALSE"
+        extra = f"CASE WHEN r < 0.1 THEN {K.FRONT.get(name, 0.0)} WHEN r > 0.9 THEN {K.BACK.get(name, 0.0)} ELSE 0 END + CASE WHEN {named} THEN 0.4 ELSE 0 END"
+        extra += " + CASE WHEN i > 0.7 THEN 0.3 ELSE 0 END" if name == "policy_content" else ""
+        out.append(f"SELECT doc_id, page_number, {rank} AS rank, '{name}' AS name, ({hits}) / {max(len(words), 1)} + {extra} AS score FROM g")
+    return " UNION ALL ".join(out)
+
+
+CLASSIFIED = f"""g AS (SELECT p.doc_id, p.page_number, p.text AS t, coalesce(h.text, '') AS h, CAST(p.page_number AS DOUBLE) / q.pages AS r, CAST(p.page_number % 10 AS DOUBLE) / 10 AS i FROM {{text_pages}} p JOIN ({TOTALS}) q ON q.doc_id = p.doc_id LEFT JOIN {{headings}} h ON h.doc_id = p.doc_id AND h.page_number = p.page_number),
+    s AS ({scored_types()}), w AS (SELECT doc_id, page_number, rank, name, round(CASE WHEN name = 'policy_content' AND max(score) OVER (PARTITION BY doc_id, page_number) < 0.3 THEN 0.5 ELSE score END, 9) AS score FROM s),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY score DESC, rank) AS nth FROM w), c AS (SELECT doc_id, page_number, max(CASE WHEN nth = 1 THEN name END) AS primary_type, coalesce(string_agg(CASE WHEN nth BETWEEN 2 AND 4 AND score > 0.2 THEN name END, ',' ORDER BY nth), '') AS secondary_types FROM n GROUP BY doc_id, page_number)"""
+
+
+def classified(t, h):
+    heads = h.groupBy("doc_id", "page_number").agg(F.collect_list("text").alias("headings"))
+    rows = t.join(D.page_totals(t), "doc_id").join(heads, ["doc_id", "page_number"], "left").withColumns({"headings": F.coalesce("headings", F.array().cast("array<string>")), "importance": (F.col("page_number") % 10) / 10})
+    return K.classify_pages(rows)
+
+
+@query(
+    rf"""WITH {CLASSIFIED} SELECT c.doc_id, c.page_number, primary_type, secondary_types, regexp_matches(t, '(?m)^\s*\d+\.') AS has_numbered, regexp_matches(t, '(?m)^\s*[•*-]') AS has_bullets, regexp_matches(t, '(?i)\bsee\s+(page|section|chapter)\b') AS has_references,
+    round(least(1.0, CASE WHEN primary_type = 'policy_content' THEN 0.9 WHEN primary_type IN ('definitions', 'coverage') THEN 0.8 WHEN primary_type IN ('exclusions', 'eligibility') THEN 0.7 ELSE 0.5 END * i), 6) AS priority FROM c JOIN g ON g.doc_id = c.doc_id AND g.page_number = c.page_number""",
+    "text_pages",
+    "headings",
+)
+def d01_d02_classify_page(t, h):
+    return classified(t, h).select("doc_id", "page_number", "primary_type", F.array_join("secondary_types", ",").alias("secondary_types"), "has_numbered", "has_bullets", "has_references", F.round("priority", 6).alias("priority"))
+
+
+@query(
+    f"""WITH {CLASSIFIED} SELECT c.doc_id, CASE WHEN bool_or(primary_type IN ('coverage', 'eligibility', 'exclusions')) OR bool_or(contains(lower(t), 'insurance') OR contains(lower(t), 'coverage') OR contains(lower(t), 'policy') OR contains(lower(t), 'benefit')) THEN 'insurance'
+    WHEN bool_or(contains(lower(t), 'regulation') OR contains(lower(t), 'compliance') OR contains(lower(t), 'regulatory')) THEN 'regulatory' WHEN bool_or(contains(lower(t), 'contract') OR contains(lower(t), 'agreement') OR contains(lower(t), 'legal')) THEN 'legal' ELSE 'unknown' END AS document_type FROM c JOIN g ON g.doc_id = c.doc_id AND g.page_number = c.page_number WHERE c.page_number <= 3 GROUP BY c.doc_id""",
+    "text_pages",
+    "headings",
+)
+def d11_document_type(t, h):
+    return K.document_types(classified(t, h).select("doc_id", "page_number", "primary_type").join(t, ["doc_id", "page_number"]))
 
 
 @query(
