@@ -40,11 +40,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import small_batches
+from docloom.llm.common import release, small_batches, stage
 
 LEXICON_WORDS = 1 << 16
 WORDS_HELD = 1 << 17  # distinct words that a worker remembers before it starts anew
 ROWS_AT_ONCE = 512
+STEPS_IN_OCTAVE = 8  # frequency classes: 512 at most, for counts of 64 bits
 LONG_WORD = 64  # longer words are merged one by one, with a heap
 
 # The split of words, once for text below U+0250 and once for any text. Fixed values of the tokenizer format.
@@ -381,14 +382,25 @@ def word_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, size: int = LEXICON_WORDS) -> str:
-    """Compile the ``size`` most frequent words of ``docs``; the name under which Spark ships the file.
+    """Compile the most frequent words of ``docs``, ``size`` at most; the name under which Spark ships the file.
 
-    At most ``size`` words and ids reach the driver. Words over 64 characters are left to merging.
+    Frequencies are first counted in classes by their logarithm, and the classes from the top that hold no more than
+    ``size`` words are taken. So the driver gets that many numbers and words at most, however many tasks there are. Words over 64
+    characters are left to merging.
     """
     spark = docs.sparkSession
-    top = word_counts(docs, tokenizer_path).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(size).select("word")
+    counted = word_counts(docs, tokenizer_path).where(F.length("word") <= 64).select("word", F.floor(F.log2("n") * STEPS_IN_OCTAVE).cast("int").alias("class"))
+    counts = stage(counted, "words")
+    total, lowest = 0, None
+    for row in sorted(counts.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["class"]):
+        total += row.n
+        if total > size:
+            break
+        lowest = row["class"]
     words = vocabulary(tokenizer_path)
-    flat = Lexicon.build({r.word: words.merge(r.word) for r in top.collect()})
+    top = [] if lowest is None else [r.word for r in counts.where(F.col("class") >= lowest).select("word").collect()]
+    release(counts)
+    flat = Lexicon.build({w: words.merge(w) for w in top})
     path = os.path.join(tempfile.mkdtemp(prefix="docloom-"), f"lexicon-{uuid.uuid4().hex}.i32")
     flat.tofile(path)
     spark.sparkContext.addFile(path)

@@ -42,7 +42,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
     _staged[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_path = path  # for release(); frames derived from it don't have it
+    return table
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -59,12 +61,9 @@ def release(*tables: DataFrame) -> None:
     large job that may be late, so it is asked to collect now.
     """
     spark = tables[0].sparkSession
-    for table in tables:
-        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            found = next((p for p in _staged if p.split("/")[-1] == path.split("/")[-1]), None)
-            if found:
-                _remove(spark, found)
-                del _staged[found]
+    for path in [t._staged_path for t in tables]:
+        _remove(spark, path)
+        _staged.pop(path, None)
     gc.collect()
     spark._jvm.System.gc()
 
