@@ -123,20 +123,20 @@ def _trained_pairs(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.col("label").cast("int").alias("label")).mapInArrow(extract, "label int, found binary")
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray, size: int, cost: np.ndarray, passes: int = PASSES) -> np.ndarray:
-    """Weights of the linear hinge-loss model; the last weight is the bias."""
-    weight = np.zeros(size + 1)
-    alpha = np.zeros(len(rows))
-    square = np.array([float(v @ v) + 1.0 for v in values])
+def dual_coordinate_descent(found: list[np.ndarray], ratio: np.ndarray, scale: np.ndarray, chosen: np.ndarray, sign: np.ndarray, cost: np.ndarray, passes: int = PASSES) -> np.ndarray:
+    """Weights of the linear hinge-loss model on ``scale[i] * ratio[found[i]]``, i in ``chosen``; the last weight is the bias."""
+    weight = np.zeros(len(ratio) + 1, np.float32)
+    alpha = np.zeros(len(found))
     order = np.random.default_rng(7)
     for _ in range(passes):
         moved = 0.0
-        for i in order.permutation(len(rows)):
-            gradient = sign[i] * (float(weight[rows[i]] @ values[i]) + weight[-1]) - 1.0
-            new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
+        for i in order.permutation(chosen):
+            row, value = found[i], ratio[found[i]] * scale[i]
+            gradient = sign[i] * (float(weight[row] @ value) + float(weight[-1])) - 1.0
+            new = min(max(alpha[i] - gradient / 2.0, 0.0), cost[i])  # a row's length is 1, and the bias adds 1
             step = (new - alpha[i]) * sign[i]
             if step:
-                weight[rows[i]] += step * values[i]
+                weight[row] += np.float32(step) * value
                 weight[-1] += step
                 moved = max(moved, abs(step))
                 alpha[i] = new
@@ -176,32 +176,30 @@ class Model:
     def fit(cls, found: list[np.ndarray], label: np.ndarray) -> Model:
         if len(set(label.tolist())) < 2:
             return cls.constant((float(label.sum()) + 1) / (len(label) + 2))
-        size = 1 << BITS
-
-        def ratios(chosen: np.ndarray) -> np.ndarray:
-            counts = [np.bincount(np.concatenate([found[i] for i in chosen if label[i] == c] or [np.zeros(0, np.int64)]), minlength=size) + SMOOTHING for c in (1, 0)]
-            return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
-
-        def trained(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            ratio = ratios(chosen)
-            scaled = [ratio[found[i]] for i in chosen]
-            values = [v / max(np.sqrt(v @ v), 1e-9) for v in scaled]
-            share = max(label[chosen].mean(), 1e-9), max(1 - label[chosen].mean(), 1e-9)
-            cost = np.where(label[chosen] == 1, COST / (2 * share[0]), COST / (2 * share[1]))
-            return dual_coordinate_descent([found[i] for i in chosen], values, np.where(label[chosen] == 1, 1.0, -1.0), size, cost), ratio
-
-        # Margins for the logistic fit come from rows that the fitted half hasn't seen.
         everything = np.arange(len(label))
-        held, margins = everything % 5 == 0, np.zeros(0)
-        if len(set(label[~held].tolist())) == 2 and held.sum() > 20:
-            weight, ratio = trained(everything[~held])
-            margins = np.array([float(weight[f] @ ratio[f]) / max(np.sqrt(ratio[f] @ ratio[f]), 1e-9) + weight[-1] for f in (found[i] for i in everything[held])])
-        weight, ratio = trained(everything)
-        if not len(margins):
-            held = everything >= 0
-            margins = np.array([float(weight[f] @ ratio[f]) / max(np.sqrt(ratio[f] @ ratio[f]), 1e-9) + weight[-1] for f in found])
-        slope, shift = _logistic(margins, label[held])
-        return cls((weight[:-1] * ratio).astype(np.float32), (ratio**2).astype(np.float32), float(weight[-1]), max(slope, 1e-3), shift)
+        sign, share = np.where(label == 1, 1.0, -1.0), float(label.mean())
+        cost = np.where(label == 1, COST / (2 * share), COST / (2 * (1 - share)))
+
+        def fitted(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            counts = np.full((2, 1 << BITS), SMOOTHING)
+            for i in chosen:
+                counts[label[i], found[i]] += 1  # a row has each feature once
+            ratio = (np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())).astype(np.float32)
+            scale = np.array([1 / max(float(np.sqrt(ratio[f] @ ratio[f])), 1e-9) for f in found], np.float32)
+            return dual_coordinate_descent(found, ratio, scale, chosen, sign, cost), ratio, scale
+
+        def margins(model: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
+            weight, ratio, scale = model
+            return np.array([float(weight[found[i]] @ ratio[found[i]]) * scale[i] + weight[-1] for i in rows])
+
+        # The logistic fit uses rows that the model of the others hasn't seen.
+        held = everything[everything % 5 == 0]
+        others = everything[everything % 5 != 0]
+        model = fitted(everything)
+        unseen = len(held) > 20 and len(set(label[others].tolist())) == 2
+        slope, shift = _logistic(margins(fitted(others), held), label[held]) if unseen else _logistic(margins(model, everything), label)
+        weight, ratio, _ = model
+        return cls(weight[:-1] * ratio, ratio**2, float(weight[-1]), max(slope, 1e-3), shift)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = []
@@ -234,7 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return Model.constant(0.5)
     got.sort(key=lambda r: (bytes(r.found), r.label))
     order = np.random.default_rng(11).permutation(len(got))
-    return Model.fit([np.frombuffer(got[i].found, "<i4").astype(np.int64) for i in order], np.array([int(got[i].label) for i in order]))
+    found, label = [np.frombuffer(got[i].found, "<i4") for i in order], np.array([int(got[i].label) for i in order])
+    return Model.fit(found, label)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
