@@ -111,3 +111,50 @@ def holds(comparison: Column, value: Column, target: Column, low: Column, high:
     for name, test in tests.items():
         out = F.when(comparison == name, F.coalesce(test, F.lit(False))).otherwise(out)
     return out
+
+
+NODE = "struct<node_id:string,node_type:string,question:struct<question_text:string,question_type:string,options:array<string>>,outcome_type:string,confidence_score:double,children:map<string,string>>"
+QUESTION_TYPES = ("yes_no", "multiple_choice", "numeric_range", "text_input", "date", "conditional")
+
+
+def parse_nodes(trees: DataFrame) -> DataFrame:
+    """Nested tree JSON ``trees(tree_id, json)`` as node rows, level by level; children keep the order of their answers.
+
+    An empty or broken node is an outcome ``refer_to_manual`` of confidence 0.3; so is a question without text, which
+    keeps its confidence. A node without an id gets its path of answers. Unknown question types are ``yes_no``;
+    options count for multiple choice only.
+    """
+    level = cut(trees.select("tree_id", "json", F.lit(None).cast("string").alias("parent_node_id"), F.lit(None).cast("string").alias("answer"), F.lit(0).alias("sibling_ord"), F.lit("root").alias("path")))
+    found = None
+    for _ in range(MAX_ROUNDS):
+        n = F.from_json("json", NODE)
+        read = level.select("*", n.alias("n"))
+        empty = F.col("n").isNull() | (F.col("n.node_type").isNull() & F.col("n.question").isNull() & F.col("n.outcome_type").isNull())
+        asks = F.coalesce("n.node_type", F.when(F.col("n.question").isNotNull(), "question").otherwise("outcome"))
+        silent = (asks == "question") & (F.trim(F.coalesce("n.question.question_text", F.lit(""))) == "")
+        is_question = ~empty & (asks == "question") & ~silent
+        kind = F.when(F.col("n.question.question_type").isin(*QUESTION_TYPES), F.col("n.question.question_type")).otherwise("yes_no")
+        rows = cut(
+            read.select(
+                "tree_id",
+                F.coalesce("n.node_id", "path").alias("node_id"),
+                "parent_node_id",
+                "answer",
+                "sibling_ord",
+                F.when(is_question, "question").when(empty | silent, "outcome").otherwise(asks).alias("node_type"),
+                F.when(is_question, F.col("n.question.question_text")).alias("question_text"),
+                F.when(is_question, kind).alias("question_type"),
+                F.when(is_question & (kind == "multiple_choice"), F.col("n.question.options")).alias("options"),
+                F.when(~is_question, F.when(empty | silent, "refer_to_manual").otherwise(F.col("n.outcome_type"))).alias("outcome_type"),
+                F.when(empty, 0.3).otherwise(F.coalesce("n.confidence_score", F.lit(0.7))).alias("confidence_score"),
+                F.when(is_question, F.map_entries("n.children")).alias("kids"),
+                "path",
+            )
+        )
+        found = rows.drop("kids", "path") if found is None else found.union(rows.drop("kids", "path"))
+        level = rows.select("tree_id", F.col("node_id").alias("parent_node_id"), "path", F.posexplode("kids").alias("sibling_ord", "kid")).select(
+            "tree_id", F.col("kid.value").alias("json"), "parent_node_id", F.col("kid.key").alias("answer"), "sibling_ord", F.concat_ws(".", "path", F.col("kid.key")).alias("path")
+        )
+        if level.isEmpty():
+            return found
+    raise RuntimeError(f"deeper than {MAX_ROUNDS} levels")

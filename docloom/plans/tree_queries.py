@@ -184,3 +184,18 @@ def t21_routing_compare(t):
     value = F.when(case < 2, F.col("l_quantity").cast("string")).when(case == 2, F.col("l_returnflag")).otherwise(F.col("l_linestatus"))
     target = F.when(case == 1, "25").when(case == 2, "R").otherwise("O")
     return t.select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", T.holds(kind, value, target, F.lit(10.0), F.lit(20.0)).alias("holds"))
+
+
+@query(
+    """SELECT p_partkey AS tree_id, 'r' || CAST(p_partkey AS VARCHAR) AS node_id, NULL AS parent_node_id, NULL AS answer, 0 AS sibling_ord, CASE WHEN p_partkey % 3 = 0 THEN 'outcome' ELSE 'question' END AS node_type, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS question_text, CASE WHEN p_partkey % 3 <> 0 THEN 'yes_no' END AS question_type,
+      CASE WHEN p_partkey % 3 = 0 THEN 'refer_to_manual' END AS outcome_type, 0.7 AS confidence_score FROM {part}
+    UNION ALL SELECT p_partkey, 'a', 'r' || CAST(p_partkey AS VARCHAR), 'yes', 0, 'outcome', NULL, NULL, p_brand, 0.9 FROM {part} WHERE p_partkey % 3 <> 0
+    UNION ALL SELECT p_partkey, 'root.no', 'r' || CAST(p_partkey AS VARCHAR), 'no', 1, 'outcome', NULL, NULL, 'refer_to_manual', 0.3 FROM {part} WHERE p_partkey % 3 <> 0""",
+    "part",
+)
+def t01_t03_parse_tree(t):
+    name = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name"))
+    yes = F.to_json(F.struct(F.lit("a").alias("node_id"), F.lit("outcome").alias("node_type"), F.col("p_brand").alias("outcome_type"), F.lit(0.9).alias("confidence_score")))
+    head = F.to_json(F.struct(F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("node_id"), F.lit("question").alias("node_type"), F.struct(name.alias("question_text"), F.lit("odd").alias("question_type")).alias("question")))
+    body = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"children":{"yes":'), yes, F.lit(',"no":{}}}'))
+    return T.parse_nodes(t.select(F.col("p_partkey").alias("tree_id"), body.alias("json"))).drop("options")
