@@ -33,7 +33,7 @@ from docloom.llm.sampling import bounded_sample, fold
 
 BITS, TRAIN_ROWS, PASSES, COST, SMOOTHING = 18, 12_000, 12, 1.0, 1.0
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 5, 0
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _CLASS = np.zeros(256, np.int64)  # 1 capital, 2 small, 3 digit, 4 other ASCII, 5 beyond ASCII
 _CLASS[128:] = 5
