@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.deploy import ship
-from docloom.llm import exact_dedup, packing, pii, quality, simhash_dedup
+from docloom.llm import exact_dedup, near_dedup, packing, pii, quality
 from docloom.llm.common import read, stage
 
 
@@ -30,9 +30,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first of each class of near duplicates."""
+    """The first of each class of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
     ship(spark)
-    return simhash_dedup.keep_one_of_each_class(docs)
+    return near_dedup.keep_one_of_each_class(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", good_quality),
     ("exact dedup", without_copies),
-    ("SimHash near-dedup", without_near_copies),
+    ("near-dedup", without_near_copies),
     ("PII", without_personal_data),
     ("packing", packed),
 ]

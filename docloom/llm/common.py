@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
 _staged: dict[str, SparkSession] = {}
@@ -31,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_dir[0]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet, with ``options``, into the shared folder and read it back.
 
     This cuts lineage: work above it is not repeated when an executor is lost,
     nor when several later plans read the table. The folder goes when the
@@ -41,12 +43,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
     _staged[path] = spark
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._staged_path = path  # for release(); frames derived from it don't have it
     return table
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as a staged table with a number ``__row`` for every row, whatever its ``doc_id``."""
+    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", compression="zstd")
+
+
+def first_of_each(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of ``numbered`` rows one of each class: the smallest ``doc_id`` (null last), then the smallest ``tie``.
+
+    classes: __row, doc_id, tie, root, one row for each of ``rows``; root is the same within a class only.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "__row")
+    kept = stage(classes.groupBy("root").agg(F.min(order).alias("first")).select("first.__row"), "kept-rows")
+    return rows.join(kept, "__row", "left_semi").drop("__row")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Let Python workers get texts in batches of ``BATCH_BYTES`` at most, for this session from now on."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -68,6 +85,18 @@ def release(*tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Within it, Spark removes a query's shuffle files as soon as the query ends; staged tables don't need them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

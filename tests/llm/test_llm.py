@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docloom.llm import bpe, chat, common, exact_dedup, fingerprint, langid, packing, pii, quality, queries, repeats, rolling, simhash_dedup
+from docloom.llm import bpe, chat, common, exact_dedup, fingerprint, langid, near_dedup, packing, pii, quality, queries, repeats, rolling, simhash_dedup
 from docloom.llm.components import components
 
 P = pytest.importorskip("public_tokenizers")
@@ -111,6 +111,47 @@ def test_fingerprint_links_lose_no_class(spark, radius, limit):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def five_word_sets(texts):
+    found = []
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        found.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {""})
+    return found
+
+
+def edited(rng, text, edits):
+    words = text.split()
+    for i in rng.sample(range(len(words)), edits):
+        words[i] = "q%d" % rng.randrange(10**6)
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("few_pairs", [near_dedup.FEW_PAIRS, 0])
+def test_near_dedup_is_brute_force_jaccard(spark, monkeypatch, few_pairs):
+    monkeypatch.setattr(near_dedup, "FEW_PAIRS", few_pairs)
+    rng = random.Random(8)
+    words = ["w%d" % i for i in range(400)]
+    bases = [" ".join(rng.choice(words) for _ in range(rng.choice([6, 40, 120, 300]))) for _ in range(12)]
+    texts = [*TEXTS, *bases, bases[0].upper(), *(edited(rng, b, rng.randint(1, max(1, len(b.split()) // 30))) for b in bases for _ in range(9))]
+    sets = five_word_sets(texts)
+    groups = classes(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    ids = rng.sample(range(1000), len(texts))
+    got = near_dedup.keep_one_of_each_class(table(spark, texts, ids))
+    assert got.columns == table(spark, []).columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(min(j for j, h in zip(ids, groups, strict=True) if h == g) for g in set(groups))
+    assert len(set(groups)) < len(set(classes([plain_simhash(t) for t in texts], lambda a, b: (a ^ b).bit_count() <= 2)))
+    assert near_dedup.keep_one_of_each_class(table(spark, [])).count() == 0
+
+
+def test_pipeline_drops_near_copies_by_jaccard(spark):
+    from corpus_pipeline import without_near_copies
+
+    base = " ".join("w%d" % i for i in range(120))
+    texts = [base, base.replace("w60 ", "q ").replace("w20 ", "q "), " ".join("w%d" % i for i in range(60, 180))]
+    assert (plain_simhash(texts[0]) ^ plain_simhash(texts[1])).bit_count() > 2
+    assert {r.doc_id for r in without_near_copies(spark, table(spark, texts), "").collect()} == {0, 2}
+
+
 def test_pigeonring_budgets():
     for start in range(7):
         masks = simhash_dedup.chain_masks(start)
