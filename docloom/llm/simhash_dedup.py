@@ -33,10 +33,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import small_batches, stage
+from docloom.llm.common import first_of_each, numbered, small_batches, stage
 from docloom.llm.components import components
 
 RADIUS, SEGMENTS, BUCKET_LIMIT, SHINGLE, SEED = 2, 7, 64, 3, 42
@@ -150,21 +150,15 @@ def near_classes(docs: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS
 
 
 def keep_one_of_each_class(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest ``doc_id`` of each class; columns unchanged.
+    """``docs`` with one row of each class, that of the smallest ``doc_id``; columns unchanged.
 
-    Rows that repeat that ``doc_id`` within the class shrink to one.
+    Rows are told apart by a number of their own: null or repeated ids of other classes don't matter.
     """
-    columns = docs.columns
-    stays = (
-        near_classes(docs)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("__id"))
-        .distinct()
-    )
-    one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    return (
-        docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-        .withColumn("__nth", F.row_number().over(one))
-        .where("__nth = 1")
-        .select(*columns)
-    )
+    small_batches(docs.sparkSession)
+    rows = numbered(docs)
+    found = fingerprints(rows.withColumn("doc_id", F.col("__row")))
+    ids = rows.select("__row", "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    named = stage(ids.join(found.withColumnRenamed("doc_id", "__row"), "__row"), "fingerprints")
+    roots = components(fingerprint_links(named.select("fp").distinct()))
+    classes = named.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("__row", "doc_id", "tie", F.coalesce("root", "fp").alias("root"))
+    return first_of_each(rows, classes)

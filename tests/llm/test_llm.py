@@ -143,6 +143,13 @@ def test_near_dedup_is_brute_force_jaccard(spark, monkeypatch, few_pairs):
     assert near_dedup.keep_one_of_each_class(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("module", [simhash_dedup, near_dedup])
+def test_null_and_repeated_ids_lose_no_class(spark, module):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    got = module.keep_one_of_each_class(table(spark, [a, b, c, d, a, c.upper()], [None, None, 7, 7, 3, None])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("3", a), ("None", b), ("7", c), ("7", d)])
+
+
 def test_pipeline_drops_near_copies_by_jaccard(spark):
     from corpus_pipeline import without_near_copies
 
