@@ -1,35 +1,20 @@
-"""Recursion over tables of parents and children: pointer doubling and frontiers, with reliable checkpoints."""
+"""Recursion over tables of parents and children: pointer doubling, frontiers and components over staged tables.
 
-from __future__ import annotations
+Every loop ends at a fixpoint; none has a cap on its rounds. Pointer doubling and components take as many rounds
+as the logarithm of the longest chain, a frontier as many as its longest path outside the trees of its start.
+"""
 
-import tempfile
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 200
-_own: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is named and the master is local."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="docloom-"))
-    return _own[0]
+from docloom.staging import drop, stage
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Cut lineage with a table in the shared folder."""
+    return stage(df, "round")
 
 
 def depths(nodes: DataFrame, group: str, node: str, parent: str) -> DataFrame:
@@ -49,49 +34,95 @@ def depths(nodes: DataFrame, group: str, node: str, parent: str) -> DataFrame:
     while (still_open := state.where("up is not null").count()) and still_open != before:
         before = still_open
         above = state.select("g", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("top").alias("top2"))
-        state = cut(
+        after = cut(
             state.join(above, ["g", "up"], "left").select(
                 "g", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("top2", "top").alias("top")
             )
         )
+        drop(state)
+        state = after
     looped = F.col("up").isNotNull()
     return state.select(F.col("g").alias(group), F.col("id").alias(node), F.when(~looped, F.col("depth")).alias("depth"), F.when(~looped, F.col("top")).alias("root"))
 
 
 def closure(start: DataFrame, edges: DataFrame, group: str, node: str) -> DataFrame:
     """(group, node) reachable from ``start`` over ``edges(group, node, next)``: one join per round over all groups at once."""
+    edges = cut(edges.select(group, node, "next").distinct())
     seen = cut(start.select(group, node).distinct())
     frontier = seen
-    for _ in range(MAX_ROUNDS):
+    while True:
         reached = frontier.join(edges, [group, node]).select(group, F.col("next").alias(node)).distinct()
         frontier = cut(reached.join(seen, [group, node], "left_anti"))
         if frontier.isEmpty():
+            drop(edges, frontier)
             return seen
-        seen = cut(seen.union(frontier))
-    raise RuntimeError(f"more than {MAX_ROUNDS} rounds")
+        after = cut(seen.union(frontier))
+        drop(seen)
+        seen = after
 
 
 def root_paths(nodes: DataFrame, stops: str) -> DataFrame:
     """Every node with its path from the root: ``nodes(tree_id, node_id, parent_node_id, sibling_ord, node_type)``.
 
     No path goes on below a node for which ``stops`` holds, nor to a node that it already has (``cyclic`` marks those).
+    Paths grow by pointer doubling: a round puts the path that ends at a path's first node before it.
     """
-    level = cut(nodes.where("parent_node_id is null").select("tree_id", "node_id", "node_type", F.array("node_id").alias("path"), F.array(F.lit(0).cast("long")).alias("ords"), F.lit(False).alias("cyclic")))
-    found = level
-    children = nodes.where("parent_node_id is not null").select("tree_id", F.col("node_id").alias("child"), F.col("parent_node_id").alias("node_id"), F.col("node_type").alias("child_type"), F.col("sibling_ord").cast("long").alias("o"))
-    for _ in range(MAX_ROUNDS):
-        onward = level.where(~F.expr(stops) & ~F.col("cyclic"))
-        level = cut(
-            onward.join(children, ["tree_id", "node_id"]).select(
-                "tree_id",
-                F.col("child").alias("node_id"),
-                F.col("child_type").alias("node_type"),
-                F.array_append("path", F.col("child")).alias("path"),
-                F.array_append("ords", F.col("o")).alias("ords"),
-                F.array_contains("path", F.col("child")).alias("cyclic"),
-            )
+    rows = nodes.select("tree_id", "node_id", "node_type", F.col("parent_node_id").alias("up"), F.coalesce(F.col("sibling_ord").cast("long"), F.lit(0)).alias("o"), F.expr(stops).alias("stop"))
+    onward = rows.where(~F.coalesce("stop", F.lit(False))).select("tree_id", F.col("node_id").alias("up")).distinct()
+    below = rows.where("up is not null").join(onward, ["tree_id", "up"], "left_semi").select("tree_id", "node_id", "node_type", "up", "o")
+    tops = rows.where("up is null").select("tree_id", "node_id", "node_type", "up", F.lit(0).cast("long").alias("o"))
+    state = cut(tops.unionByName(below).select("tree_id", "node_id", "node_type", "up", F.array("node_id").alias("path"), F.array("o").alias("ords")))
+    while not state.where("up is not null").isEmpty():
+        simple = F.size(F.array_distinct("path")) == F.size("path")
+        above = state.where(simple).select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("ords").alias("ords2"))
+        longer = state.where("up is not null").join(above, ["tree_id", "up"]).select(
+            "tree_id", "node_id", "node_type", F.col("up2").alias("up"), F.concat("path2", "path").alias("path"), F.concat("ords2", "ords").alias("ords")
         )
-        if level.isEmpty():
-            return found
-        found = found.union(level)
-    raise RuntimeError(f"deeper than {MAX_ROUNDS} levels")
+        before_end = F.slice("path", F.lit(1), F.size("path") - 1)
+        after = cut(state.where("up is null").unionByName(longer.where(F.size(F.array_distinct(before_end)) == F.size(before_end))))
+        drop(state)
+        state = after
+    return state.select("tree_id", "node_id", "node_type", "path", "ords", F.array_contains(F.slice("path", F.lit(1), F.size("path") - 1), F.element_at("path", -1)).alias("cyclic"))
+
+
+def _star(links: DataFrame, small: bool) -> DataFrame:
+    """Link neighbours of each node to the smallest node among them and itself.
+
+    large star: neighbours above the node; small star: the node and those below. Both sides of the join come
+    straight from tables, so that Spark can split the centre of a giant class.
+    """
+    if small:
+        ends = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    else:
+        ends = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
+    lowest = stage(ends.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "lowest")
+    met = ends.join(lowest, "u")
+    if small:
+        moved = met.select(F.col("v").alias("a"), F.col("low").alias("b")).union(lowest.select(F.col("u").alias("a"), F.col("low").alias("b")))
+    else:
+        moved = met.where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b"))
+    out = stage(moved.where("a <> b").distinct(), "links")
+    drop(lowest)
+    return out
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``links(a, b)``: root is its component's smallest node.
+
+    Alternating large-star and small-star rounds, as many as the logarithm of the longest chain; two numbers a round
+    reach the driver. Self links and repeated links are harmless; null ends are dropped; an empty table gives an
+    empty result.
+    """
+
+    def state(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    current = stage(links.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "links")
+    before, now = None, state(current)
+    while now[0] and now != before:
+        large = _star(current, small=False)
+        after = _star(large, small=True)
+        drop(current, large)
+        current, before, now = after, now, state(after)
+    roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.union(roots.select("root", "root").distinct())

@@ -2,65 +2,136 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import jaccard
-from docloom.operators.iterate import MAX_ROUNDS, cut
+from docloom.operators.iterate import components, cut
+from docloom.staging import drop, stage
+
+ROUNDS_BEFORE_LOCAL, LOCAL_ROWS = 6, 10_000
+
+
+def rare_index(sets: DataFrame, threshold: float) -> DataFrame:
+    """(g, w, id, n, rest): each set's rarest tokens, of which a set at the threshold must share one.
+
+    sets: g, id, t (distinct tokens), n (their number). Tokens are ordered by how many sets of the group have them. Of
+    two sets at the threshold each has one of its first ``n - ceil(threshold * n) + 1`` tokens in the other; tokens that
+    one set has alone count there but can't be shared, so they aren't indexed. rest: how many tokens come after this one.
+    """
+    grams = sets.select("g", "id", "n", F.explode("t").alias("w"))
+    held = stage(grams.groupBy("g", "w").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared-tokens")
+    shared = grams.join(held, ["g", "w"]).groupBy("g", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
+    room = (F.size("r") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    first = shared.withColumn("room", room).where("room > 0")
+    rows = first.select("g", "id", "n", F.size("r").alias("k"), F.posexplode(F.slice("r", F.lit(1), F.col("room"))).alias("pos", "x"))
+    index = stage(rows.select("g", F.col("x.w").alias("w"), "id", "n", (F.col("k") - F.col("pos") - 1).alias("rest")), "rare-tokens")
+    drop(held)
+    return index
+
+
+def candidates(index: DataFrame, threshold: float) -> DataFrame:
+    """(g, a, b) with a < b: pairs of sets that meet in the index and whose lengths and remaining tokens allow the threshold.
+
+    The index carries ids only and is never broadcast; both sides of the join come straight from a table, so that Spark
+    splits a token that very many sets have.
+    """
+    x, y = (index.select("g", "w", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("rest").alias(f"rest_{i}")) for i in "ab")
+    met = x.hint("merge").join(y.hint("merge"), ["g", "w"]).where("a < b")
+    both = F.col("n_a") + F.col("n_b")
+    most = F.least("rest_a", "rest_b") + 1
+    # The first common token bounds the overlap; a later one of the same pair may fail this, the first can't.
+    able = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9) & (most * (1 + threshold) >= threshold * both - 1e-9)
+    return met.where(able).select("g", "a", "b").distinct()
+
+
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(g, a, b, similarity) with a < b: all pairs of ``sets(g, id, t, n)`` of a group at the threshold. ``sets`` is a staged table of different sets."""
+    found = candidates(rare_index(sets, threshold), threshold)
+    a, b = (sets.select("g", F.col("id").alias(i), F.col("t").alias(f"t_{i}")) for i in "ab")
+    return found.join(a, ["g", "a"]).join(b, ["g", "b"]).withColumn("similarity", jaccard(F.col("t_a"), F.col("t_b"))).where(F.col("similarity") >= threshold).select("g", "a", "b", "similarity")
 
 
 def similar_pairs(rows: DataFrame, group: str, ord_: str, tokens: str, threshold: float) -> DataFrame:
     """(group, a, b, similarity) with a before b: pairs of a group whose Jaccard similarity is at least ``threshold``.
 
     Rows of equal token sets are one class: pairs are between the first rows of classes, and each first row is paired
-    with the others of its class, so copies never give all their pairs. Tokens are ordered by how rare they are over the
-    whole table; a pair at or above the threshold shares one of the first ``n - ceil(threshold * n) + 1`` tokens of both,
-    so only those are joined, then lengths and whole sets are tested. Rows without tokens are in no pair.
+    with the others of its class, so copies never give all their pairs. Rows without tokens are in no pair. ``ord_`` is
+    unique within a group.
     """
     base = rows.select(F.col(group).alias("g"), F.col(ord_).alias("o"), F.array_sort(F.array_distinct(tokens)).alias("t")).where(F.size("t") > 0)
-    rarity = base.select(F.explode("t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    sets = base.select("g", "t").distinct().withColumn("set_id", F.xxhash64("g", "t"))
-    ranked = (
-        sets.select("g", "set_id", "t", F.explode("t").alias("w"))
-        .join(rarity, "w")
-        .groupBy("g", "set_id")
-        .agg(F.first("t").alias("t"), F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("by_rarity"))
-    )
-    size = F.size("t")
-    prefix = F.slice("by_rarity", F.lit(1), (size - F.ceil(size * threshold) + 1).cast("int"))
-    index = ranked.select("g", "set_id", "t", F.explode(prefix).alias("w"))
-    left, right = (index.select("g", "w", *[F.col(c).alias(f"{c}_{side}") for c in ("set_id", "t")]) for side in "lr")
-    met = left.join(right, ["g", "w"]).where("set_id_l < set_id_r").where((F.size("t_l") >= threshold * F.size("t_r")) & (F.size("t_r") >= threshold * F.size("t_l")))
-    similar = met.dropDuplicates(["g", "set_id_l", "set_id_r"]).withColumn("similarity", jaccard(F.col("t_l"), F.col("t_r"))).where(F.col("similarity") >= threshold)
-    members = base.withColumn("set_id", F.xxhash64("g", "t"))
-    first = members.groupBy("g", "set_id").agg(F.min("o").alias("first"))
-    x, y = (first.select("g", F.col("set_id").alias(f"set_id_{side}"), F.col("first").alias(f"first_{side}")) for side in "lr")
-    between = similar.join(x, ["g", "set_id_l"]).join(y, ["g", "set_id_r"]).select("g", F.least("first_l", "first_r").alias("a"), F.greatest("first_l", "first_r").alias("b"), "similarity")
-    within = members.join(first, ["g", "set_id"]).where("o <> first").select("g", F.col("first").alias("a"), F.col("o").alias("b"), F.lit(1.0).alias("similarity"))
+    sets = stage(base.groupBy("g", "t").agg(F.min("o").alias("id")).withColumn("n", F.size("t")), "token-sets")
+    between = similar_sets(sets, threshold)
+    within = base.join(sets.select("g", "t", "id"), ["g", "t"]).where("o <> id").select("g", F.col("id").alias("a"), F.col("o").alias("b"), F.lit(1.0).alias("similarity"))
     return between.union(within).withColumnRenamed("g", group)
 
 
+def key_pairs(rows: DataFrame, group: str, id_: str, keys: str) -> DataFrame:
+    """(group, a, b) with a < b: pairs of a group that share a key of the array ``keys``, each once; ids only."""
+    index = stage(rows.select(F.col(group), F.col(id_).alias("id"), F.explode(F.array_distinct(keys)).alias("k")), "keys")
+    x, y = (index.select(group, "k", F.col("id").alias(i)) for i in "ab")
+    return x.hint("merge").join(y.hint("merge"), [group, "k"]).where("a < b").select(group, "a", "b").distinct()
+
+
 def greedy_leaders(rows: DataFrame, pairs: DataFrame, group: str, ord_: str) -> DataFrame:
     """(group, ord, leader): in order, a row joins the first earlier leader that it is similar to, or leads itself.
 
-    Rounds decide all rows whose earlier neighbours are decided. ``pairs(group, a, b)`` has a before b.
+    Rounds decide all rows whose earlier neighbours are decided; each decides at least the first open row of every
+    component. What is open after ``ROUNDS_BEFORE_LOCAL`` rounds are long chains: their components, where they have at
+    most ``LOCAL_ROWS`` links, are walked in order in a task each; larger ones go on in rounds. ``pairs(group, a, b)``
+    has a before b.
     """
-    edges = cut(pairs.select(F.col(group).alias("g"), "a", "b"))
+    edges = cut(pairs.select(F.col(group).alias("g"), "a", "b").distinct())
     state = cut(rows.select(F.col(group).alias("g"), F.col(ord_).alias("o"), F.lit(None).cast("long").alias("leader")))
-    for _ in range(MAX_ROUNDS):
-        if state.where("leader is null").isEmpty():
-            return state.select(F.col("g").alias(group), F.col("o").alias(ord_), "leader")
-        earlier = edges.join(state.select("g", F.col("o").alias("a"), F.col("leader").alias("lead_a")), ["g", "a"]).groupBy("g", F.col("b").alias("o"))
-        seen = earlier.agg(F.min(F.when(F.col("lead_a") == F.col("a"), F.col("a"))).alias("first_leader"), F.min(F.when(F.col("lead_a").isNull(), F.col("a"))).alias("first_open"))
-        # A row can join a leader as soon as no undecided neighbour comes before that leader.
-        joined = state.join(seen, ["g", "o"], "left")
-        decided = (
-            F.when(F.col("first_leader").isNotNull() & (F.col("first_open").isNull() | (F.col("first_open") > F.col("first_leader"))), F.col("first_leader"))
-            .when(F.col("first_leader").isNull() & F.col("first_open").isNull(), F.col("o"))
-        )
-        state = cut(joined.select("g", "o", F.coalesce("leader", decided).alias("leader")))
-    raise RuntimeError(f"not decided after {MAX_ROUNDS} rounds")
+    rounds = 0
+    while not state.where("leader is null").isEmpty():
+        rounds += 1
+        if rounds == ROUNDS_BEFORE_LOCAL:
+            decided = _walked(state, edges)
+        else:
+            decided = _round(state, edges)
+        after = cut(state.join(decided, ["g", "o"], "left").select("g", "o", F.coalesce("leader", "decided").alias("leader")))
+        drop(state)
+        state = after
+    return state.select(F.col("g").alias(group), F.col("o").alias(ord_), "leader")
+
+
+def _round(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g, o, decided) of the open rows that their earlier neighbours decide: as soon as none that is open comes before the first leader."""
+    earlier = edges.join(state.select("g", F.col("o").alias("a"), F.col("leader").alias("lead_a")), ["g", "a"]).groupBy("g", F.col("b").alias("o"))
+    seen = earlier.agg(F.min(F.when(F.col("lead_a") == F.col("a"), F.col("a"))).alias("first_leader"), F.min(F.when(F.col("lead_a").isNull(), F.col("a"))).alias("first_open"))
+    leader, opened = F.col("first_leader"), F.col("first_open")
+    decided = F.when(leader.isNotNull() & (opened.isNull() | (opened > leader)), leader).when(leader.isNull() & opened.isNull(), F.col("o"))
+    return state.where("leader is null").join(seen, ["g", "o"], "left").select("g", "o", decided.alias("decided"))
+
+
+def _walked(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g, o, decided) of the open rows of small components, each walked in order."""
+    ends = {s: state.select("g", F.col("o").alias(s), F.col("leader").alias(f"lead_{s}")) for s in "ab"}
+    known = edges.join(ends["a"], ["g", "a"]).join(ends["b"].where("lead_b is null"), ["g", "b"])
+    links = cut(known.where("lead_a is null or lead_a = a").select("g", "a", "b", "lead_a"))
+    node = {s: F.concat_ws(":", F.col("g").cast("string"), F.col(s).cast("string")) for s in "ab"}
+    roots = cut(components(links.where("lead_a is null").select(node["a"].alias("a"), node["b"].alias("b"))))
+    named = links.withColumn("node", node["b"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    small = named.groupBy("root").agg(F.count(F.lit(1)).alias("links")).where(F.col("links") <= LOCAL_ROWS).select("root")
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        lead = {int(a): int(a) for a in part.a[part.lead_a.notna()]}
+        earlier: dict[int, list[int]] = {}
+        for a, b in zip(part.a, part.b, strict=True):
+            earlier.setdefault(int(b), []).append(int(a))
+            if a not in lead:
+                earlier.setdefault(int(a), [])
+        for o in sorted(earlier):
+            lead[o] = next((a for a in sorted(earlier[o]) if lead[a] == a), o)
+        return pd.DataFrame({"g": [part.g.iloc[0]] * len(earlier), "o": list(earlier), "decided": [lead[o] for o in earlier]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in state.schema}
+    of_small = named.join(small, "root").select("root", "g", "a", "b", "lead_a").groupBy("root").applyInPandas(walk, f"g {kinds['g']}, o {kinds['o']}, decided long")
+    return of_small.join(state.where("leader is null").select("g", "o"), ["g", "o"], "left_semi")
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth = 1").drop("__nth")
+

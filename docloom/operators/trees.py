@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.iterate import MAX_ROUNDS, closure, cut, root_paths
+from docloom.operators.iterate import closure, cut, depths, root_paths
 
 IS_OUTCOME = "node_type = 'outcome'"
 
@@ -33,10 +33,21 @@ def first_path_to(nodes: DataFrame, outcome: str) -> DataFrame:
 
 
 def reachable(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """(tree_id, node_id) reached from the roots over children and over rules whose target exists."""
-    edges = nodes.where("parent_node_id is not null").select("tree_id", F.col("parent_node_id").alias("node_id"), F.col("node_id").alias("next"))
-    jumps = rules.select("tree_id", "node_id", F.col("next_node_id").alias("next")).join(nodes.select("tree_id", F.col("node_id").alias("next")), ["tree_id", "next"], "left_semi").select("tree_id", "node_id", "next")
-    return closure(nodes.where("parent_node_id is null"), edges.union(jumps), "tree_id", "node_id")
+    """(tree_id, node_id) reached from the roots over children and over rules whose target exists.
+
+    Pointer doubling finds all below a root at once, taking one parent of each node; only what other parents and jumps
+    lead to outside of that is followed step by step.
+    """
+    nodes = cut(nodes.select("tree_id", "node_id", "parent_node_id"))
+    tops = nodes.where("parent_node_id is null").select("tree_id", F.col("node_id").alias("root")).distinct()
+    parent = F.when(F.bool_and(F.col("parent_node_id").isNotNull()), F.min("parent_node_id"))
+    chains = depths(nodes.groupBy("tree_id", "node_id").agg(parent.alias("parent_node_id")), "tree_id", "node_id", "parent_node_id")
+    below = cut(chains.join(tops, ["tree_id", "root"], "left_semi").select("tree_id", "node_id"))
+    jumps = rules.select("tree_id", "node_id", F.col("next_node_id").alias("next")).join(nodes.select("tree_id", F.col("node_id").alias("next")).distinct(), ["tree_id", "next"], "left_semi").select("tree_id", "node_id", "next")
+    edges = nodes.where("parent_node_id is not null").select("tree_id", F.col("parent_node_id").alias("node_id"), F.col("node_id").alias("next")).union(jumps)
+    hidden = cut(edges.join(below.withColumnRenamed("node_id", "next"), ["tree_id", "next"], "left_anti").select("tree_id", "node_id", "next"))
+    entered = hidden.join(below, ["tree_id", "node_id"], "left_semi").select("tree_id", F.col("next").alias("node_id"))
+    return below.union(closure(entered, hidden, "tree_id", "node_id"))
 
 
 def valid_rule() -> Column:
@@ -60,6 +71,7 @@ def missing_members(groups: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def report(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """Per tree: nodes, questions, outcomes, paths, depth, unreachable nodes, incomplete routes, validity."""
+    nodes, rules = cut(nodes), cut(rules)
     paths = all_paths(nodes).groupBy("tree_id").agg(F.count(F.lit(1)).alias("paths"), (F.max(F.size("path")) - 1).alias("depth"))
     sizes = nodes.groupBy("tree_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("node_type") == "question").alias("questions"), F.count_if(F.col("node_type") == "outcome").alias("outcomes"))
     hidden = nodes.select("tree_id", "node_id").join(reachable(nodes, rules), ["tree_id", "node_id"], "left_anti").groupBy("tree_id").agg(F.count(F.lit(1)).alias("unreachable"))
@@ -76,21 +88,21 @@ def outcome_buckets(nodes: DataFrame) -> DataFrame:
 def score(nodes: DataFrame, answers: DataFrame) -> DataFrame:
     """Walk all (subject, tree) pairs at once: ``answers(subject, tree_id, node_id, answer)``.
 
-    A walk ends at an outcome, at a missing answer, or where no child has the answer.
+    A walk ends at an outcome, at a missing answer, at a node it already passed, or where no child has the answer.
     """
+    nodes, answers = cut(nodes), cut(answers)
     edges = nodes.where("parent_node_id is not null").select("tree_id", F.col("parent_node_id").alias("node_id"), "answer", F.col("node_id").alias("next"))
     roots = nodes.where("parent_node_id is null").select("tree_id", "node_id")
     walks = answers.select("subject", "tree_id").distinct()
-    moving = cut(walks.join(roots, "tree_id").select("subject", "tree_id", "node_id", F.array("node_id").alias("path")))
+    moving = walks.join(roots, "tree_id").select("subject", "tree_id", "node_id", F.array("node_id").alias("path"))
     done = None
-    for _ in range(MAX_ROUNDS):
-        stepped = cut(moving.join(answers, ["subject", "tree_id", "node_id"], "left").join(edges, ["tree_id", "node_id", "answer"], "left").select("subject", "tree_id", "node_id", "path", "next"))
+    while True:
+        stepped = cut(moving.join(answers, ["subject", "tree_id", "node_id"], "left").join(edges, ["tree_id", "node_id", "answer"], "left").select("subject", "tree_id", "node_id", "path", F.when(~F.array_contains("path", F.col("next")), F.col("next")).alias("next")))
         ended = stepped.where("next is null").select("subject", "tree_id", "node_id", "path")
         done = ended if done is None else done.union(ended)
         moving = stepped.where("next is not null").select("subject", "tree_id", F.col("next").alias("node_id"), F.array_append("path", F.col("next")).alias("path"))
         if moving.isEmpty():
             return done.join(nodes.select("tree_id", "node_id", "outcome_type"), ["tree_id", "node_id"], "left")
-    raise RuntimeError(f"deeper than {MAX_ROUNDS} levels")
 
 
 def holds(comparison: Column, value: Column, target: Column, low: Column, high: Column) -> Column:
@@ -126,7 +138,7 @@ def parse_nodes(trees: DataFrame) -> DataFrame:
     """
     level = cut(trees.select("tree_id", "json", F.lit(None).cast("string").alias("parent_node_id"), F.lit(None).cast("string").alias("answer"), F.lit(0).alias("sibling_ord"), F.lit("root").alias("path")))
     found = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         n = F.from_json("json", NODE)
         read = level.select("*", n.alias("n"))
         empty = F.col("n").isNull() | (F.col("n.node_type").isNull() & F.col("n.question").isNull() & F.col("n.outcome_type").isNull())
@@ -157,4 +169,3 @@ def parse_nodes(trees: DataFrame) -> DataFrame:
         )
         if level.isEmpty():
             return found
-    raise RuntimeError(f"deeper than {MAX_ROUNDS} levels")

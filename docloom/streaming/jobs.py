@@ -6,7 +6,6 @@ stream over all that is there and gives its result as a table.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docloom.operators.iterate import shared_folder
+from docloom.staging import new_path
 
 # Thresholds of alerts and trends, seconds of locks and of status retention.
 CPU, MEMORY_HIGH, MEMORY_CRITICAL, THREADS = 80, 500, 1000, 50
@@ -33,7 +32,7 @@ def event_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> Dat
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run ``stream`` over what is available into Parquet, recovering from its checkpoint; in complete or update mode the last state of each batch counts."""
     spark = stream.sparkSession
-    home = f"{shared_folder(spark)}/docloom-stream-{uuid.uuid4().hex}"
+    home = new_path(spark, "stream")
     out = f"{home}/out"
     writer = stream.writeStream.option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
