@@ -26,7 +26,6 @@ import heapq
 import json
 import os
 import re
-import tempfile
 import unicodedata
 import uuid
 from collections import Counter
@@ -40,7 +39,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import release, small_batches, stage
+from docloom.deploy import ship_file, temporary_folder
+from docloom.llm.common import drop, small_batches, stage
 
 LEXICON_WORDS = 1 << 16
 WORDS_HELD = 1 << 17  # distinct words that a worker remembers before it starts anew
@@ -365,8 +365,10 @@ def word_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def batch(counts: Counter[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([*counts.keys()], pa.string()), pa.array([*counts.values()], pa.int64())], names=["word", "n"])
 
+    tokenizer = ship_file(docs.sparkSession, tokenizer_path)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special = vocabulary(tokenizer_path).split_special
+        special = vocabulary(SparkFiles.get(tokenizer)).split_special
         counts: Counter[str] = Counter()
         for rows in batches:
             for text in rows.column("text").to_pylist():
@@ -399,21 +401,21 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, size: int = LEXICON_WORD
         lowest = row["class"]
     words = vocabulary(tokenizer_path)
     top = [] if lowest is None else [r.word for r in counts.where(F.col("class") >= lowest).select("word").collect()]
-    release(counts)
+    drop(counts)
     flat = Lexicon.build({w: words.merge(w) for w in top})
-    path = os.path.join(tempfile.mkdtemp(prefix="docloom-"), f"lexicon-{uuid.uuid4().hex}.i32")
+    path = os.path.join(temporary_folder("docloom-"), f"lexicon-{uuid.uuid4().hex}.i32")
     flat.tofile(path)
-    spark.sparkContext.addFile(path)
-    return os.path.basename(path)
+    return ship_file(spark, path)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, lexicon: str) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers in a binary column."""
     small_batches(docs.sparkSession)
+    tokenizer = ship_file(docs.sparkSession, tokenizer_path)
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = lexicon_encoder(tokenizer_path, SparkFiles.get(lexicon))
+        encoder = lexicon_encoder(SparkFiles.get(tokenizer), SparkFiles.get(lexicon))
         for texts in batches:
             yield pd.Series([x.astype("<u4").tobytes() for x in encoder.encode(texts.tolist())], index=texts.index, dtype=object)
 
@@ -422,10 +424,11 @@ def encode(docs: DataFrame, tokenizer_path: str, lexicon: str) -> DataFrame:
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """``encoded`` with a column ``decoded``: the text of its column ``ids``."""
+    tokenizer = ship_file(encoded.sparkSession, tokenizer_path)
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        token = vocabulary(tokenizer_path).tokens.__getitem__
+        token = vocabulary(SparkFiles.get(tokenizer)).tokens.__getitem__
         for rows in batches:
             yield pd.Series([" ".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in rows], index=rows.index, dtype=object)
 

@@ -1,52 +1,18 @@
-"""Helpers shared by the training-data operators: staged tables and shipped code."""
+"""Helpers shared by the training-data operators: numbered rows, firsts of classes, batches and shuffle files."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 4 << 20
-_staged: dict[str, SparkSession] = {}
-_local_dir: list[str] = []
-
+from docloom.staging import drop, new_path, shared_dir, stage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+BATCH_BYTES = 4 << 20
+release = drop
 
-    Where it is unset and the master is ``local``, a temporary folder serves;
-    on any other master that would lose data, so it is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    master = spark.conf.get("spark.master", "local")
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _local_dir:
-        _local_dir.append(tempfile.mkdtemp(prefix="docloom-"))
-    return "file://" + _local_dir[0]
-
-
-def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet, with ``options``, into the shared folder and read it back.
-
-    This cuts lineage: work above it is not repeated when an executor is lost,
-    nor when several later plans read the table. The folder goes when the
-    driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
-    _staged[path] = spark
-    df.write.options(**options).parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._staged_path = path  # for release(); frames derived from it don't have it
-    return table
+__all__ = ["drop", "first_of_each", "new_path", "numbered", "read", "shared_dir", "shuffle_partitions", "shuffles_removed", "small_batches", "stage"]
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -71,20 +37,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing will read any more, and the shuffle files of the jobs that made them.
-
-    Spark removes shuffle files when the driver's JVM collects the plans that own them; on a
-    large job that may be late, so it is asked to collect now.
-    """
-    spark = tables[0].sparkSession
-    for path in [t._staged_path for t in tables]:
-        _remove(spark, path)
-        _staged.pop(path, None)
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 @contextlib.contextmanager
 def shuffles_removed(spark: SparkSession):
     """Within it, Spark removes a query's shuffle files as soon as the query ends; staged tables don't need them."""
@@ -97,22 +49,6 @@ def shuffles_removed(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _remove_staged() -> None:
-    for path, spark in _staged.items():
-        try:
-            _remove(spark, path)
-        except Exception:  # the JVM may be gone already; the folder is then left to its owner
-            return
-
-
-atexit.register(_remove_staged)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

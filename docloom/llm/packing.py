@@ -26,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.deploy import ship_file
 from docloom.llm.bpe import merging_encoder
 from docloom.llm.common import small_batches, stage
 
@@ -91,8 +92,10 @@ def pack(
     ids: the piece as little-endian unsigned 32-bit integers, null unless ``with_ids``.
     """
 
+    tokenizer = ship_file(docs.sparkSession, tokenizer_path)
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, windows, task, sequence = merging_encoder(tokenizer_path), Windows(capacity, open_windows), TaskContext.get().partitionId(), 0
+        encoder, windows, task, sequence = merging_encoder(SparkFiles.get(tokenizer)), Windows(capacity, open_windows), TaskContext.get().partitionId(), 0
 
         def batch(found: list[list[tuple]], is_open: bool) -> Iterator[pa.RecordBatch]:
             nonlocal sequence

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import first_of_each, numbered, small_batches, stage
-from docloom.llm.components import components
+from docloom.operators.iterate import components
 
 RADIUS, SEGMENTS, BUCKET_LIMIT, SHINGLE, SEED = 2, 7, 64, 3, 42
 BLOCK = 1 << 16

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docloom.llm import bpe, chat, common, exact_dedup, fingerprint, langid, near_dedup, packing, pii, quality, queries, repeats, rolling, simhash_dedup
-from docloom.llm.components import components
+from docloom.operators.iterate import components
 
 P = pytest.importorskip("public_tokenizers")
 TOKENIZER = P.path("word_bpe_49k.json")
