@@ -10,7 +10,8 @@ partition before the shuffle; the driver gets one number per feature.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as
 is every text if there is nothing to learn from; a single language is always
-predicted, with score 1; ties go to the first language in alphabetical order; texts
+predicted, with score 1; ties go to the first language in alphabetical order; of the
+texts of one id and language the model learns one, that of the least features; texts
 are used whole; repeated rows give repeated results; an empty table gives an empty
 result; other columns, lang and ids are never inputs of a prediction.
 """
@@ -40,14 +41,17 @@ def has_letter(text: str | None) -> bool:
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(feature, count) of the n-grams of one text, ascending."""
     letters = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-    total = np.zeros(1 << BITS, np.int64)
-    gram = np.zeros(len(letters), np.uint64)
+    gram, found = np.zeros(len(letters), np.uint64), []
     for n in range(1, min(MOST, len(letters)) + 1):
         gram = (gram[: len(letters) - n + 1] ^ letters[n - 1 :]) * _STEP
         gram ^= gram >> np.uint64(29)
-        total += np.bincount(((gram * _STEP) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
-    found = np.flatnonzero(total)
-    return found, total[found]
+        found.append(((gram * _STEP) >> np.uint64(64 - BITS)).astype(np.uint16))
+    if len(letters) < 1 << BITS - 3:  # sorting a short text's n-grams is cheaper than counting in an array of all features
+        feature, count = np.unique(np.concatenate([*found, np.zeros(0, np.uint16)]), return_counts=True)
+        return feature.astype(np.int64), count
+    total = sum(np.bincount(x, minlength=1 << BITS) for x in found)
+    feature = np.flatnonzero(total)
+    return feature, total[feature]
 
 
 class Model:
@@ -142,17 +146,19 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     usable = learning_rows(docs)
     frequency, total = document_frequencies(usable)
     chosen = bounded_sample(usable.select("doc_id", F.col("lang").alias("label")), rows)
-    sample = usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+    sample = usable.join(F.broadcast(chosen.withColumnRenamed("label", "lang")), ["doc_id", "lang"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = [counts(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array([f.astype("<u2").tobytes() for f, _ in pairs], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in pairs], pa.binary())],
-                names=["lang", "found", "count"],
+                [batch.column("doc_id"), batch.column("lang"), pa.array([f.astype("<u2").tobytes() for f, _ in pairs], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in pairs], pa.binary())],
+                names=["doc_id", "lang", "found", "count"],
             )
 
-    got = sample.select("text", "lang").mapInArrow(extract, "lang string, found binary, count binary").limit(2 * rows).collect()
+    learnt = sample.select("doc_id", "lang", "text").mapInArrow(extract, f"doc_id {kind}, lang string, found binary, count binary")
+    got = learnt.groupBy("doc_id", "lang").agg(F.min(F.struct("found", "count")).alias("x")).select("lang", "x.found", "x.count").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.found), bytes(r["count"])))
     languages = sorted({r.lang for r in got})
     model = Model(languages, np.log((1 + total) / (1 + frequency)) + 1)

@@ -14,8 +14,10 @@ over whole texts with one broadcast of ``2 ** BITS`` weights, a fixed size.
 Defined results: null text counts as empty, and an empty text has the model's score
 for a text without features; with no labelled rows every score is 0.5, with one
 class only it is the smoothed share of that class; labels that are null or belong to
-no document are ignored, and of several for a document the lowest holds; repeated
-rows give repeated results; an empty table gives an empty result; other columns,
+no document are ignored, and of several for a document the lowest holds; of the
+texts of one id the model learns one, that of the least features; words of any
+length are hashed whole; ties are cut at the threshold, which itself counts as good;
+repeated rows give repeated results; an empty table gives an empty result; other columns,
 labels and ids are never inputs of a score.
 """
 
@@ -67,8 +69,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
     # The words' hashes, all at once: value of the polynomial prefix at both ends, letters counted from the word's end.
     place = np.arange(len(data)) - np.repeat(np.concatenate([[0], end[:-1]]), np.diff(np.concatenate([[0], end[:-1], [len(data)]])))
-    width = int((end - start).max())
-    power = _powers(min(width, 4096))
+    power = _powers(int((end - start).max()))
     offset = np.minimum(place - np.repeat(start - np.concatenate([[0], end[:-1]]), np.diff(np.concatenate([[0], end[:-1], [len(data)]]))), len(power) - 1)
     letter = np.where(space, np.uint64(0), (_SMALL[data] + np.uint64(1)) * power[np.maximum(offset, 0)])
     total = np.concatenate([[np.uint64(0)], np.cumsum(letter)])
@@ -110,7 +111,8 @@ def in_blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
 
 
 def _trained_pairs(docs: DataFrame) -> DataFrame:
-    """(label, found): the features of each row of ``docs(text, label)`` as 32-bit integers."""
+    """(doc_id, label, found): the features of each row of ``docs(doc_id, text, label)`` as 32-bit integers; of one id the least."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -118,9 +120,10 @@ def _trained_pairs(docs: DataFrame) -> DataFrame:
             for block in in_blocks(rows.column("text").to_pylist()):
                 row, feature = features(block)
                 out += [x.astype("<i4").tobytes() for x in np.split(feature, np.searchsorted(row, np.arange(1, len(block))))]
-            yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array(out, pa.binary())], names=["label", "found"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), pa.array(out, pa.binary())], names=["doc_id", "label", "found"])
 
-    return docs.select("text", F.col("label").cast("int").alias("label")).mapInArrow(extract, "label int, found binary")
+    rows = docs.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(extract, f"doc_id {kind}, label int, found binary")
+    return rows.groupBy("doc_id", "label").agg(F.min("found").alias("found"))
 
 
 def dual_coordinate_descent(found: list[np.ndarray], ratio: np.ndarray, scale: np.ndarray, chosen: np.ndarray, sign: np.ndarray, cost: np.ndarray, passes: int = PASSES) -> np.ndarray:
@@ -227,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     small_batches(docs.sparkSession)
     chosen = bounded_sample(learning_labels(labels), rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = _trained_pairs(sample.select("text", "label")).limit(2 * rows).collect()
+    got = _trained_pairs(sample.select("doc_id", "text", "label")).collect()
     if not got:
         return Model.constant(0.5)
     got.sort(key=lambda r: (bytes(r.found), r.label))
