@@ -8,8 +8,9 @@ These base kinds give exactly the leftmost non-overlapping matches of ``PATTERNS
 whose check holds; a match that fails its check is passed over whole.
 
 Added spans, where they overlap no base span: ``account`` (the value behind a cue
-such as ``account no:`` or ``token =``, with at least four digits, IBANs by their
-check digits; user name and password in a URL). Offsets are code points, the end exclusive.
+such as ``account no:`` or ``token =``, of six characters or more and with at least
+four digits, IBANs by their check digits; user name and password in a URL). Cues count
+in any case of letters; values have no upper length, and no parser looks at a place twice. Offsets are code points, the end exclusive.
 
 Defined results: null text counts as empty; texts of any length are searched whole,
 in time linear in their length; repeated rows give repeated results; an empty table
@@ -40,13 +41,15 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 CUES = ["account", "acct", "iban", "passport", "ssn", "token", "secret", "password", "api_key", "apikey"]
+IBAN_MOST = 34  # fixed value: the longest IBAN of the standard
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
+_SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")  # keeps every offset, as lower() doesn't
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP, _CARD, _PHONE = (re.compile(PATTERNS[k]) for k in ("ip", "card", "phone"))
-_VALUE = re.compile(r"(?: ?(?:number|no\.?|id|key|code))? ?[:=#] ?[\"']?([A-Za-z0-9_-]{6,64})(?![A-Za-z0-9_-])", re.IGNORECASE)
-_LOGIN = re.compile(r"([^\s/@:]{1,64}:[^\s/@]{1,64})@")
+_VALUE = re.compile(r"(?: ?(?:number|no\.?|id|key|code))? ?[:=#] ?[\"']?([A-Za-z0-9_-]{6,})", re.IGNORECASE)
+_LOGIN = re.compile(r"([^\s/@:]+:[^\s/@]+)@")
 
 
 @functools.lru_cache(maxsize=1)
@@ -58,8 +61,7 @@ def anchors() -> ahocorasick.Automaton:
         found.add_word(digit, ("digit", 1))
     found.add_word("://", ("scheme", 3))
     for cue in CUES:
-        for form in {cue, cue.capitalize(), cue.upper()}:
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
@@ -87,7 +89,7 @@ def _is_phone(match: str) -> bool:
 
 def _is_iban(value: str) -> bool:
     moved = value[4:] + value[:4]
-    return moved.isalnum() and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+    return len(moved) <= IBAN_MOST and moved.isalnum() and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
@@ -95,7 +97,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     text = text or ""
     ats, pluses, runs, schemes, cues = [], [], [], [], []
     run_end = -1
-    for end, (what, size) in anchors().iter(text):
+    for end, (what, size) in anchors().iter(text.lower() if text.isascii() else text.translate(_SMALL)):
         if what == "digit":
             if end != run_end:
                 runs.append(end)
