@@ -2,27 +2,30 @@
 
 A byte goes if some string of ``length`` bytes that covers it also starts at another
 place, in the same text or any other. As in a suffix array built by bucket-pointer
-refinement, positions are first put into buckets by a q-gram and the buckets are
-then split by the buckets of what stands at later (and earlier) offsets, again and
-again, but only as far as the answer needs, and set at a time over all texts:
+refinement, places are first put into buckets by a q-gram, and a bucket is refined by
+sorting its members on the bucket identifiers at later offsets; the identifiers so renewed are
+used in turn for twice the offset (see ``rolling``). A bucket is refined only as far as the
+answer needs, and set at a time over all texts:
 
-1. Anchors (see ``rolling``) are bucketed by their q-gram and split by their whole
-   surroundings, which hold all windows that picked the anchor. Anchors that share
+1. Anchors (see ``rolling``) are bucketed by their q-gram's identifier and refined by those at the later and
+   earlier offsets that cover all windows that picked the anchor. Anchors that share
    both have only repeated windows; an anchor alone in its bucket has none.
-2. The others' windows go into nodes of ``NODE`` windows: bucketed by the bytes common to
-   the node's windows, split by all bytes of the node. The same holds of them.
-3. What is left are single windows, bucketed by all their bytes.
+2. The others' windows go into nodes of ``NODE`` windows: bucketed by the identifiers at offsets that cover
+   what the node's windows have in common, refined by those that cover all of it. The same holds of them.
+3. What is left are single windows, bucketed by their identifiers at all offsets.
 
-From a bucket's split parts one member stands for all in the next round, with their
+Instead of ranks, identifiers are 64-bit names that are equal wherever the bytes are, so that the one at
+a later offset is at hand without a shuffle; Spark's grouping by (bucket, refined bucket) is the sort.
+From a bucket's parts one member stands for all in the next round, with their
 number as its weight. A round is two aggregations, counted in each partition before
 they are shuffled, and one join of rows to counts, both of whose sides come straight
 from an exchange, so Spark splits hot buckets. No round pairs the members of a bucket.
 
 Defined results: null text counts as empty; texts shorter than ``length`` have nothing
 removed; repeated rows repeat each other's strings and are both emptied of them; rows
-that share a ``doc_id`` are told apart by a 32-bit hash of their texts; a null ``doc_id``
-is kept; an empty table gives an empty result; other columns are ignored. Strings
-count as equal when two 64-bit hashes of theirs (of the bucket and of the part) agree.
+that share a ``doc_id``, null or not, are told apart by two 64-bit hashes of id and text; any
+type of ``doc_id`` is kept as it is; an empty table gives an empty result; other columns are ignored. Strings
+count as equal when two 64-bit names of theirs (of the bucket and of the part) agree.
 """
 
 from __future__ import annotations
@@ -34,25 +37,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import release, small_batches, stage
-from docloom.llm.rolling import BLOCK, Hashed, all_anchors, mixed
+from docloom.llm.common import drop, shuffles_removed, small_batches, stage
+from docloom.llm.rolling import BLOCK, Buckets, all_anchors, mixed
 
 LENGTH, Q, NODE = 200, 50, 8
 TEXTS_AT_ONCE = 2000
-ROW = "doc long, tag int, bucket long, part long, at long, first int, last int, weight long"
-_ROW = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("bucket", pa.int64()), ("part", pa.int64()), ("at", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("weight", pa.int64())])
-NO_ID = -(2**63)
+ROW = "doc long, tag long, bucket long, part long, at long, first int, last int, weight long"
+_ROW = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("bucket", pa.int64()), ("part", pa.int64()), ("at", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("weight", pa.int64())])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, tag, data): the id without nulls, a hash that tells rows of one id apart, and the text's bytes."""
+    """(doc_id, doc, tag, data): the text's bytes, and two hashes of id and text that tell rows apart; equal rows share them."""
     data = F.coalesce("text", F.lit("")).cast("binary")
-    return docs.select(
-        "doc_id",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.xxhash64(data, F.col("doc_id").isNull()).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tag"),
-        data.alias("data"),
-    )
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull()
+    return docs.select("doc_id", F.xxhash64(*name, data).alias("doc"), F.xxhash64(data, *name).alias("tag"), data.alias("data"))
 
 
 def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -83,7 +81,7 @@ def split_buckets(rows: DataFrame, name: str) -> DataFrame:
     )
     known = stage(parts.join(shared, "bucket"), name + "-known")
     out = stage(rows.join(known, ["bucket", "part"]), name)
-    release(parts, shared, known)
+    drop(parts, shared, known)
     return out
 
 
@@ -105,7 +103,7 @@ def _with_items(texts: DataFrame, items: DataFrame, fields: list[str], how: str)
     return texts.join(lists, ["doc", "tag"], how)
 
 
-def next_rows(texts: DataFrame, items: DataFrame, length: int, node: int) -> DataFrame:
+def next_rows(texts: DataFrame, items: DataFrame, length: int, q: int, node: int) -> DataFrame:
     """Rounds 2 and 3: the items' windows in nodes of ``node`` windows, counted back from the anchor.
 
     bucket: the bytes common to the node's windows; part: all its bytes, or, where the text ends within, a part of its own.
@@ -129,19 +127,19 @@ def next_rows(texts: DataFrame, items: DataFrame, length: int, node: int) -> Dat
                 while begin < len(where):  # a long text in stretches that fit into a block
                     origin = max(0, int(where[begin]) - 2 * length)
                     end = int(np.searchsorted(where, origin + BLOCK - 4 * length, "right"))
-                    hashed = Hashed(text[origin : origin + BLOCK])
+                    buckets = Buckets(text[origin : origin + BLOCK], q)
                     size = min(len(text) - origin, BLOCK)
                     place, k = where[begin:end] - origin, number[begin:end]
                     start, stop = place - k * node - (node - 1), place - k * node + length
-                    common = hashed.windows(start + node - 1, stop - node + 1)
+                    common = buckets.names(start + node - 1, stop - node + 1)
                     bucket = mixed(common ^ (k * 64 + node).astype(np.uint64))
                     whole = (start >= 0) & (stop <= size)
-                    inside = np.where(whole, start, 0), np.where(whole, stop, 0)
+                    inside = np.where(whole, start, 0), np.where(whole, stop, length)
                     text_key = mixed(np.array([doc.as_py(), tag.as_py()], np.int64).view(np.uint64))
                     own = mixed(mixed((where[begin:end] * 256 + k).astype(np.uint64)) ^ text_key[0] ^ (text_key[1] << np.uint64(1)))
-                    part = np.where(whole, hashed.windows(*inside), own)
+                    part = np.where(whole, buckets.names(*inside), own)
                     n = end - begin
-                    yield _batch([np.full(n, doc.as_py(), np.int64), np.full(n, tag.as_py(), np.int32), bucket, part, where[begin:end], far[begin:end], near[begin:end], weight[item[begin:end]]])
+                    yield _batch([np.full(n, doc.as_py(), np.int64), np.full(n, tag.as_py(), np.int64), bucket, part, where[begin:end], far[begin:end], near[begin:end], weight[item[begin:end]]])
                     begin = end
 
     found = _with_items(texts, items, ["at", "first", "last", "weight"], "inner")
@@ -165,20 +163,24 @@ def _without(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[dic
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, removed (spans of bytes), kept (the other bytes)."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     texts = keyed(docs)
-    rows = stage(anchor_rows(texts, length, q), "anchors")
-    split = split_buckets(rows, "repeats-1")
-    release(rows)
-    spans = repeated(split, length)
-    for nth, node in ((2, NODE), (3, 1)):
-        rows = stage(next_rows(texts, unresolved(split), length, node), f"nodes-{nth}")
-        split = split_buckets(rows, f"repeats-{nth}")
-        release(rows)
-        spans = spans.union(repeated(split, length))
-
+    node = min(NODE, length - q + 1)  # what a node's windows have in common must hold a q-gram
+    with shuffles_removed(spark):
+        rows = stage(anchor_rows(texts, length, q), "anchors")
+        split = split_buckets(rows, "repeats-1")
+        drop(rows)
+        spans = repeated(split, length)
+        for nth, size in ((2, node), (3, 1)):
+            rows = stage(next_rows(texts, unresolved(split), length, q, size), f"nodes-{nth}")
+            split = split_buckets(rows, f"repeats-{nth}")
+            drop(rows)
+            spans = spans.union(repeated(split, length))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed", pa.list_(span)), ("kept", pa.binary())])
+    names = ["doc_id", "n_bytes", "removed", "kept"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,12 +189,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
                 data = some.column("data").to_pylist()
                 found = [_without(d, [(x["start"], x["end"]) for x in items or []]) for d, items in zip(data, some.column("items").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id").cast(pa.int64()), pa.array([len(d) for d in data], pa.int64()), pa.array([s for _, s in found], pa.list_(span)), pa.array([k for k, _ in found], pa.binary())],
-                    schema=out,
+                    [some.column("doc_id"), pa.array([len(d) for d in data], pa.int64()), pa.array([s for _, s in found], pa.list_(span)), pa.array([k for k, _ in found], pa.binary())],
+                    names=names,
                 )
 
     whole = _with_items(texts, spans.distinct(), ["start", "end"], "left")
-    return whole.select("doc_id", "data", "items").mapInArrow(cut, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    return whole.select("doc_id", "data", "items").mapInArrow(cut, f"doc_id {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 
 
 def removed_bytes(removed: Column) -> Column:

@@ -1,7 +1,10 @@
-"""Rolling hashes of all windows of many byte strings at once, and their anchors.
+"""Bucket identifiers of all places of many byte strings at once, and their anchors.
 
-The hash of a window is a polynomial modulo 2**64 in random values of its bytes, read
-off prefix sums, so any window of any length costs three array operations.
+The bucket of a place is named by a hash of its ``q``-gram: a polynomial modulo 2**64 in random
+values of the bytes, read off prefix sums. Refinement renames all places at once: the bucket of twice the
+length is the pair of a place's identifier and the identifier at the later offset, which the
+refinement before has just renewed. So identifiers of 1, 2, 4, ... q-grams come from one another, and no text
+is hashed again. Names are equal on all machines, which ranks in sorted order would need a shuffle for.
 
 Anchors: every window of ``length`` bytes picks, of the ``q``-grams in it, the one with the
 smallest mixed hash, the leftmost of equal ones. What a window picks depends on its bytes
@@ -19,6 +22,7 @@ import numpy as np
 BLOCK = 1 << 20  # bytes hashed at once; positions in a block fit into the low bits of a key
 _LOW = np.uint64(BLOCK - 1)
 _BASE = 0x5851F42D4C957F2D
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 @functools.lru_cache(maxsize=1)
@@ -38,16 +42,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Hashed:
-    """Prefix sums of at most ``BLOCK`` bytes."""
+class Buckets:
+    """Bucket identifiers of the places of at most ``BLOCK`` bytes: ``level(j)[i]`` names the ``q << j`` bytes from i on."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        values, powers, self.inverse = _tables()
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(values[data] * powers[: len(data)])])
+    def __init__(self, data: np.ndarray, q: int) -> None:
+        values, powers, inverse = _tables()
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(values[data] * powers[: len(data)])])
+        self.q, self.levels = q, [mixed((sums[q:] - sums[:-q]) * inverse[: max(len(data) - q + 1, 0)])]
 
-    def windows(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Mixed hashes of data[start:end]."""
-        return mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
+    def level(self, j: int) -> np.ndarray:
+        while len(self.levels) <= j:
+            known, later = self.levels[-1], self.q << (len(self.levels) - 1)
+            many = max(len(known) - later, 0)
+            self.levels.append(mixed(known[:many] * _PAIR + known[later : later + many]))
+        return self.levels[j]
+
+    def names(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Names of data[start:end], at least ``q`` bytes each: the identifier at the start and the one that ends at the end."""
+        size = end - start
+        out = np.zeros(len(start), np.uint64)
+        level = np.zeros(len(start), np.int64)
+        while (more := size >= self.q << (level + 1)).any():
+            level[more] += 1
+        for j in np.unique(level):
+            at = np.flatnonzero(level == j)
+            found = self.level(int(j))
+            out[at] = mixed(found[start[at]] * _PAIR + found[end[at] - (self.q << int(j))] + size[at].astype(np.uint64))
+        return out
 
 
 class Piece(NamedTuple):
@@ -86,7 +107,7 @@ def blocks(texts: list[bytes], length: int):
 
 
 class Anchors(NamedTuple):
-    """Arrays by anchor: row, position in the text, q-gram hash, hash of its surroundings, first and last window (as
+    """Arrays by anchor: row, position in the text, identifiers of its q-gram and of its surroundings, first and last window (as
     distances back from the position)."""
 
     row: np.ndarray
@@ -101,9 +122,9 @@ def anchors(block: list[Piece], length: int, q: int) -> Anchors:
     data = np.frombuffer(b"".join(p.data for p in block), np.uint8)
     size = np.fromiter((len(p.data) for p in block), np.int64, len(block))
     begin = np.cumsum(size) - size
-    hashed, wide = Hashed(data), length - q + 1
-    grams = (hashed.sums[q:] - hashed.sums[:-q]) * hashed.inverse[: len(data) - q + 1]
-    key = (mixed(grams) & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
+    buckets, wide = Buckets(data, q), length - q + 1
+    grams = buckets.level(0)
+    key = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
 
     # The least key of each run of ``wide`` grams, by prefix and suffix minima of blocks of that width.
     pad = -len(key) % wide
@@ -124,10 +145,10 @@ def anchors(block: list[Piece], length: int, q: int) -> Anchors:
     of = np.searchsorted(begin, at, "right") - 1
     low = np.maximum(at - (wide - 1), begin[of])
     high = np.minimum(at + length, (begin + size)[of])
-    around = mixed(hashed.windows(low, high) ^ ((at - low) * 1024 + (high - low)).astype(np.uint64))
+    around = mixed(buckets.names(low, high) ^ ((at - low) * 1024 + (high - low)).astype(np.uint64))
     base = np.fromiter((p.base for p in block), np.int64, len(block)) - begin
     row = np.fromiter((p.row for p in block), np.int64, len(block))
-    return Anchors(row[of], at + base[of], mixed(grams[at]), around, at - first, at - last)
+    return Anchors(row[of], at + base[of], grams[at], around, at - first, at - last)
 
 
 def all_anchors(texts: list[bytes], length: int, q: int):
