@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from docloom.staging import drop, new_path, shared_dir, stage
 
 BATCH_BYTES = 4 << 20
-release = drop
 
 __all__ = ["drop", "first_of_each", "new_path", "numbered", "read", "shared_dir", "shuffle_partitions", "shuffles_removed", "small_batches", "stage"]
 

@@ -5,11 +5,17 @@ Two texts are near copies if their sets' Jaccard similarity is 0.8 or more; a cl
 a connected component of near copies. No pair is missed: similarity is tested on whole
 sets, and every step before it only removes pairs that can't reach 0.8.
 
-Equal sets collapse to one by a 128-bit key. Shingles are ordered by how rare they are; of two sets of
-0.8 or more, each has one of its rarest ``n - ceil(0.8 n) + 1`` shingles in the other,
-so those that only one set has count but aren't indexed. At a common shingle, what is
-left of both sets bounds their overlap, and so does a sketch: 512 parities of hash
-values, which differ in at most as many places as the sets do.
+Equal sets collapse to one by a 128-bit key. All shingles have one order: first those whose hash
+is below ``HOME`` of its range, the rarest first, then the others by hash. Of two sets of
+0.8 or more, each has one of its first ``n - ceil(0.8 n) + 1`` shingles in the other. So
+only shingles below ``HOME`` (and of the few sets that have too few there, the next
+ones) are counted and joined; those that only one set has count but aren't indexed.
+
+At a common shingle, what is left of both sets bounds their overlap, and so does a sketch of
+512 bits: parities of how many shingles fall on each place, which differ in at most as many
+places as the sets do. The sketches are compared by pigeonring: with their words as a ring of
+segments, some chain of consecutive segments stays within its share of the allowed
+differences at every length, so pairs without such a chain fall before the whole distance is taken.
 
 Only components are needed, so pairs within one are never made. In rounds, all members
 of a bucket (an indexed shingle) are compared with one hub of it, and what is found
@@ -30,12 +36,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import first_of_each, numbered, release, shuffles_removed, small_batches, stage
-from docloom.llm.components import components
+from docloom.llm.common import drop, first_of_each, numbered, shuffles_removed, small_batches, stage
+from docloom.operators.iterate import components
 
 SHINGLE, SEED = 5, 42
 SKETCH_BITS = 512
 HUB_ROUNDS, FEW_PAIRS = 3, 8
+HOME = -(1 << 63) + (2 << 64) // 5  # signed hashes below this are two fifths of all
+CHAIN = 3
 
 
 def text_shingles(text: str | None) -> np.ndarray:
@@ -55,15 +63,15 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def set_keys(rows: DataFrame) -> DataFrame:
-    """(__row, doc_id, tie, h, h2, n, bits) for ``rows`` with ``__row``: two hashes, size and sketch of each text's set."""
+    """(__row, doc_id, tie, h, h2, n, home, bits) for ``rows`` with ``__row``: two hashes, size, size below ``HOME``, sketch of each text's set."""
 
-    @F.pandas_udf("h long, h2 long, n int, bits array<long>")
+    @F.pandas_udf("h long, h2 long, n int, home int, bits array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         def key(text):
             t = text_shingles(text)
-            return *np.frombuffer(xxhash.xxh3_128_digest(t.tobytes()), np.int64).tolist(), len(t), sketch(t)
+            return *np.frombuffer(xxhash.xxh3_128_digest(t.tobytes()), np.int64).tolist(), len(t), int(np.searchsorted(t, HOME)), sketch(t)
 
-        return pd.DataFrame([key(t) for t in texts], columns=["h", "h2", "n", "bits"])
+        return pd.DataFrame([key(t) for t in texts], columns=["h", "h2", "n", "home", "bits"])
 
     tie = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")
     return rows.select("__row", "doc_id", tie, of("text").alias("s")).select("__row", "doc_id", "tie", "s.*")
@@ -73,47 +81,74 @@ def can_be_near(a: str, b: str) -> Column:
     """Whether what is left of both sets and their sketches allow 0.8: nine overlaps are four times both sizes."""
     n = F.col(f"{a}.n") + F.col(f"{b}.n")
     left = F.least(F.col(f"{a}.rest"), F.col(f"{b}.rest")) + 1
-    apart = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    return (9 * left >= 4 * n) & (9 * apart <= n)
+    segments = SKETCH_BITS // 64
+    apart = [F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(segments)]
+    ring = F.lit(False)
+    for start in range(segments):
+        held = F.lit(True)
+        for length in range(1, CHAIN + 1):
+            held = held & (9 * segments * sum(apart[(start + i) % segments] for i in range(length)) <= length * n)
+        ring = ring | held
+    return (9 * left >= 4 * n) & ring & (9 * sum(apart) <= n)
+
+
+def leading_shingles(text: str | None) -> np.ndarray:
+    """The text's shingles below ``HOME``, and where they are fewer than its prefix the next ones, ascending."""
+    shingles = text_shingles(text)
+    prefix = len(shingles) - (4 * len(shingles) + 4) // 5 + 1
+    return shingles[: max(int(np.searchsorted(shingles, HOME)), prefix)]
 
 
 def shared_shingles(texts: DataFrame) -> DataFrame:
-    """(set_id, n, r, room) of ``texts(set_id, text, n)`` that can have a near copy: r are the shingles that other sets have too,
-    the rarest first; a near copy has one of the first ``room`` of them.
+    """(set_id, n, alone, rest, w): the indexed shingles of ``texts(set_id, text, n, home)``: those that other sets have too among the
+    first of each set, of which a near copy has one. rest: how many of the set's shingles may come after it; alone: the
+    share of the set's shingles below ``HOME`` that no other set has.
     """
 
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([text_shingles(t) for t in texts], dtype=object)
+        return pd.Series([leading_shingles(t) for t in texts], dtype=object)
 
-    grams = texts.select("set_id", "n", F.explode(of("text")).alias("w"))
+    grams = texts.select("set_id", F.explode(of("text")).alias("w"))
     rarity = stage(grams.groupBy("w").agg(F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1"), "shared-shingles")
-    shared = grams.join(rarity, "w").groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("n_sets", "w"))).alias("r"))
-    room = (F.size("r") - F.floor((4 * F.col("n") + 4) / 5) + 1).cast("int")
-    found = stage(shared.select("set_id", "n", F.col("r.w").alias("r"), room.alias("room")).where("room > 0"), "shared-sets")
-    release(rarity, texts)
-    return found
+    late = F.col("w") >= HOME
+    ordered = F.struct(late.alias("late"), F.when(late, 0).otherwise(F.col("n_sets")).alias("n_sets"), "w")
+    found = grams.join(rarity, "w").groupBy("set_id").agg(F.array_sort(F.collect_list(ordered)).alias("r"))
+    shared = F.size(F.filter("r", lambda x: ~x["late"]))
+    room = (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1 - (F.col("home") - shared)).cast("int")
+    rows = found.join(texts.select("set_id", "n", "home"), "set_id").withColumns({"shared": shared, "room": room}).where("room > 0")
+    index = rows.select("set_id", "n", (1 - F.col("shared") / F.greatest("home", F.lit(1))).alias("alone"), "shared", "home", F.posexplode(F.slice("r", F.lit(1), F.col("room"))).alias("pos", "x"))
+    rest = F.col("shared") - F.col("pos") - 1 + F.col("n") - F.col("home")
+    out = stage(index.select("set_id", "n", "alone", rest.alias("rest"), F.col("x.w").alias("w")), "rare-shingles")
+    drop(rarity)
+    return out
 
 
 def near_links(texts: DataFrame, bits: DataFrame) -> DataFrame:
     """(a, b) with a < b: near copies whose components are those of all pairs of 0.8 or more.
 
-    texts: set_id, text, n, a staged table, no two sets equal; bits: set_id, bits.
+    texts: set_id, text, n, home, a staged table, no two sets equal; bits: set_id, bits.
     """
-    held = shared_shingles(texts)
-    k = F.size("r")
-    rare = held.select("set_id", "n", k.alias("k"), (1 - k / F.col("n")).alias("alone"), F.posexplode(F.slice("r", F.lit(1), F.col("room"))).alias("pos", "w"))
-    # rest: how many shared shingles come after this one; alone: the share of shingles that no other set has
-    v = F.struct("set_id", "n", (F.col("k") - F.col("pos") - 1).alias("rest"), "alone", "bits").alias("v")
-    index = stage(rare.join(bits, "set_id").select("w", v), "rare-shingles")
+    indexed = shared_shingles(texts)
+    v = F.struct("set_id", "n", "rest", "alone", "bits").alias("v")
+    index = stage(indexed.join(bits, "set_id").select("w", v), "rare-sets")
+
+    @F.pandas_udf("array<long>")
+    def whole(texts: pd.Series) -> pd.Series:
+        return pd.Series([text_shingles(t) for t in texts], dtype=object)
+
+    met = index.groupBy("w").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w")
+    asked = index.join(met, "w", "left_semi").select("v.set_id").distinct()
+    held = stage(texts.join(asked, "set_id", "left_semi").select("set_id", "n", whole("text").alias("r")), "whole-sets")
+    drop(indexed, texts)
 
     def near(candidates: DataFrame) -> DataFrame:
         pairs = candidates.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
         a, b = (held.select(F.col("set_id").alias(s), F.col("r").alias(f"r{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
-        both = F.size(F.array_intersect("ra", "rb"))  # what two sets share is among what they share with any
+        both = F.size(F.array_intersect("ra", "rb"))
         return pairs.join(a, "a").join(b, "b").where(9 * both >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
-    links = held.sparkSession.createDataFrame([], "a long, b long")
+    links = texts.sparkSession.createDataFrame([], "a long, b long")
     for round_ in range(HUB_ROUNDS + 1):
         roots = stage(components(links), "near-roots") if round_ else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
         rooted = index.join(roots, F.col("v.set_id") == F.col("node"), "left").select("w", "v", F.coalesce("root", "v.set_id").alias("root"))
@@ -143,8 +178,8 @@ def near_classes(rows: DataFrame) -> DataFrame:
     small_batches(rows.sparkSession)
     key = ["h", "h2", "n"]
     found = stage(set_keys(rows), "set-keys")
-    firsts = stage(found.groupBy(*key).agg(F.min("__row").alias("set_id")), "first-rows")
-    texts = stage(rows.select("__row", "text").join(firsts.select(F.col("set_id").alias("__row"), "n"), "__row").select(F.col("__row").alias("set_id"), "text", "n"), "set-texts", compression="zstd")
+    firsts = stage(found.groupBy(*key).agg(F.min("__row").alias("set_id"), F.min("home").alias("home")), "first-rows")
+    texts = stage(rows.select("__row", "text").join(firsts.select(F.col("set_id").alias("__row"), "n", "home"), "__row").select(F.col("__row").alias("set_id"), "text", "n", "home"), "set-texts", compression="zstd")
     roots = components(near_links(texts, found.select(F.col("__row").alias("set_id"), "bits")))
     named = stage(firsts.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(*key, F.coalesce("root", "set_id").alias("root")), "near-names")
     return found.select("__row", "doc_id", "tie", *key).join(named, key).select("__row", "doc_id", "tie", "root")
