@@ -19,12 +19,13 @@ def filter_pages(pages: DataFrame, types: DataFrame, quality: Column | None = No
     return rows if quality is None else rows.where(F.coalesce(quality, F.lit(1.0)) >= 0.3)
 
 
-def packed_pages(pages: DataFrame, size: Column, target: int = TARGET_TOKENS) -> DataFrame:
+def packed_pages(pages: DataFrame, size: Column, target: int = TARGET_TOKENS, keys: list[str] | None = None) -> DataFrame:
     """Pages in order, a new group where the target would be passed; a page over the target is a group of its own.
 
-    One row per page: doc_id, page_number, n, grp. A document's page sizes are one array; its texts aren't.
+    One row per page: doc_id (or ``keys``), page_number, n, grp. A document's page sizes are one array; its texts aren't.
     """
-    listed = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", size.cast("long").alias("n")))).alias("p"))
+    keys = keys or ["doc_id"]
+    listed = pages.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("page_number", size.cast("long").alias("n")))).alias("p"))
     kind = "array<struct<page_number:bigint,n:bigint,grp:int>>"
     folded = F.aggregate(
         "p",
@@ -32,7 +33,7 @@ def packed_pages(pages: DataFrame, size: Column, target: int = TARGET_TOKENS) ->
         lambda acc, p: _placed(acc, p, target, kind),
         lambda acc: acc["out"],
     )
-    return listed.select("doc_id", F.inline(folded))
+    return listed.select(*keys, F.inline(folded))
 
 
 def _placed(acc: Column, page: Column, target: int, kind: str) -> Column:
