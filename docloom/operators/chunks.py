@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import contains_definitions, context_complete
+from docloom.functions.text import contains_definitions, context_complete, merge_recommendation, similarity_tokens, title_jaccard
+from docloom.operators.simjoin import similar_sets, token_sets
+from docloom.staging import stage
 
 TARGET_TOKENS = 3000
 NON_POLICY = ("table_of_contents", "index", "bibliography", "references", "administrative")
@@ -119,3 +121,28 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
         F.min("token_count").alias("min_tokens"),
         F.count_if("has_complete_context").alias("complete"),
     )
+
+
+def duplicate_chunks(chunks: DataFrame) -> DataFrame:
+    """(doc_id, first_chunk, chunk, similarity, recommendation): chunks that repeat an earlier one of their document.
+
+    ``chunks(doc_id, ord, start_page, title, text)``. Neighbours and chunks a page apart or less don't count, nor do titles
+    below 0.7 where both have one. A duplicate has titles over 0.8 and words over 0.85, titles over 0.9 and words over
+    0.75, or words over 0.95. Chunks of equal words and title are one class, which its first one stands for: of all
+    members it is the farthest from what comes after.
+    """
+    tokens = F.array_sort(F.array_distinct(similarity_tokens(F.col("text"))))
+    rows = chunks.select(F.col("doc_id").alias("g"), F.col("ord").alias("o"), "start_page", F.nullif(F.lower(F.trim("title")), F.lit("")).alias("title"), tokens.alias("t")).where(F.size("t") > 0)
+    sets = token_sets(rows)
+    classed = stage(rows.join(sets.select("g", "t", "id"), ["g", "t"]).drop("t"), "chunk-classes")
+    near = similar_sets(sets, 0.75).where("similarity > 0.75")
+    same = sets.select("g", F.col("id").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("words"))
+    pairs = same.union(near.select("g", "a", "b", "similarity")).union(near.select("g", "b", "a", "similarity"))
+    first = classed.groupBy("g", F.col("id").alias("x"), F.col("title").alias("first_title")).agg(F.min("o").alias("first_o"), F.min_by("start_page", "o").alias("first_page"))
+    met = classed.withColumnRenamed("id", "y").join(pairs, ["g", "y"]).join(first, ["g", "x"]).where("first_o + 1 < o and abs(start_page - first_page) > 1")
+    both = F.col("title").isNotNull() & F.col("first_title").isNotNull()
+    alike = F.when(both, title_jaccard(F.col("first_title"), F.col("title"))).otherwise(0.0)
+    title, words = F.col("alike"), F.col("words")
+    score = F.when((title > 0.8) & (words > 0.85), (title + words) / 2).when((title > 0.9) & (words > 0.75), title * 0.6 + words * 0.4).when(words > 0.95, words)
+    found = met.withColumn("alike", alike).where(~both | (title >= 0.7)).withColumn("similarity", score).where("similarity is not null")
+    return found.select(F.col("g").alias("doc_id"), F.col("first_o").alias("first_chunk"), F.col("o").alias("chunk"), "similarity", merge_recommendation(F.col("similarity")).alias("recommendation"))

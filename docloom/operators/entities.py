@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
-from docloom.operators.simjoin import first_per, greedy_leaders
+from docloom.operators.simjoin import candidates, contained_candidates, first_per, greedy_leaders, jaccard_able, larger_able, rare_index
+from docloom.staging import stage
 
 # Title words.
 GENERIC_TITLES = ["policy", "section", "criteria", "requirement", "guideline", "untitled", "unnamed", "additional", "other", "general"]
 UMBRELLA_WORDS = ["criteria", "requirements", "eligibility", "medically necessary", "coverage"]
+REFINER_UMBRELLA_WORDS = ["criteria", "requirements", "eligibility", "guidelines", "medically necessary", "coverage", "indications", "considerations"]
+REFINER_TITLE_STOP = ["the", "a", "an", "and", "or", "for", "of", "in", "on", "at", "to"]
 DOMAIN_WORDS = ["bariatric", "surgery", "adolescent", "criteria", "bmi", "obesity"]
 
 
@@ -34,75 +37,193 @@ def quality_filter(policies: DataFrame, counts: DataFrame) -> DataFrame:
     return first_per(kept.withColumn("__desc", F.trim(F.lower(F.left("description", F.lit(100))))), ["job_id", "__desc"], [F.col("ord")]).drop("__desc", "has_children")
 
 
-def title_pairs(policies: DataFrame) -> DataFrame:
-    """Pairs of a job with equal or semantically similar titles: candidates share the whole title, a root or a phrase."""
-    parts = policies.select("job_id", "ord", X.title_parts(F.col("title")).alias("p"))
-    keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("="), "p.text")), "p.roots", "p.phrases"))
-    index = parts.select("job_id", "ord", "p", F.explode(keys).alias("k"))
-    a, b = (index.select("job_id", "k", F.col("ord").alias(n), F.col("p").alias(f"p{n}")) for n in "ab")
-    met = a.join(b, ["job_id", "k"]).where("a < b").dropDuplicates(["job_id", "a", "b"])
-    return met.where(X.parts_semantically_similar(F.col("pa"), F.col("pb"))).select("job_id", "a", "b")
+def similar_titles(titles: DataFrame) -> DataFrame:
+    """(g, a, b) with a < b: semantically similar ones of ``titles(g, id, p)``, p from ``title_parts``, all texts of a group different.
+
+    Each of the three signals has its own candidates by rare words, phrases or roots; only ids are joined until then.
+    """
+
+    def sets(field: str) -> DataFrame:
+        rows = titles.where(F.size("p.words") > 0).select("g", "id", F.col(f"p.{field}").alias("t"))
+        return stage(rows.withColumn("n", F.size("t")), "title-sets")
+
+    met = (
+        candidates(rare_index(sets("words"), 0.60), jaccard_able(0.60))
+        .union(candidates(rare_index(sets("phrases"), 0.65), larger_able(0.65)))
+        .union(contained_candidates(sets("roots"), 0.70))
+        .distinct()
+    )
+    a, b = (titles.select("g", F.col("id").alias(i), F.col("p").alias(f"p{i}")) for i in "ab")
+    return met.join(a, ["g", "a"]).join(b, ["g", "b"]).where(X.parts_semantically_similar(F.col("pa"), F.col("pb"))).select("g", "a", "b")
+
+
+def overlapping_titles(titles: DataFrame) -> DataFrame:
+    """(g, a, b) with a < b: ``titles(g, id, t, n)``, different word sets, that share over 0.7 of the smaller one."""
+    met = contained_candidates(titles, 0.70)
+    a, b = (titles.select("g", F.col("id").alias(i), F.col("t").alias(f"t{i}"), F.col("n").alias(f"n{i}")) for i in "ab")
+    return met.join(a, ["g", "a"]).join(b, ["g", "b"]).where(F.size(F.array_intersect("ta", "tb")) / F.least("na", "nb") > 0.70).select("g", "a", "b")
+
+
+def _class_leaders(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(g, o, leader) of ``rows(g, o, k)``: rows of one key share the leader of the first of them, ``classes(g, k, id)``."""
+    lead = greedy_leaders(classes.select("g", F.col("id").alias("o")), pairs, "g", "o").withColumnRenamed("o", "id")
+    return rows.join(classes.select("g", "k", "id"), ["g", "k"]).join(lead, ["g", "id"]).select("g", "o", "leader")
 
 
-def merge_similar(policies: DataFrame) -> DataFrame:
-    """(job_id, ord, leader) of the first merging pass."""
-    return greedy_leaders(policies, title_pairs(policies), "job_id", "ord")
+def title_leaders(policies: DataFrame) -> DataFrame:
+    """(job_id, ord, leader) of the first merging pass: greedy by semantic similarity of titles, all parents."""
+    rows = policies.select(F.col("job_id").alias("g"), F.col("ord").alias("o"), F.lower(F.trim("title")).alias("k"))
+    classes = stage(rows.groupBy("g", "k").agg(F.min("o").alias("id")), "titles")
+    titles = stage(classes.select("g", "id", X.title_parts(F.col("k")).alias("p")), "title-parts")
+    return _class_leaders(rows, classes, similar_titles(titles)).withColumnRenamed("g", "job_id").withColumnRenamed("o", "ord")
+
+
+def family_leaders(policies: DataFrame) -> DataFrame:
+    """(job_id, ord, leader) of the second pass: greedy by overlap of titles within a parent and level."""
+    family = F.concat_ws("|", F.col("job_id").cast("string"), F.coalesce(F.col("parent_id").cast("string"), F.lit("-")), F.col("level").cast("string"))
+    words = F.array_sort(F.array_distinct(X.space_words(F.lower("title"))))
+    own = F.when(F.size(words) == 0, F.col("ord").cast("string"))  # a title without words is like no other
+    rows = policies.select("job_id", family.alias("g"), F.col("ord").alias("o"), F.struct(words.alias("t"), own.alias("own")).alias("k"))
+    classes = stage(rows.groupBy("g", "k").agg(F.min("o").alias("id")), "families")
+    sets = stage(classes.select("g", "id", F.col("k.t").alias("t"), F.size("k.t").alias("n")).where("n > 0"), "family-sets")
+    found = _class_leaders(rows, classes, overlapping_titles(sets))
+    return rows.select("job_id", "g", "o").join(found, ["g", "o"]).select("job_id", F.col("o").alias("ord"), "leader")
 
 
 def merged_groups(policies: DataFrame, leaders: DataFrame) -> DataFrame:
-    """One row per cluster: the first policy with the longest description and the mean confidence."""
+    """One row per cluster: the first policy with the longest description and the mean confidence; ``n_merged`` counts all that went into it."""
     rows = policies.join(leaders, ["job_id", "ord"])
+    merged = F.col("n_merged") if "n_merged" in policies.columns else F.lit(1).cast("long")
+    first = [F.min_by(c, "ord").alias(c) for c in ("policy_id", "parent_id", "level", "title")]
     return rows.groupBy("job_id", F.col("leader").alias("ord")).agg(
-        F.min_by("policy_id", "ord").alias("policy_id"),
-        F.min_by("title", "ord").alias("title"),
-        F.max_by("description", F.struct(F.length("description"), -F.col("ord"))).alias("description"),
-        F.avg("confidence").alias("confidence"),
-        F.count(F.lit(1)).alias("n_merged"),
+        *first, F.max_by("description", F.struct(F.length("description"), -F.col("ord"))).alias("description"), F.avg("confidence").alias("confidence"), F.sum(merged).alias("n_merged")
     )
 
 
-def umbrella_scores(policies: DataFrame, counts: DataFrame, first_page: Column, words: list[str] = UMBRELLA_WORDS) -> DataFrame:
-    """Score of every root; umbrellas are those of at least 2, or the first three where there is none."""
+def merge_similar(policies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both merging passes: the merged policies, and (job_id, ord, leader) of all: ``policies(job_id, ord, policy_id, parent_id, level, title, description, confidence)``."""
+    first = stage(title_leaders(policies), "leaders")
+    once = stage(merged_groups(policies, first), "merged")
+    second = stage(family_leaders(once), "leaders")
+    both = first.join(second.select("job_id", F.col("ord").alias("leader"), F.col("leader").alias("last")), ["job_id", "leader"]).select("job_id", "ord", F.col("last").alias("leader"))
+    return merged_groups(once, second), both
+
+
+def group_details(policies: DataFrame, leaders: DataFrame, details: DataFrame, key: list) -> DataFrame:
+    """(job_id, ord, ...): ``details`` of a cluster's policies (by policy_id), of equal ``key`` those of the first policy."""
+    members = policies.select("job_id", "ord", "policy_id").join(leaders, ["job_id", "ord"])
+    keys = {f"__k{i}": k for i, k in enumerate(key)}
+    rows = members.join(details.withColumnRenamed("ord", "detail_ord"), "policy_id").withColumns(keys)
+    return first_per(rows, ["job_id", "leader", *keys], [F.col("ord"), F.col("detail_ord")]).drop(*keys, "ord").withColumnRenamed("leader", "ord")
+
+
+def umbrella_scores(policies: DataFrame, counts: DataFrame, first_page: Column) -> DataFrame:
+    """Score of every root by title, description, conditions, children and place; umbrellas are those of at least 2."""
     parents = policies.where("parent_id is not null").select("job_id", F.col("parent_id").alias("policy_id")).distinct().withColumn("has_children", F.lit(True))
-    rows = policies.join(counts, "policy_id", "left").join(parents, ["job_id", "policy_id"], "left")
+    early = F.when(F.col("has_children"), 2).otherwise(0) + F.when(first_page <= 3, 1).otherwise(0)
+    return _umbrellas(policies.where("parent_id is null").join(parents, ["job_id", "policy_id"], "left"), counts, UMBRELLA_WORDS, early, 2)
+
+
+def refined_umbrella_scores(policies: DataFrame, counts: DataFrame) -> DataFrame:
+    """Score of every root by title, description and conditions; umbrellas are those of at least 4."""
+    return _umbrellas(policies.where("parent_id is null"), counts, REFINER_UMBRELLA_WORDS, F.lit(0), 4)
+
+
+def _umbrellas(roots: DataFrame, counts: DataFrame, words: list[str], more: Column, threshold: int) -> DataFrame:
+    """(job_id, policy_id, ord, score, is_umbrella); where no root of a job reaches the threshold, its first three are umbrellas."""
     score = (
         F.when(X.any_of(F.lower("title"), words), 2).otherwise(0)
         + F.when(F.size(X.space_words(F.col("description"))) > 25, 1).otherwise(0)
         + F.when(F.coalesce("n_conditions", F.lit(0)) >= 3, 1).otherwise(0)
-        + F.when(F.col("has_children"), 2).otherwise(0)
-        + F.when(first_page <= 3, 1).otherwise(0)
+        + more
+    )
+    scored = stage(roots.join(counts, "policy_id", "left").select("job_id", "policy_id", "ord", score.alias("score")), "scores")
+    best = scored.groupBy("job_id").agg(F.max("score").alias("best"))
+    lacking = scored.join(best.where(F.col("best") < threshold), "job_id", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("score"), "ord"))
+    top = lacking.withColumn("nth", nth).where("nth <= 3").select("job_id", "policy_id", F.lit(True).alias("top"))
+    return scored.join(top, ["job_id", "policy_id"], "left").select("job_id", "policy_id", "ord", "score", ((F.col("score") >= threshold) | F.coalesce("top", F.lit(False))).alias("is_umbrella"))
+
+
+def with_keywords(policies: DataFrame, conditions: DataFrame, page: Column, of=X.keywords) -> DataFrame:
+    """What parents are chosen by: keywords of text and conditions, words of the title, page (null where unknown)."""
+    texts = conditions.groupBy("policy_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(of(F.col("description")))))).alias("conditions"))
+    none = F.array().cast("array<string>")
+    return policies.join(texts, "policy_id", "left").select(
+        "job_id", "policy_id", "ord", F.array_distinct(of(F.concat_ws(" ", "title", "description"))).alias("words"), F.array_distinct(X.space_words(F.lower("title"))).alias("title_words"), F.coalesce("conditions", none).alias("conditions"), page.alias("page")
     )
-    scored = rows.withColumn("score", score)
-    job = Window.partitionBy("job_id")
-    nth = F.row_number().over(job.orderBy(F.desc("score"), "ord"))
-    return scored.withColumns({"nth": nth, "best": F.max("score").over(job)}).select("job_id", "policy_id", "ord", "score", ((F.col("score") >= 2) | ((F.col("best") < 2) & (F.col("nth") <= 3))).alias("is_umbrella"))
 
 
-def with_keywords(policies: DataFrame, first_page: Column) -> DataFrame:
-    words = F.array_distinct(X.keywords(F.concat_ws(" ", "title", "description")))
-    return policies.select("job_id", "policy_id", "ord", words.alias("words"), F.array_distinct(X.space_words(F.lower("title"))).alias("title_words"), first_page.alias("page"))
+def _share(a: Column, b: Column, of: Column) -> Column:
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / of).otherwise(0.0)
 
 
-def best_parents(children: DataFrame, umbrellas: DataFrame) -> DataFrame:
-    """(job_id, policy_id, parent_id, score): the best umbrella of a job for each child, above 0.20, the first on ties.
+def parent_score() -> Column:
+    """Keywords, place, title and conditions of a child against an umbrella (``u_``); the score must be above 0.20."""
+    words, u_words, held, u_held = (F.col(c) for c in ("words", "u_words", "conditions", "u_conditions"))
+    domain = F.size(F.array_intersect(F.array_intersect(words, u_words), F.array(*map(F.lit, DOMAIN_WORDS)))) > 0
+    overlap = _share(words, u_words, F.size(words)) * F.when(domain, 1.2).otherwise(1.0)
+    near = F.coalesce(1 / (1 + F.abs(F.col("page") - F.col("u_page"))), F.lit(0.0))
+    titles = F.size(F.array_intersect("title_words", "u_title_words")) / F.greatest(F.size("title_words"), F.size("u_title_words"), F.lit(1))
+    return 0.5 * overlap + 0.15 * near + 0.2 * titles + 0.15 * _share(held, u_held, F.size(held))
 
-    Both sides come from ``with_keywords``. Candidates are those that share a word of text or title; others only have
-    their page proximity, at most 0.15, and can't pass.
-    """
-    up = umbrellas.select("job_id", *[F.col(c).alias(f"u_{c}") for c in ("policy_id", "ord", "words", "title_words", "page")])
 
-    def key(prefix: str) -> Column:
-        return F.explode(F.array_distinct(F.concat(f"{prefix}words", f"{prefix}title_words"))).alias("k")
+def refined_parts() -> dict[str, Column]:
+    """The four signals of refinement, by name: Jaccard of keywords, place (a half where unknown), share of the umbrella's title words, Jaccard of condition keywords."""
+    stop = F.array(*map(F.lit, REFINER_TITLE_STOP))
+    theirs = F.array_except("u_title_words", stop)
+    return {
+        "keyword_overlap": X.jaccard(F.col("words"), F.col("u_words")),
+        "page_proximity": F.coalesce(1 / (1 + F.abs(F.col("page") - F.col("u_page"))), F.lit(0.5)),
+        "title_pattern": _share(F.array_except("title_words", stop), theirs, F.size(theirs)),
+        "condition_keywords": X.jaccard(F.col("conditions"), F.col("u_conditions")),
+    }
+
+
+def refined_score() -> Column:
+    """The weighted signals of refinement; the score must be 0.35 at least."""
+    parts = refined_parts()
+    return 0.5 * parts["keyword_overlap"] + 0.15 * parts["page_proximity"] + 0.20 * parts["title_pattern"] + 0.15 * parts["condition_keywords"]
+
 
-    met = children.select("*", key("")).join(up.select("*", key("u_")), ["job_id", "k"]).where("policy_id <> u_policy_id").dropDuplicates(["job_id", "policy_id", "u_policy_id"])
-    shared = F.array_intersect("words", "u_words")
-    overlap = F.when(F.size("words") > 0, F.size(shared) / F.size("words")).otherwise(0.0) * F.when(F.size(F.array_intersect(shared, F.array(*map(F.lit, DOMAIN_WORDS)))) > 0, 1.2).otherwise(1.0)
-    titles = F.size(F.array_intersect("title_words", "u_title_words")) / F.greatest(F.size("title_words"), F.size("u_title_words"))
-    score = 0.5 * overlap + 0.15 / (1 + F.abs(F.col("page") - F.col("u_page"))) + 0.2 * titles
-    scored = met.withColumn("score", F.round(score, 9)).where("score > 0.20")
+def parent_pairs(children: DataFrame, umbrellas: DataFrame) -> DataFrame:
+    """Children with the umbrellas (``u_``) of their job that they share a word of text, title or conditions with.
+
+    Others have their place only, at most 0.15, and can't pass. Ids are joined by word first, the words come after.
+    """
+    own = ["job_id", "policy_id"]
+    keys = F.array_distinct(F.concat("words", "title_words", "conditions")).alias("k")
+    a = children.select(*own, F.explode(keys).alias("k"))
+    b = umbrellas.select("job_id", F.col("policy_id").alias("u_policy_id"), F.explode(keys).alias("k"))
+    met = stage(a.join(b, ["job_id", "k"]).where("policy_id <> u_policy_id").select(*own, "u_policy_id").distinct(), "parent-pairs")
+    up = umbrellas.select("job_id", *[F.col(c).alias(f"u_{c}") for c in ("policy_id", "ord", "words", "title_words", "conditions", "page")])
+    return met.join(children, own).join(up, ["job_id", "u_policy_id"])
+
+
+def best_parents(pairs: DataFrame, score: Column, enough) -> DataFrame:
+    """(job_id, policy_id, parent_id, score): the best umbrella for each child of ``parent_pairs`` for which ``enough`` holds, the first on ties."""
+    scored = pairs.withColumn("score", F.round(score, 9)).where(enough(F.col("score")))
     return scored.groupBy("job_id", "policy_id").agg(F.max_by("u_policy_id", F.struct("score", -F.col("u_ord"))).alias("parent_id"), F.max("score").alias("score"))
 
 
+def extracted_parents(policies: DataFrame, conditions: DataFrame, page: Column) -> DataFrame:
+    """Best parents of the roots that are no umbrellas, as extraction chooses them."""
+    scores = umbrella_scores(policies, condition_counts(conditions), page).select("job_id", "policy_id", "is_umbrella")
+    rows = stage(with_keywords(policies, conditions, page).join(scores, ["job_id", "policy_id"]), "roots")
+    return best_parents(parent_pairs(rows.where("not is_umbrella"), rows.where("is_umbrella")), parent_score(), lambda s: s > 0.20)
+
+
+def refined_pairs(policies: DataFrame, conditions: DataFrame, page: Column) -> DataFrame:
+    scores = refined_umbrella_scores(policies, condition_counts(conditions)).select("job_id", "policy_id", "is_umbrella")
+    rows = stage(with_keywords(policies, conditions, page, X.refiner_keywords).join(scores, ["job_id", "policy_id"]), "roots")
+    return parent_pairs(rows.where("not is_umbrella"), rows.where("is_umbrella"))
+
+
+def refined_parents(policies: DataFrame, conditions: DataFrame, page: Column) -> DataFrame:
+    """Best parents of the roots that are no umbrellas, as refinement chooses them."""
+    return best_parents(refined_pairs(policies, conditions, page), refined_score(), lambda s: s >= 0.35)
+
+
 def last_definitions(definitions: DataFrame) -> DataFrame:
     """Of each term the definition of the last chunk."""
     return definitions.groupBy("job_id", "term").agg(F.max_by("definition", "chunk_ord").alias("definition"))

@@ -25,6 +25,12 @@ def plan(policies: DataFrame) -> DataFrame:
     )
 
 
+def leaves(policies: DataFrame) -> DataFrame:
+    """Policies without children."""
+    parents = policies.where("parent_id is not null").select("job_id", F.col("parent_id").alias("policy_id")).distinct()
+    return policies.join(parents, ["job_id", "policy_id"], "left_anti")
+
+
 def generation_order(planned: DataFrame) -> DataFrame:
     """Leaves deepest first, then the others deepest first."""
     order = Window.partitionBy("job_id").orderBy(F.desc("is_leaf"), F.desc_nulls_last("depth"), "ord")

@@ -7,34 +7,110 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.operators.hierarchy import orphans
-from docloom.operators.simjoin import similar_pairs
-from docloom.operators.trees import IS_OUTCOME, child_counts, with_children
+from docloom.operators.iterate import cut, depths, root_paths
+from docloom.operators.simjoin import greedy_leaders, similar_sets, token_sets
+from docloom.operators.trees import IS_OUTCOME, with_children
+from docloom.staging import stage
+
+# What a good hierarchy keeps to.
+MOST_POLICIES, MOST_ROOTS, LEAST_DEPTH, LEAST_COMPLETENESS = 7, 4, 2, 0.80
 
 
 def issue(rows: DataFrame, kind: str, severity: str, location: Column) -> DataFrame:
     return rows.select(F.lit(severity).alias("severity"), F.lit(kind).alias("issue_type"), location.alias("location"))
 
 
-def hierarchy_issues(policies: DataFrame, threshold: float = 0.7) -> DataFrame:
+def hierarchy_issues(policies: DataFrame, source_refs: DataFrame, jobs: DataFrame | None = None, threshold: float = 0.7) -> DataFrame:
+    """Issue rows of policies: fields, sources ``source_refs(policy_id)``, confidence, parents; and of ``jobs(job_id)`` without any policy."""
     where = F.col("policy_id")
-    return (
-        issue(policies.where(F.trim(F.coalesce("title", F.lit(""))) == ""), "missing_title", "error", where)
-        .unionByName(issue(policies.where(F.trim(F.coalesce("description", F.lit(""))) == ""), "missing_description", "warning", where))
+    found = (
+        issue(policies.where(F.coalesce("title", F.lit("")) == ""), "missing_title", "warning", where)
+        .unionByName(issue(policies.where(F.coalesce("description", F.lit("")) == ""), "missing_description", "warning", where))
+        .unionByName(issue(policies.join(source_refs.select("policy_id").distinct(), "policy_id", "left_anti"), "missing_source_reference", "error", where))
         .unionByName(issue(policies.where(F.col("confidence") < threshold), "low_confidence", "warning", where))
         .unionByName(issue(orphans(policies), "invalid_parent_reference", "error", where))
     )
+    if jobs is None:
+        return found
+    empty = jobs.select("job_id").join(policies.select("job_id").distinct(), "job_id", "left_anti")
+    return found.unionByName(issue(empty, "missing_policies", "error", F.concat(F.lit("job "), F.col("job_id").cast("string"))))
+
 
+def tree_issues(nodes: DataFrame, trees: DataFrame) -> DataFrame:
+    """Issue rows of the nodes that a root reaches, and of ``trees(tree_id)`` without a root.
 
-def tree_issues(nodes: DataFrame) -> DataFrame:
+    ``nodes(tree_id, node_id, parent_node_id, sibling_ord, node_type, question_text, outcome_type, has_source)``. A node
+    that repeats an id of its path is a circular reference, and nothing below it counts; a node on several paths counts on each.
+    """
     where = F.concat_ws("/", F.col("tree_id").cast("string"), F.col("node_id").cast("string"))
-    rows = with_children(nodes)
+    nodes = cut(nodes)
+    facts = with_children(nodes).select("tree_id", "node_id", "node_type", "n_children", "question_text", "outcome_type", "has_source").distinct()
+    walked = root_paths(nodes, "false")
+    rows = cut(walked.where("not cyclic").select("tree_id", "node_id").join(facts, ["tree_id", "node_id"]))
+    rootless = trees.select("tree_id").distinct().join(nodes.where("parent_node_id is null").select("tree_id").distinct(), "tree_id", "left_anti")
+    question = F.col("node_type") == "question"
     return (
-        issue(rows.where("node_type = 'question' and n_children = 0"), "dead_end", "error", where)
-        .unionByName(issue(rows.where(f"{IS_OUTCOME} and n_children > 0"), "outcome_with_children", "warning", where))
+        issue(rootless, "missing_root_node", "error", F.col("tree_id").cast("string"))
+        .unionByName(issue(walked.where("cyclic"), "circular_reference", "error", where))
+        .unionByName(issue(rows.where(question & F.col("question_text").isNull()), "missing_question", "error", where))
+        .unionByName(issue(rows.where(question & (F.col("n_children") == 0)), "dead_end", "warning", where))
         .unionByName(issue(rows.where(f"{IS_OUTCOME} and outcome_type is null"), "missing_outcome", "error", where))
+        .unionByName(issue(rows.where(f"{IS_OUTCOME} and n_children > 0"), "outcome_with_children", "warning", where))
+        .unionByName(issue(rows.where(f"{IS_OUTCOME} and not has_source"), "missing_source_reference", "warning", where))
     )
 
 
+def question_issues(questions: DataFrame) -> DataFrame:
+    """Issue rows of ``questions(tree_id, node_id, question_text, explanation)``: very short ones, and those without an explanation."""
+    where = F.concat_ws("/", F.col("tree_id").cast("string"), F.col("node_id").cast("string"))
+    asked = questions.where("question_text is not null")
+    short = issue(asked.where(F.length("question_text") < 10), "short_question", "warning", where)
+    return short.unionByName(issue(asked.where(F.coalesce("explanation", F.lit("")) == ""), "missing_explanation", "info", where))
+
+
+def aggregator_issues(policies: DataFrame, trees: DataFrame) -> DataFrame:
+    """Issue rows of ``trees(policy_id, is_aggregator, child_policy_ids, parent_policy_id)`` against the policies that they stand for."""
+    kids = policies.where("parent_id is not null").groupBy("job_id", F.col("parent_id").alias("policy_id")).agg(F.collect_set("policy_id").alias("kids"))
+    none = F.array().cast("array<string>")
+    rows = policies.select("job_id", "policy_id", "parent_id").join(trees, "policy_id").join(kids, ["job_id", "policy_id"], "left")
+    known = F.coalesce("child_policy_ids", none)
+    kinds = F.array_compact(
+        F.array(
+            F.when(F.col("kids").isNotNull() & ~F.col("is_aggregator"), F.lit("aggregator_metadata_missing")),
+            F.when(F.size(F.array_except(F.coalesce("kids", none), known)) > 0, F.lit("missing_child_references")),
+            F.when(F.col("kids").isNull() & F.col("is_aggregator"), F.lit("incorrect_aggregator_flag")),
+            F.when(F.col("parent_id").isNotNull() & ~F.col("parent_id").eqNullSafe(F.col("parent_policy_id")), F.lit("parent_mismatch")),
+        )
+    )
+    found = rows.select("policy_id", F.explode(kinds).alias("issue_type"))
+    severity = F.when(F.col("issue_type") == "aggregator_metadata_missing", "info").otherwise("warning")
+    return found.select(severity.alias("severity"), "issue_type", F.col("policy_id").alias("location"))
+
+
+def recommendations(errors: Column, warnings: Column, completeness: Column, consistency: Column, traceability: Column) -> Column:
+    """Array of the rules that hold, in order."""
+    return F.array_compact(
+        F.array(
+            F.when(errors > 0, F.concat(F.lit("Address "), errors.cast("string"), F.lit(" critical errors before using this output"))),
+            F.when(warnings > 5, F.concat(F.lit("Review "), warnings.cast("string"), F.lit(" warnings to improve quality"))),
+            F.when(completeness < 0.9, F.lit("Some policies are missing decision trees - consider regenerating")),
+            F.when(consistency < 0.8, F.lit("Decision trees may not fully represent policy conditions - review for completeness")),
+            F.when(traceability < 0.8, F.lit("Improve traceability by adding more source references")),
+        )
+    )
+
+
+def retries(needs_retry: Column, retry_count: Column, failed: Column) -> Column:
+    """Whether failed trees are tried once more."""
+    again = F.coalesce(needs_retry, F.lit(False)) & (F.coalesce(retry_count, F.lit(0)) < 1)
+    return F.when(~F.coalesce(failed, F.lit(False)) & again, "retry").otherwise("complete")
+
+
+def refines(needs_reverification: Column, needs_refinement: Column) -> Column:
+    """The step after verification."""
+    return F.when(F.coalesce(needs_reverification, F.lit(False)), "reverify").when(F.coalesce(needs_refinement, F.lit(False)), "refine").otherwise("complete")
+
+
 def completeness(policies: DataFrame, trees: DataFrame) -> DataFrame:
     """Share of policies that have a tree: ``trees(policy_id)``."""
     have = trees.select("policy_id").distinct().withColumn("has_tree", F.lit(True))
@@ -52,34 +128,63 @@ def by_severity(issues: DataFrame) -> DataFrame:
     return issues.groupBy("issue_type").pivot("severity", ["error", "warning", "info"]).count().na.fill(0)
 
 
-def duplicate_policies(policies: DataFrame, title: float = 0.80, content: float = 0.80) -> DataFrame:
-    """Pairs of one parent whose titles and descriptions are both similar; their mean is the confidence. Null parents are one parent."""
-    rows = policies.withColumns({"family": F.concat_ws("|", F.col("job_id").cast("string"), F.coalesce("parent_id", F.lit("-"))), "title_tokens": X.similarity_tokens(F.col("title")), "tokens": X.without(X.words(F.col("description")), X.VERIFIER_STOP)})
-    pairs = similar_pairs(rows, "family", "ord", "title_tokens", title).withColumnRenamed("similarity", "title_similarity")
-    a, b = (rows.select("family", F.col("ord").alias(n), F.col("policy_id").alias(f"{n}_id"), F.col("tokens").alias(f"{n}_t")) for n in "ab")
-    scored = pairs.join(a, ["family", "a"]).join(b, ["family", "b"]).withColumn("content", X.jaccard(F.col("a_t"), F.col("b_t")))
-    return scored.where(F.col("content") > content).select("a_id", "b_id", ((F.col("title_similarity") + F.col("content")) / 2).alias("confidence"))
+def duplicate_policies(policies: DataFrame, conditions: DataFrame) -> DataFrame:
+    """(a_id, b_id, title_similarity, condition_similarity, confidence, reason) of duplicates within a parent, null parents being one.
+
+    Rules: titles over 0.95; titles over 0.85 and one level; titles over 0.80 and conditions over 0.80. Policies with equal title
+    words are one class: its first is paired with each of the others. Between classes all that counts is titles, levels and
+    conditions, so policies that agree in these are one as well: pairs are between their first ones.
+    ``policies(job_id, ord, policy_id, parent_id, level, title)``.
+    """
+    family = F.concat_ws("|", F.col("job_id").cast("string"), F.coalesce(F.col("parent_id").cast("string"), F.lit("-")))
+    rows = policies.select(family.alias("g"), F.col("ord").alias("o"), "policy_id", "level", F.array_sort(F.array_distinct(X.without(X.words(F.col("title")), X.VERIFIER_STOP))).alias("t")).where(F.size("t") > 0)
+    sets = token_sets(rows)
+    between = similar_sets(sets, 0.80).where("similarity > 0.80")
+    told = F.array_sort(F.collect_list(F.array_sort(F.array_distinct(X.without(X.words(F.col("description")), X.VERIFIER_STOP)))))
+    signs = conditions.groupBy("policy_id").agg(F.xxhash64(told, F.lit(1)).alias("s1"), F.xxhash64(F.lit(2), told).alias("s2"))
+    classed = stage(rows.join(sets.select("g", "t", F.col("id").alias("class")), ["g", "t"]).join(signs, "policy_id", "left").drop("t"), "classed")
+    order = F.min_by("policy_id", "o").alias("policy_id")
+    alike = classed.groupBy("g", "class", "level", "s1", "s2").agg(F.min("o").alias("o"), order).drop("s1", "s2")
+    a, b = (alike.select("g", *[F.col(c).alias(f"{c}_{i}") for c in ("class", "level", "o", "policy_id")]) for i in "ab")
+    met = between.select("g", F.col("a").alias("class_a"), F.col("b").alias("class_b"), "similarity").join(a, ["g", "class_a"]).join(b, ["g", "class_b"])
+    first = classed.where("o = class").select("g", "class", F.col("policy_id").alias("first_id"), F.col("level").alias("first_level"))
+    own = classed.where("o <> class").join(first, ["g", "class"]).select(F.col("first_id").alias("a_id"), F.col("policy_id").alias("b_id"), F.lit(1.0).alias("similarity"), (F.col("first_level") == F.col("level")).alias("same_level"))
+    swapped = F.col("o_a") > F.col("o_b")
+    others = met.select(F.when(swapped, F.col("policy_id_b")).otherwise(F.col("policy_id_a")).alias("a_id"), F.when(swapped, F.col("policy_id_a")).otherwise(F.col("policy_id_b")).alias("b_id"), "similarity", (F.col("level_a") == F.col("level_b")).alias("same_level"))
+    pairs = stage(own.union(others), "title-pairs")
+    scored = pairs.join(condition_similarity(pairs.select("a_id", "b_id"), conditions).withColumnRenamed("similarity", "held"), ["a_id", "b_id"], "left").withColumn("held", F.coalesce("held", F.lit(0.0)))
+    title, held = F.col("similarity"), F.col("held")
+    reason = F.when(title > 0.95, "exact_title_match_same_parent").when((title > 0.85) & F.col("same_level"), "high_title_similarity_same_parent_level").when((title > 0.80) & (held > 0.80), "high_title_and_condition_similarity")
+    return scored.withColumn("reason", reason).where("reason is not null").select("a_id", "b_id", title.alias("title_similarity"), held.alias("condition_similarity"), ((title + held) / 2).alias("confidence"), "reason")
 
 
 def condition_similarity(pairs: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Mean over the conditions of A of the best Jaccard similarity to one of B: ``pairs(a_id, b_id)``."""
-    tokens = X.without(X.words(F.col("description")), X.VERIFIER_STOP)
-    a, b = (conditions.select(F.col("policy_id").alias(f"{n}_id"), F.col("condition_id").alias(f"{n}_c"), tokens.alias(f"{n}_t")) for n in "ab")
-    best = pairs.join(a, "a_id").join(b, "b_id").groupBy("a_id", "b_id", "a_c").agg(F.max(X.jaccard(F.col("a_t"), F.col("b_t"))).alias("best"))
-    return best.groupBy("a_id", "b_id").agg(F.avg("best").alias("similarity"))
+    """Mean over the conditions of A of the best Jaccard similarity to one of B: ``pairs(a_id, b_id)``. A pair of which one has none is left out.
+
+    Equal conditions of a policy count once, with their number as weight, so a pair costs the different ones only.
+    """
+    tokens = F.array_sort(F.array_distinct(X.without(X.words(F.col("description")), X.VERIFIER_STOP)))
+    sets = stage(conditions.groupBy("policy_id", tokens.alias("t")).agg(F.count(F.lit(1)).alias("m")), "condition-sets")
+    a, b = (sets.select(F.col("policy_id").alias(f"{n}_id"), F.col("t").alias(f"{n}_t"), F.col("m").alias(f"{n}_m")) for n in "ab")
+    best = pairs.join(a, "a_id").join(b, "b_id").groupBy("a_id", "b_id", "a_t").agg(F.max(X.jaccard(F.col("a_t"), F.col("b_t"))).alias("best"), F.first("a_m").alias("m"))
+    return best.groupBy("a_id", "b_id").agg((F.sum(F.col("best") * F.col("m")) / F.sum("m")).alias("similarity"))
 
 
 def dedup_conditions(conditions: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Of a policy's conditions, in order, those not above the threshold similar to one kept before."""
-    listed = conditions.groupBy("policy_id").agg(F.array_sort(F.collect_list(F.struct("ord", "condition_id", X.words(F.col("description")).alias("t")))).alias("c"))
-    kept = F.aggregate("c", F.slice("c", 1, 0), lambda acc, c: F.when(F.exists(acc, lambda k: X.jaccard(k["t"], c["t"]) > threshold), acc).otherwise(F.array_append(acc, c)))
-    return listed.select("policy_id", F.inline(kept)).select("policy_id", "ord", "condition_id")
+    """(policy_id, ord, condition_id): of a policy's conditions, in order, those not above the threshold similar to one kept before.
+
+    Conditions of equal words are one class of which the first stays if it isn't dropped; those without words all stay.
+    """
+    rows = conditions.select(F.col("policy_id").alias("g"), F.col("ord").alias("o"), X.words(F.col("description")).alias("t"))
+    sets = token_sets(rows)
+    pairs = similar_sets(sets, threshold).where(F.col("similarity") > threshold)
+    led = greedy_leaders(sets.select("g", F.col("id").alias("o")), pairs, "g", "o").where("leader = o").select("g", "o")
+    kept = led.union(rows.where(F.size("t") == 0).select("g", "o"))
+    return conditions.join(kept.select(F.col("g").alias("policy_id"), F.col("o").alias("ord")), ["policy_id", "ord"], "left_semi").select("policy_id", "ord", "condition_id")
 
 
 def survivors(pairs: DataFrame) -> DataFrame:
     """(policy_id, survivor): chains of merges ``pairs(a_id, b_id)`` (a takes b) resolved to their last survivor."""
-    from docloom.operators.iterate import depths
-
     first = pairs.groupBy(F.col("b_id").alias("id")).agg(F.min("a_id").alias("up"))
     tops = pairs.select(F.col("a_id").alias("id")).distinct().join(first.select("id"), "id", "left_anti").withColumn("up", F.lit(None).cast("string"))
     found = depths(first.unionByName(tops).withColumn("g", F.lit(0)), "g", "id", "up")
@@ -87,18 +192,48 @@ def survivors(pairs: DataFrame) -> DataFrame:
 
 
 def hierarchy_metrics(planned: DataFrame) -> DataFrame:
-    """Issues of each job's hierarchy: too many policies or roots, too shallow."""
-    sizes = planned.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("depth") == 0).alias("roots"), (F.max("depth") + 1).alias("levels"))
-    kinds = F.array_compact(F.array(F.when(F.col("n") > 7, F.lit("too_many_policies")), F.when(F.col("roots") > 4, F.lit("too_many_roots")), F.when(F.col("levels") < 2, F.lit("insufficient_depth"))))
-    return sizes.select("job_id", F.explode(kinds).alias("issue"))
-
-
-def covered_conditions(conditions: DataFrame, questions: DataFrame) -> DataFrame:
-    """Share of each policy's conditions that some question of it covers: more than half of the condition's words. ``questions(policy_id, question)``."""
-    asked = questions.groupBy("policy_id").agg(F.collect_list(F.array_distinct(X.keywords(F.col("question")))).alias("asked"))
-    rows = conditions.withColumn("t", F.array_distinct(X.keywords(F.col("description")))).join(asked, "policy_id")
+    """(job_id, issue, severity): too many policies or roots, too shallow below its roots, parents that are absent. ``planned`` as ``hierarchy.plan`` gives it."""
+    tops = planned.where("parent_id is null").select("job_id", F.col("policy_id").alias("root"), F.lit(True).alias("true_root"))
+    rows = planned.join(tops, ["job_id", "root"], "left")
+    deep = F.coalesce(F.max(F.when(F.col("true_root"), F.col("depth"))), F.lit(0))
+    orphan = F.col("parent_id").isNotNull() & (F.col("depth") == 0)
+    sizes = rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("parent_id").isNull()).alias("roots"), deep.alias("deepest"), F.count_if(orphan).alias("orphans"))
+    tests = {"too_many_policies": ("high", F.col("n") > MOST_POLICIES), "too_many_roots": ("high", F.col("roots") > MOST_ROOTS), "insufficient_depth": ("medium", F.col("deepest") < LEAST_DEPTH), "orphaned_policies": ("low", F.col("orphans") > 0)}
+    kinds = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(name).alias("issue"), F.lit(severity).alias("severity"))) for name, (severity, test) in tests.items()]))
+    return sizes.select("job_id", F.inline(kinds))
+
+
+def tree_completeness(conditions: DataFrame, questions: DataFrame) -> DataFrame:
+    """(policy_id, conditions, covered): of each policy with a tree, its conditions and those that a question covers by more than half of their words.
+
+    ``questions(policy_id, question)``; a tree without questions has a row with null. Questions are compared as different word sets.
+    """
+    words = F.array_sort(F.array_distinct(X.without(X.words(F.col("question")), X.VERIFIER_STOP)))
+    asked = questions.groupBy("policy_id").agg(F.collect_set(words).alias("asked"))
+    rows = conditions.withColumn("t", F.array_distinct(X.without(X.words(F.col("description")), X.VERIFIER_STOP))).join(asked, "policy_id")
     hit = F.exists("asked", lambda q: F.size(F.array_intersect(q, "t")) / F.greatest(F.size("t"), F.lit(1)) > 0.5)
-    return rows.groupBy("policy_id").agg(F.avg(hit.cast("double")).alias("covered"))
-
-
-__all__ = ["by_severity", "child_counts", "completeness", "condition_similarity", "consistency", "covered_conditions", "dedup_conditions", "duplicate_policies", "hierarchy_issues", "hierarchy_metrics", "survivors", "tree_issues"]
+    return rows.groupBy("policy_id").agg(F.count(F.lit(1)).alias("conditions"), F.count_if(hit).alias("covered"))
+
+
+def verification(policies: DataFrame, duplicates: DataFrame, coverage: DataFrame, incomplete: DataFrame, metrics: DataFrame, base: DataFrame) -> DataFrame:
+    """One row per job: the counts of all checks, confidence, whether it needs refinement, and the step that follows.
+
+    duplicates: a_id, b_id; coverage: job_id, a row per issue; incomplete: policy_id, a row per tree that covers too little;
+    metrics: job_id, issue, severity; base: job_id, confidence from validation (0.9 where it has none).
+    """
+    ids = policies.select("job_id", "policy_id")
+    by_job = F.count(F.lit(1))
+    dup = duplicates.join(ids.withColumnRenamed("policy_id", "a_id"), "a_id").groupBy("job_id").agg(by_job.alias("duplicate_count"))
+    cov = coverage.groupBy("job_id").agg(by_job.alias("coverage_issues"))
+    inc = incomplete.join(ids, "policy_id").groupBy("job_id").agg(by_job.alias("tree_issues"))
+    cost = F.when(F.col("severity") == "high", 0.10).when(F.col("severity") == "medium", 0.05).otherwise(0.02)
+    met = metrics.groupBy("job_id").agg(by_job.alias("hierarchy_issues"), F.count_if(F.col("severity") == "high").alias("high"), F.sum(cost).alias("cost"))
+    rows = policies.select("job_id").distinct()
+    for part in (dup, cov, inc, met, base.select("job_id", F.col("confidence").alias("base"))):
+        rows = rows.join(part, "job_id", "left")
+    rows = rows.na.fill(0, ["duplicate_count", "coverage_issues", "tree_issues", "hierarchy_issues", "high", "cost"]).na.fill(0.9, ["base"])
+    left = F.col("base") - 0.05 * F.col("duplicate_count") - F.col("cost") - 0.03 * F.col("tree_issues") - 0.02 * F.col("coverage_issues")
+    rows = rows.withColumn("confidence", F.round(F.greatest(F.lit(0.0), left), 9))
+    needs = (F.col("duplicate_count") > 0) | (F.col("high") > 0) | (F.col("confidence") < 0.95)
+    total = sum((F.col(c) for c in ("coverage_issues", "tree_issues", "hierarchy_issues")), F.col("duplicate_count"))
+    return rows.select("job_id", total.alias("total_issues"), "duplicate_count", "coverage_issues", "tree_issues", "hierarchy_issues", "confidence", needs.alias("needs_refinement"), (F.col("high") + F.col("duplicate_count")).alias("critical_issues"))

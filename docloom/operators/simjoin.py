@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import jaccard
@@ -31,28 +31,50 @@ def rare_index(sets: DataFrame, threshold: float) -> DataFrame:
     return index
 
 
-def candidates(index: DataFrame, threshold: float) -> DataFrame:
-    """(g, a, b) with a < b: pairs of sets that meet in the index and whose lengths and remaining tokens allow the threshold.
+def jaccard_able(threshold: float) -> Column:
+    """Whether sizes and remaining tokens allow a Jaccard similarity. The first common token of a pair bounds its overlap."""
+    most = F.least("rest_a", "rest_b") + 1
+    lengths = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
+    return lengths & (most * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9)
+
+
+def larger_able(threshold: float) -> Column:
+    """Whether they allow an overlap of that share of the larger set."""
+    larger = F.greatest("n_a", "n_b")
+    return (F.least("n_a", "n_b") >= threshold * larger - 1e-9) & (F.least("rest_a", "rest_b") + 1 >= threshold * larger - 1e-9)
+
+
+def candidates(index: DataFrame, able: Column) -> DataFrame:
+    """(g, a, b) with a < b: pairs of sets that meet in the index and for which ``able`` holds.
 
     The index carries ids only and is never broadcast; both sides of the join come straight from a table, so that Spark
     splits a token that very many sets have.
     """
     x, y = (index.select("g", "w", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("rest").alias(f"rest_{i}")) for i in "ab")
-    met = x.hint("merge").join(y.hint("merge"), ["g", "w"]).where("a < b")
-    both = F.col("n_a") + F.col("n_b")
-    most = F.least("rest_a", "rest_b") + 1
-    # The first common token bounds the overlap; a later one of the same pair may fail this, the first can't.
-    able = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9) & (most * (1 + threshold) >= threshold * both - 1e-9)
-    return met.where(able).select("g", "a", "b").distinct()
+    return x.hint("merge").join(y.hint("merge"), ["g", "w"]).where("a < b").where(able).select("g", "a", "b").distinct()
+
+
+def contained_candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(g, a, b) with a < b: pairs of ``sets(g, id, t, n)`` that may share that part of the smaller set: its rarest tokens meet all of the larger."""
+    rare = rare_index(sets, threshold).select("g", "w", F.col("id").alias("x"), F.col("n").alias("n_x"))
+    held = stage(sets.select("g", F.explode("t").alias("w"), F.col("id").alias("y"), F.col("n").alias("n_y")), "tokens")
+    met = rare.hint("merge").join(held.hint("merge"), ["g", "w"]).where("n_x <= n_y and x <> y")
+    return met.select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """(g, a, b, similarity) with a < b: all pairs of ``sets(g, id, t, n)`` of a group at the threshold. ``sets`` is a staged table of different sets."""
-    found = candidates(rare_index(sets, threshold), threshold)
+    found = candidates(rare_index(sets, threshold), jaccard_able(threshold))
     a, b = (sets.select("g", F.col("id").alias(i), F.col("t").alias(f"t_{i}")) for i in "ab")
     return found.join(a, ["g", "a"]).join(b, ["g", "b"]).withColumn("similarity", jaccard(F.col("t_a"), F.col("t_b"))).where(F.col("similarity") >= threshold).select("g", "a", "b", "similarity")
 
 
+def token_sets(rows: DataFrame) -> DataFrame:
+    """(g, id, t, n): the different sets of ``rows(g, o, t)`` under their first ``o``, a staged table; empty sets are left out."""
+    sorted_rows = rows.select("g", "o", F.array_sort(F.array_distinct("t")).alias("t")).where(F.size("t") > 0)
+    return stage(sorted_rows.groupBy("g", "t").agg(F.min("o").alias("id")).withColumn("n", F.size("t")), "token-sets")
+
+
 def similar_pairs(rows: DataFrame, group: str, ord_: str, tokens: str, threshold: float) -> DataFrame:
     """(group, a, b, similarity) with a before b: pairs of a group whose Jaccard similarity is at least ``threshold``.
 
@@ -61,19 +83,12 @@ def similar_pairs(rows: DataFrame, group: str, ord_: str, tokens: str, threshold
     unique within a group.
     """
     base = rows.select(F.col(group).alias("g"), F.col(ord_).alias("o"), F.array_sort(F.array_distinct(tokens)).alias("t")).where(F.size("t") > 0)
-    sets = stage(base.groupBy("g", "t").agg(F.min("o").alias("id")).withColumn("n", F.size("t")), "token-sets")
+    sets = token_sets(base)
     between = similar_sets(sets, threshold)
     within = base.join(sets.select("g", "t", "id"), ["g", "t"]).where("o <> id").select("g", F.col("id").alias("a"), F.col("o").alias("b"), F.lit(1.0).alias("similarity"))
     return between.union(within).withColumnRenamed("g", group)
 
 
-def key_pairs(rows: DataFrame, group: str, id_: str, keys: str) -> DataFrame:
-    """(group, a, b) with a < b: pairs of a group that share a key of the array ``keys``, each once; ids only."""
-    index = stage(rows.select(F.col(group), F.col(id_).alias("id"), F.explode(F.array_distinct(keys)).alias("k")), "keys")
-    x, y = (index.select(group, "k", F.col("id").alias(i)) for i in "ab")
-    return x.hint("merge").join(y.hint("merge"), [group, "k"]).where("a < b").select(group, "a", "b").distinct()
-
-
 def greedy_leaders(rows: DataFrame, pairs: DataFrame, group: str, ord_: str) -> DataFrame:
     """(group, ord, leader): in order, a row joins the first earlier leader that it is similar to, or leads itself.
 

@@ -26,9 +26,13 @@ FIXTURES: dict[str, tuple[str, str]] = {
         r"""SELECT job_id, k AS ord, policy_id, CASE WHEN k=0 OR k%17=0 THEN NULL WHEN k%23=0 THEN 'p999999' ELSE 'p'||CAST(CAST(floor((k-1)/3) AS BIGINT)*20+job_id AS VARCHAR(20)) END AS parent_id, p_name AS title, p_name||' '||p_type||' '||p_brand AS description, p_size/50.0 AS confidence FROM (SELECT p_partkey%20 AS job_id, CAST(floor(p_partkey/20) AS BIGINT) AS k, 'p'||CAST(p_partkey AS VARCHAR(20)) AS policy_id, p_name,p_type,p_brand,p_size FROM {part}) q""",
         r"""SELECT job_id, k AS ord, policy_id, CASE WHEN k=0 OR k%17=0 THEN NULL WHEN k%23=0 THEN 'p999999' ELSE 'p'||CAST(((k-1)//3)*20+job_id AS VARCHAR(20)) END AS parent_id, p_name AS title, p_name||' '||p_type||' '||p_brand AS description, p_size/50.0 AS confidence FROM (SELECT p_partkey%20 AS job_id, p_partkey//20 AS k, 'p'||CAST(p_partkey AS VARCHAR(20)) AS policy_id, p_name,p_type,p_brand,p_size FROM {part}) q""",
     ),
+    "few_policies": (
+        r"""SELECT job_id, k AS ord, policy_id, CASE WHEN k=0 OR k=5 THEN NULL WHEN job_id%3=0 THEN 'p'||CAST(p_partkey-k AS VARCHAR(20)) ELSE 'p'||CAST(p_partkey-k+CAST(floor((k-1)/2) AS BIGINT) AS VARCHAR(20)) END AS parent_id, CASE WHEN job_id%4=1 THEN p_name||' part '||CAST(k AS VARCHAR(20)) ELSE p_name END AS title, p_name||' '||p_type||' '||p_brand AS description, p_size/50.0 AS confidence FROM (SELECT CAST(floor(p_partkey/6) AS BIGINT) AS job_id, p_partkey%6 AS k, 'p'||CAST(p_partkey AS VARCHAR(20)) AS policy_id, p_partkey, p_name,p_type,p_brand,p_size FROM {part}) q""",
+        r"""SELECT job_id, k AS ord, policy_id, CASE WHEN k=0 OR k=5 THEN NULL WHEN job_id%3=0 THEN 'p'||CAST(p_partkey-k AS VARCHAR(20)) ELSE 'p'||CAST(p_partkey-k+(k-1)//2 AS VARCHAR(20)) END AS parent_id, CASE WHEN job_id%4=1 THEN p_name||' part '||CAST(k AS VARCHAR(20)) ELSE p_name END AS title, p_name||' '||p_type||' '||p_brand AS description, p_size/50.0 AS confidence FROM (SELECT p_partkey//6 AS job_id, p_partkey%6 AS k, 'p'||CAST(p_partkey AS VARCHAR(20)) AS policy_id, p_partkey, p_name,p_type,p_brand,p_size FROM {part}) q""",
+    ),
     "conditions": (
-        r"""SELECT policy_id, ord, policy_id||'_c'||CAST(ord AS VARCHAR(20)) AS condition_id, description FROM (SELECT 'p'||CAST(l_partkey AS VARCHAR(20)) AS policy_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey,l_linenumber,l_suppkey,l_extendedprice) AS ord, 'quantity at least '||CAST(CAST(l_quantity AS INT) AS VARCHAR(20))||' with status '||l_linestatus||' and flag '||l_returnflag AS description FROM {lineitem}) q WHERE ord<=5""",
-        r"""SELECT policy_id, ord, policy_id||'_c'||CAST(ord AS VARCHAR(20)) AS condition_id, description FROM (SELECT 'p'||CAST(l_partkey AS VARCHAR(20)) AS policy_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey,l_linenumber,l_suppkey,l_extendedprice) AS ord, 'quantity at least '||CAST(CAST(l_quantity AS INT) AS VARCHAR(20))||' with status '||l_linestatus||' and flag '||l_returnflag AS description FROM {lineitem}) q WHERE ord<=5""",
+        r"""SELECT policy_id, ord, policy_id||'_c'||CAST(ord AS VARCHAR(20)) AS condition_id, description FROM (SELECT 'p'||CAST(l_partkey AS VARCHAR(20)) AS policy_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey,l_linenumber,l_suppkey,l_extendedprice) AS ord, 'quantity at least '||CAST(CAST(l_quantity AS INT) AS VARCHAR(20))||' with status '||l_linestatus||' and flag '||l_returnflag AS description FROM {lineitem}) q""",
+        r"""SELECT policy_id, ord, policy_id||'_c'||CAST(ord AS VARCHAR(20)) AS condition_id, description FROM (SELECT 'p'||CAST(l_partkey AS VARCHAR(20)) AS policy_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey,l_linenumber,l_suppkey,l_extendedprice) AS ord, 'quantity at least '||CAST(CAST(l_quantity AS INT) AS VARCHAR(20))||' with status '||l_linestatus||' and flag '||l_returnflag AS description FROM {lineitem}) q""",
     ),
     "tree_nodes": (
         r"""SELECT tree_id, idx AS node_id, CASE WHEN idx>1 THEN CAST(floor(idx/2) AS BIGINT) END AS parent_node_id, CASE WHEN idx=1 THEN NULL WHEN idx%2=0 THEN 'yes' ELSE 'no' END AS answer, idx%2 AS sibling_ord, CASE WHEN 2*idx>n THEN 'outcome' ELSE 'question' END AS node_type, CASE WHEN 2*idx>n THEN lower(c_mktsegment) END AS outcome_type FROM (SELECT c_nationkey AS tree_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS idx, count(*) OVER (PARTITION BY c_nationkey) AS n, c_mktsegment FROM {customer}) q""",

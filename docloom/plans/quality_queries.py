@@ -6,25 +6,17 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.operators import entities as E
-from docloom.operators import hierarchy as H
 from docloom.operators import jobs
 from docloom.operators import quality as Q
-from docloom.operators.simjoin import similar_pairs
 from docloom.plans.document_queries import packed
 from docloom.plans.registration import Registry
 from docloom.plans.text_queries import kept, set_jaccard, word_list
-from docloom.plans.tree_queries import DEPTH, KIDS
 
 registry = Registry()
 query = registry.query
 
 COUNTS = "SELECT policy_id, count(*) AS n_conditions FROM {conditions} GROUP BY policy_id"
 PARENTS = "SELECT DISTINCT job_id, parent_id AS policy_id FROM {policies} WHERE parent_id IS NOT NULL"
-PAGE = "(p.ord % 9 + 1)"
-
-
-def page():
-    return F.col("ord") % 9 + 1
 
 
 def any_word(text: str, words) -> str:
@@ -42,38 +34,6 @@ def e05_filter_low_quality(p, c):
     return E.quality_filter(p, E.condition_counts(c)).select("job_id", "ord", "policy_id")
 
 
-UMBRELLA = f"""c AS ({COUNTS}), h AS ({PARENTS}), u AS (SELECT p.job_id, p.policy_id, p.ord, CASE WHEN {any_word("lower(title)", E.UMBRELLA_WORDS)} THEN 2 ELSE 0 END + CASE WHEN len(string_split(trim(description), ' ')) > 25 THEN 1 ELSE 0 END + CASE WHEN coalesce(n_conditions, 0) >= 3 THEN 1 ELSE 0 END
-      + CASE WHEN h.policy_id IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN {PAGE} <= 3 THEN 1 ELSE 0 END AS score FROM {{policies}} p LEFT JOIN c ON c.policy_id = p.policy_id LEFT JOIN h ON h.job_id = p.job_id AND h.policy_id = p.policy_id),
-    us AS (SELECT *, score >= 2 OR (max(score) OVER (PARTITION BY job_id) < 2 AND row_number() OVER (PARTITION BY job_id ORDER BY score DESC, ord) <= 3) AS is_umbrella FROM u)"""
-
-
-@query(f"WITH {UMBRELLA} SELECT job_id, policy_id, ord, CAST(score AS INT) AS score, is_umbrella FROM us", "policies", "conditions")
-def e09_r05_umbrella_score(p, c):
-    return E.umbrella_scores(p, E.condition_counts(c), page())
-
-
-WORDS = f"SELECT p.job_id, p.policy_id, p.ord, list_distinct({kept(word_list("title || ' ' || description"), X.KEYWORD_STOP, 3)}) AS words, list_distinct(string_split(lower(title), ' ')) AS tw, {PAGE} AS page FROM {{policies}} p"
-
-
-@query(
-    f"""WITH {UMBRELLA}, w AS ({WORDS}), m AS (SELECT a.job_id, a.policy_id, b.policy_id AS parent_id, b.ord AS b_ord, 0.5 * CASE WHEN len(a.words) > 0 THEN CAST(len(list_intersect(a.words, b.words)) AS DOUBLE) / len(a.words) ELSE 0 END * CASE WHEN len(list_intersect(list_intersect(a.words, b.words), ['bariatric', 'surgery', 'adolescent', 'criteria', 'bmi', 'obesity'])) > 0 THEN 1.2 ELSE 1 END
-      + 0.15 / (1 + abs(a.page - b.page)) + 0.2 * CAST(len(list_intersect(a.tw, b.tw)) AS DOUBLE) / greatest(len(a.tw), len(b.tw)) AS score FROM w a JOIN us x ON x.job_id = a.job_id AND x.policy_id = a.policy_id AND NOT x.is_umbrella JOIN us y ON y.job_id = a.job_id AND y.is_umbrella JOIN w b ON b.job_id = y.job_id AND b.policy_id = y.policy_id)
-    SELECT job_id, policy_id, parent_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY job_id, policy_id ORDER BY round(score, 9) DESC, b_ord) AS nth FROM m WHERE round(score, 9) > 0.2) q WHERE nth = 1""",
-    "policies",
-    "conditions",
-)
-def e10_r06_best_parent(p, c):
-    scores = E.umbrella_scores(p, E.condition_counts(c), page()).select("job_id", "policy_id", "is_umbrella")
-    rows = E.with_keywords(p, page()).join(scores, ["job_id", "policy_id"])
-    return E.best_parents(rows.where("not is_umbrella").drop("is_umbrella"), rows.where("is_umbrella").drop("is_umbrella")).withColumn("score", F.round("score", 6))
-
-
-@query(None, "policies")
-def e06_e07_merge_similar(p):
-    """Greedy leader clusters by semantic title similarity; checked against a plain loop in the tests."""
-    return E.merged_groups(p, E.merge_similar(p)).withColumn("confidence", F.round("confidence", 6))
-
-
 @query("SELECT user_id AS job_id, event_type AS term, event_id AS definition FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS nth FROM {events}) q WHERE nth = 1", "events")
 def e14_definition_merge(t):
     return E.last_definitions(t.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("term"), F.col("event_id").alias("definition"), F.col("event_id").alias("chunk_ord")))
@@ -90,28 +50,99 @@ def e02_e03_typed_policies(t):
     return E.typed_policies(t.select(F.col("p_partkey").alias("response_id"), fenced.alias("content")))
 
 
-ISSUES = """SELECT 'error' AS severity, 'missing_title' AS issue_type, policy_id AS location FROM {policies} WHERE trim(coalesce(title, '')) = '' UNION ALL SELECT 'warning', 'missing_description', policy_id FROM {policies} WHERE trim(coalesce(description, '')) = ''
+# A policy in three has no source; jobs are those of the policies and five more.
+ISSUES = """SELECT 'warning' AS severity, 'missing_title' AS issue_type, policy_id AS location FROM {policies} WHERE coalesce(CASE WHEN ord % 29 = 3 THEN '' ELSE title END, '') = '' UNION ALL SELECT 'warning', 'missing_description', policy_id FROM {policies} WHERE ord % 31 = 4
+    UNION ALL SELECT 'error', 'missing_source_reference', policy_id FROM {policies} WHERE ord % 3 = 1 UNION ALL SELECT 'error', 'missing_policies', 'job ' || CAST(job_id + 5 AS VARCHAR) FROM (SELECT DISTINCT job_id FROM {policies}) j WHERE job_id + 5 NOT IN (SELECT job_id FROM {policies})
     UNION ALL SELECT 'warning', 'low_confidence', policy_id FROM {policies} WHERE confidence < 0.7 UNION ALL SELECT 'error', 'invalid_parent_reference', policy_id FROM {policies} p WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {policies} q WHERE q.job_id = p.job_id AND q.policy_id = p.parent_id)"""
 
 
+def policy_issues(p):
+    rows = p.withColumns({"title": F.when(F.col("ord") % 29 == 3, "").otherwise(F.col("title")), "description": F.when(F.col("ord") % 31 != 4, F.col("description"))})
+    return Q.hierarchy_issues(rows, p.where("ord % 3 <> 1"), p.select((F.col("job_id") + 5).alias("job_id")).distinct())
+
+
 @query(ISSUES, "policies")
 def v02_validate_hierarchy(p):
-    return Q.hierarchy_issues(p)
+    return policy_issues(p)
+
+
+# Trees with every fault: no root, a node under its own child, questions without text or children, outcomes without type or with children.
+BROKEN = """SELECT tree_id, node_id, parent_node_id, sibling_ord, CASE WHEN node_id % 17 = 0 THEN 'outcome' WHEN node_id % 19 = 0 THEN 'question' ELSE node_type END AS node_type, CASE WHEN node_id % 11 <> 0 THEN CASE WHEN node_id % 13 = 0 THEN 'Short?' ELSE 'Is criterion ' || CAST(node_id AS VARCHAR) || ' met?' END END AS question_text,
+    CASE WHEN node_id % 3 = 0 THEN 'why' END AS explanation, CASE WHEN node_id % 9 <> 0 THEN outcome_type END AS outcome_type, node_id % 2 = 0 AS has_source FROM (SELECT tree_id, node_id, parent_node_id, sibling_ord, node_type, outcome_type FROM {tree_nodes} UNION ALL SELECT tree_id, node_id, 5, 9, node_type, outcome_type FROM {tree_nodes} WHERE node_id = 2 AND tree_id % 4 = 0) q WHERE NOT (node_id = 1 AND tree_id % 10 = 3)"""
+WALKED = f"""n AS ({BROKEN}), k AS (SELECT tree_id, parent_node_id AS node_id, count(*) AS n_children FROM n WHERE parent_node_id IS NOT NULL GROUP BY 1, 2), f AS (SELECT DISTINCT n.tree_id, n.node_id, node_type, question_text, outcome_type, has_source, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.tree_id = n.tree_id AND k.node_id = n.node_id),
+    w AS (SELECT tree_id, node_id, [node_id] AS path, FALSE AS cyclic FROM n WHERE parent_node_id IS NULL UNION ALL SELECT n.tree_id, n.node_id, list_append(w.path, n.node_id), list_contains(w.path, n.node_id) FROM w JOIN n ON n.tree_id = w.tree_id AND n.parent_node_id = w.node_id WHERE NOT w.cyclic),
+    x AS (SELECT f.*, CAST(f.tree_id AS VARCHAR) || '/' || CAST(f.node_id AS VARCHAR) AS location FROM w JOIN f ON f.tree_id = w.tree_id AND f.node_id = w.node_id WHERE NOT cyclic)"""
+TREE_ISSUES = """SELECT 'error' AS severity, 'missing_root_node' AS issue_type, CAST(tree_id AS VARCHAR) AS location FROM (SELECT DISTINCT tree_id FROM {tree_nodes}) t WHERE tree_id NOT IN (SELECT tree_id FROM n WHERE parent_node_id IS NULL)
+    UNION ALL SELECT 'error', 'circular_reference', CAST(tree_id AS VARCHAR) || '/' || CAST(node_id AS VARCHAR) FROM w WHERE cyclic UNION ALL SELECT 'error', 'missing_question', location FROM x WHERE node_type = 'question' AND question_text IS NULL UNION ALL SELECT 'warning', 'dead_end', location FROM x WHERE node_type = 'question' AND n_children = 0
+    UNION ALL SELECT 'error', 'missing_outcome', location FROM x WHERE node_type = 'outcome' AND outcome_type IS NULL UNION ALL SELECT 'warning', 'outcome_with_children', location FROM x WHERE node_type = 'outcome' AND n_children > 0 UNION ALL SELECT 'warning', 'missing_source_reference', location FROM x WHERE node_type = 'outcome' AND NOT has_source"""
+QUESTION_ISSUES = """SELECT 'warning' AS severity, 'short_question' AS issue_type, CAST(tree_id AS VARCHAR) || '/' || CAST(node_id AS VARCHAR) AS location FROM n WHERE node_type = 'question' AND length(question_text) < 10 UNION ALL SELECT 'info', 'missing_explanation', CAST(tree_id AS VARCHAR) || '/' || CAST(node_id AS VARCHAR) FROM n WHERE node_type = 'question' AND question_text IS NOT NULL AND explanation IS NULL"""
+
+
+def broken(n):
+    """The faulty trees of ``BROKEN``."""
+    again = n.where("node_id = 2 and tree_id % 4 = 0").withColumns({"parent_node_id": F.lit(5).cast("long"), "sibling_ord": F.lit(9).cast(n.schema["sibling_ord"].dataType)})
+    i = F.col("node_id")
+    rows = n.unionByName(again).where("not (node_id = 1 and tree_id % 10 = 3)")
+    text = F.when(i % 11 != 0, F.when(i % 13 == 0, "Short?").otherwise(F.concat(F.lit("Is criterion "), i.cast("string"), F.lit(" met?"))))
+    return rows.withColumns(
+        {"node_type": F.when(i % 17 == 0, "outcome").when(i % 19 == 0, "question").otherwise(F.col("node_type")), "question_text": text, "explanation": F.when(i % 3 == 0, "why"), "outcome_type": F.when(i % 9 != 0, F.col("outcome_type")), "has_source": i % 2 == 0}
+    )
+
 
+@query(f"WITH RECURSIVE {WALKED} {TREE_ISSUES}", "tree_nodes")
+def v03_v04_tree_issues(n):
+    return Q.tree_issues(broken(n), n)
 
-TREE_ISSUES = f"""SELECT 'error' AS severity, 'dead_end' AS issue_type, CAST(t.tree_id AS VARCHAR) || '/' || CAST(t.node_id AS VARCHAR) AS location FROM {{tree_nodes}} t LEFT JOIN ({KIDS}) k ON t.tree_id = k.tree_id AND t.node_id = k.node_id WHERE node_type = 'question' AND k.node_id IS NULL
-    UNION ALL SELECT 'warning', 'outcome_with_children', CAST(t.tree_id AS VARCHAR) || '/' || CAST(t.node_id AS VARCHAR) FROM {{tree_nodes}} t JOIN ({KIDS}) k ON t.tree_id = k.tree_id AND t.node_id = k.node_id WHERE node_type = 'outcome'
-    UNION ALL SELECT 'error', 'missing_outcome', CAST(t.tree_id AS VARCHAR) || '/' || CAST(t.node_id AS VARCHAR) FROM {{tree_nodes}} t WHERE node_type = 'outcome' AND outcome_type IS NULL"""
 
+@query(f"WITH n AS ({BROKEN}) {QUESTION_ISSUES}", "tree_nodes")
+def v06_question_issues(n):
+    return Q.question_issues(broken(n).where("node_type = 'question'"))
+
+
+# A tree for two policies in three, some with wrong flags, missing children and other parents.
+AGGREGATORS = """tr AS (SELECT p.policy_id, p.parent_id, ord % 2 = 0 AS is_aggregator, k.kids IS NOT NULL AS has_kids, coalesce(missing, 0) AS missing, CASE WHEN ord % 7 = 0 THEN 'px' ELSE p.parent_id END AS parent_policy_id FROM {policies} p LEFT JOIN (SELECT job_id, parent_id, count(*) AS kids, count(*) FILTER (WHERE ord % 5 = 0) AS missing FROM {policies} WHERE parent_id IS NOT NULL GROUP BY 1, 2) k ON k.job_id = p.job_id AND k.parent_id = p.policy_id WHERE ord % 3 <> 2)"""
+AGGREGATOR_ISSUES = """SELECT 'info' AS severity, 'aggregator_metadata_missing' AS issue_type, policy_id AS location FROM tr WHERE has_kids AND NOT is_aggregator UNION ALL SELECT 'warning', 'missing_child_references', policy_id FROM tr WHERE missing > 0 UNION ALL SELECT 'warning', 'incorrect_aggregator_flag', policy_id FROM tr WHERE NOT has_kids AND is_aggregator
+    UNION ALL SELECT 'warning', 'parent_mismatch', policy_id FROM tr WHERE parent_id IS NOT NULL AND parent_policy_id <> parent_id"""
 
-@query(TREE_ISSUES, "tree_nodes")
-def v03_v04_tree_issues(n):
-    return Q.tree_issues(n)
 
+def aggregators(p):
+    kids = p.where("parent_id is not null and ord % 5 <> 0").groupBy("job_id", F.col("parent_id").alias("policy_id")).agg(F.collect_list("policy_id").alias("child_policy_ids"))
+    rows = p.where("ord % 3 <> 2").join(kids, ["job_id", "policy_id"], "left")
+    return rows.select("policy_id", (F.col("ord") % 2 == 0).alias("is_aggregator"), "child_policy_ids", F.when(F.col("ord") % 7 == 0, "px").otherwise(F.col("parent_id")).alias("parent_policy_id"))
 
-@query(f"SELECT issue_type, count(*) FILTER (WHERE severity = 'error') AS error, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'info') AS info FROM ({ISSUES} UNION ALL {TREE_ISSUES}) i GROUP BY issue_type", "policies", "tree_nodes")
+
+@query(f"WITH {AGGREGATORS} {AGGREGATOR_ISSUES}", "policies")
+def v08_hierarchical_completeness(p):
+    return Q.aggregator_issues(p, aggregators(p))
+
+
+@query(
+    f"WITH RECURSIVE {WALKED}, {AGGREGATORS}, i AS ({ISSUES} UNION ALL {TREE_ISSUES} UNION ALL {QUESTION_ISSUES} UNION ALL {AGGREGATOR_ISSUES}) SELECT issue_type, count(*) FILTER (WHERE severity = 'error') AS error, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'info') AS info FROM i GROUP BY issue_type",
+    "policies",
+    "tree_nodes",
+)
 def v01_v16_issue_summary(p, n):
-    return Q.by_severity(Q.hierarchy_issues(p).unionByName(Q.tree_issues(n)))
+    nodes = broken(n)
+    return Q.by_severity(policy_issues(p).unionByName(Q.tree_issues(nodes, n)).unionByName(Q.question_issues(nodes.where("node_type = 'question'"))).unionByName(Q.aggregator_issues(p, aggregators(p))))
+
+
+@query(
+    f"""WITH c AS ({COUNTS}), j AS (SELECT job_id, count(*) FILTER (WHERE confidence < 0.06) AS e, count(*) FILTER (WHERE confidence < 0.15) AS w, avg(CASE WHEN ord % 4 = 0 AND job_id % 3 = 0 THEN 0.0 ELSE 1.0 END) AS a, avg(least(1.0, CAST(p.ord % 60 AS DOUBLE) / n_conditions)) AS b, avg(CASE WHEN ord % 3 = 0 OR job_id % 2 = 0 THEN 1.0 ELSE 0.0 END) AS t FROM {{policies}} p LEFT JOIN c ON c.policy_id = p.policy_id GROUP BY job_id)
+    SELECT job_id, array_to_string(list_filter([CASE WHEN e > 0 THEN 'Address ' || CAST(e AS VARCHAR) || ' critical errors before using this output' END, CASE WHEN w > 5 THEN 'Review ' || CAST(w AS VARCHAR) || ' warnings to improve quality' END, CASE WHEN a < 0.9 THEN 'Some policies are missing decision trees - consider regenerating' END,
+      CASE WHEN b < 0.8 THEN 'Decision trees may not fully represent policy conditions - review for completeness' END, CASE WHEN t < 0.8 THEN 'Improve traceability by adding more source references' END], lambda x: x IS NOT NULL), '|') AS recommendations FROM j""",
+    "policies",
+    "conditions",
+)
+def v13_recommendations(p, c):
+    ord_, job = F.col("ord"), F.col("job_id")
+    rows = p.join(c.groupBy("policy_id").agg(F.count(F.lit(1)).alias("n_conditions")), "policy_id", "left").groupBy("job_id").agg(
+        F.count_if(F.col("confidence") < 0.06).alias("e"),
+        F.count_if(F.col("confidence") < 0.15).alias("w"),
+        F.avg(F.when((ord_ % 4 == 0) & (job % 3 == 0), 0.0).otherwise(1.0)).alias("a"),
+        F.avg(F.when(F.col("n_conditions").isNotNull(), F.least(F.lit(1.0), ord_ % 60 / F.col("n_conditions")))).alias("b"),
+        F.avg(F.when((ord_ % 3 == 0) | (job % 2 == 0), 1.0).otherwise(0.0)).alias("t"),
+    )
+    return rows.select("job_id", F.array_join(Q.recommendations(*(F.col(x) for x in "ewabt")), "|").alias("recommendations"))
 
 
 @query("SELECT job_id, count(*) FILTER (WHERE ord % 4 = 0) AS without_tree, round(avg(CASE WHEN ord % 4 = 0 THEN 0.0 ELSE 1.0 END), 6) AS completeness FROM {policies} GROUP BY job_id", "policies")
@@ -150,31 +181,6 @@ def v15_retry_merge(p):
     return jobs.latest_wins(p.select("policy_id", "title"), new, "policy_id")
 
 
-@query(
-    f"""{DEPTH}, s AS (SELECT job_id, count(*) AS n, count(*) FILTER (WHERE depth = 0) AS roots, max(depth) + 1 AS levels FROM pl GROUP BY job_id)
-    SELECT job_id, 'too_many_policies' AS issue FROM s WHERE n > 7 UNION ALL SELECT job_id, 'too_many_roots' FROM s WHERE roots > 4 UNION ALL SELECT job_id, 'insufficient_depth' FROM s WHERE levels < 2""",
-    "policies",
-)
-def q08_hierarchy_metrics(p):
-    return Q.hierarchy_metrics(H.plan(p))
-
-
-def class_pairs(rows: str, threshold: float) -> str:
-    """Pairs of rows(g, o, id, t): between first rows of equal sets, and from those to the others of the set."""
-    return f"""m AS (SELECT *, min(o) OVER (PARTITION BY g, list_sort(t)) AS first FROM ({rows}) r WHERE len(t) > 0),
-    pairs AS (SELECT x.g, x.o AS a, y.o AS b, x.id AS a_id, y.id AS b_id, {set_jaccard("x.t", "y.t")} AS similarity FROM m x JOIN m y ON x.g = y.g AND x.o < y.o WHERE (x.o = x.first AND y.o = y.first AND {set_jaccard("x.t", "y.t")} >= {threshold}) OR y.first = x.o)"""
-
-
-@query(
-    f"""WITH {class_pairs(f"SELECT CAST(job_id AS VARCHAR) || '|' || coalesce(parent_id, '-') AS g, ord AS o, policy_id AS id, list_distinct({kept(word_list('title'), X.SIMILARITY_STOP)}) AS t FROM {{policies}}", 0.3)},
-    v AS (SELECT policy_id, list_distinct({kept(word_list("description"), X.VERIFIER_STOP)}) AS v FROM {{policies}}), s AS (SELECT a_id, b_id, similarity, {set_jaccard("va.v", "vb.v")} AS content FROM pairs JOIN v va ON va.policy_id = a_id JOIN v vb ON vb.policy_id = b_id)
-    SELECT a_id, b_id, round((similarity + content) / 2, 6) AS confidence FROM s WHERE content > 0.3""",
-    "policies",
-)
-def q01_duplicate_policies(p):
-    return Q.duplicate_policies(p, 0.3, 0.3).withColumn("confidence", F.round("confidence", 6))
-
-
 @query(
     f"""WITH t AS (SELECT policy_id, condition_id, list_distinct({kept(word_list("description"), X.VERIFIER_STOP)}) AS t FROM {{conditions}}), p AS (SELECT a.policy_id AS a_id, b.policy_id AS b_id FROM {{policies}} a JOIN {{policies}} b ON a.job_id = b.job_id AND a.ord + 1 = b.ord),
     m AS (SELECT a_id, b_id, x.condition_id, max({set_jaccard("x.t", "y.t")}) AS best FROM p JOIN t x ON x.policy_id = a_id JOIN t y ON y.policy_id = b_id GROUP BY 1, 2, 3) SELECT a_id, b_id, round(avg(best), 6) AS similarity FROM m GROUP BY 1, 2""",
@@ -187,15 +193,6 @@ def q02_condition_similarity(p, c):
     return Q.condition_similarity(a.join(b, ["job_id", "ord"]), c).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(
-    f"""WITH c AS (SELECT policy_id, condition_id, list_distinct({kept(word_list("description"), X.KEYWORD_STOP, 3)}) AS t FROM {{conditions}}), q AS (SELECT policy_id, list_distinct({kept(word_list("description"), X.KEYWORD_STOP, 3)}) AS q FROM {{conditions}} WHERE ord <= 2),
-    h AS (SELECT c.policy_id, c.condition_id, bool_or(CAST(len(list_intersect(q, t)) AS DOUBLE) / greatest(len(t), 1) > 0.5) AS hit FROM c JOIN q ON c.policy_id = q.policy_id GROUP BY 1, 2) SELECT policy_id, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS covered FROM h GROUP BY policy_id""",
-    "conditions",
-)
-def q05_q06_tree_completeness(c):
-    return Q.covered_conditions(c, c.where("ord <= 2").select("policy_id", F.col("description").alias("question"))).withColumn("covered", F.round("covered", 6))
-
-
 @query(
     f"""WITH RECURSIVE t AS (SELECT policy_id, ord, condition_id, list_distinct({word_list("description")}) AS t FROM {{conditions}}),
     f AS (SELECT policy_id, ord, condition_id, [t] AS kept, TRUE AS stays FROM t WHERE ord = 1 UNION ALL SELECT t.policy_id, t.ord, t.condition_id, CASE WHEN len(list_filter(f.kept, lambda k: CAST(len(list_intersect(k, t.t)) AS DOUBLE) / len(list_distinct(list_concat(k, t.t))) > 0.7)) = 0 THEN list_append(f.kept, t.t) ELSE f.kept END,
@@ -218,28 +215,6 @@ def r01_merge_survivors(t):
     return Q.survivors(t.where((key % 3 > 0) & (key > 3)).select(name(key - key % 3 - 1).alias("a_id"), name(key).alias("b_id")))
 
 
-@query(
-    f"""WITH {class_pairs(f"SELECT doc_id % 7 AS g, doc_id AS o, doc_id AS id, list_distinct({kept(word_list('text'), X.SIMILARITY_STOP)}) AS t FROM {{documents}}", 0.75)} SELECT a, b, round(similarity, 6) AS similarity, CASE WHEN similarity > 0.9 THEN 'MERGE' WHEN similarity > 0.8 THEN 'REVIEW' ELSE 'MONITOR' END AS recommendation FROM pairs""",
-    "documents",
-)
-def c19_p34_duplicate_chunks(t):
-    rows = t.select((F.col("doc_id") % 7).alias("g"), "doc_id", X.similarity_tokens(F.col("text")).alias("tokens"))
-    found = similar_pairs(rows, "g", "doc_id", "tokens", 0.75)
-    return found.select("a", "b", F.round("similarity", 6).alias("similarity"), X.merge_recommendation(F.col("similarity")).alias("recommendation"))
-
-
-@query(
-    f"""{DEPTH}, s AS (SELECT job_id, max(depth) AS d, count(*) FILTER (WHERE depth = 0) AS roots, count(*) AS n FROM pl GROUP BY job_id), c AS (SELECT *, greatest(0.0, 0.9 - 0.05 * (n % 4) - 0.1 * CASE WHEN n > 7 THEN 1 ELSE 0 END - 0.02 * CASE WHEN roots > 4 THEN 1 ELSE 0 END) AS c FROM s)
-    SELECT job_id, round(c, 6) AS confidence, n % 4 > 0 OR n > 7 OR c < 0.95 AS needs_refinement, CASE WHEN n % 4 > 0 THEN 'refine' WHEN c < 0.95 THEN 'reverify' ELSE 'complete' END AS next_step FROM c""",
-    "policies",
-)
-def q11_q12_q15_verification(p):
-    s = H.overview(H.plan(p))
-    c = F.greatest(F.lit(0.0), 0.9 - 0.05 * (F.col("total") % 4) - 0.1 * (F.col("total") > 7).cast("int") - 0.02 * (F.col("roots") > 4).cast("int"))
-    s = s.withColumn("c", c)
-    return s.select("job_id", F.round("c", 6).alias("confidence"), ((F.col("total") % 4 > 0) | (F.col("total") > 7) | (F.col("c") < 0.95)).alias("needs_refinement"), F.when(F.col("total") % 4 > 0, "refine").when(F.col("c") < 0.95, "reverify").otherwise("complete").alias("next_step"))
-
-
 @query(
     """WITH RECURSIVE s AS (SELECT doc_id, page_number, greatest(1, length(text) // 4) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY page_number) AS i FROM {doc_pages}),
     f AS (SELECT doc_id, n, i, 0 AS grp, n AS filled FROM s WHERE i = 1 UNION ALL SELECT s.doc_id, s.n, s.i, CASE WHEN f.filled + s.n > 400 THEN f.grp + 1 ELSE f.grp END, CASE WHEN f.filled + s.n > 400 THEN s.n ELSE f.filled + s.n END FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1),

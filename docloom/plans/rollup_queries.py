@@ -10,7 +10,6 @@ from docloom.operators import jobs
 from docloom.operators import rollups as R
 from docloom.operators import structure as D
 from docloom.plans.document_queries import SECTIONS
-from docloom.plans.quality_queries import page
 from docloom.plans.registration import Registry
 from docloom.plans.tree_queries import DEPTH
 
@@ -75,17 +74,6 @@ def e08_e12_hierarchy_levels(p):
     return H.plan(p).select("job_id", "policy_id", F.col("depth").alias("level"), "root")
 
 
-@query(None, "policies", "conditions")
-def e11_r03_r04_reparent(p, c):
-    """Roots that are no umbrellas move under their best umbrella; held against E10's SQL in its own query."""
-    scores = E.umbrella_scores(p, E.condition_counts(c), page()).select("job_id", "policy_id", "is_umbrella")
-    rows = E.with_keywords(p, page()).join(scores, ["job_id", "policy_id"])
-    roots = p.where("parent_id is null").select("job_id", "policy_id")
-    best = E.best_parents(rows.where("not is_umbrella").drop("is_umbrella").join(roots, ["job_id", "policy_id"]), rows.where("is_umbrella").drop("is_umbrella"))
-    moved = best.select("policy_id", F.col("parent_id"))
-    return jobs.merged(p, moved, "policy_id").select("job_id", "policy_id", "parent_id")
-
-
 @query("SELECT job_id, event_id, event_type FROM {job_events} UNION ALL SELECT DISTINCT job_id, CAST(-1 AS BIGINT), 'created' FROM {job_events}", "job_events")
 def j07_history_append(t):
     return t.select("job_id", "event_id", "event_type").union(t.select("job_id").distinct().select("job_id", F.lit(-1).cast("long"), F.lit("created")))
@@ -94,5 +82,5 @@ def j07_history_append(t):
 @query("WITH k AS (SELECT DISTINCT parent_id FROM {policies} WHERE parent_id IS NOT NULL) SELECT policy_id FROM {policies} WHERE ord % 6 = 0 UNION SELECT policy_id FROM {policies} p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.parent_id = p.policy_id)", "policies")
 def r07_affected_trees(p):
     """Merge survivors, and all leaves once anything has moved."""
-    leaves = H.plan(p).where("is_leaf").select("policy_id")
+    leaves = H.leaves(p).select("policy_id")
     return p.where("ord % 6 = 0").select("policy_id").union(leaves).distinct()

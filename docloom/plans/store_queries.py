@@ -157,13 +157,6 @@ def t15_path_to_outcome(n):
     return T.first_path_to(n, "building").select("tree_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("SELECT p.policy_id, array_to_string(list_filter([CASE WHEN k.n IS NOT NULL AND p.ord % 2 = 0 THEN 'missing_aggregator_flag' END, CASE WHEN p.confidence < 0.5 THEN 'review_low_confidence' END], lambda x: x IS NOT NULL), ',') AS issues FROM {policies} p LEFT JOIN (SELECT job_id, parent_id, count(*) AS n FROM {policies} GROUP BY 1, 2) k ON k.job_id = p.job_id AND k.parent_id = p.policy_id", "policies")
-def v08_v13_v17_recommendations(p):
-    planned = H.plan(p).withColumn("flag", F.col("ord") % 2 != 0)
-    found = F.array_compact(F.array(F.when(~F.col("is_leaf") & ~F.col("flag"), F.lit("missing_aggregator_flag")), F.when(F.col("confidence") < 0.5, F.lit("review_low_confidence"))))
-    return planned.select("policy_id", F.array_join(found, ",").alias("issues"))
-
-
 @query("SELECT job_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS log FROM {job_events} GROUP BY job_id", "job_events")
 def w11_log_accumulator(t):
     listed = t.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("l"))

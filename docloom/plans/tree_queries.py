@@ -65,7 +65,7 @@ def e16_q10_orphans(p):
 
 @query("SELECT job_id, policy_id FROM {policies} p WHERE NOT EXISTS (SELECT 1 FROM {policies} q WHERE q.job_id = p.job_id AND q.parent_id = p.policy_id)", "policies")
 def t24_leaf_only(p):
-    return H.plan(p).where("is_leaf").select("job_id", "policy_id")
+    return H.leaves(p).select("job_id", "policy_id")
 
 
 REPEATED = "SELECT job_id, ord, CASE WHEN ord % 5 = 4 THEN 'p' || CAST((ord - 1) * 20 + job_id AS VARCHAR(20)) ELSE policy_id END AS policy_id, parent_id, title, description, confidence FROM {policies}"
