@@ -237,3 +237,11 @@ def typed_policies(responses: DataFrame) -> DataFrame:
     return rows.select(
         "response_id", "pos", "p.policy_id", F.coalesce("p.title", F.lit("Untitled Policy")).alias("title"), F.left("p.description", F.lit(500)).alias("description"), F.coalesce("p.level", F.lit(0)).alias("level"), F.coalesce("p.confidence", F.lit(0.7)).alias("confidence")
     )
+
+
+def extraction_summary(responses: DataFrame) -> DataFrame:
+    """(job_id, chunks, failed, policies): of ``responses(job_id, response_id, content)``, a chunk each; null or broken content has failed and is skipped."""
+    ok = responses.withColumn("ok", F.coalesce(X.json_value(F.col("content")).isNotNull(), F.lit(False)))
+    counts = ok.groupBy("job_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(~F.col("ok")).alias("failed"))
+    made = typed_policies(responses).join(responses.select("response_id", "job_id"), "response_id").groupBy("job_id").agg(F.count(F.lit(1)).alias("policies"))
+    return counts.join(made, "job_id", "left").withColumn("policies", F.coalesce("policies", F.lit(0)))

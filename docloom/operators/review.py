@@ -108,3 +108,49 @@ def time_estimate(kind: Column, items: Column) -> Column:
     for name, (setup, unit, rest) in TIMES.items():
         out = F.when(kind == name, setup + items * unit + rest).otherwise(out)
     return out
+
+
+def by_keys(table: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Rows of ``table`` whose key another table asks for."""
+    return table.join(asked.select(key).distinct(), key, "left_semi")
+
+
+def updated_status(sessions: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """``sessions`` with the status of ``changes(id, status, recommendation)``: a recommendation only where one is given, and the time of completion."""
+    new = changes.select("id", F.col("status").alias("__status"), F.nullif(F.col("recommendation"), F.lit("")).alias("__rec"))
+    return sessions.join(new, "id", "left").select(
+        "id",
+        F.coalesce("__status", "status").alias("status"),
+        F.coalesce("__rec", "final_recommendation").alias("final_recommendation"),
+        F.when(F.col("__status").isin("Completed", "completed"), now).otherwise(F.col("completed_at")).alias("completed_at"),
+    )
+
+
+def approved(questionnaires: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """``questionnaires(id, ..., is_approved, approved_at)`` with those of ``asked(id)`` approved at ``now``."""
+    marked = questionnaires.join(asked.select("id", F.lit(True).alias("__now")).distinct(), "id", "left")
+    hit = F.coalesce("__now", F.lit(False))
+    return marked.select(*[(F.col("is_approved") | hit).alias(c) if c == "is_approved" else F.when(hit, now).otherwise(F.col(c)).alias(c) if c == "approved_at" else F.col(c) for c in questionnaires.columns])
+
+
+def pending(sessions: DataFrame) -> DataFrame:
+    return sessions.where(F.col("status").isin("pending", "Pending"))
+
+
+def decided(sessions: DataFrame) -> DataFrame:
+    """Completed sessions with a recommendation."""
+    return sessions.where((F.col("status") == "completed") & (F.coalesce("final_recommendation", F.lit("")) != ""))
+
+
+def reconciled_name(entered: Column, extracted: Column) -> Column:
+    """The extracted name where it is a real one and longer."""
+    real = (F.coalesce(extracted, F.lit("")) != "") & (extracted != "Not Found")
+    return F.when(real & (F.length(F.trim(extracted)) > F.length(F.trim(entered))), extracted).otherwise(entered)
+
+
+def answer_payload(answers: DataFrame) -> DataFrame:
+    """What a decision gets of each of ``answers(id, answer_text, reasoning, clinical_rationale, source_page_number)``."""
+    reasoning = F.coalesce(F.nullif(F.col("reasoning"), F.lit("")), F.nullif(F.col("clinical_rationale"), F.lit("")), F.lit(""))
+    confidence = F.when(F.col("answer_text").isin("NOT_FOUND", "Not Found"), 0).otherwise(95)
+    pages = F.when(F.coalesce("source_page_number", F.lit(0)) != 0, F.col("source_page_number").cast("string")).otherwise("")
+    return answers.select("id", "answer_text", reasoning.alias("reasoning"), confidence.alias("confidence_score"), pages.alias("page_references"))

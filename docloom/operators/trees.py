@@ -169,3 +169,10 @@ def parse_nodes(trees: DataFrame) -> DataFrame:
         )
         if level.isEmpty():
             return found
+
+
+def find_nodes(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked(tree_id, node_id)`` with ``found`` and the columns of the node: the first in pre-order that a root reaches."""
+    walked = root_paths(nodes, "false").where(~F.col("cyclic")).groupBy("tree_id", "node_id").agg(F.min("ords").alias("ords"))
+    known = nodes.join(walked.select("tree_id", "node_id"), ["tree_id", "node_id"], "left_semi").dropDuplicates(["tree_id", "node_id"]).withColumn("found", F.lit(True))
+    return asked.join(known, ["tree_id", "node_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -27,11 +27,6 @@ def j03_policy_name_exists(o, c):
     return o.join(known, "o_custkey", "left").select("o_orderkey", F.coalesce("hit", F.lit(False)).alias("name_exists"))
 
 
-@query("SELECT job_id, status, created_at FROM {jobs} WHERE job_id % 100 = 7", "jobs")
-def j05_get_job(t):
-    return t.where("job_id % 100 = 7").select("job_id", "status", "created_at")
-
-
 @query(
     """SELECT job_id, min(CASE WHEN event_type = 'processing' THEN ts END) AS started_at, max(CASE WHEN event_type IN ('completed', 'failed') THEN ts END) AS completed_at,
     arg_max(event_type, event_id) AS status, round(CAST(epoch_us(max(CASE WHEN event_type IN ('completed', 'failed') THEN ts END)) - epoch_us(min(CASE WHEN event_type = 'processing' THEN ts END)) AS DOUBLE) / 1000000, 3) AS duration_s

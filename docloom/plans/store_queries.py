@@ -16,12 +16,6 @@ registry = Registry()
 query = registry.query
 
 
-@query("SELECT job_id, status, created_at FROM {jobs} WHERE status = 'failed'", "jobs")
-def a01_a02_a09_a35_a36_filters(t):
-    """Filters by one column: approved, by policy, by session, pending and decided."""
-    return t.where("status = 'failed'").select("job_id", "status", "created_at")
-
-
 @query("SELECT job_id, created_at FROM {jobs} WHERE status = 'completed'", "jobs")
 def j04_get_all_policies(t):
     return t.where("status = 'completed'").select("job_id", "created_at").orderBy(F.desc("created_at"), "job_id")
@@ -40,14 +34,6 @@ def a08_sessions_by_application(o):
     return listed.select("o_custkey", "n", F.array_join(F.transform("s", lambda x: x["o_orderkey"].cast("string")), ",").alias("sessions"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'edited' ELSE p_name END AS p_name, CASE WHEN p_partkey % 6 = 0 THEN 1 ELSE p_size END AS p_size FROM {part}", "part")
-def a05_a39_a42_s11_t22_edits(t):
-    """Non-null columns of a change table overwrite by key."""
-    key = F.col("p_partkey")
-    changes = t.where(key % 3 == 0).select("p_partkey", F.lit("edited").alias("p_name"), F.when(key % 6 == 0, 1).cast(t.schema["p_size"].dataType).alias("p_size"))
-    return jobs.merged(t, changes, "p_partkey").select("p_partkey", "p_name", "p_size")
-
-
 @query("SELECT p_partkey FROM {part} WHERE p_partkey % 7 <> 0", "part")
 def a06_delete_question(t):
     return jobs.without_keys(t, t.where("p_partkey % 7 = 0"), "p_partkey").select("p_partkey")
@@ -97,13 +83,6 @@ def a29_a33_chunk_cost_rollup(t):
     return t.groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("cost"), F.max_by("event_type", known).alias("model"))
 
 
-@query("SELECT o_orderkey, CASE WHEN length(o_orderpriority) > length(o_orderstatus) THEN o_orderpriority ELSE o_orderstatus END AS name, CASE WHEN o_orderstatus <> 'F' THEN 95 ELSE 0 END AS confidence, o_orderpriority AS reasoning FROM {orders}", "orders")
-def a37_a38_answer_payload(o):
-    longer = F.when(F.length("o_orderpriority") > F.length("o_orderstatus"), F.col("o_orderpriority")).otherwise(F.col("o_orderstatus"))
-    found = review.found(F.when(F.col("o_orderstatus") == "F", review.NOT_FOUND).otherwise(F.col("o_orderstatus")))
-    return o.select("o_orderkey", longer.alias("name"), F.when(found, 95).otherwise(0).alias("confidence"), F.coalesce(F.nullif(F.lit(""), F.lit("")), "o_orderpriority").alias("reasoning"))
-
-
 RESULT = "struct<policies:array<string>,trees:array<string>,issues:array<struct<severity:string>>>"
 
 
@@ -122,16 +101,6 @@ def s02_s03_error_page_stub(p):
     return p.select("doc_id", "page_number", F.coalesce(text, F.lit("")).alias("text"), F.when(text.isNull(), 0).otherwise(X.approx_tokens(text)).alias("tokens"), F.when(text.isNull(), "unreadable").alias("error"))
 
 
-@query("SELECT job_id, '{\"job_id\":' || CAST(job_id AS VARCHAR) || ',\"status\":\"' || status || '\"}' AS json FROM {jobs}", "jobs")
-def s13_s14_export_json(t):
-    return t.select("job_id", F.to_json(F.struct("job_id", "status")).alias("json"))
-
-
-@query("SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice, coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_discount END, 0) AS confidence FROM {lineitem}", "lineitem")
-def s17_save_answers(t):
-    return t.select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", F.coalesce(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount")), F.lit(0)).alias("confidence"))
-
-
 @query("SELECT p.doc_id, p.page_number, t.primary_type AS image FROM {doc_pages} p LEFT JOIN {page_types} t ON t.doc_id = p.doc_id AND t.page_number = p.page_number AND t.page_number <= 2", "doc_pages", "page_types")
 def s18_c28_attach_page_images(p, t):
     images = t.where("page_number <= 2").select("doc_id", "page_number", F.col("primary_type").alias("image"))
