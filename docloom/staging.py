@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +60,18 @@ def drop(*tables: DataFrame) -> None:
             _remove(_staged.pop(path), path)
 
 
+@contextlib.contextmanager
+def temporary() -> Iterator[list[DataFrame]]:
+    """Tables staged within are deleted at its end, but for those that were put into the list that it gives."""
+    before, kept = set(_staged), []
+    try:
+        yield kept
+    finally:
+        stay = {getattr(table, "_staged_path", None) for table in kept}
+        for path in [p for p in _staged if p not in before and p not in stay]:
+            _remove(_staged.pop(path), path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
