@@ -44,7 +44,7 @@ CUES = ["account", "acct", "iban", "passport", "ssn", "token", "secret", "passwo
 IBAN_MOST = 34  # fixed value: the longest IBAN of the standard
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
-_SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")  # keeps every offset, as lower() doesn't
+_SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")  # keeps every offset, where lower() makes two letters of one
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP, _CARD, _PHONE = (re.compile(PATTERNS[k]) for k in ("ip", "card", "phone"))
@@ -97,7 +97,8 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     text = text or ""
     ats, pluses, runs, schemes, cues = [], [], [], [], []
     run_end = -1
-    for end, (what, size) in anchors().iter(text.lower() if text.isascii() else text.translate(_SMALL)):
+    small = text.lower()
+    for end, (what, size) in anchors().iter(small if len(small) == len(text) else text.translate(_SMALL)):
         if what == "digit":
             if end != run_end:
                 runs.append(end)
