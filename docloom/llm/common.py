@@ -7,11 +7,11 @@ import contextlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.staging import drop, new_path, shared_dir, stage
+from docloom.staging import drop, new_path, shared_dir, stage, temporary
 
 BATCH_BYTES = 4 << 20
 
-__all__ = ["drop", "first_of_each", "new_path", "numbered", "read", "shared_dir", "shuffle_partitions", "shuffles_removed", "small_batches", "stage"]
+__all__ = ["drop", "first_of_each", "new_path", "numbered", "only_rows", "read", "shared_dir", "shuffle_partitions", "shuffles_removed", "small_batches", "stage", "temporary"]
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -25,8 +25,12 @@ def first_of_each(rows: DataFrame, classes: DataFrame) -> DataFrame:
     classes: __row, doc_id, tie, root, one row for each of ``rows``; root is the same within a class only.
     """
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "__row")
-    kept = stage(classes.groupBy("root").agg(F.min(order).alias("first")).select("first.__row"), "kept-rows")
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+    return only_rows(rows, stage(classes.groupBy("root").agg(F.min(order).alias("first")).select("first.__row"), "kept-rows"))
+
+
+def only_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """``numbered`` rows whose number ``kept`` has. Never a broadcast: what is kept grows with the table."""
+    return rows.join(kept.select("__row").hint("merge"), "__row", "left_semi").drop("__row")
 
 
 def small_batches(spark: SparkSession) -> None:
