@@ -5,11 +5,13 @@ Two texts are near copies if their sets' Jaccard similarity is 0.8 or more; a cl
 a connected component of near copies. No pair is missed: similarity is tested on whole
 sets, and every step before it only removes pairs that can't reach 0.8.
 
-Equal sets collapse to one by a 128-bit key. All shingles have one order: first those whose hash
-is below ``HOME`` of its range, the rarest first, then the others by hash. Of two sets of
-0.8 or more, each has one of its first ``n - ceil(0.8 n) + 1`` shingles in the other. So
-only shingles below ``HOME`` (and of the few sets that have too few there, the next
-ones) are counted and joined; those that only one set has count but aren't indexed.
+Equal sets collapse to one by a 128-bit key. All shingles have one order, the rarest
+first. Of two sets of 0.8 or more, each has one of its first ``n - ceil(0.8 n) + 1`` shingles in
+the other; those that only one set has count there but aren't indexed. Shingles are
+shuffled in two steps, so that few are: in the first only those whose hash is below
+``HOME`` (and, in sets that have too few of these, the next ones) are counted. A set that has so
+many to itself that its first ones are among them has no near copy. The sets
+that are left, and all their shingles, are counted again among themselves and indexed.
 
 At a common shingle, what is left of both sets bounds their overlap, and so does a sketch of
 512 bits: parities of how many shingles fall on each place, which differ in at most as many
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import drop, first_of_each, numbered, shuffles_removed, small_batches, stage
+from docloom.llm.common import drop, first_of_each, numbered, shuffles_removed, small_batches, stage, temporary
 from docloom.operators.iterate import components
 
 SHINGLE, SEED = 5, 42
@@ -92,6 +94,11 @@ def can_be_near(a: str, b: str) -> Column:
     return (9 * left >= 4 * n) & ring & (9 * sum(apart) <= n)
 
 
+def prefix_size(n: Column) -> Column:
+    """How many of its first shingles a set of ``n`` may need before one that a near copy has."""
+    return n - F.floor((4 * n + 4) / 5) + 1
+
+
 def leading_shingles(text: str | None) -> np.ndarray:
     """The text's shingles below ``HOME``, and where they are fewer than its prefix the next ones, ascending."""
     shingles = text_shingles(text)
@@ -99,27 +106,37 @@ def leading_shingles(text: str | None) -> np.ndarray:
     return shingles[: max(int(np.searchsorted(shingles, HOME)), prefix)]
 
 
-def shared_shingles(texts: DataFrame) -> DataFrame:
-    """(set_id, n, alone, rest, w): the indexed shingles of ``texts(set_id, text, n, home)``: those that other sets have too among the
-    first of each set, of which a near copy has one. rest: how many of the set's shingles may come after it; alone: the
-    share of the set's shingles below ``HOME`` that no other set has.
-    """
+def shared_by_sets(texts: DataFrame, some) -> tuple[DataFrame, DataFrame]:
+    """(set_id, w) of the shingles that ``some`` takes of each of ``texts(set_id, text)``, and (w, n_sets) of those that several sets have, a staged table."""
 
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([leading_shingles(t) for t in texts], dtype=object)
+        return pd.Series([some(t) for t in texts], dtype=object)
 
     grams = texts.select("set_id", F.explode(of("text")).alias("w"))
-    rarity = stage(grams.groupBy("w").agg(F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1"), "shared-shingles")
-    late = F.col("w") >= HOME
-    ordered = F.struct(late.alias("late"), F.when(late, 0).otherwise(F.col("n_sets")).alias("n_sets"), "w")
-    found = grams.join(rarity, "w").groupBy("set_id").agg(F.array_sort(F.collect_list(ordered)).alias("r"))
-    shared = F.size(F.filter("r", lambda x: ~x["late"]))
-    room = (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1 - (F.col("home") - shared)).cast("int")
-    rows = found.join(texts.select("set_id", "n", "home"), "set_id").withColumns({"shared": shared, "room": room}).where("room > 0")
-    index = rows.select("set_id", "n", (1 - F.col("shared") / F.greatest("home", F.lit(1))).alias("alone"), "shared", "home", F.posexplode(F.slice("r", F.lit(1), F.col("room"))).alias("pos", "x"))
-    rest = F.col("shared") - F.col("pos") - 1 + F.col("n") - F.col("home")
-    out = stage(index.select("set_id", "n", "alone", rest.alias("rest"), F.col("x.w").alias("w")), "rare-shingles")
+    return grams, stage(grams.groupBy("w").agg(F.count(F.lit(1)).alias("n_sets")).where("n_sets > 1"), "shared-shingles")
+
+
+def likely_sets(texts: DataFrame) -> DataFrame:
+    """``texts(set_id, text, n, home)`` without those that have too many shingles below ``HOME`` to themselves; a staged table."""
+    grams, rarity = shared_by_sets(texts, leading_shingles)
+    shared = grams.join(rarity, "w").groupBy("set_id").agg(F.count_if(F.col("w") < HOME).alias("shared"))
+    asked = stage(shared.join(texts.select("set_id", "n", "home"), "set_id").where(F.col("home") - F.col("shared") < prefix_size(F.col("n"))).select("set_id"), "likely-sets")
+    drop(rarity)
+    return stage(texts.join(asked.hint("merge"), "set_id", "left_semi"), "likely-texts", compression="zstd")
+
+
+def shared_shingles(texts: DataFrame) -> DataFrame:
+    """(set_id, n, alone, rest, w): the indexed shingles of ``texts(set_id, text, n)``: those that other sets have too among the
+    first of each set, of which a near copy has one; a staged table. rest: how many of the set's shared shingles come after
+    it; alone: the share of the set's shingles that no other set has.
+    """
+    grams, rarity = shared_by_sets(texts, text_shingles)
+    found = grams.join(rarity, "w").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("n_sets", "w"))).alias("r"))
+    k = F.size("r")
+    rows = found.join(texts.select("set_id", "n"), "set_id").withColumn("room", (prefix_size(F.col("n")) - (F.col("n") - k)).cast("int")).where("room > 0")
+    index = rows.select("set_id", "n", k.alias("k"), F.posexplode(F.slice("r", F.lit(1), F.col("room"))).alias("pos", "x"))
+    out = stage(index.select("set_id", "n", (1 - F.col("k") / F.col("n")).alias("alone"), (F.col("k") - F.col("pos") - 1).alias("rest"), F.col("x.w").alias("w")), "rare-shingles")
     drop(rarity)
     return out
 
@@ -129,9 +146,12 @@ def near_links(texts: DataFrame, bits: DataFrame) -> DataFrame:
 
     texts: set_id, text, n, home, a staged table, no two sets equal; bits: set_id, bits.
     """
-    indexed = shared_shingles(texts)
+    likely = likely_sets(texts)
+    drop(texts)
+    indexed = shared_shingles(likely)
     v = F.struct("set_id", "n", "rest", "alone", "bits").alias("v")
     index = stage(indexed.join(bits, "set_id").select("w", v), "rare-sets")
+    drop(indexed)
 
     @F.pandas_udf("array<long>")
     def whole(texts: pd.Series) -> pd.Series:
@@ -139,8 +159,8 @@ def near_links(texts: DataFrame, bits: DataFrame) -> DataFrame:
 
     met = index.groupBy("w").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w")
     asked = index.join(met, "w", "left_semi").select("v.set_id").distinct()
-    held = stage(texts.join(asked, "set_id", "left_semi").select("set_id", "n", whole("text").alias("r")), "whole-sets")
-    drop(indexed, texts)
+    held = stage(likely.join(asked, "set_id", "left_semi").select("set_id", "n", whole("text").alias("r")), "whole-sets")
+    drop(likely)
 
     def near(candidates: DataFrame) -> DataFrame:
         pairs = candidates.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
@@ -166,6 +186,7 @@ def near_links(texts: DataFrame, bits: DataFrame) -> DataFrame:
         met = live.select("w", F.col("v").alias("x"), "root").join(hubs.select("w", F.col("h.v").alias("y"), F.col("h.root").alias("hub_root")), "w")
         found = near(met.where(F.col("root") != F.col("hub_root")).where(can_be_near("x", "y")))
         links = stage(links.union(found), "near-links")
+        drop(buckets, live, hubs, roots)
 
     minor = live.where("not major").select("w", F.col("v").alias("x"), F.col("root").alias("root_x"))
     every = live.select("w", F.col("v").alias("y"), F.col("root").alias("root_y"), "major")
@@ -174,15 +195,19 @@ def near_links(texts: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def near_classes(rows: DataFrame) -> DataFrame:
-    """(__row, doc_id, tie, root) for ``rows`` with ``__row``: root names the row's class."""
+    """(__row, doc_id, tie, root) for ``rows`` with ``__row``, a staged table: root names the row's class."""
     small_batches(rows.sparkSession)
     key = ["h", "h2", "n"]
-    found = stage(set_keys(rows), "set-keys")
-    firsts = stage(found.groupBy(*key).agg(F.min("__row").alias("set_id"), F.min("home").alias("home")), "first-rows")
-    texts = stage(rows.select("__row", "text").join(firsts.select(F.col("set_id").alias("__row"), "n", "home"), "__row").select(F.col("__row").alias("set_id"), "text", "n", "home"), "set-texts", compression="zstd")
-    roots = components(near_links(texts, found.select(F.col("__row").alias("set_id"), "bits")))
-    named = stage(firsts.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(*key, F.coalesce("root", "set_id").alias("root")), "near-names")
-    return found.select("__row", "doc_id", "tie", *key).join(named, key).select("__row", "doc_id", "tie", "root")
+    with temporary() as stay:
+        found = stage(set_keys(rows), "set-keys")
+        firsts = stage(found.groupBy(*key).agg(F.min("__row").alias("set_id"), F.min("home").alias("home")), "first-rows")
+        first_keys = firsts.select(F.col("set_id").alias("__row"), "n", "home").hint("merge")
+        texts = stage(rows.select("__row", "text").join(first_keys, "__row").select(F.col("__row").alias("set_id"), "text", "n", "home"), "set-texts", compression="zstd")
+        roots = components(near_links(texts, found.select(F.col("__row").alias("set_id"), "bits")))
+        named = stage(firsts.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(*key, F.coalesce("root", "set_id").alias("root")), "near-names")
+        classes = stage(found.select("__row", "doc_id", "tie", *key).join(named, key).select("__row", "doc_id", "tie", "root"), "near-classes")
+        stay.append(classes)
+    return classes
 
 
 def keep_one_of_each_class(docs: DataFrame) -> DataFrame:
