@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.deploy import ship
 from docloom.llm import exact_dedup, near_dedup, packing, pii, quality
-from docloom.llm.common import read, stage
+from docloom.llm.common import drop, read, stage, temporary
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first of each class of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """The first of each class of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more, by pigeonring over sketches and exact checks."""
     ship(spark)
     return near_dedup.keep_one_of_each_class(docs)
 
@@ -50,7 +50,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", good_quality),
     ("exact dedup", without_copies),
-    ("near-dedup", without_near_copies),
+    ("SimHash near-dedup", without_near_copies),
     ("PII", without_personal_data),
     ("packing", packed),
 ]
@@ -60,5 +60,9 @@ ORACLE_SQL = None  # the classifier and the tokenizer have no SQL; tests hold th
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        with temporary() as stay:
+            out = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+            stay.append(out)
+        drop(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
