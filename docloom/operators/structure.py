@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import stripped
+from docloom.functions.text import any_of, is_upper, space_words, stripped
 
 # Reference patterns and document-type phrases.
 REFERENCES = [r"(?i)\bsee\s+page\s+(\d+)\b", r"(?i)\bsee\s+section\s+(\d+\.?\d*)\b", r"(?i)\brefer\s+to\s+page\s+(\d+)\b", r"(?i)\b\(see\s+page\s+(\d+)\)"]
@@ -166,3 +166,98 @@ def administrative_pages(pages: DataFrame, sections: DataFrame) -> DataFrame:
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     inside = pages_of(sections, []).distinct().withColumn("inside", F.lit(True))
     return pages.join(inside, ["doc_id", "page_number"], "left").where((words < 50) & (F.col("inside").isNull() | (F.col("page_number") == 1))).select("doc_id", "page_number")
+
+
+# Keywords and patterns of headings.
+ADMIN_HEADINGS = ["place of service", "billing", "coding", "benefit application", "required documentation", "claims", "authorization process", "reference", "sources", "citations"]
+REFERENCE_HEADINGS = ["society", "association", "organization", "committee", "references", "bibliography", "sources"]
+MAJOR_HEADINGS = ["medical necessity", "coverage criteria", "eligibility", "indications", "contraindications", "exclusions", "limitations", "covered services", "medically necessary"]
+SUBSECTION_HEADINGS = ["requirements", "considerations", "guidelines", "procedures", "selection", "evaluation", "criteria", "assessment"]
+# (level, pattern, group of the numbering, group of the title; 0 is the whole text).
+HEADING_PATTERNS = [
+    (1, r"^([IVX]+)\.\s+(.+)$", 1, 2),
+    (1, r"^(\d+)\.\s+([A-Z][A-Z\s]{2,})$", 1, 2),
+    (1, r"^([A-Z][A-Z\s]{10,})$", 1, 0),
+    (2, r"^([A-Z])\.\s+(.+)$", 1, 2),
+    (2, r"^(\d+\.\d+)\s+(.+)$", 1, 2),
+    (3, r"^([a-z])\.\s+(.+)$", 1, 2),
+    (3, r"^(\d+\.\d+\.\d+)\s+(.+)$", 1, 2),
+]
+
+
+def heading_hierarchy(headings: DataFrame) -> DataFrame:
+    """``headings(doc_id, page_number, ord, text)`` with level, numbering, title and what decided; administrative and reference headings are dropped.
+
+    In this order: administrative words, reference words, words of major sections, level-1 patterns, words of
+    subsections, level-2 and level-3 patterns, capitals and length.
+    """
+    text = stripped(F.col("text"))
+    lower = F.lower(text)
+    none = F.lit(None).cast("string")
+
+    def found(level: int, numbering: Column, title: Column, match: str) -> Column:
+        return F.struct(F.lit(level).alias("level"), numbering.alias("numbering"), title.alias("title"), F.lit(match).alias("pattern_match"))
+
+    def of_level(level: int, otherwise: Column) -> Column:
+        out = otherwise
+        for _, pattern, number, title in reversed([p for p in HEADING_PATTERNS if p[0] == level]):
+            named = F.regexp_extract(text, pattern, title) if title else text
+            out = F.when(text.rlike(pattern), found(level, F.regexp_extract(text, pattern, number), named, f"level_{level}_pattern")).otherwise(out)
+        return out
+
+    words = F.size(space_words(text))
+    capitals = is_upper(text)
+    guessed = (
+        F.when(capitals & (F.length(text) > 15), found(1, none, text, "heuristic_long_caps"))
+        .when(capitals & (words <= 3), found(0, none, text, "heuristic_short_caps"))
+        .when(is_upper(F.substring(text, 1, 1)) & (words > 2), found(2, none, text, "heuristic_title"))
+        .otherwise(found(2, none, text, "default"))
+    )
+    below = F.when(any_of(lower, SUBSECTION_HEADINGS), found(2, none, text, "semantic_subsection")).otherwise(of_level(2, of_level(3, guessed)))
+    policy = F.when(any_of(lower, MAJOR_HEADINGS), found(1, none, text, "semantic_major_policy")).otherwise(of_level(1, below))
+    rows = headings.where(~any_of(lower, ADMIN_HEADINGS) & ~any_of(lower, REFERENCE_HEADINGS)).withColumn("h", policy).where("h.level > 0")
+    return rows.select("doc_id", "page_number", "ord", text.alias("text"), "h.*")
+
+
+def chunking_guidance(flow: DataFrame, pages: DataFrame) -> DataFrame:
+    """Per document: page ranges of its policies, pages to filter, pages that need special handling.
+
+    flow: as ``policy_flow`` gives it; pages: doc_id, page_number, primary_type, requires_special_handling,
+    is_table_heavy, has_list_continuation.
+    """
+    ranges = flow.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_page", "end_page"))).alias("chunk_boundaries"))
+    filtered = F.when(F.col("primary_type").isin("table_of_contents", "index", "administrative", "bibliography"), F.col("page_number"))
+    special = F.when(F.col("requires_special_handling") | F.col("is_table_heavy") | F.col("has_list_continuation"), F.col("page_number"))
+    lists = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(filtered)).alias("pages_to_filter"), F.array_sort(F.collect_list(special)).alias("special_handling"))
+    none = F.array().cast("array<struct<start_page:bigint,end_page:bigint>>")
+    return lists.join(ranges, "doc_id", "left").withColumn("chunk_boundaries", F.coalesce(F.col("chunk_boundaries").cast("array<struct<start_page:bigint,end_page:bigint>>"), none))
+
+
+def structure_type(toc: Column, headings: Column, sections: Column, zones: Column) -> Column:
+    """How structured a document is, by its numbers of contents entries, headings, sections and zones."""
+    return F.when((toc > 0) & (headings > 0) & (zones > 5), "highly_structured").when((headings > 0) & (sections > 0), "moderately_structured").when((headings > 0) | (zones > 2), "basic_structure").otherwise("unstructured")
+
+
+def document_structure(headings: DataFrame, toc: DataFrame, totals: DataFrame) -> DataFrame:
+    """Per document: its headings in page order, its entries of contents, its section boundaries, as arrays."""
+    listed = headings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "ord", "text", "level"))).alias("headings"))
+    entries = toc.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "title", "page_number", "level"))).alias("toc_entries"))
+    bounds = section_boundaries(headings, totals).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "title", "start_page", "end_page"))).alias("section_boundaries"))
+    return totals.select("doc_id", "pages").join(listed, "doc_id", "left").join(entries, "doc_id", "left").join(bounds, "doc_id", "left")
+
+
+def analyzed(kinds: DataFrame, statistics: DataFrame, complexity: DataFrame, structure: DataFrame, guidance: DataFrame, flow: DataFrame, links: DataFrame) -> DataFrame:
+    """One row of metadata per document, from what the other operators found about it.
+
+    kinds: doc_id, document_type; complexity: doc_id, complexity; structure: as ``document_structure``; links: as ``references``.
+    """
+    size = {c: F.coalesce(F.size(c), F.lit(0)) for c in ("headings", "toc_entries", "section_boundaries")}
+    size = {c: F.when(F.col(c).isNotNull(), n).otherwise(0) for c, n in size.items()}
+    built = structure.select("doc_id", *[n.alias(c) for c, n in size.items()])
+    policies = flow.groupBy("doc_id").agg(F.count(F.lit(1)).alias("estimated_policies"))
+    met = links.groupBy("doc_id").agg(F.count(F.lit(1)).alias("references"), F.count_if(F.col("target_page").isNotNull()).alias("internal"))
+    rows = statistics.join(kinds, "doc_id", "left").join(complexity, "doc_id").join(built, "doc_id").join(guidance, "doc_id").join(policies, "doc_id", "left").join(met, "doc_id", "left")
+    kind = structure_type(F.col("toc_entries"), F.col("headings"), F.col("section_boundaries"), F.col("zones"))
+    return rows.withColumns(
+        {"structure_type": kind, "estimated_policies": F.coalesce("estimated_policies", F.lit(0)), "references": F.coalesce("references", F.lit(0)), "has_internal_references": F.coalesce("internal", F.lit(0)) > 0}
+    ).drop("internal")

@@ -92,12 +92,22 @@ def d07_policy_flow_map(h, p):
     return D.policy_flow(boundaries(h, p))
 
 
-@query(
-    r"""SELECT doc_id, page_number, 0 AS pattern, unnest(regexp_extract_all(text, '(?i)\bsee\s+page\s+(\d+)\b', 1)) AS target, 3 AS target_page FROM {text_pages} WHERE regexp_matches(text, '(?i)\bsee\s+page\s+(\d+)\b')""",
-    "text_pages",
-)
+LINKED = "SELECT doc_id, page_number, text || CASE page_number % 5 WHEN 0 THEN ' See section 4.2 and see section 7' WHEN 1 THEN ' refer to page 12' WHEN 2 THEN ' (see page 9) and refer  to page 3' WHEN 3 THEN ' see page 99999999999' ELSE '' END AS text FROM {text_pages}"
+
+
+def linked(t):
+    n = F.col("page_number") % 5
+    more = F.when(n == 0, " See section 4.2 and see section 7").when(n == 1, " refer to page 12").when(n == 2, " (see page 9) and refer  to page 3").when(n == 3, " see page 99999999999").otherwise("")
+    return t.select("doc_id", "page_number", F.concat("text", more).alias("text"))
+
+
+REFERRED = f"""r AS ({LINKED}), m AS (SELECT doc_id, page_number, 0 AS pattern, unnest(regexp_extract_all(text, '(?i)\\bsee\\s+page\\s+(\\d+)\\b', 1)) AS target FROM r UNION ALL SELECT doc_id, page_number, 1, unnest(regexp_extract_all(text, '(?i)\\bsee\\s+section\\s+(\\d+\\.?\\d*)\\b', 1)) FROM r
+    UNION ALL SELECT doc_id, page_number, 2, unnest(regexp_extract_all(text, '(?i)\\brefer\\s+to\\s+page\\s+(\\d+)\\b', 1)) FROM r UNION ALL SELECT doc_id, page_number, 3, unnest(regexp_extract_all(text, '(?i)\\b\\(see\\s+page\\s+(\\d+)\\)', 1)) FROM r)"""
+
+
+@query(f"WITH {REFERRED} SELECT *, TRY_CAST(CASE WHEN regexp_matches(target, '^[0-9]+$') THEN target END AS INT) AS target_page FROM m", "text_pages")
 def d08_detect_references(t):
-    return D.references(t)
+    return D.references(linked(t))
 
 
 STATISTICS = f"""SELECT a.*, zones, definitions_from, CAST(policy_pages AS DOUBLE) / pages AS extractability, least(1.0, zones / (CAST(pages AS DOUBLE) / 10)) AS structure_confidence FROM
@@ -275,7 +285,14 @@ def c21_page_window_chunks(p):
     return C.page_windows(D.page_totals(p), 4, 1)
 
 
-@query(None, "documents")
+# Windows as a recursion: the next start depends on where the last one was cut.
+CUT = """coalesce((SELECT max(i) FROM (SELECT unnest(range(greatest(s, e - 200), e)) AS i) x WHERE contains('.!?' || chr(10), substr(text, i + 1, 1)) AND (i + 1 >= n OR regexp_matches(substr(text, i + 2, 1), '[\\s\\x0B\\p{Z}\\p{Lu}]'))) + 1, e)"""
+WINDOWS = f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM {{documents}} WHERE length(text) > 0),
+    b AS (SELECT doc_id, 0 AS chunk_id, 0 AS s, CASE WHEN n <= 1000 THEN n ELSE (SELECT {CUT} FROM (SELECT 0 AS s, 1000 AS e) y) END AS f FROM d
+      UNION ALL SELECT b.doc_id, b.chunk_id + 1, greatest(b.s + 1, b.f - 100), CASE WHEN greatest(b.s + 1, b.f - 100) + 1000 >= n THEN n ELSE (SELECT {CUT} FROM (SELECT greatest(b.s + 1, b.f - 100) AS s, greatest(b.s + 1, b.f - 100) + 1000 AS e) y) END FROM b JOIN d ON d.doc_id = b.doc_id WHERE b.f < n)"""
+
+
+@query(f"{WINDOWS} SELECT doc_id, CAST(chunk_id AS BIGINT) AS chunk_id, s AS start, f AS end FROM b", "documents")
 def c22_c24_char_window_chunks(t):
     return C.char_windows(t)
 
@@ -293,3 +310,114 @@ def c25_c29_choose_chunking(p):
 def c27_batch_pages(p):
     listed = p.groupBy("doc_id", F.floor((F.col("page_number") - 1) / 3).alias("batch")).agg(F.array_sort(F.collect_list("page_number")).alias("pages"))
     return listed.withColumn("pages", F.array_join(F.transform("pages", lambda x: x.cast("string")), ","))
+
+
+HEADED = r"""SELECT doc_id, (line_no - 1) // 5 + 1 AS page_number, line_no AS ord, CASE line_no % 15 WHEN 0 THEN 'II. ' || x WHEN 1 THEN '3. MEDICAL THINGS' WHEN 2 THEN 'SCOPE OF THE DOCUMENT' WHEN 3 THEN 'A. ' || x WHEN 4 THEN '1.2 ' || x WHEN 5 THEN 'a. ' || x WHEN 6 THEN '1.2.3 ' || x WHEN 7 THEN 'Billing ' || x WHEN 8 THEN 'National society ' || x WHEN 9 THEN 'Exclusions ' || x
+    WHEN 10 THEN 'Selection of ' || x WHEN 11 THEN 'NOTE 7' WHEN 12 THEN 'Some title words ' || x WHEN 13 THEN 'THE 12 RULES OF ALL 7' ELSE lower(x) END AS text FROM (SELECT doc_id, line_no, 'q' || left(regexp_replace(line, '[^a-zA-Z ]', '', 'g'), 12) || 'q' AS x FROM {doc_lines}) l"""
+LEVELS = {1: [("^([IVX]+)\\.\\s+(.+)$", 2), ("^(\\d+)\\.\\s+([A-Z][A-Z\\s]{2,})$", 2), ("^([A-Z][A-Z\\s]{10,})$", 1)], 2: [("^([A-Z])\\.\\s+(.+)$", 2), ("^(\\d+\\.\\d+)\\s+(.+)$", 2)], 3: [("^([a-z])\\.\\s+(.+)$", 2), ("^(\\d+\\.\\d+\\.\\d+)\\s+(.+)$", 2)]}
+
+
+def named(words) -> str:
+    return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+
+
+def by_level(level: int, then) -> str:
+    return " ".join(f"WHEN regexp_matches(text, '{p}') THEN {then(level, p, title)}" for p, title in LEVELS[level])
+
+
+def deciding(then, words) -> str:
+    """The chain of decisions, with what each gives."""
+    return f"""CASE WHEN {named(D.MAJOR_HEADINGS)} THEN {words(1, 'semantic_major_policy')} {by_level(1, then)} WHEN {named(D.SUBSECTION_HEADINGS)} THEN {words(2, 'semantic_subsection')} {by_level(2, then)} {by_level(3, then)}
+      WHEN upper(text) = text AND lower(text) <> text AND length(text) > 15 THEN {words(1, 'heuristic_long_caps')} WHEN upper(text) = text AND lower(text) <> text AND len(string_split(text, ' ')) <= 3 THEN {words(0, 'heuristic_short_caps')} WHEN regexp_matches(text, '^\\p{{Lu}}') AND len(list_filter(string_split(text, ' '), lambda w: w <> '')) > 2 THEN {words(2, 'heuristic_title')} ELSE {words(2, 'default')} END"""
+
+
+@query(
+    f"""WITH h AS (SELECT doc_id, page_number, ord, trim(text) AS text FROM ({HEADED}) q), k AS (SELECT *, {deciding(lambda n, p, t: str(n), lambda n, m: str(n))} AS level, {deciding(lambda n, p, t: f"regexp_extract(text, '{p}', 1)", lambda n, m: "NULL")} AS numbering, {deciding(lambda n, p, t: f"regexp_extract(text, '{p}', {t})", lambda n, m: "text")} AS title,
+      {deciding(lambda n, p, t: f"'level_{n}_pattern'", lambda n, m: f"'{m}'")} AS pattern_match FROM h WHERE NOT {named(D.ADMIN_HEADINGS)} AND NOT {named(D.REFERENCE_HEADINGS)}) SELECT * FROM k WHERE level > 0""",
+    "doc_lines",
+)
+def d14_heading_hierarchy(t):
+    """Headings of every kind, made of lines by their number."""
+    k = F.col("line_no") % 15
+    x = F.concat(F.lit("q"), F.left(F.regexp_replace("line", "[^a-zA-Z ]", ""), F.lit(12)), F.lit("q"))
+    heads = {0: "II. ", 3: "A. ", 4: "1.2 ", 5: "a. ", 6: "1.2.3 ", 7: "Billing ", 8: "National society ", 9: "Exclusions ", 10: "Selection of ", 12: "Some title words "}
+    whole = {1: "3. MEDICAL THINGS", 2: "SCOPE OF THE DOCUMENT", 11: "NOTE 7", 13: "THE 12 RULES OF ALL 7"}
+    text = F.lower(x)
+    for n, head in heads.items():
+        text = F.when(k == n, F.concat(F.lit(head), x)).otherwise(text)
+    for n, line in whole.items():
+        text = F.when(k == n, line).otherwise(text)
+    return D.heading_hierarchy(t.select("doc_id", (F.floor((F.col("line_no") - 1) / 5) + 1).alias("page_number"), F.col("line_no").alias("ord"), text.alias("text")))
+
+
+FLOW = f"SELECT doc_id, policy_id, min(page_number) AS start_page, max(page_number) AS end_page FROM ({BOUNDARIES}) b WHERE policy_id <> 'unassigned' GROUP BY doc_id, policy_id"
+GUIDANCE = f"""fl AS ({FLOW}), gr AS (SELECT doc_id, string_agg(CAST(start_page AS VARCHAR) || '-' || CAST(end_page AS VARCHAR), ',' ORDER BY start_page, end_page) AS ranges FROM fl GROUP BY 1),
+    gd AS (SELECT t.doc_id, coalesce(min(ranges), '') AS chunk_boundaries, coalesce(string_agg(CASE WHEN primary_type IN ('table_of_contents', 'index', 'administrative', 'bibliography') THEN CAST(page_number AS VARCHAR) END, ',' ORDER BY page_number), '') AS pages_to_filter,
+      coalesce(string_agg(CASE WHEN page_number % 5 = 0 OR page_number % 7 = 0 OR (page_number + t.doc_id) % 11 = 0 THEN CAST(page_number AS VARCHAR) END, ',' ORDER BY page_number), '') AS special_handling FROM {{page_types}} t LEFT JOIN gr ON gr.doc_id = t.doc_id GROUP BY t.doc_id)"""
+
+
+def guidance(h, p, t):
+    n = F.col("page_number")
+    pages = t.select("doc_id", "page_number", "primary_type", (n % 5 == 0).alias("requires_special_handling"), (n % 7 == 0).alias("is_table_heavy"), ((n + F.col("doc_id")) % 11 == 0).alias("has_list_continuation"))
+    found = D.chunking_guidance(D.policy_flow(boundaries(h, p)), pages)
+    listed = {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("pages_to_filter", "special_handling")}
+    return found.withColumns({"chunk_boundaries": F.array_join(F.transform("chunk_boundaries", lambda x: F.concat_ws("-", x["start_page"].cast("string"), x["end_page"].cast("string"))), ","), **listed})
+
+
+@query(f"WITH {GUIDANCE} SELECT * FROM gd", "headings", "doc_pages", "page_types")
+def d10_chunking_guidance(h, p, t):
+    return guidance(h, p, t)
+
+
+TOC = "SELECT doc_id, line_no, left(line, 8) AS title FROM {doc_lines} WHERE line_no % 3 = 0 AND doc_id % 2 = 0 AND regexp_matches(left(line, 8), '^[A-Za-z]{8}$')"
+STRUCTURE = f"""st AS (SELECT t.doc_id, t.pages, coalesce(h.n, 0) AS headings, coalesce(h.texts, '') AS heading_texts, coalesce(c.n, 0) AS toc_entries, coalesce(c.titles, '') AS toc_titles, coalesce(h.major, 0) AS section_boundaries FROM ({TOTALS}) t
+    LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(text, '|' ORDER BY page_number, ord) AS texts, count(*) FILTER (WHERE level <= 2) AS major FROM {{headings}} WHERE doc_id % 5 <> 0 GROUP BY 1) h ON h.doc_id = t.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(title, '|' ORDER BY line_no) AS titles FROM ({TOC}) q GROUP BY 1) c ON c.doc_id = t.doc_id)"""
+
+
+def built(h, p, lines):
+    """A document in five has no headings, every second one contents."""
+    made = F.concat(F.left("line", F.lit(8)), F.lit("\t"), F.col("line_no").cast("string"))
+    rows = lines.where((F.col("line_no") % 3 == 0) & (F.col("doc_id") % 2 == 0) & F.left("line", F.lit(8)).rlike("^[A-Za-z]{8}$"))
+    return D.document_structure(h.where("doc_id % 5 <> 0"), D.toc_entries(rows.select("doc_id", "line_no", made.alias("line"))), D.page_totals(p))
+
+
+@query(f"WITH {STRUCTURE} SELECT * FROM st", "headings", "doc_pages", "doc_lines")
+def d26_document_structure(h, p, lines):
+    def n(c):
+        return F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0).alias(c)
+
+    def texts(c, field):
+        return F.coalesce(F.array_join(F.transform(c, lambda x: x[field]), "|"), F.lit(""))
+
+    return built(h, p, lines).select("doc_id", "pages", n("headings"), texts("headings", "text").alias("heading_texts"), n("toc_entries"), texts("toc_entries", "title").alias("toc_titles"), n("section_boundaries"))
+
+
+KINDS = "CASE WHEN toc_entries > 0 AND headings > 0 AND zones > 5 THEN 'highly_structured' WHEN headings > 0 AND section_boundaries > 0 THEN 'moderately_structured' WHEN headings > 0 OR zones > 2 THEN 'basic_structure' ELSE 'unstructured' END"
+
+
+@query(f"WITH {STRUCTURE}, z AS (SELECT doc_id, count(*) AS zones FROM ({ZONES}) q GROUP BY 1) SELECT st.doc_id, {KINDS} AS structure_type FROM st JOIN z ON z.doc_id = st.doc_id", "headings", "doc_pages", "doc_lines", "page_types")
+def d13_structure_type(h, p, lines, t):
+    zones = D.content_zones(t).groupBy("doc_id").agg(F.count(F.lit(1)).alias("zones"))
+    size = [F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0) for c in ("toc_entries", "headings", "section_boundaries")]
+    return built(h, p, lines).join(zones, "doc_id").select("doc_id", D.structure_type(*size, F.col("zones")).alias("structure_type"))
+
+
+@query(
+    f"""WITH {STRUCTURE}, {GUIDANCE}, {REFERRED}, sx AS ({STATISTICS}), ty AS (SELECT p.doc_id, CASE WHEN bool_or(primary_type IN ('coverage', 'eligibility', 'exclusions')) OR bool_or(regexp_matches(lower(text), 'insurance|coverage|policy|benefit')) THEN 'insurance' WHEN bool_or(regexp_matches(lower(text), 'regulation|compliance|regulatory')) THEN 'regulatory'
+      WHEN bool_or(regexp_matches(lower(text), 'contract|agreement|legal')) THEN 'legal' ELSE 'unknown' END AS document_type FROM {{text_pages}} p JOIN {{page_types}} t ON t.doc_id = p.doc_id AND t.page_number = p.page_number WHERE p.page_number <= 3 GROUP BY 1),
+    lk AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE TRY_CAST(CASE WHEN regexp_matches(target, '^[0-9]+$') THEN target END AS INT) IS NOT NULL) AS internal FROM m GROUP BY 1), fc AS (SELECT doc_id, count(*) AS n FROM fl GROUP BY 1)
+    SELECT sx.doc_id, document_type, sx.pages, policy_pages, admin_pages, zones, definitions_from, round(extractability, 6) AS extractability, round(structure_confidence, 6) AS structure_confidence, round((least(1.0, CAST(sx.pages AS DOUBLE) / 100) + least(1.0, CAST(zones AS DOUBLE) / 10) + CAST(admin_pages AS DOUBLE) / sx.pages + least(1.0, CAST(sx.pages % 4 AS DOUBLE) / 3) + CASE WHEN definitions_from IS NOT NULL THEN 0.7 ELSE 0.3 END) / 5, 6) AS complexity,
+      {KINDS} AS structure_type, chunk_boundaries, pages_to_filter, special_handling, coalesce(fc.n, 0) AS estimated_policies, coalesce(lk.n, 0) AS references, coalesce(internal, 0) > 0 AS has_internal_references FROM sx JOIN ty ON ty.doc_id = sx.doc_id JOIN st ON st.doc_id = sx.doc_id JOIN gd ON gd.doc_id = sx.doc_id LEFT JOIN fc ON fc.doc_id = sx.doc_id LEFT JOIN lk ON lk.doc_id = sx.doc_id""",
+    "text_pages",
+    "doc_pages",
+    "headings",
+    "page_types",
+    "doc_lines",
+)
+def d22_analyze_document(x, p, h, t, lines):
+    """All that is known of a document in one row."""
+    s = D.document_statistics(t, D.content_zones(t))
+    more = s.withColumns({"mixed_ratio": F.col("admin_pages") / F.col("pages"), "tables_a_page": F.col("pages") % 4, "has_complex_sections": F.col("definitions_from").isNotNull()})
+    kinds = K.document_types(t.select("doc_id", "page_number", "primary_type").join(x, ["doc_id", "page_number"]))
+    rows = D.analyzed(kinds, s.drop("priority"), D.document_complexity(more).drop("expensive_tier"), built(h, p, lines), guidance(h, p, t), D.policy_flow(boundaries(h, p)), D.references(linked(x)))
+    return rows.drop("headings", "toc_entries", "section_boundaries").withColumns({c: F.round(c, 6) for c in ("extractability", "structure_confidence", "complexity")})

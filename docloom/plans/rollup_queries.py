@@ -44,27 +44,33 @@ def p08_layout_features(t):
     return R.page_layout(words).withColumn("density", F.round("density", 6))
 
 
-@query("SELECT o_orderkey, 2 AS row_count, 2 AS col_count, o_orderstatus AS first_cell FROM {orders} WHERE o_orderkey % 3 <> 0", "orders")
+@query("SELECT o_orderkey, CAST(o_orderkey % 5 AS INT) AS row_count, CAST(o_orderkey % 3 + 1 AS INT) AS col_count, CAST(least(3, o_orderkey % 5) AS INT) AS preview_rows, o_orderstatus || '1:1' AS first_cell, o_orderstatus || CAST(least(3, o_orderkey % 5) AS VARCHAR) || ':1' AS last_row, 0.85 AS confidence FROM {orders} WHERE o_orderkey % 5 > 0", "orders")
 def p07_table_features(o):
-    cells = F.array(F.array("o_orderstatus", "o_orderpriority"), F.array(F.lit("a"), F.lit("b")))
-    table = F.when(F.col("o_orderkey") % 3 == 0, F.slice(cells, 1, 0)).otherwise(cells)
+    """Tables of up to four rows and three columns; those without rows are dropped."""
+    rows, columns = F.col("o_orderkey") % 5, F.col("o_orderkey") % 3 + 1
+
+    def upto(n):
+        return F.filter(F.array(*[F.lit(i) for i in range(1, 5)]), lambda i: i <= n)
+
+    table = F.transform(upto(rows), lambda r: F.transform(upto(columns), lambda c: F.concat("o_orderstatus", r.cast("string"), F.lit(":"), c.cast("string"))))
     made = o.select("o_orderkey", R.table_features(table).alias("t")).where("t is not null")
-    return made.select("o_orderkey", "t.row_count", "t.col_count", F.get(F.get("t.preview", 0), 0).alias("first_cell"))
+    first = F.get(F.get("t.preview", 0), 0)
+    return made.select("o_orderkey", "t.row_count", "t.col_count", F.size("t.preview").alias("preview_rows"), first.alias("first_cell"), F.get(F.element_at("t.preview", -1), 0).alias("last_row"), "t.confidence")
 
 
 @query(
-    r"""SELECT doc_id, CAST(greatest(1, floor(len(regexp_extract_all(t, '\n[A-Z][A-Z\s]+\n')) + 0.5 * (len(regexp_extract_all(t, '\n\s*[\d\-•]\s+')) // 5))) AS INT) AS expected FROM (SELECT doc_id, chr(10) || 'ITEMS' || chr(10) || string_agg('- ' || left(line, 20), chr(10) ORDER BY line_no) AS t FROM {doc_lines} GROUP BY doc_id) q""",
+    r"""SELECT doc_id, CAST(greatest(1, floor(len(regexp_extract_all(t, '\n[A-Z][A-Z\s]+\n')) + 0.5 * (len(regexp_extract_all(t, '\n\s*[\d\-•]\s+')) // 5))) AS INT) AS expected FROM (SELECT doc_id, chr(10) || 'ITEMS' || chr(10) || string_agg('- ' || line, chr(10) ORDER BY line_no) AS t FROM {doc_lines} GROUP BY doc_id) q""",
     "doc_lines",
 )
 def q04_expected_policies(t):
-    listed = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.concat(F.lit("- "), F.left("line", F.lit(20))).alias("l")))).alias("l"))
+    listed = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.concat(F.lit("- "), "line").alias("l")))).alias("l"))
     text = F.concat(F.lit("\nITEMS\n"), F.array_join(F.transform("l", lambda x: x["l"]), "\n"))
     return listed.select("doc_id", R.expected_policies(text).alias("expected"))
 
 
-@query("SELECT 'p' || CAST(doc_id % 40 AS VARCHAR) AS policy_id, left(string_agg(text, chr(10) ORDER BY doc_id, page_number), 3000) AS context FROM {doc_pages} WHERE page_number <= 2 GROUP BY 1", "doc_pages")
+@query("SELECT 'p' || CAST(doc_id % 40 AS VARCHAR) AS policy_id, left(string_agg(text, chr(10) ORDER BY doc_id, page_number), 3000) AS context FROM {doc_pages} GROUP BY 1", "doc_pages")
 def e15_related_page_text(p):
-    refs = p.where("page_number <= 2").select(F.concat(F.lit("p"), (F.col("doc_id") % 40).cast("string")).alias("policy_id"), "doc_id", "page_number")
+    refs = p.select(F.concat(F.lit("p"), (F.col("doc_id") % 40).cast("string")).alias("policy_id"), "doc_id", "page_number")
     return R.related_text(refs, p)
 
 
