@@ -10,9 +10,17 @@ IMPORTANCE_WORDS = ["coverage", "eligibility", "exclusion", "requirement", "crit
 DEFINITION_PATTERN = r"\bdefinition|\bdefined as\b|\bmeans\b|\brefers to\b|\bshall mean\b"
 REFERENCE_PATTERN = r"see section|refer to|as defined in|pursuant to"
 SIMILARITY_STOP = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for"]
-KEYWORD_STOP = [*SIMILARITY_STOP, *"of with by from as is are was were be been being have has had do does did will would should could may might must can this that these those it its they them their".split()]
-REFINER_STOP = [*SIMILARITY_STOP, *"of with by from up about into through during is are was were be been being have has had do does did will would should could may might must shall can".split()]
-VERIFIER_STOP = [*SIMILARITY_STOP, *"of with by from up about into through during is are was were be been being have has had".split()]
+KEYWORD_STOP = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "should", "could", "may", "might", "must", "can", "this", "that", "these", "those", "it", "its", "they", "them", "their",
+]
+REFINER_STOP = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "into", "through", "during", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had",
+    "do", "does", "did", "will", "would", "should", "could", "may", "might", "must", "shall", "can",
+]
+VERIFIER_STOP = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "into", "through", "during", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had",
+]
 TITLE_STOP = ["for", "of", "the", "and", "or", "in", "a", "an", "to", "is", "are", "be"]
 TITLE_PREFIXES = ["criteria for", "guidelines for", "policy for", "requirements for"]
 SUFFIXES = ["tion", "ness", "ment", "ity", "ies", "ing", "ed", "er", "est", "ly", "s"]
@@ -236,7 +244,7 @@ def repaired_json(content: Column) -> Column:
 
 
 def balanced_prefix(content: Column) -> Column:
-    """``content`` up to where the depth of its braces last returns to zero, or to its last brace if it never does; then repaired."""
+    """``content`` up to where the depth of its braces last returns to zero; if it never does, without the space behind a last brace; then repaired."""
     folded = F.aggregate(
         F.split(content, ""),
         F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("zero")),
@@ -247,7 +255,7 @@ def balanced_prefix(content: Column) -> Column:
         ),
     )
     last = F.length(content) - F.instr(F.reverse(content), "}") + 1
-    end = F.when(folded["zero"] > 0, folded["zero"]).when(F.instr(content, "}") > 0, last).otherwise(F.length(content))
+    end = F.when(folded["zero"] > 0, folded["zero"]).when(content.rlike(r"\}\s*$"), last).otherwise(F.length(content))
     return repaired_json(F.substring(content, F.lit(1), end))
 
 
@@ -255,19 +263,39 @@ def fenced(content: Column) -> Column:
     return F.nullif(F.regexp_extract(content, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.lit(""))
 
 
+def strict_json(content: Column) -> Column:
+    """``content`` as a variant if it is one JSON value and nothing behind it; the parser alone would stop at the value's end.
+
+    Only what closes neither an array nor an object around it is whole.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), content, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), content, F.lit("}")))
+    return F.when(named.isNotNull() & (F.size(F.variant_get(listed, "$", "array<variant>")) == 1), F.variant_get(listed, "$[0]", "variant"))
+
+
 def json_value(content: Column) -> Column:
     """The first of: the whole text, its fenced block, its first object, its first array, that parses as JSON."""
     tries = [content, fenced(content), F.nullif(F.regexp_extract(content, r"(?s)(\{.*\})", 1), F.lit("")), F.nullif(F.regexp_extract(content, r"(?s)(\[.*\])", 1), F.lit(""))]
-    return F.coalesce(*[F.try_parse_json(t) for t in tries])
+    return F.coalesce(*[strict_json(t) for t in tries])
 
 
 def json_object(content: Column) -> Column:
     """As ``json_value`` without the array, objects only."""
     tries = [content, F.nullif(F.regexp_extract(content, r"(?s)(\{.*\})", 1), F.lit(""))]
-    parsed = [F.try_parse_json(t) for t in tries]
+    parsed = [strict_json(t) for t in tries]
     return F.coalesce(*[F.when(F.startswith(F.schema_of_variant(p), F.lit("OBJECT")), p) for p in parsed])
 
 
+def json_array(content: Column) -> Column:
+    """A whole text that is an array, or the one object that it is, in an array; else the first bracketed part that parses as one; else empty."""
+    whole = strict_json(content)
+    kind = F.schema_of_variant(whole)
+    parts = F.filter(F.transform(F.regexp_extract_all(content, F.lit(r"(?s)(\[.*?\])"), F.lit(1)), strict_json), lambda v: F.startswith(F.schema_of_variant(v), F.lit("ARRAY")))
+    items = "array<variant>"
+    found = F.when(F.startswith(kind, F.lit("ARRAY")), F.variant_get(whole, "$", items)).when(F.startswith(kind, F.lit("OBJECT")), F.array(whole)).otherwise(F.variant_get(F.get(parts, 0), "$", items))
+    return F.coalesce(found, F.array().cast(items))
+
+
 def suggested_question(condition: Column) -> Column:
     text = F.trim(condition)
     lower = F.lower(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.iterate import depths
+from docloom.operators.iterate import depths, root_paths
 
 
 def relationships(policies: DataFrame) -> DataFrame:
@@ -87,3 +87,13 @@ def unique_ids(policies: DataFrame) -> DataFrame:
     numbered = policies.withColumn("nth", nth).withColumn("new_id", F.when(F.col("nth") > 1, F.concat("policy_id", F.lit("_dup"), (F.col("nth") - 1).cast("string"))).otherwise(F.col("policy_id")))
     moved = numbered.groupBy("job_id", F.col("policy_id").alias("parent_id")).agg(F.count(F.lit(1)).alias("n"), F.max_by("new_id", "nth").alias("moved_to")).where("n = 2").drop("n")
     return numbered.join(moved, ["job_id", "parent_id"], "left").select("job_id", "ord", F.col("new_id").alias("policy_id"), F.coalesce("moved_to", "parent_id").alias("parent_id"), "title", "description", "confidence")
+
+
+def flattened(policies: DataFrame) -> DataFrame:
+    """(job_id, root_id, policy_id, nth_of_root, nth): all policies below their roots in pre-order, of each root and of the whole job; children in order."""
+    rows = policies.select(F.col("job_id").alias("tree_id"), F.col("policy_id").alias("node_id"), F.col("parent_id").alias("parent_node_id"), F.col("ord").alias("sibling_ord"), F.lit("policy").alias("node_type"))
+    tops = policies.select(F.col("job_id").alias("tree_id"), F.col("policy_id").alias("root_id"), F.col("ord").alias("root_ord"))
+    paths = root_paths(rows, "false").where(~F.col("cyclic")).withColumn("root_id", F.get("path", 0)).join(tops, ["tree_id", "root_id"])
+    of_root = Window.partitionBy("tree_id", "root_id").orderBy("ords")
+    of_job = Window.partitionBy("tree_id").orderBy("root_ord", "root_id", "ords")
+    return paths.select(F.col("tree_id").alias("job_id"), "root_id", F.col("node_id").alias("policy_id"), F.row_number().over(of_root).alias("nth_of_root"), F.row_number().over(of_job).alias("nth"))

@@ -52,10 +52,16 @@ def w09_metric_alerts(events):
     return W.finished(W.alerts(samples(events)))
 
 
-@stream(None)
-def w04_run_once_lock(events):
-    """Starts that the lock lets through; held against a plain loop in the tests."""
-    starts = events.where("event_type = 'click'").select(F.col("user_id").alias("job_id"), "ts", "event_id")
+@stream(
+    """WITH RECURSIVE e AS (SELECT user_id AS job_id, event_id, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS t, event_type = 'error' AS release, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('click', 'error')),
+    l AS (SELECT job_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS event_id, CAST(NULL AS DOUBLE) AS held, FALSE AS taken FROM (SELECT DISTINCT job_id FROM e) j
+      UNION ALL SELECT l.job_id, e.i, e.event_id, CASE WHEN e.release THEN NULL WHEN l.held IS NULL OR e.t - l.held >= 600 THEN e.t ELSE l.held END, NOT e.release AND (l.held IS NULL OR e.t - l.held >= 600) FROM l JOIN e ON e.job_id = l.job_id AND e.i = l.i + 1)
+    SELECT job_id, event_id FROM l WHERE taken"""
+)
+def w04_w04b_run_once_lock(events):
+    """Starts that the lock lets through, with releases between them."""
+    kind = F.when(F.col("event_type") == "error", "release").otherwise("start")
+    starts = events.where("event_type in ('click', 'error')").select(F.col("user_id").alias("job_id"), "ts", "event_id", kind.alias("kind"))
     return W.finished(W.run_once(starts))
 
 
@@ -107,6 +113,10 @@ def w14_fleet_health(t):
     return W.fleet_health(t)
 
 
-@query("SELECT doc_id, page_number FROM {doc_pages} WHERE doc_id % 3 <> 0", "doc_pages")
-def w12_chunk_cache(t):
-    return W.new_only(t.select("doc_id", "page_number"), t.where("doc_id % 3 = 0"), ["doc_id", "page_number"])
+@query("SELECT doc_id, page_number FROM {doc_pages} WHERE NOT (doc_id % 3 = 0 AND 48 - doc_id % 48 < CASE WHEN page_number % 2 = 0 THEN 12 ELSE 24 END)", "doc_pages")
+def w12_chunk_cache(p):
+    """Pages that are in no live entry: a document in three was cached, some hours ago, for a day or half of one."""
+    rows = p.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("document_hash"), F.col("page_number").alias("chunk_index"), "doc_id", "page_number")
+    written = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 48 * 3600)
+    cache = W.cache_entries(rows.where("doc_id % 3 = 0"), written, F.when(F.col("page_number") % 2 == 0, 43200).otherwise(86400))
+    return W.uncached(rows, cache, F.timestamp_seconds(F.lit(1_700_000_000 + 48 * 3600))).select("doc_id", "page_number")

@@ -40,7 +40,7 @@ SCANNED = rf"(length({stripped('text')}) < 50 OR len(regexp_extract_all(text, '\
     round(least(1.0, 0.5 + CASE WHEN CAST(page_number AS DOUBLE) / pages > 0.1 AND CAST(page_number AS DOUBLE) / pages < 0.9 THEN 0.1 ELSE 0 END + least(0.2, (page_number % 5) * 0.05) + least(0.1, (page_number % 3) * 0.03)
       + least(0.2, CAST(length(text) AS DOUBLE) / 5000) + least(0.1, ({POLICY_HITS}) * 0.02)), 6) AS importance,
     NOT ((page_number = 1 AND length({stripped("text")}) < 500) OR contains(lower(text), 'table of contents') OR (page_number > pages * 0.95 AND contains(substr(lower(text), 1, 200), 'index')) OR (length({stripped("text")}) < 100 AND regexp_matches({stripped("text")}, '^\d+$'))) AS has_policy_content,
-    round(CASE WHEN length(text) > 0 THEN least(1.0, 1.2 * length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) / CAST(length(text) AS DOUBLE)) ELSE 0 END, 6) AS ocr_confidence
+    round(CASE WHEN length(text) > 0 THEN least(1.0, length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) / CAST(length(text) AS DOUBLE) * CAST(1.2 AS DOUBLE)) ELSE 0 END, 6) AS ocr_confidence
     FROM ({PAGES}) q""",
     "text_pages",
 )
@@ -185,18 +185,52 @@ def p22_p24_page_ratios(t):
     return t.select("doc_id", "page_number", F.round(X.filterable_ratio(kind, ratio), 6).alias("filterable"), F.round(X.chunk_priority(kind, ratio), 6).alias("priority"), F.round(1.0 - ratio, 6).alias("admin_ratio"))
 
 
+# More shapes of responses than the fixture's: arrays, comments, wrong keywords, cut ends, nothing at all.
+SHAPED = r"""SELECT response_id, CASE response_id % 12 WHEN 4 THEN 'List: [' || content || ', {"k": 1}] end [2' WHEN 5 THEN content || ' // note' WHEN 6 THEN '{"a": {"k": "True"}, "b": "None",' || chr(10) || '"c": [1, 2,]}  ' WHEN 7 THEN 'text } {"k": {"k": 3}} and } more' WHEN 8 THEN '' WHEN 9 THEN '{"k": 5, "open": {' WHEN 10 THEN '[3, 4]' WHEN 11 THEN '[x] and ["y", 7]' ELSE content END AS c FROM {responses}"""
+
+
+def valid(text: str) -> str:
+    """DuckDB takes a comma before a closing bracket; JSON has none."""
+    return rf"(json_valid({text}) AND NOT regexp_matches({text}, ',\s*[}}\]]'))"
+
+
+def first_json(*tries: str) -> str:
+    return "CASE " + " ".join(f"WHEN {valid(t)} THEN {t}" for t in tries) + " END"
+
+
+FENCED, BRACED, BRACKETED = r"regexp_extract(c, '(?s)```(?:json)?\s*(.*?)\s*```', 1)", r"regexp_extract(c, '(?s)(\{.*\})', 1)", r"regexp_extract(c, '(?s)(\[.*\])', 1)"
+
+
+def repaired_sql(c: str) -> str:
+    out = rf"regexp_replace(regexp_replace({c}, ',(\s*[}}\]])', '\1', 'g'), '(?m)//.*?$', '', 'g')"
+    for quoted_, plain in (('"True"', "true"), ('"False"', "false"), ('"None"', "null"), ('"null"', "null")):
+        out = f"replace({out}, '{quoted_}', '{plain}')"
+    return out
+
+
+DEPTH_AT = "length(replace(left(c, i), '}', '')) - length(replace(left(c, i), '{', ''))"
+
+
 @query(
-    """WITH r AS (SELECT e.event_id AS response_id, e.props, e.event_id % 4 AS shape FROM {events} e) SELECT response_id, CASE WHEN shape = 2 THEN FALSE ELSE TRUE END AS parses, props AS repaired FROM r WHERE shape IN (0, 2) UNION ALL SELECT response_id, TRUE, NULL FROM r WHERE shape IN (1, 3)""",
+    rf"""WITH s AS ({SHAPED}), z AS (SELECT *, (SELECT max(i) FROM (SELECT unnest(range(1, length(c) + 1)) AS i) x WHERE substr(c, i, 1) = '}}' AND {DEPTH_AT} = 0) AS zero FROM s),
+    e AS (SELECT *, CASE WHEN zero IS NOT NULL THEN left(c, zero) ELSE regexp_replace(c, '\}}\s*$', '}}') END AS cut, {first_json('c', FENCED, BRACED, BRACKETED)} AS v, list_filter(regexp_extract_all(c, '(?s)\[.*?\]'), lambda x: {valid('x')}) AS parts FROM z)
+    SELECT response_id, v IS NOT NULL AS parses, TRY_CAST(CASE WHEN json_type(v) = 'OBJECT' THEN json_extract_string(v, '$.k') ELSE json_extract_string(v, '$[0].k') END AS INT) AS k,
+      CAST(CASE WHEN {valid('c')} AND json_type(c) = 'ARRAY' THEN json_array_length(c) WHEN {valid('c')} AND json_type(c) = 'OBJECT' THEN 1 WHEN len(parts) > 0 THEN json_array_length(parts[1]) ELSE 0 END AS INT) AS array_size, {repaired_sql('c')} AS repaired, {repaired_sql('cut')} AS emergency,
+      CASE WHEN {valid('c')} AND json_type(c) = 'OBJECT' THEN TRUE WHEN {valid(BRACED)} THEN json_type({BRACED}) = 'OBJECT' ELSE FALSE END AS has_object FROM e""",
     "responses",
 )
 def p26_p29_p37_json(t):
-    content = F.col("content")
-    plain = F.col("response_id") % 4
-    return t.select(
-        "response_id",
-        (X.json_value(content).isNotNull() & X.json_object(content).isNotNull() | F.when(plain == 1, X.json_value(content).isNotNull()).otherwise(False)).alias("parses"),
-        F.when(plain.isin(0, 2), X.balanced_prefix(content)).alias("repaired"),
-    )
+    n = F.col("response_id") % 12
+    shapes = {5: F.concat("content", F.lit(" // note")), 4: F.concat(F.lit("List: ["), "content", F.lit(', {"k": 1}] end [2'))}
+    fixed = {6: '{"a": {"k": "True"}, "b": "None",\n"c": [1, 2,]}  ', 7: 'text } {"k": {"k": 3}} and } more', 8: "", 9: '{"k": 5, "open": {', 10: "[3, 4]", 11: '[x] and ["y", 7]'}
+    c = F.col("content")
+    for i, text in [*shapes.items(), *((i, F.lit(x)) for i, x in fixed.items())]:
+        c = F.when(n == i, text).otherwise(c)
+    rows = t.select("response_id", c.alias("c")).withColumn("v", X.json_value(F.col("c")))
+    c = F.col("c")
+    is_object = F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))
+    k = F.when(is_object, F.try_variant_get("v", "$.k", "int")).otherwise(F.try_variant_get("v", "$[0].k", "int"))
+    return rows.select("response_id", F.col("v").isNotNull().alias("parses"), k.alias("k"), F.size(X.json_array(c)).alias("array_size"), X.repaired_json(c).alias("repaired"), X.balanced_prefix(c).alias("emergency"), X.json_object(c).isNotNull().alias("has_object"))
 
 
 @query(

@@ -22,6 +22,15 @@ def h01_h03_h04_h09_plan(p):
     return H.plan(p).select("job_id", "policy_id", "depth", "root", "n_children", "is_leaf")
 
 
+@query(
+    """WITH RECURSIVE w AS (SELECT job_id, policy_id AS root_id, ord AS root_ord, policy_id, [CAST(0 AS BIGINT)] AS ords FROM {policies} WHERE parent_id IS NULL UNION ALL SELECT p.job_id, w.root_id, w.root_ord, p.policy_id, list_append(w.ords, p.ord) FROM w JOIN {policies} p ON p.job_id = w.job_id AND p.parent_id = w.policy_id)
+    SELECT job_id, root_id, policy_id, CAST(row_number() OVER (PARTITION BY job_id, root_id ORDER BY ords) AS INT) AS nth_of_root, CAST(row_number() OVER (PARTITION BY job_id ORDER BY root_ord, root_id, ords) AS INT) AS nth FROM w""",
+    "policies",
+)
+def h01b_h01c_flatten_policies(p):
+    return H.flattened(p)
+
+
 @query(f"{DEPTH} SELECT job_id, policy_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY is_leaf DESC, depth DESC, ord) AS INT) AS nth FROM pl", "policies")
 def h08_generation_order(p):
     return H.generation_order(H.plan(p))

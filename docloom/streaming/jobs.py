@@ -108,31 +108,38 @@ def until_failure(events: DataFrame) -> DataFrame:
 
 
 def run_once(events: DataFrame, timeout_s: int = LOCK_S) -> DataFrame:
-    """Stream: starts of a job that the lock lets through: ``events(job_id, ts, event_id)``.
+    """Stream: starts of a job that the lock lets through: ``events(job_id, ts, event_id, kind)``, kind ``start`` or ``release``.
 
-    A start within ``timeout_s`` of the last one that was let through is rejected. State is one time per job; events of a
-    micro-batch are taken in order of time, those of later batches never go back before the time held.
+    A start takes the lock for ``timeout_s`` unless it is held; a release ends it. State is one time per job; events of a
+    micro-batch are taken in order of time and id, those of later batches never go back before the time held.
     """
 
     def gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         taken = []
-        for ts, event_id in zip(rows.ts, rows.event_id, strict=True):
+        for ts, event_id, kind in zip(rows.ts, rows.event_id, rows.kind, strict=True):
             seconds = ts.timestamp()
-            if held is None or seconds - held >= timeout_s:
+            if kind == "release":
+                held = None
+            elif held is None or seconds - held >= timeout_s:
                 held = seconds
                 taken.append((key[0], event_id))
-        if held is not None:
-            state.update((held,))
+        state.update((held,))
         yield pd.DataFrame(taken, columns=["job_id", "event_id"]).astype("int64")
 
     return events.groupBy("job_id").applyInPandasWithState(gate, "job_id long, event_id long", "held double", "append", GroupStateTimeout.NoTimeout)
 
 
-def new_only(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys a persisted result doesn't hold."""
-    return rows.join(known.select(*keys).distinct(), keys, "left_anti")
+def cache_entries(rows: DataFrame, at: Column, ttl_s: Column) -> DataFrame:
+    """Cache entries of ``rows(document_hash, chunk_index, ...)`` written at a time, with the time at which they end."""
+    return rows.withColumn("expires_at", F.timestamp_seconds(F.unix_timestamp(at) + ttl_s))
+
+
+def uncached(rows: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
+    """Rows whose (document_hash, chunk_index) has no entry in the cache that lives at ``now``."""
+    live = cache.where(F.col("expires_at") > now).select("document_hash", "chunk_index").distinct()
+    return rows.join(live, ["document_hash", "chunk_index"], "left_anti")
 
 
 def fleet_health(samples: DataFrame) -> DataFrame:
