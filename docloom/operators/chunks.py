@@ -56,6 +56,20 @@ def joined_text(rows: DataFrame, key: list[str], mark: str = "[Page {}]") -> Dat
     )
 
 
+def chunk_facts(rows: DataFrame, key: list[str], mark: str = "[Page {}]") -> DataFrame:
+    """What ``joined_text`` says of each key but for the text itself, which isn't gathered: sizes are summed, flags hold for some page.
+
+    The marks between pages are no words, so no pattern of the flags reaches over them.
+    """
+    block = F.length(F.col("text")) + F.length(F.col("page_number").cast("string")) + len(mark.replace("{}", "")) + 1
+    defines, refers = contains_definitions(F.col("text")), ~context_complete(F.col("text"))
+    facts = rows.groupBy(*key).agg(
+        F.min("page_number").alias("start_page"), F.max("page_number").alias("end_page"), F.count(F.lit(1)).alias("n_pages"), (F.sum(block + 2) - 2).alias("chars"),
+        F.bool_or(defines).alias("has_definitions"), F.bool_or(refers).alias("refers"), F.bool_or(F.lower("text").contains("coverage")).alias("has_coverage"),
+    )
+    return facts.withColumns({"token_count": F.greatest(F.lit(1), F.floor(F.col("chars") / 4)), "has_complete_context": F.col("has_definitions") | ~F.col("refers")}).drop("chars", "refers")
+
+
 def overlapping(ranges: DataFrame, zones: DataFrame, key: str) -> DataFrame:
     """(doc_id, key, zone): zones that share a page with a range, joined page by page."""
     a = ranges.where("start_page <= end_page").select("doc_id", key, F.explode(F.sequence("start_page", "end_page")).alias("page_number"))
@@ -104,7 +118,7 @@ def chunk_issues(chunks: DataFrame) -> DataFrame:
     """A row per issue of a chunk."""
     issues = F.array_compact(
         F.array(
-            F.when(~F.col("has_definitions") & F.lower("text").contains("coverage"), F.lit("missing_definitions")),
+            F.when(~F.col("has_definitions") & F.col("has_coverage"), F.lit("missing_definitions")),
             F.when(~F.col("has_complete_context"), F.lit("incomplete_context")),
             F.when(F.col("end_page") - F.col("start_page") + 1 > F.col("n_pages"), F.lit("continuity_broken")),
         )

@@ -234,6 +234,10 @@ def chunk_rows(p, t):
     return C.joined_text(packed(p).select("doc_id", "page_number", "grp").join(t, ["doc_id", "page_number"]), ["doc_id", "grp"])
 
 
+def chunk_facts(p, t):
+    return C.chunk_facts(packed(p).select("doc_id", "page_number", "grp").join(t, ["doc_id", "page_number"]), ["doc_id", "grp"])
+
+
 @query(f"{CHUNKS} SELECT doc_id, CAST(grp AS INT) AS grp, start_page, end_page, n_pages, sha256(text) AS text_sha256, token_count, has_definitions, has_complete_context FROM k", "doc_pages", "text_pages")
 def c06_c10_c12_chunk_rows(p, t):
     return chunk_rows(p, t).select("doc_id", "grp", "start_page", "end_page", "n_pages", F.sha2("text", 256).alias("text_sha256"), "token_count", "has_definitions", "has_complete_context")
@@ -245,7 +249,7 @@ def c06_c10_c12_chunk_rows(p, t):
     "text_pages",
 )
 def c20_chunk_statistics(p, t):
-    return C.chunk_statistics(chunk_rows(p, t)).withColumn("avg_tokens", F.round("avg_tokens", 6))
+    return C.chunk_statistics(chunk_facts(p, t)).withColumn("avg_tokens", F.round("avg_tokens", 6))
 
 
 @query(
@@ -254,7 +258,7 @@ def c20_chunk_statistics(p, t):
     "text_pages",
 )
 def c17_c18_context_validation(p, t):
-    return C.chunk_issues(chunk_rows(p, t))
+    return C.chunk_issues(chunk_facts(p, t))
 
 
 @query(

@@ -8,7 +8,7 @@ from docloom.functions import text as X
 from docloom.operators import hierarchy as H
 from docloom.operators import jobs, review
 from docloom.operators import trees as T
-from docloom.plans.document_queries import CHUNKS, chunk_rows
+from docloom.plans.document_queries import CHUNKS, chunk_facts
 from docloom.plans.registration import Registry
 from docloom.plans.tree_queries import PATHS
 
@@ -110,13 +110,13 @@ def s18_c28_attach_page_images(p, t):
 
 @query(f"{CHUNKS} SELECT count(*) AS chunks, round(avg(token_count), 6) AS avg_tokens, round(avg(CASE WHEN has_complete_context THEN 1.0 ELSE 0.0 END), 6) AS complete FROM k", "doc_pages", "text_pages")
 def j10_j13_average_chunk_tokens(p, t):
-    rows = chunk_rows(p, t)
+    rows = chunk_facts(p, t)
     return rows.agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("token_count"), 6).alias("avg_tokens"), F.round(F.avg(F.col("has_complete_context").cast("double")), 6).alias("complete"))
 
 
 @query(f"{CHUNKS} SELECT doc_id, CAST(grp AS INT) AS grp FROM k WHERE has_complete_context OR grp % 2 = 0", "doc_pages", "text_pages")
 def e01_filter_chunks(p, t):
-    return chunk_rows(p, t).where(F.coalesce("has_complete_context", F.lit(True)) | (F.col("grp") % 2 == 0)).select("doc_id", "grp")
+    return chunk_facts(p, t).where(F.coalesce("has_complete_context", F.lit(True)) | (F.col("grp") % 2 == 0)).select("doc_id", "grp")
 
 
 @query(

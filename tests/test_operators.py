@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
-from docloom.operators import chunks, entities, iterate, jobs, quality, simjoin, trees
+from docloom.operators import chunking, chunks, entities, hierarchy, iterate, jobs, quality, refine, simjoin, structure, trees
+from docloom.staging import drop, stage, temporary
 from docloom.streaming import jobs as stream_jobs
 
 
@@ -124,25 +125,140 @@ def test_cyclic_trees_end(spark):
     assert [r.path for r in trees.first_path_to(again, "ok").collect()] == [[1, 2, 3]]
 
 
-def test_lock_lets_one_start_through(spark, sf):
-    starts = stream_jobs.event_stream(spark, sf).where("event_type = 'click'").select(F.col("user_id").alias("job_id"), "ts", "event_id")
-    got = {(r.job_id, r.event_id) for r in stream_jobs.finished(stream_jobs.run_once(starts)).collect()}
-    rows = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'click'").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id").collect()
-    held, want = {}, set()
-    for r in sorted(rows, key=lambda r: (r.t, r.event_id)):
-        if r.t - held.get(r.user_id, -1e18) >= stream_jobs.LOCK_S * 1e6:
-            held[r.user_id] = r.t
-            want.add((r.user_id, r.event_id))
-    assert got == want
-
-
-def test_merged_groups_keep_the_first_and_the_longest(spark):
-    policies = spark.createDataFrame([("j", 0, "a", "Knee surgery", "short", 0.4), ("j", 1, "b", "knee surgery", "much longer text", 0.8), ("j", 2, "c", "Other things", "x", 0.5)], "job_id string, ord long, policy_id string, title string, description string, confidence double")
-    got = {r.policy_id: (r.description, round(r.confidence, 6), r.n_merged) for r in entities.merged_groups(policies, entities.merge_similar(policies)).collect()}
-    assert got == {"a": ("much longer text", 0.6, 2), "c": ("x", 0.5, 1)}
-
-
-def test_similarity_join_has_no_cartesian_product(spark):
-    df = spark.createDataFrame([(1, 1, ["a"])], "g int, o int, t array<string>")
-    plan = simjoin.similar_pairs(df, "g", "o", "t", 0.5)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
+def test_lock_lets_one_start_through_until_released(spark):
+    events = [(7, f"2024-01-01 00:{m:02}:00", i, kind) for i, (m, kind) in enumerate([(0, "start"), (5, "start"), (10, "start"), (11, "release"), (12, "start"), (13, "start"), (40, "release"), (41, "release"), (41, "start")])]
+    folder = stage(spark.createDataFrame(events, "job_id long, ts string, event_id long, kind string").withColumn("ts", F.col("ts").cast("timestamp")), "events")
+    stream = spark.readStream.schema(folder.schema).parquet(folder._staged_path)
+    assert {r.event_id for r in stream_jobs.finished(stream_jobs.run_once(stream)).collect()} == {0, 2, 4, 8}
+
+
+def test_both_merging_passes(spark):
+    rows = [("j", 0, "a", None, 0, "Knee surgery", "short", 0.4), ("j", 1, "b", "x", 1, "knee surgery", "much longer text", 0.8), ("j", 2, "c", None, 0, "Other things", "x", 0.5), ("j", 3, "d", None, 0, "Surgery rules of today", "the longest of all texts", 0.5), ("j", 4, "e", None, 0, "rules of surgery", "y", 0.7), ("j", 5, "f", None, 0, "", "", 0.1)]
+    policies = spark.createDataFrame(rows, "job_id string, ord long, policy_id string, parent_id string, level int, title string, description string, confidence double")
+    merged, leaders = entities.merge_similar(policies)
+    got = {r.policy_id: (r.description, round(r.confidence, 6), r.n_merged) for r in merged.collect()}
+    assert got == {"a": ("much longer text", 0.6, 2), "c": ("x", 0.5, 1), "d": ("the longest of all texts", 0.6, 2), "f": ("", 0.1, 1)}
+    assert {r.ord: r.leader for r in leaders.collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5}
+
+
+def test_semantic_titles_lose_nothing(spark):
+    rng = random.Random(9)
+    words = ["coverage", "criteria", "surgery", "knee", "knees", "medical", "medically", "policy", "for", "adult", "adults", "item"]
+    titles = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(60)})
+    df = stage(spark.createDataFrame([(1, i, t) for i, t in enumerate(titles)], "g long, id long, t string").select("g", "id", X.title_parts(F.col("t")).alias("p")), "titles")
+    got = {(r.a, r.b) for r in entities.similar_titles(df).collect()}
+    x, y = (df.select(F.col("id").alias(i), F.col("p").alias(f"p{i}")) for i in "ab")
+    want = {(r.a, r.b) for r in x.join(y, F.col("a") < F.col("b")).where(X.parts_semantically_similar(F.col("pa"), F.col("pb"))).collect()}
+    assert got == want and want
+
+
+def test_long_chains_have_no_cap(spark):
+    n = 300
+    links = spark.createDataFrame([(0, i, i + 1) for i in range(n)], "g long, a long, b long")
+    rows = spark.createDataFrame([(0, i) for i in range(n + 1)], "g long, o long")
+    assert {r.o: r.leader for r in simjoin.greedy_leaders(rows, links, "g", "o").collect()} == {i: i - i % 2 for i in range(n + 1)}
+    nodes = [(1, i, i - 1 if i else None, 0, "question" if i < n else "outcome", "yes", "end" if i == n else None) for i in range(n + 1)]
+    tree = spark.createDataFrame(nodes, "tree_id long, node_id long, parent_node_id long, sibling_ord long, node_type string, answer string, outcome_type string")
+    assert [len(r.path) for r in trees.all_paths(tree).collect()] == [n + 1]
+    rules = spark.createDataFrame([], "tree_id long, node_id long, next_node_id long")
+    assert trees.reachable(tree, rules).count() == n + 1
+    assert {r.root for r in iterate.components(links.select("a", "b")).collect()} == {0}
+
+
+def test_the_index_is_never_broadcast(spark):
+    rng = random.Random(4)
+    sets = stage(spark.createDataFrame([(1, i, sorted(rng.sample([f"w{k}" for k in range(40)], 8)), 8) for i in range(400)], "g int, id int, t array<string>, n int"), "sets")
+    met = simjoin.candidates(simjoin.rare_index(sets, 0.5), simjoin.jaccard_able(0.5))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "CartesianProduct" not in plan
+
+
+def test_reachable_over_jumps_and_cycles(spark):
+    schema = "tree_id long, node_id long, parent_node_id long"
+    nodes = spark.createDataFrame([(1, 1, None), (1, 2, 1), (1, 10, 99), (1, 11, 10), (1, 20, 21), (1, 21, 20), (1, 30, 31), (1, 31, 30), (1, 32, 31)], schema)
+    rules = spark.createDataFrame([(1, 2, 10), (1, 11, 21), (1, 20, 77)], "tree_id long, node_id long, next_node_id long")
+    assert {r.node_id for r in trees.reachable(nodes, rules).collect()} == {1, 2, 10, 11, 20, 21}
+
+
+def test_boundary_ranges_are_the_fold(spark):
+    rng = random.Random(8)
+    rows = [(d, p, [rng.choice(["a", "b", "unassigned"])], rng.random() < 0.3, rng.random() < 0.5, rng.random() < 0.2, f"h{p}") for d in range(30) for p in range(1, 12)]
+    want = set()
+    for d in range(30):
+        held = None
+        for _, p, ids, starts, goes_on, ends, _ in [r for r in rows if r[0] == d]:
+            if ids == ["unassigned"]:
+                continue
+            if starts:
+                if held:
+                    want.add((d, *held))
+                held = [ids[0], p, p, False]
+            elif held and goes_on:
+                held[2:] = [p, True]
+            if ends and held:
+                held[2] = p
+                want.add((d, *held))
+                held = None
+        if held:
+            want.add((d, *held))
+    got = chunking.boundary_ranges(spark.createDataFrame(rows, "doc_id long, page_number long, policy_ids array<string>, starts boolean, continues boolean, ends boolean, heading string"))
+    assert {(r.doc_id, r.policy_id, r.start_page, r.end_page, r.is_multi_page) for r in got.collect()} == want
+
+
+def test_conditions_are_deduplicated_as_by_the_fold(spark):
+    rng = random.Random(2)
+    words = ["one", "two", "three", "four", "five"]
+    rows = [(f"p{p}", i, f"c{p}_{i}", " ".join(rng.choice(words) for _ in range(rng.randint(0, 6)))) for p in range(6) for i in range(25)]
+    want = set()
+    for p in range(6):
+        kept = []
+        for _, _, c, text in [r for r in rows if r[0] == f"p{p}"]:
+            t = plain_words(text)
+            if not any(t and k and len(t & k) / len(t | k) > 0.6 for k in kept):
+                kept.append(t)
+                want.add(c)
+    got = quality.dedup_conditions(spark.createDataFrame(rows, "policy_id string, ord long, condition_id string, description string"), 0.6)
+    assert {r.condition_id for r in got.collect()} == want
+
+
+def test_merges_move_children_and_conditions(spark):
+    policies = spark.createDataFrame([("j", 0, "a", None, 0, "A", "d", 0.5), ("j", 1, "b", None, 0, "B", "d", 0.5), ("j", 2, "c", "b", 1, "C", "d", 0.5)], "job_id string, ord long, policy_id string, parent_id string, level int, title string, description string, confidence double")
+    conditions = spark.createDataFrame([("a", 1, "a1", "x y"), ("b", 1, "b1", "x y"), ("b", 2, "b2", "z"), ("c", 1, "c1", "x y")], "policy_id string, ord long, condition_id string, description string")
+    kept, held, taken = refine.merge_duplicates(policies, conditions, spark.createDataFrame([("a", "b")], "a_id string, b_id string"))
+    assert {(r.policy_id, r.parent_id) for r in kept.collect()} == {("a", None), ("c", "a")}
+    assert {(r.policy_id, r.condition_id) for r in held.collect()} == {("a", "a1"), ("a", "b2"), ("c", "c1")}
+    assert [tuple(r) for r in taken.collect()] == [("b", "a")]
+
+
+def test_headings(spark):
+    rows = ["IV. COVERAGE", "2. MEDICAL RULES", "LONG CAPITAL LETTERS", "B. Adult rules", "1.2 Visits", "b. small", "1.2.3 Age", "Billing codes", "National society", "Medical necessity", "Patient selection", "SHORT", "Some title here", "lower case text", "", "CAPITALS WITH 12 NUMBERS"]
+    got = {r.text: (r.level, r.numbering, r.title) for r in structure.heading_hierarchy(spark.createDataFrame([(1, i, i, t) for i, t in enumerate(rows)], "doc_id long, page_number long, ord long, text string")).collect()}
+    assert got == {
+        "IV. COVERAGE": (1, "IV", "COVERAGE"), "2. MEDICAL RULES": (1, "2", "MEDICAL RULES"), "LONG CAPITAL LETTERS": (1, "LONG CAPITAL LETTERS", "LONG CAPITAL LETTERS"), "B. Adult rules": (2, "B", "Adult rules"), "1.2 Visits": (2, "1.2", "Visits"), "b. small": (3, "b", "small"),
+        "1.2.3 Age": (3, "1.2.3", "Age"), "Medical necessity": (1, None, "Medical necessity"), "Patient selection": (2, None, "Patient selection"), "Some title here": (2, None, "Some title here"), "lower case text": (2, None, "lower case text"), "": (2, None, ""), "CAPITALS WITH 12 NUMBERS": (1, None, "CAPITALS WITH 12 NUMBERS"),
+    }
+
+
+def test_preorder(spark):
+    rows = [("j", 0, "a", None), ("j", 1, "b", "a"), ("j", 2, "c", "a"), ("j", 3, "d", "b"), ("j", 4, "e", None), ("j", 5, "f", "gone")]
+    got = hierarchy.flattened(spark.createDataFrame(rows, "job_id string, ord long, policy_id string, parent_id string"))
+    assert [r.policy_id for r in got.orderBy("nth").collect()] == ["a", "b", "d", "c", "e"]
+
+
+def test_chunk_facts_are_those_of_the_text(spark):
+    texts = ["", "This means", "shall", "mean see section", "refer to", "x" * 999, "Coverage"]
+    rows = spark.createDataFrame([(d, p, (p + d) % 3, texts[(d * 5 + p * 3) % 7]) for d in range(7) for p in range(1, 9)], "doc_id long, page_number long, grp int, text string")
+    facts, whole = chunks.chunk_facts(rows, ["doc_id", "grp"]), chunks.joined_text(rows, ["doc_id", "grp"])
+    names = ["doc_id", "grp", "start_page", "end_page", "n_pages", "token_count", "has_definitions", "has_complete_context"]
+    assert sorted(map(tuple, facts.select(names).collect())) == sorted(map(tuple, whole.select(names).collect()))
+
+
+def test_staged_tables_go(spark):
+    from pathlib import Path
+
+    with temporary() as stay:
+        gone, left = stage(spark.range(3), "test"), stage(spark.range(4), "test")
+        stay.append(left)
+    assert left.count() == 4 and not Path(gone._staged_path.removeprefix("file://")).exists()
+    drop(left, spark.range(1))
+    assert not Path(left._staged_path.removeprefix("file://")).exists()
