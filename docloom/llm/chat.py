@@ -8,14 +8,15 @@ turns (role, text). Fields that no mapping knows don't change the fingerprint.
 The template writes a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside texts
 and roles every ``<|`` gets a backslash after the ``<`` (and ``<\\|`` another one),
 so control strings never occur inside a text and unescaping is exact; in roles, a
-backslash and a line feed are escaped as well.
+backslash becomes ``\\s`` and a line feed ``\\n``.
 
 Long conversations are formatted in parts of ``TURNS_IN_PART`` turns, each a row of
 its own, so no task holds more than that of one conversation before the end. The loss
 mask is a list of spans, in code points, of each part.
 
-Defined results: a null text or role is an empty string; a null turn comes first, and
-rows that share a turn are ordered by role, then text; a null ``conv_id`` is a
+Defined results: a null text or role is an empty string; a null turn comes first, before
+negative ones, and rows that share a turn are ordered by role, then text; roles are kept as they
+are, but that of ``from``/``value`` lists have the names of the others; a null ``conv_id`` is a
 conversation of its own; a record without a known layout, or whose JSON doesn't parse,
 gives no turns and is returned by ``unknown_layouts``; repeated rows are repeated turns;
 an empty table gives an empty result; other columns are ignored.
@@ -42,8 +43,13 @@ def _single(*turns: tuple[str, str]) -> str:
     return f"filter(array({made}), t -> t.text is not null)"
 
 
-def _list(path: str, role: str, text: str) -> str:
-    return f"transform(try_variant_get(v, '$.{path}', 'array<struct<{role}:string,{text}:string>>'), m -> named_struct('role', m.{role}, 'text', coalesce(m.{text}, '')))"
+def _list(path: str, role: str, text: str, names: dict[str, str] | None = None) -> str:
+    named = f"m.{role}" if not names else "CASE m." + role + "".join(f" WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE m.{role} END"
+    return f"transform(try_variant_get(v, '$.{path}', 'array<struct<{role}:string,{text}:string>>'), m -> named_struct('role', {named}, 'text', coalesce(m.{text}, '')))"
+
+
+# Role names of ``from``/``value`` lists. Fixed values.
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 _PAIR = [("prompt", "response"), ("prompt", "completion"), ("question", "answer")]
@@ -51,14 +57,12 @@ LAYOUTS: dict[tuple[str, ...], str] = {
     ("role", "text", "turn"): "array(named_struct('role', try_variant_get(v, '$.role', 'string'), 'text', coalesce(try_variant_get(v, '$.text', 'string'), '')))",
     ("messages[*].content", "messages[*].role"): _list("messages", "role", "content"),
     ("messages[*].role", "messages[*].text"): _list("messages", "role", "text"),
-    ("conversations[*].from", "conversations[*].value"): _list("conversations", "from", "value"),
+    ("conversations[*].from", "conversations[*].value"): _list("conversations", "from", "value", ROLES),
     ("instruction", "output"): _single(("user", _FIELD.format("instruction")), ("assistant", _FIELD.format("output"))),
     ("input", "instruction", "output"): _single(
         ("user", f"concat_ws('\n\n', {_FIELD.format('instruction')}, nullif({_FIELD.format('input')}, ''))"), ("assistant", _FIELD.format("output"))
     ),
 } | {tuple(sorted(p)): _single(("user", _FIELD.format(p[0])), ("assistant", _FIELD.format(p[1]))) for p in _PAIR}
-# Role names of other layouts. Fixed values.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def path_hash(paths: tuple[str, ...]) -> str:
@@ -95,8 +99,7 @@ def canonical_turns(records: DataFrame) -> DataFrame:
     for paths, expression in LAYOUTS.items():
         turns = F.when(F.col("__layout") == path_hash(paths), F.expr(expression).cast(f"array<{TURN}>")).otherwise(turns)
     rows = marked.select("conv_id", "seq", F.posexplode(turns).alias("pos", "t"))
-    role = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), F.coalesce("t.role", F.lit(""))), F.col("t.role"), F.lit(""))
-    return rows.select("conv_id", "seq", "pos", role.alias("role"), F.coalesce("t.text", F.lit("")).alias("text"))
+    return rows.select("conv_id", "seq", "pos", F.coalesce("t.role", F.lit("")).alias("role"), F.coalesce("t.text", F.lit("")).alias("text"))
 
 
 def unknown_layouts(records: DataFrame) -> DataFrame:
@@ -112,13 +115,12 @@ def unescaped(text: Column) -> Column:
 
 
 def _role_out(role: Column) -> Column:
-    return escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    return escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n")))
 
 
 def _role_in(role: Column) -> Column:
-    # A doubled backslash is set aside before "\n" is read.
-    kept = F.replace(unescaped(role), F.lit("\\\\"), F.lit("\u0000\\"))
-    return F.replace(F.regexp_replace(kept, r"(?<!\x00)\\n", "\n"), F.lit("\u0000\\"), F.lit("\\"))
+    # Every backslash that is left has one of the two letters behind it.
+    return F.replace(F.replace(unescaped(role), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
 
 
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -126,7 +128,7 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     loss_spans: (start, length) of the texts of ``loss_role`` in ``formatted``, in code points.
     """
-    part = F.expr(f"coalesce(seq, -1) div {TURNS_IN_PART}")
+    part = F.expr(f"(seq - pmod(seq, {TURNS_IN_PART})) div {TURNS_IN_PART}")  # null, which sorts first, where seq is
     parts = turns.groupBy("conv_id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("seq", "pos", "role", "text"))).alias("t"))
     pieces = F.transform("t", lambda x: F.struct(F.concat(F.lit(START), _role_out(x.role), F.lit("\n")).alias("head"), escaped(x.text).alias("body"), (x.role == loss_role).alias("loss")))
     size = len(END)
