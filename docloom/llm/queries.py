@@ -48,7 +48,7 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_within: for every queried row, how many rows have a fingerprint within the radius; null for the others."""
     rows = stage(edited_fingerprints(read(spark, sf_dir, "documents")), "fingerprints")
     asked = F.col("doc_id") % QUERY_STEP == 0
-    found = search(rows.where(asked).select("fp"), rows.select("fp")).groupBy("fp").agg(F.sum("n").alias("n"))
+    found = stage(search(rows.where(asked).select("fp"), rows.select("fp")).groupBy("fp").agg(F.sum("n").alias("n")), "within")
     return rows.join(found, "fp", "left").select(
         "doc_id",
         "n_chars",
@@ -103,7 +103,7 @@ WITH c AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), e AS (
-  SELECT *, length('<|im_start|>') + length(regexp_replace(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), '<(\\*)\|', '<\\\1|', 'g')) + 1
+  SELECT *, length('<|im_start|>') + length(regexp_replace(replace(replace(role, chr(92), chr(92) || 's'), chr(10), chr(92) || 'n'), '<(\\*)\|', '<\\\1|', 'g')) + 1
     + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1 AS chars FROM c
 )
 SELECT conv_id, count(*) AS n_turns,
