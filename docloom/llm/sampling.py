@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from statistics import median
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, MARGIN = 256, 1.1
+ERROR, MARGIN = 0.02, 1.2
 
 
 def fold(doc_id: str, folds: int):
@@ -18,12 +16,11 @@ def fold(doc_id: str, folds: int):
 def bounded_sample(labelled: DataFrame, rows: int) -> DataFrame:
     """At most ``rows`` different rows of ``labelled(doc_id, label)``, those with the smallest hashed ids: as good as random, always the same.
 
-    A histogram of ``BUCKETS`` counts tells how far the hashes may go, so that the tasks send little more than ``rows``
-    rows on to be ordered, however many tasks there are. Ids that many rows share fill few buckets, hence the median.
+    A sketch of the number of different rows, a fixed size in every task, tells how far the hashes may go, so that the
+    tasks send little more than ``rows`` rows on to be ordered, however many tasks and repeats there are.
     """
-    h = F.xxhash64("doc_id")
-    counts = {r.b: r.n for r in labelled.groupBy(F.shiftrightunsigned(h, 56).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    ids = BUCKETS * median([counts.get(b, 0) for b in range(BUCKETS)])
-    if sum(counts.values()) > rows and MARGIN * rows < ids:
-        labelled = labelled.where(F.shiftrightunsigned(h, 1) <= int(MARGIN * rows / ids * (2**63 - 1)))
-    return labelled.select("doc_id", "label").distinct().orderBy(F.shiftrightunsigned(h, 1), "doc_id", "label").limit(rows)
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    different = labelled.agg(F.approx_count_distinct(F.xxhash64("doc_id", "label"), ERROR)).first()[0]
+    if MARGIN * rows < different:
+        labelled = labelled.where(h <= int(MARGIN * rows / different * (2**63 - 1)))
+    return labelled.select("doc_id", "label").distinct().orderBy(h, "doc_id", "label").limit(rows)
