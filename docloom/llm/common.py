@@ -11,12 +11,17 @@ from docloom.staging import drop, new_path, shared_dir, stage, temporary
 
 BATCH_BYTES = 4 << 20
 
-__all__ = ["drop", "first_of_each", "new_path", "numbered", "only_rows", "read", "shared_dir", "shuffle_partitions", "shuffles_removed", "small_batches", "stage", "temporary"]
+__all__ = ["drop", "fields", "first_of_each", "new_path", "numbered", "only_rows", "read", "shared_dir", "shuffle_partitions", "shuffles_removed", "small_batches", "stage", "temporary"]
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` as a staged table with a number ``__row`` for every row, whatever its ``doc_id``."""
-    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", compression="zstd")
+    """(__row, doc) as a staged table: a number for every row, whatever its ``doc_id``, and all its columns, whatever their names."""
+    return stage(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("doc")), "numbered", compression="zstd")
+
+
+def fields(rows: DataFrame) -> DataFrame:
+    """(__row, doc_id, text) of ``numbered`` rows; nothing else is read."""
+    return rows.select("__row", "doc.doc_id", "doc.text")
 
 
 def first_of_each(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -29,8 +34,8 @@ def first_of_each(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def only_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """``numbered`` rows whose number ``kept`` has. Never a broadcast: what is kept grows with the table."""
-    return rows.join(kept.select("__row").hint("merge"), "__row", "left_semi").drop("__row")
+    """The documents of ``numbered`` rows whose number ``kept`` has. Never a broadcast: what is kept grows with the table."""
+    return rows.join(kept.select("__row").hint("merge"), "__row", "left_semi").select("doc.*")
 
 
 def small_batches(spark: SparkSession) -> None:

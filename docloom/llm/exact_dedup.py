@@ -28,7 +28,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import numbered, only_rows, shuffle_partitions, shuffles_removed, stage, temporary
+from docloom.llm.common import fields, numbered, only_rows, shuffle_partitions, shuffles_removed, stage, temporary
 
 FAN_BITS = 4
 FAN_IN = 2**FAN_BITS
@@ -99,7 +99,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; the columns stay as they are. Rows are chosen by number before their texts move."""
     with shuffles_removed(docs.sparkSession), temporary() as stay:
         rows = numbered(docs)
-        found = stage(digests(rows.select(F.col("__row").alias("row"), "doc_id", "text")), "digests")
+        found = stage(digests(fields(rows).withColumnRenamed("__row", "row")), "digests")
         kept = stage(merged_runs(found).select(F.col("keep_row").alias("__row")), "kept-rows")
         stay += [rows, kept]
         return only_rows(rows, kept)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import drop, first_of_each, numbered, shuffles_removed, small_batches, stage, temporary
+from docloom.llm.common import drop, fields, first_of_each, numbered, shuffles_removed, small_batches, stage, temporary
 from docloom.operators.iterate import components
 
 SHINGLE, SEED = 5, 42
@@ -195,7 +195,7 @@ def near_links(texts: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def near_classes(rows: DataFrame) -> DataFrame:
-    """(__row, doc_id, tie, root) for ``rows`` with ``__row``, a staged table: root names the row's class."""
+    """(__row, doc_id, tie, root) for ``rows(__row, doc_id, text)`` of a staged table: root names the row's class."""
     small_batches(rows.sparkSession)
     key = ["h", "h2", "n"]
     with temporary() as stay:
@@ -214,4 +214,4 @@ def keep_one_of_each_class(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest ``doc_id``; columns unchanged."""
     with shuffles_removed(docs.sparkSession):
         rows = numbered(docs)
-        return first_of_each(rows, near_classes(rows))
+        return first_of_each(rows, near_classes(fields(rows)))

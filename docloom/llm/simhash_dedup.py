@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import first_of_each, numbered, small_batches, stage
+from docloom.llm.common import fields, first_of_each, numbered, small_batches, stage
 from docloom.operators.iterate import components
 
 RADIUS, SEGMENTS, BUCKET_LIMIT, SHINGLE, SEED = 2, 7, 64, 3, 42
@@ -156,8 +156,9 @@ def keep_one_of_each_class(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = numbered(docs)
-    found = fingerprints(rows.withColumn("doc_id", F.col("__row")))
-    ids = rows.select("__row", "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    held = fields(rows)
+    found = fingerprints(held.withColumn("doc_id", F.col("__row")))
+    ids = held.select("__row", "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
     named = stage(ids.join(found.withColumnRenamed("doc_id", "__row"), "__row"), "fingerprints")
     roots = components(fingerprint_links(named.select("fp").distinct()))
     classes = named.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("__row", "doc_id", "tie", F.coalesce("root", "fp").alias("root"))
