@@ -152,26 +152,31 @@ def c01_chunk_document(p, x, h, t):
 def c08_split_by_subsections(p, x, h, t):
     """All sections count as too large: a chunk a subsection, or by pages where there are none."""
     sections, subs = structure(p, h)
-    return digest(G.section_chunks(sections, subs, zones(t), kept_pages(x, t), 0, TARGET))
+    pages = kept_pages(x, t)
+    return digest(G.section_chunks(sections, subs, zones(t), pages, G.page_sizes(pages), 0, TARGET))
 
 
 @query(f"{BASE}, {policy_units('TRUE')}, {units_sql('pol', MOST)} SELECT {COLUMNS} FROM pol_chunks", *TABLES)
 def c11_c12b_policy_boundary_chunks(p, x, h, t):
-    return digest(G.policy_chunks(G.policy_rows(G.boundary_ranges(flags(p)), zones(t), kept_pages(x, t), MOST, TARGET)))
+    pages = kept_pages(x, t)
+    return digest(G.policy_chunks(G.policy_rows(G.boundary_ranges(flags(p)), zones(t), G.page_sizes(pages), MOST, TARGET), pages))
 
 
 @query(f"{BASE}, {policy_units('TRUE')}, {units_sql('pol', TARGET // 2)} SELECT {COLUMNS} FROM pol_chunks WHERE kind <> 'policy'", *TABLES)
 def c13_split_large_policy(p, x, h, t):
     """Policies of over half the target, by zones and by pages."""
-    return digest(G.policy_chunks(G.policy_rows(G.boundary_ranges(flags(p)), zones(t), kept_pages(x, t), TARGET // 2, TARGET)).where("kind <> 'policy'"))
+    pages = kept_pages(x, t)
+    return digest(G.policy_chunks(G.policy_rows(G.boundary_ranges(flags(p)), zones(t), G.page_sizes(pages), TARGET // 2, TARGET), pages).where("kind <> 'policy'"))
 
 
 @query(f"{BASE}, {zone_units('TRUE')}, {units_sql('zon', MOST)} SELECT {COLUMNS} FROM zon_chunks", *TABLES)
 def c15_zone_chunks(p, x, h, t):
-    return digest(G.policy_chunks(G.zone_rows(zones(t), kept_pages(x, t), MOST, TARGET)))
+    pages = kept_pages(x, t)
+    return digest(G.policy_chunks(G.zone_rows(zones(t), G.page_sizes(pages), MOST, TARGET), pages))
 
 
 @query(f"{BASE}, {sections_sql(MOST)} SELECT doc_id, count(*) AS chunks, count(*) FILTER (WHERE has_definitions AND has_complete_context AND continuity_preserved) AS complete, round(avg(CASE WHEN has_definitions THEN 100.0 ELSE 0 END), 6) AS definition_coverage FROM section_chunks GROUP BY doc_id", *TABLES)
 def c18_context_summary(p, x, h, t):
     sections, subs = structure(p, h)
-    return G.validation(G.section_chunks(sections, subs, zones(t), kept_pages(x, t), MOST, TARGET)).withColumn("definition_coverage", F.round("definition_coverage", 6))
+    pages = kept_pages(x, t)
+    return G.validation(G.section_chunks(sections, subs, zones(t), pages, G.page_sizes(pages), MOST, TARGET)).withColumn("definition_coverage", F.round("definition_coverage", 6))
