@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _staged: dict[str, SparkSession] = {}
 _local_dir: list[str] = []
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +37,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder; what is written there goes when the driver's Python ends."""
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
     _staged[path] = spark
+    for scope in getattr(_scopes, "open", ()):
+        scope.append(path)
     return path
 
 
@@ -62,14 +66,18 @@ def drop(*tables: DataFrame) -> None:
 
 @contextlib.contextmanager
 def temporary() -> Iterator[list[DataFrame]]:
-    """Tables staged within are deleted at its end, but for those that were put into the list that it gives."""
-    before, kept = set(_staged), []
+    """Tables that this thread stages within are deleted at its end, but for those that were put into the list that it gives."""
+    kept: list[DataFrame] = []
+    made: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", ()), made]
     try:
         yield kept
     finally:
+        _scopes.open = _scopes.open[:-1]
         stay = {getattr(table, "_staged_path", None) for table in kept}
-        for path in [p for p in _staged if p not in before and p not in stay]:
-            _remove(_staged.pop(path), path)
+        for path in made:
+            if path in _staged and path not in stay:
+                _remove(_staged.pop(path), path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
