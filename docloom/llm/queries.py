@@ -14,9 +14,12 @@ from docloom.llm.chat import canonical_turns, conversation_digests, format_chats
 from docloom.llm.common import read, stage
 from docloom.llm.exact_dedup import exact_dedup
 from docloom.llm.fingerprint import edited_fingerprints, hexadecimal, likeness, search
+from docloom.llm.manifest import manifest
+from docloom.llm.negatives import hard_negatives
 from docloom.llm.packing import FIELDS, pack
 from docloom.llm.repeats import remove_repeats, removed_bytes
 from docloom.llm.simhash_dedup import near_classes
+from docloom.llm.vector_dedup import vector_classes
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +134,86 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
+
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(read(spark, sf_dir, "documents"))
+
+
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_classes(read(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives(rows, F.col("vec_id") % QUERY_STEP == 0).select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
+
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS crc FROM documents
+), f AS (
+  SELECT doc_id, lang, text, xor(crc, 4294967295) % 3 = 0 AS hit,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM d
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM (
+    SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN hit THEN sha256(head || coalesce(strlen(text) || ':' || lowered, '-')) END AS tampered FROM f) q
+), nodes AS (
+  SELECT lang, 0 AS level, pos, leaf AS h, n FROM leaves
+  UNION ALL SELECT lang, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 8, n
+), tops AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, pos, subroot AS h, n FROM tops
+  UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM upper WHERE n > 1 GROUP BY level, pos // 8, n
+), beside AS (
+  SELECT lang, level, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY lang, level, pos // 8 ORDER BY pos)
+), beside_tops AS (
+  SELECT level, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM upper WHERE n > 1 WINDOW w AS (PARTITION BY level, pos // 8 ORDER BY pos)
+), walk AS (
+  SELECT lang, pos AS place, 0 AS level, pos, coalesce(tampered, leaf) AS cur, '' AS proof FROM leaves
+  UNION ALL SELECT w.lang, w.place, w.level + 1, w.pos // 8, sha256(b.l || w.cur || b.r), w.proof || b.l || b.r FROM walk w JOIN beside b ON b.lang IS NOT DISTINCT FROM w.lang AND b.level = w.level AND b.pos = w.pos
+), landed AS (
+  SELECT lang, place, max_by(cur, level) AS cur, max_by(proof, level) AS proof FROM walk GROUP BY lang, place
+), walk_tops AS (
+  SELECT l.lang, l.place, 0 AS level, t.pos, l.cur, l.proof, t.subroot FROM landed l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.lang
+  UNION ALL SELECT w.lang, w.place, w.level + 1, w.pos // 8, sha256(b.l || w.cur || b.r), w.proof || b.l || b.r, w.subroot FROM walk_tops w JOIN beside_tops b ON b.level = w.level AND b.pos = w.pos
+), ended AS (
+  SELECT lang, place, subroot, max_by(cur, level) AS folded_root, max_by(proof, level) AS proof FROM walk_tops GROUP BY lang, place, subroot
+)
+SELECT x.doc_id, x.leaf, e.subroot, u.h AS root, sha256(e.proof) AS proof_sha256, e.folded_root, e.folded_root = u.h AS verified
+FROM leaves x JOIN ended e ON e.lang IS NOT DISTINCT FROM x.lang AND e.place = x.pos JOIN (SELECT h FROM upper WHERE n = 1) u ON true
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS able, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.able AND b.able WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN l ON l.x = r.y
+), c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id
+"""
+
+OP13_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.other AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other) QUALIFY row_number() OVER w <= 3
+"""
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -142,5 +225,8 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
+    "op11_manifest": op11_manifest,
+    "op12_vector_dedup": op12_vector_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-SQL = {"op3_chat": OP3_SQL, "op9_exact_dedup": OP9_SQL}
+SQL = {"op3_chat": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op11_manifest": OP11_SQL, "op12_vector_dedup": OP12_SQL, "op13_hard_negatives": OP13_SQL}
