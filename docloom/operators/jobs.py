@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.scan import running_sums
+
 
 def list_jobs(jobs: DataFrame, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     """Newest jobs first, ties by id."""
@@ -116,8 +118,7 @@ def content_validation(pages: DataFrame) -> DataFrame:
 
 
 def line_references(lines: DataFrame) -> DataFrame:
-    """Non-empty lines with their place in the text, line ends counted. ``lines(doc_id, line_no, line)``."""
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
-    placed = lines.withColumns({"char_start": start}).withColumn("char_end", F.col("char_start") + F.length("line"))
+    """Non-empty lines with their place in the text, line ends counted; no task holds a document. ``lines(doc_id, line_no, line)``."""
+    summed = running_sums(lines.withColumn("__length", F.length("line") + 1), "doc_id", ["line_no"], "__length")
+    placed = summed.withColumn("char_start", F.col("running") - F.col("__length")).withColumn("char_end", F.col("char_start") + F.length("line"))
     return placed.where(F.trim("line") != "").select("doc_id", "line_no", F.trim("line").alias("line"), "char_start", "char_end")

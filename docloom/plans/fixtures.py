@@ -51,8 +51,8 @@ FIXTURES: dict[str, tuple[str, str]] = {
         r"""SELECT event_id, user_id AS job_id, CASE event_type WHEN 'signup' THEN 'created' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'viewed' END AS event_type, ts, CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN -1 WHEN 'error' THEN -1 ELSE 0 END AS delta FROM {events}""",
     ),
     "metric_samples": (
-        r"""SELECT event_id, 'agent'||CAST(user_id%3 AS VARCHAR(20)) AS agent, ts, value AS cpu_percent, value*10 AS memory_mb, CAST(user_id%60 AS INT) AS num_threads FROM {events}""",
-        r"""SELECT event_id, 'agent'||CAST(user_id%3 AS VARCHAR(20)) AS agent, ts, value AS cpu_percent, value*10 AS memory_mb, CAST(user_id%60 AS INT) AS num_threads FROM {events}""",
+        r"""SELECT event_id, 'agent'||CAST(user_id AS VARCHAR(20)) AS agent, ts, value AS cpu_percent, value*10 AS memory_mb, CAST(user_id%60 AS INT) AS num_threads FROM {events}""",
+        r"""SELECT event_id, 'agent'||CAST(user_id AS VARCHAR(20)) AS agent, ts, value AS cpu_percent, value*10 AS memory_mb, CAST(user_id%60 AS INT) AS num_threads FROM {events}""",
     ),
     "responses": (
         r"""SELECT event_id AS response_id, CASE event_id%4 WHEN 0 THEN props WHEN 1 THEN '```json'||chr(10)||props||chr(10)||'```' WHEN 2 THEN replace(props,'}',',}') ELSE 'Here is the result: '||props END AS content FROM {events}""",

@@ -11,6 +11,7 @@ from docloom.operators import trees as T
 from docloom.plans.document_queries import CHUNKS, chunk_facts
 from docloom.plans.registration import Registry
 from docloom.plans.tree_queries import PATHS
+from docloom.streaming import jobs as stream_jobs
 
 registry = Registry()
 query = registry.query
@@ -129,8 +130,7 @@ def t15_path_to_outcome(n):
 
 @query("SELECT job_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS log FROM {job_events} GROUP BY job_id", "job_events")
 def w11_log_accumulator(t):
-    listed = t.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("l"))
-    return listed.select("job_id", F.array_join(F.transform("l", lambda x: x["event_type"]), ",").alias("log"))
+    return stream_jobs.accumulated_log(t)
 
 
 @query("SELECT doc_id, page_number, coalesce(len(regexp_extract_all(text, '[0-9]')), 0) AS digits, CASE WHEN page_number % 2 = 0 THEN 'policy' ELSE 'page' END AS boundary_type FROM {doc_pages}", "doc_pages")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.plans.fixtures import duck
 from docloom.plans.registration import Registry
 from docloom.streaming import jobs as W
+from docloom.streaming import state as S
 
 registry = Registry()
 query = registry.query
@@ -38,11 +40,11 @@ def w13_counter(events):
     return W.finished(W.counters(events, "event_type", F.col("event_id") % 5), "complete")
 
 
-SAMPLES = "SELECT event_id, 'agent' || CAST(user_id % 3 AS VARCHAR) AS agent, ts, value AS cpu_percent, value * 10 AS memory_mb, CAST(user_id % 60 AS INT) AS num_threads FROM events"
+SAMPLES = "SELECT event_id, 'agent' || CAST(user_id AS VARCHAR) AS agent, ts, value AS cpu_percent, value * 10 AS memory_mb, CAST(user_id % 60 AS INT) AS num_threads FROM events"
 
 
 def samples(events):
-    return events.select("event_id", F.concat(F.lit("agent"), (F.col("user_id") % 3).cast("string")).alias("agent"), "ts", F.col("value").alias("cpu_percent"), (F.col("value") * 10).alias("memory_mb"), (F.col("user_id") % 60).cast("int").alias("num_threads"))
+    return events.select("event_id", F.concat(F.lit("agent"), F.col("user_id").cast("string")).alias("agent"), "ts", F.col("value").alias("cpu_percent"), (F.col("value") * 10).alias("memory_mb"), (F.col("user_id") % 60).cast("int").alias("num_threads"))
 
 
 @stream(
@@ -62,7 +64,7 @@ def w04_w04b_run_once_lock(events):
     """Starts that the lock lets through, with releases between them."""
     kind = F.when(F.col("event_type") == "error", "release").otherwise("start")
     starts = events.where("event_type in ('click', 'error')").select(F.col("user_id").alias("job_id"), "ts", "event_id", kind.alias("kind"))
-    return W.finished(W.run_once(starts))
+    return W.finished(S.run_once(S.with_closing_row(starts)))
 
 
 @query("SELECT date_trunc('day', ts) AS start, count(DISTINCT agent) AS agents, round(sum(cpu_percent), 4) AS cpu, round(sum(memory_mb), 4) AS memory FROM {metric_samples} GROUP BY 1", "metric_samples")
@@ -70,14 +72,68 @@ def w10_fleet_summary(t):
     return W.fleet_summary(t.withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "agents", F.round("cpu", 4).alias("cpu"), F.round("memory", 4).alias("memory"))
 
 
-@query(
-    """WITH w AS (SELECT event_id, agent, cpu_percent, count(*) OVER h AS history, count(*) OVER l AS n, first_value(cpu_percent) OVER l AS f, avg(cpu_percent) OVER l AS m FROM {metric_samples}
+def _trend(value: str, slope: int) -> str:
+    return f"CASE WHEN n < 5 OR abs(({value} - first_{value}) / n) <= {slope} THEN 'stable' WHEN {value} > first_{value} THEN 'increasing' ELSE 'decreasing' END"
+
+
+TRENDS = f"""WITH w AS (SELECT event_id, agent, cpu_percent, memory_mb, count(*) OVER h AS history, count(*) OVER l AS n, first_value(cpu_percent) OVER l AS first_cpu_percent, first_value(memory_mb) OVER l AS first_memory_mb, avg(cpu_percent) OVER l AS c, avg(memory_mb) OVER l AS m FROM {{metric_samples}}
     WINDOW h AS (PARTITION BY agent ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), l AS (PARTITION BY agent ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
-    SELECT event_id, agent, history, CASE WHEN n < 5 THEN 'unknown' WHEN (cpu_percent - f) / n > 2 THEN 'rising' WHEN (cpu_percent - f) / n < -2 THEN 'falling' ELSE 'stable' END AS cpu_trend, round(m, 4) AS mean_cpu FROM w""",
-    "metric_samples",
-)
+    SELECT event_id, agent, history, {_trend("cpu_percent", 2)} AS cpu_trend, round(c, 6) AS mean_cpu, {_trend("memory_mb", 10)} AS memory_trend, round(m, 6) AS mean_memory FROM w"""
+
+
+@query(TRENDS, "metric_samples")
 def w07_w08_metric_trend(t):
-    return W.trends(t).withColumn("mean_cpu", F.round("mean_cpu", 4))
+    return W.trends(t).withColumns({c: F.round(c, 6) for c in ("mean_cpu", "mean_memory")})
+
+
+@stream(duck(TRENDS).replace("count(*) OVER h AS history", "CAST(count(*) OVER h AS INT) AS history"))
+def w07_w08_metric_trend_stream(events):
+    """The same from a ring of samples in state, ordered under the watermark."""
+    rows = samples(events).select("agent", "ts", "event_id", F.col("cpu_percent").alias("cpu"), F.col("memory_mb").alias("memory"))
+    return W.finished(S.trends(S.with_closing_row(rows))).withColumns({c: F.round(c, 6) for c in ("mean_cpu", "mean_memory")})
+
+
+def job_events(events):
+    """(job_id, ts, event_id, kind), as the fixture ``job_events`` has them."""
+    kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "click", "processing").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("viewed")
+    return events.select(F.col("user_id").alias("job_id"), "ts", "event_id", kind.alias("kind"))
+
+
+INTERVALS = "SELECT job_id, event_type AS status, epoch_us(ts) AS since_us, least(lead(epoch_us(ts)) OVER (PARTITION BY job_id ORDER BY ts, event_id), epoch_us(ts) + 1000000 * CASE WHEN event_type IN ('completed', 'failed') THEN 86400 ELSE 3600 END) AS until_us FROM {job_events}"
+
+
+@stream(duck(INTERVALS))
+def w02_status_stream(events):
+    """From when until when each status can be read, from state that ends with its time to live."""
+    return W.finished(S.status_intervals(S.with_closing_row(job_events(events))))
+
+
+@stream(duck(INTERVALS + " WHERE event_type = 'completed'"))
+def w03_result_stream(events):
+    """The same for results: a job's result is kept for a day, or until its next one."""
+    return W.finished(S.status_intervals(S.with_closing_row(job_events(events).where("kind = 'completed'"))))
+
+
+@query(INTERVALS, "job_events")
+def w02_status_intervals(t):
+    return W.status_intervals(t.withColumnRenamed("event_type", "kind"))
+
+
+PROGRESS = """SELECT job_id, event_id, event_type, CAST(step AS INT) AS step FROM (SELECT *, row_number() OVER w AS step, coalesce(max(CASE WHEN event_type = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM {job_events} WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)) q WHERE before = 0"""
+
+
+@stream(duck(PROGRESS))
+def w01_progress_stream(events):
+    """Updates of a job up to its failure, ordered in state under the watermark."""
+    return W.finished(S.progress(S.with_closing_row(job_events(events))))
+
+
+@stream("WITH h AS (SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total, round(max(value), 4) AS most FROM events GROUP BY 1, 2) SELECT * FROM h WHERE hour > (SELECT max(hour) FROM h) - INTERVAL 7 DAY")
+def w06_hourly_metrics_retained(events):
+    """Closed hours, appended to an hourly table that keeps seven days."""
+    rows = W.retained_hours(W.hourly_metrics(S.with_closing_row(events), "value"))
+    return rows.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"), F.round("most", 4).alias("most"))
 
 
 @query(
@@ -95,15 +151,10 @@ def w05_active_jobs_counter(t):
     "job_events",
 )
 def w02_w03_status_with_ttl(t):
-    now = t.agg(F.max("ts").alias("now")).first().now
-    return W.live_status(t, F.lit(now).cast("timestamp"))
+    return W.live_status(t, t.agg(F.max("ts").cast("timestamp").alias("now")))
 
 
-@query(
-    """SELECT job_id, event_id, event_type, CAST(step AS INT) AS step FROM (SELECT *, row_number() OVER w AS step, coalesce(max(CASE WHEN event_type = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-    FROM {job_events} WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)) q WHERE before = 0""",
-    "job_events",
-)
+@query(PROGRESS, "job_events")
 def w01_progress_until_failure(t):
     return W.until_failure(t).select("job_id", "event_id", "event_type", "step")
 

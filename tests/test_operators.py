@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.operators import chunking, chunks, entities, hierarchy, iterate, jobs, quality, refine, simjoin, structure, trees
 from docloom.staging import drop, stage, temporary
-from docloom.streaming import jobs as stream_jobs
 
 
 def plain_words(text):
@@ -125,13 +124,6 @@ def test_cyclic_trees_end(spark):
     assert [r.path for r in trees.first_path_to(again, "ok").collect()] == [[1, 2, 3]]
 
 
-def test_lock_lets_one_start_through_until_released(spark):
-    events = [(7, f"2024-01-01 00:{m:02}:00", i, kind) for i, (m, kind) in enumerate([(0, "start"), (5, "start"), (10, "start"), (11, "release"), (12, "start"), (13, "start"), (40, "release"), (41, "release"), (41, "start")])]
-    folder = stage(spark.createDataFrame(events, "job_id long, ts string, event_id long, kind string").withColumn("ts", F.col("ts").cast("timestamp")), "events")
-    stream = spark.readStream.schema(folder.schema).parquet(folder._staged_path)
-    assert {r.event_id for r in stream_jobs.finished(stream_jobs.run_once(stream)).collect()} == {0, 2, 4, 8}
-
-
 def test_both_merging_passes(spark):
     rows = [("j", 0, "a", None, 0, "Knee surgery", "short", 0.4), ("j", 1, "b", "x", 1, "knee surgery", "much longer text", 0.8), ("j", 2, "c", None, 0, "Other things", "x", 0.5), ("j", 3, "d", None, 0, "Surgery rules of today", "the longest of all texts", 0.5), ("j", 4, "e", None, 0, "rules of surgery", "y", 0.7), ("j", 5, "f", None, 0, "", "", 0.1)]
     policies = spark.createDataFrame(rows, "job_id string, ord long, policy_id string, parent_id string, level int, title string, description string, confidence double")
