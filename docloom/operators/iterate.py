@@ -85,6 +85,39 @@ def root_paths(nodes: DataFrame, stops: str) -> DataFrame:
     return state.select("tree_id", "node_id", "node_type", "path", "ords", F.array_contains(F.slice("path", F.lit(1), F.size("path") - 1), F.element_at("path", -1)).alias("cyclic"))
 
 
+def path_ways(nodes: DataFrame, stops: str) -> DataFrame:
+    """(tree_id, node_id, ways, edges): how many paths lead from a root to a node, and the longest one's edges; no path is listed.
+
+    ``nodes`` as for ``root_paths``; a node with several parents has several rows, and no path goes on below a node for
+    which ``stops`` holds. By doubling: a round has, per node, the number of paths of exactly 2 ** k edges from each node above
+    it, and of all shorter ones from a root; both are sums, so stacked diamonds stay as few rows as they have nodes. ways is a whole
+    decimal, null where it has more than 38 digits and below a cycle, where it has no end.
+    """
+    rows = nodes.select("tree_id", "node_id", F.col("parent_node_id").alias("up"), F.expr(stops).alias("stop"))
+    onward = rows.where(~F.coalesce("stop", F.lit(False))).select("tree_id", F.col("node_id").alias("up")).distinct()
+    below = rows.where("up is not null").join(onward, ["tree_id", "up"], "left_semi").select("tree_id", "node_id", "up", F.lit(1).alias("edges"))
+    tops = rows.where("up is null").select("tree_id", "node_id", "up", F.lit(0).alias("edges")).distinct()
+    kind = "decimal(38,0)"
+
+    def added(found: DataFrame) -> DataFrame:
+        return cut(found.groupBy("tree_id", "node_id", "up").agg(F.try_sum("ways").alias("ways"), F.max("edges").alias("edges")))
+
+    state = added(tops.unionByName(below).withColumn("ways", F.lit(1).cast(kind)))
+    most = nodes.groupBy("tree_id").agg(F.count_distinct("node_id").alias("n")).agg(F.max("n")).first()[0] or 0
+    length = 1
+    while length < most and not state.where("up is not null").isEmpty():
+        above = state.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("ways").alias("ways2"), F.col("edges").alias("edges2"))
+        longer = state.where("up is not null").join(above, ["tree_id", "up"]).select(
+            "tree_id", "node_id", F.col("up2").alias("up"), F.try_multiply("ways", "ways2").cast(kind).alias("ways"), (F.col("edges") + F.col("edges2")).alias("edges")
+        )
+        after = added(state.where("up is null").unionByName(longer))
+        drop(state)
+        state, length = after, 2 * length
+    endless = state.where("up is not null").select("tree_id", "node_id").distinct().withColumn("endless", F.lit(True))
+    found = state.where("up is null").drop("up").join(endless, ["tree_id", "node_id"], "left")
+    return found.select("tree_id", "node_id", F.when(F.col("endless").isNull(), F.col("ways")).alias("ways"), "edges")
+
+
 def _star(links: DataFrame, small: bool) -> DataFrame:
     """Link neighbours of each node to the smallest node among them and itself.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.iterate import closure, cut, depths, root_paths
+from docloom.operators.iterate import closure, cut, depths, path_ways, root_paths
 
 IS_OUTCOME = "node_type = 'outcome'"
 
@@ -26,6 +26,37 @@ def all_paths(nodes: DataFrame) -> DataFrame:
     return root_paths(nodes, IS_OUTCOME).where(~F.col("cyclic")).join(ends, ["tree_id", "node_id"], "left_semi")
 
 
+def path_ends(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, ways, edges) of outcomes and dead ends: how many paths end there. What ``all_paths`` would list is only counted."""
+    ends = with_children(nodes).where(f"{IS_OUTCOME} or n_children = 0").select("tree_id", "node_id").distinct()
+    return path_ways(nodes, IS_OUTCOME).join(ends, ["tree_id", "node_id"], "left_semi")
+
+
+def path_counts(nodes: DataFrame) -> DataFrame:
+    """(tree_id, paths, depth): paths to an outcome or a dead end, and the most edges below a root; paths is null for a tree with a cycle above an end.
+
+    Depth counts what is below an outcome too; the second count is made for the trees only that have such nodes.
+    """
+    nodes = cut(nodes)
+    counted = path_ends(nodes).groupBy("tree_id").agg(F.try_sum("ways").alias("paths"), F.bool_or(F.col("ways").isNull()).alias("open"), F.max("edges").alias("depth"))
+    counted = counted.select("tree_id", F.when(~F.col("open"), F.col("paths")).alias("paths"), "depth")
+    outcomes = nodes.where(IS_OUTCOME).select("tree_id", F.col("node_id").alias("parent_node_id")).distinct()
+    deeper = cut(nodes.join(outcomes, ["tree_id", "parent_node_id"], "left_semi").select("tree_id").distinct())
+    if deeper.isEmpty():
+        return counted
+    whole = path_ways(nodes.join(deeper, "tree_id", "left_semi"), "false").groupBy("tree_id").agg(F.max("edges").alias("all_edges"))
+    return counted.join(whole, "tree_id", "left").select("tree_id", "paths", F.coalesce("all_edges", "depth").alias("depth"))
+
+
+def statistics(nodes: DataFrame, rules: DataFrame, confidences: DataFrame) -> DataFrame:
+    """One row over all trees: trees, nodes, paths, mean confidence, trees with complete routing. ``confidences(tree_id, confidence)``."""
+    nodes = cut(nodes)
+    per_tree = report(nodes, rules).join(path_counts(nodes), "tree_id", "left").join(confidences, "tree_id", "left")
+    return per_tree.agg(
+        F.count(F.lit(1)).alias("trees"), F.sum("nodes").alias("nodes"), F.try_sum("paths").alias("paths"), F.avg("confidence").alias("mean_confidence"), F.count_if(F.col("incomplete") == 0).alias("complete")
+    )
+
+
 def first_path_to(nodes: DataFrame, outcome: str) -> DataFrame:
     """Per tree the first path, in pre-order, to an outcome of that type; paths go on below other outcomes."""
     hits = nodes.where(F.col("outcome_type") == outcome).select("tree_id", "node_id")
@@ -70,19 +101,18 @@ def missing_members(groups: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def report(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Per tree: nodes, questions, outcomes, paths, depth, unreachable nodes, incomplete routes, validity."""
+    """Per tree: nodes, questions, outcomes, unreachable nodes, incomplete routes, validity."""
     nodes, rules = cut(nodes), cut(rules)
-    paths = all_paths(nodes).groupBy("tree_id").agg(F.count(F.lit(1)).alias("paths"), (F.max(F.size("path")) - 1).alias("depth"))
     sizes = nodes.groupBy("tree_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("node_type") == "question").alias("questions"), F.count_if(F.col("node_type") == "outcome").alias("outcomes"))
     hidden = nodes.select("tree_id", "node_id").join(reachable(nodes, rules), ["tree_id", "node_id"], "left_anti").groupBy("tree_id").agg(F.count(F.lit(1)).alias("unreachable"))
     gaps = incomplete_routes(nodes, rules).groupBy("tree_id").agg(F.count(F.lit(1)).alias("incomplete"))
-    out = sizes.join(paths, "tree_id", "left").join(hidden, "tree_id", "left").join(gaps, "tree_id", "left").na.fill(0)
+    out = sizes.join(hidden, "tree_id", "left").join(gaps, "tree_id", "left").na.fill(0)
     return out.withColumn("valid", (F.col("unreachable") == 0) & (F.col("incomplete") == 0))
 
 
 def outcome_buckets(nodes: DataFrame) -> DataFrame:
     kinds = nodes.select("tree_id", "node_id", "outcome_type")
-    return all_paths(nodes).join(kinds, ["tree_id", "node_id"]).groupBy("tree_id", F.coalesce("outcome_type", F.lit("other")).alias("bucket")).agg(F.count(F.lit(1)).alias("paths"))
+    return path_ends(nodes).join(kinds.distinct(), ["tree_id", "node_id"]).groupBy("tree_id", F.coalesce("outcome_type", F.lit("other")).alias("bucket")).agg(F.try_sum("ways").alias("paths"))
 
 
 def score(nodes: DataFrame, answers: DataFrame) -> DataFrame:

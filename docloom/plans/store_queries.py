@@ -74,7 +74,7 @@ def a21_question_count_bounds(c):
 
 @query(f"{PATHS}, t AS (SELECT count(DISTINCT tree_id) AS trees, count(*) AS paths FROM e) SELECT trees, paths, round(0.005 * trees + 0.001 * paths, 6) AS cost FROM t", "tree_nodes")
 def a31_t20_tree_statistics(n):
-    totals = T.all_paths(n).groupBy("tree_id").agg(F.count(F.lit(1)).alias("p")).agg(F.count(F.lit(1)).alias("trees"), F.sum("p").alias("paths"))
+    totals = T.path_counts(n).agg(F.count(F.lit(1)).alias("trees"), F.sum("paths").cast("long").alias("paths"))
     return totals.withColumn("cost", F.round(F.col("trees") * 0.005 + F.col("paths") * 0.001, 6))
 
 

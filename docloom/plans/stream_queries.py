@@ -99,7 +99,7 @@ def job_events(events):
     return events.select(F.col("user_id").alias("job_id"), "ts", "event_id", kind.alias("kind"))
 
 
-INTERVALS = "SELECT job_id, event_type AS status, epoch_us(ts) AS since_us, least(lead(epoch_us(ts)) OVER (PARTITION BY job_id ORDER BY ts, event_id), epoch_us(ts) + 1000000 * CASE WHEN event_type IN ('completed', 'failed') THEN 86400 ELSE 3600 END) AS until_us FROM {job_events}"
+INTERVALS = "SELECT job_id, event_type AS status, epoch_us(ts) AS since_us, least(lead(epoch_us(ts)) OVER (PARTITION BY job_id ORDER BY ts, event_id), epoch_us(ts) + CAST(1000000 AS BIGINT) * CASE WHEN event_type IN ('completed', 'failed') THEN 86400 ELSE 3600 END) AS until_us FROM {job_events}"
 
 
 @stream(duck(INTERVALS))

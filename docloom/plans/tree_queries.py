@@ -106,7 +106,7 @@ def t14_all_paths(n):
 
 @query(f"{PATHS} SELECT tree_id, count(*) AS paths, max(depth) AS depth FROM e GROUP BY tree_id", "tree_nodes")
 def t05_t06_count_paths(n):
-    return T.all_paths(n).groupBy("tree_id").agg(F.count(F.lit(1)).alias("paths"), (F.max(F.size("path")) - 1).alias("depth"))
+    return T.path_counts(n).select("tree_id", F.col("paths").cast("long").alias("paths"), "depth")
 
 
 @query("SELECT tree_id, count(*) AS nodes, count(*) FILTER (WHERE node_type = 'question') AS questions, count(*) FILTER (WHERE node_type = 'outcome') AS outcomes, count(DISTINCT node_id) AS ids FROM {tree_nodes} GROUP BY tree_id", "tree_nodes")
@@ -153,7 +153,7 @@ def t12_logic_group_check(n):
 
 @query(f"{PATHS}, o AS (SELECT e.tree_id, e.node_id, t.outcome_type FROM e JOIN {{tree_nodes}} t ON e.tree_id = t.tree_id AND e.node_id = t.node_id) SELECT tree_id, coalesce(outcome_type, 'other') AS bucket, count(*) AS paths FROM o GROUP BY 1, 2", "tree_nodes")
 def t18_outcome_paths(n):
-    return T.outcome_buckets(n)
+    return T.outcome_buckets(n).withColumn("paths", F.col("paths").cast("long"))
 
 
 @query(
@@ -166,7 +166,20 @@ def t18_outcome_paths(n):
     "routing_rules",
 )
 def t16_t17_tree_report(n, r):
-    return T.report(n, r).drop("paths", "depth")
+    return T.report(n, r)
+
+
+@query(
+    f"""{PATHS}, q AS (SELECT t.tree_id, coalesce(has_yes, FALSE) AS y, coalesce(has_no, FALSE) OR EXISTS (SELECT 1 FROM {{routing_rules}} r WHERE r.tree_id = t.tree_id AND r.node_id = t.node_id) AS n FROM {{tree_nodes}} t LEFT JOIN ({KIDS}) k ON t.tree_id = k.tree_id AND t.node_id = k.node_id WHERE node_type = 'question'),
+    s AS (SELECT tree_id, count(*) AS nodes FROM {{tree_nodes}} GROUP BY tree_id), p AS (SELECT tree_id, count(*) AS paths FROM e GROUP BY tree_id), g AS (SELECT tree_id, bool_and(y AND n) AS complete FROM q GROUP BY tree_id)
+    SELECT count(*) AS trees, CAST(sum(nodes) AS BIGINT) AS nodes, CAST(sum(paths) AS BIGINT) AS paths, round(avg(0.5 + s.tree_id % 5 / 10), 6) AS mean_confidence, count(*) FILTER (WHERE coalesce(complete, TRUE)) AS complete FROM s LEFT JOIN p ON s.tree_id = p.tree_id LEFT JOIN g ON s.tree_id = g.tree_id""",
+    "tree_nodes",
+    "routing_rules",
+)
+def t20_tree_statistics(n, r):
+    """Nodes, paths, confidence and routing of all trees; a tree's confidence is of its number."""
+    confidences = n.select("tree_id", (0.5 + F.col("tree_id") % 5 / 10).alias("confidence")).distinct()
+    return T.statistics(n, r, confidences).withColumns({"paths": F.col("paths").cast("long"), "mean_confidence": F.round("mean_confidence", 6)})
 
 
 @query(

@@ -254,3 +254,62 @@ def test_staged_tables_go(spark):
     assert left.count() == 4 and not Path(gone._staged_path.removeprefix("file://")).exists()
     drop(left, spark.range(1))
     assert not Path(left._staged_path.removeprefix("file://")).exists()
+
+
+# counts of paths
+
+NODES = "tree_id long, node_id long, parent_node_id long, answer string, sibling_ord long, node_type string, outcome_type string"
+
+
+def stacked_diamonds(tree, n):
+    """A root, then per diamond two nodes below one and one below both."""
+    rows, top = [(tree, 0, None, None, 0, "question", None)], 0
+    for i in range(n):
+        left, right, bottom = 3 * i + 1, 3 * i + 2, 3 * i + 3
+        kind = "outcome" if i == n - 1 else "question"
+        rows += [(tree, left, top, "yes", 0, "question", None), (tree, right, top, "no", 1, "question", None)]
+        rows += [(tree, bottom, left, "yes", 0, kind, "ok" if kind == "outcome" else None), (tree, bottom, right, "yes", 0, kind, "ok" if kind == "outcome" else None)]
+        top = bottom
+    return rows
+
+
+def test_forty_stacked_diamonds_are_counted(spark):
+    nodes = spark.createDataFrame(stacked_diamonds(1, 40) + stacked_diamonds(2, 3) + stacked_diamonds(3, 130), NODES)
+    got = {r.tree_id: (r.paths, r.depth) for r in trees.path_counts(nodes).collect()}
+    assert got == {1: (2**40, 80), 2: (8, 6), 3: (None, 260)}  # 2 ** 130 has more than 38 digits
+    assert {r.tree_id: r.paths for r in trees.outcome_buckets(nodes).collect()}[1] == 2**40
+
+
+def plain_paths(rows, tree):
+    kids, kind = {}, {}
+    for t, node, up, _, _, node_type, _ in rows:
+        if t == tree:
+            kind[node] = node_type
+            kids.setdefault(up, []).append(node)
+
+    def count(node):
+        return 1 if kind[node] == "outcome" or node not in kids else sum(map(count, kids[node]))
+
+    def depth(node):
+        return max((1 + depth(k) for k in kids.get(node, [])), default=0)
+
+    return sum(map(count, dict.fromkeys(kids[None]))), max(map(depth, kids[None]))
+
+
+def test_paths_of_graphs_are_the_recursion_s(spark):
+    rng = random.Random(4)
+    rows = []
+    for tree in range(6):
+        rows.append((tree, 0, None, None, 0, "question", None))
+        for node in range(1, 14):
+            kind = rng.choice(["question", "question", "outcome"])
+            rows += [(tree, node, up, rng.choice("yn"), 0, kind, None) for up in rng.sample(range(node), min(node, rng.randint(1, 3)))]
+    rows.append((0, 1, 0, "again", 0, next(r[5] for r in rows if r[:2] == (0, 1)), None))  # a child of two answers counts twice
+    got = {r.tree_id: (r.paths, r.depth) for r in trees.path_counts(spark.createDataFrame(rows, NODES)).collect()}
+    assert got == {tree: plain_paths(rows, tree) for tree in range(6)}
+
+
+def test_counts_with_cycles_and_without_nodes(spark):
+    rows = [(1, 0, None, None, 0, "question", None), (1, 1, 0, "yes", 0, "question", None), (1, 2, 1, "yes", 0, "question", None), (1, 1, 2, "no", 1, "question", None), (1, 3, 2, "yes", 0, "outcome", "ok"), (2, 0, None, None, 0, "outcome", "ok")]
+    assert {r.tree_id: r.paths for r in trees.path_counts(spark.createDataFrame(rows, NODES)).collect()} == {1: None, 2: 1}
+    assert trees.path_counts(spark.createDataFrame([], NODES)).count() == 0
