@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.operators import hierarchy as H
-from docloom.operators import jobs, review
+from docloom.operators import jobs, results, review
 from docloom.operators import trees as T
 from docloom.plans.document_queries import CHUNKS, chunk_facts
 from docloom.plans.registration import Registry
@@ -139,3 +139,81 @@ def c26_chunk_defaults(p):
     return p.select("doc_id", "page_number", F.size(F.regexp_extract_all("text", F.lit("([0-9])"), F.lit(1))).alias("digits"), F.coalesce(kind, F.lit("page")).alias("boundary_type"))
 
 
+@query(
+    """SELECT tree_id, CAST(node_id AS VARCHAR) AS node_id, CAST(parent_node_id AS VARCHAR) AS parent_node_id, answer, CASE WHEN parent_node_id IS NULL THEN 0 ELSE CAST(row_number() OVER (PARTITION BY tree_id, parent_node_id ORDER BY sibling_ord) - 1 AS INT) END AS sibling_ord, node_type,
+      CASE WHEN node_type = 'question' THEN 'is "' || node_id || '" so?' END AS question_text, CASE WHEN node_type = 'question' THEN 'yes_no' END AS question_type, outcome_type, 0.25 + node_id % 4 / 8 AS confidence_score FROM {tree_nodes}""",
+    "tree_nodes",
+)
+def s12_get_results_trees(n):
+    """Nested trees assembled from node rows, and read back."""
+    asks = F.col("node_type") == "question"
+    rows = n.select(
+        "tree_id", F.col("node_id").cast("string").alias("node_id"), F.col("parent_node_id").cast("string").alias("parent_node_id"), "answer", "sibling_ord", "node_type",
+        F.when(asks, F.concat(F.lit('is "'), F.col("node_id").cast("string"), F.lit('" so?'))).alias("question_text"), F.when(asks, "yes_no").alias("question_type"), F.lit(None).cast("array<string>").alias("options"),
+        "outcome_type", (0.25 + F.col("node_id") % 4 / 8).alias("confidence_score"),
+    )
+    return T.parse_nodes(results.tree_json(rows)).drop("options")
+
+
+def _results(p):
+    """Result JSON of jobs, assembled from policies: a definition for every other one, a tree for the rest, an issue for each."""
+    severity = F.when(F.col("ord") % 3 == 0, "error").when(F.col("ord") % 3 == 1, "warning").otherwise("info")
+    trees = results.listed_json(p.where("ord % 2 = 1").withColumn("j", F.to_json(F.struct(F.col("policy_id").alias("tree_id")))), "job_id", "ord", "j")
+    checked = p.groupBy("job_id").agg(F.round(F.avg("confidence"), 6).alias("overall_confidence"), F.array_sort(F.collect_list(F.struct("ord", severity.alias("severity")))).alias("l"))
+    issues = F.transform("l", lambda x: F.struct(x.severity.alias("severity")))
+    validation = checked.select("job_id", F.to_json(F.struct("overall_confidence", (F.size(F.filter(issues, lambda i: i.severity == "error")) == 0).alias("is_valid"), issues.alias("issues"))).alias("json"))
+    hierarchy = results.hierarchy_json(p, p.where("ord % 2 = 0").select("job_id", F.col("policy_id").alias("term"), F.col("title").alias("definition")))
+    metadata = p.groupBy("job_id").agg(F.to_json(F.struct(F.count(F.lit(1)).alias("total_pages"), F.lit("a").alias("source"))).alias("json"))
+    return results.get_results(p.select("job_id").distinct(), metadata=metadata, policy_hierarchy=hierarchy, decision_trees=trees, validation_result=validation)
+
+
+COUNTERS = """WITH RECURSIVE d AS (SELECT job_id, policy_id, 0 AS depth FROM {few_policies} f WHERE parent_id IS NULL OR NOT EXISTS (SELECT 1 FROM {few_policies} g WHERE g.job_id = f.job_id AND g.policy_id = f.parent_id)
+    UNION ALL SELECT f.job_id, f.policy_id, d.depth + 1 FROM d JOIN {few_policies} f ON f.job_id = d.job_id AND f.parent_id = d.policy_id),
+    r AS (SELECT job_id, count(*) FILTER (WHERE depth = 0) AS roots, max(depth) AS deepest FROM d GROUP BY job_id),
+    c AS (SELECT job_id, count(*) AS n, count(*) FILTER (WHERE ord % 2 = 1) AS trees, count(*) FILTER (WHERE ord % 2 = 0) AS terms, round(avg(confidence), 6) AS confidence, count(*) FILTER (WHERE ord % 3 = 0) AS errors, count(*) FILTER (WHERE ord % 3 = 1) AS warnings, count(*) FILTER (WHERE ord % 3 = 2) AS infos FROM {few_policies} GROUP BY job_id)"""
+
+
+@query(
+    COUNTERS + """ SELECT c.job_id, c.n AS total_pages, c.n AS total_policies, r.roots AS total_root_policies, CAST(r.deepest AS BIGINT) AS max_hierarchy_depth, trees AS total_decision_trees, terms AS total_definitions, confidence AS overall_confidence, CAST(0 AS DOUBLE) AS completeness_score, CAST(0 AS DOUBLE) AS consistency_score, CAST(0 AS DOUBLE) AS traceability_score,
+    errors = 0 AS is_valid, c.n AS total_issues, errors AS error_count, warnings AS warning_count, infos AS info_count FROM c JOIN r ON r.job_id = c.job_id WHERE EXISTS (SELECT 1 FROM {jobs} j WHERE j.job_id = c.job_id)""",
+    "few_policies",
+    "jobs",
+)
+def s10_save_results(p, j):
+    """Every counter and score of a result row, read from result JSON that is assembled from flat rows; unknown jobs have none."""
+    return results.save_results(_results(p), j)[0].drop("result_json")
+
+
+@query(
+    COUNTERS + """ SELECT j.job_id, j.status, c.n AS total_pages, c.n AS total_policies, trees AS total_decision_trees, CASE WHEN c.n IS NULL THEN j.validation_confidence ELSE confidence END AS validation_confidence, errors = 0 AS validation_passed FROM {jobs} j LEFT JOIN c ON c.job_id = j.job_id""",
+    "few_policies",
+    "jobs",
+)
+def s10_job_summary(p, j):
+    """The job rows after their results were saved."""
+    return results.save_results(_results(p), j)[1].drop("created_at")
+
+
+@query(
+    COUNTERS + """ SELECT c.job_id, CASE WHEN j.job_id IS NULL THEN c.n ELSE c.job_id % 9 END AS total_pages, CASE WHEN j.job_id IS NOT NULL THEN 0.5 * (c.job_id % 5) END AS processing_time, CASE WHEN j.job_id IS NULL THEN NULL ELSE j.validation_confidence END AS metadata_confidence, CASE WHEN j.job_id IS NULL THEN confidence ELSE coalesce(j.validation_confidence, 0) END AS overall_confidence,
+      CASE WHEN j.job_id IS NOT NULL THEN 'policy' END AS document_type, 'a' AS source, c.n AS total_policies, trees AS n_trees, t.doc_id IS NOT NULL AND t.doc_id % 7 = 0 AS broken, CASE WHEN t.doc_id % 7 <> 0 THEN strlen(coalesce(t.text, '')) END AS n_bytes, CASE WHEN t.doc_id IS NOT NULL THEN CASE WHEN t.doc_id % 2 = 0 THEN t.doc_id || '.pdf' ELSE 'document.pdf' END END AS document_filename
+    FROM c LEFT JOIN {jobs} j ON j.job_id = c.job_id LEFT JOIN {documents} t ON t.doc_id = c.job_id""",
+    "few_policies",
+    "jobs",
+    "documents",
+)
+def s15_load_job_results(p, j, d):
+    """Results with document and job metadata merged in; one document in seven isn't base64."""
+    coded = F.when(F.col("doc_id") % 7 != 0, F.base64(F.coalesce("text", F.lit("")).cast("binary"))).otherwise("%%%")
+    documents = d.select(F.col("doc_id").alias("job_id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))).alias("filename"), coded.alias("content_base64"))
+    own = j.select("job_id", (F.col("job_id") % 9).alias("total_pages"), (0.5 * (F.col("job_id") % 5)).alias("processing_time_seconds"), F.col("validation_confidence").cast("double").alias("validation_confidence"), F.lit("policy").alias("document_type"))
+    loaded = results.load_job_results(_results(p), documents, own)
+
+    def field(path, kind="string"):
+        return F.get_json_object("result_json", f"$.{path}").cast(kind)
+
+    return loaded.select(
+        "job_id", field("metadata.total_pages", "long").alias("total_pages"), field("metadata.processing_time", "double").alias("processing_time"), field("metadata.validation_confidence", "double").alias("metadata_confidence"),
+        field("validation_result.overall_confidence", "double").alias("overall_confidence"), field("metadata.document_type").alias("document_type"), field("metadata.source").alias("source"), field("policy_hierarchy.total_policies", "long").alias("total_policies"),
+        F.json_array_length(field("decision_trees")).cast("long").alias("n_trees"), F.col("document_error").isNotNull().alias("broken"), F.octet_length("document_content").cast("long").alias("n_bytes"), "document_filename",
+    )
