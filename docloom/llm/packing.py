@@ -15,7 +15,8 @@ counter, so a task that is run again gives the same rows.
 
 Defined results: a null or empty text is one piece, the end id alone; texts of any
 length are packed whole; repeated rows are packed as often as they come; a null
-``doc_id`` is kept; an empty table gives an empty result; other columns are ignored.
+``doc_id`` is kept, and ids keep all 64 bits beside it; ids are whole numbers, and an id that is not one (a text) is an
+error; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
@@ -39,6 +39,7 @@ MERGED_FROM = 1 << 62
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = [f.split(" ")[0] for f in PIECE.split(", ")]
 _ARROW = pa.schema([(f, pa.int64()) for f in FIELDS] + [("task", pa.int64()), ("is_open", pa.bool_()), ("ids", pa.binary())])
+_MERGED = pa.schema([*((f, pa.int64()) for f in FIELDS), ("ids", pa.binary())])
 
 
 class Windows:
@@ -119,9 +120,10 @@ def pack(
     small_batches(docs.sparkSession)
     placed = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(first, f"{PIECE}, task long, is_open boolean, ids binary"), "pieces")
 
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sequence_id", "offset"], kind="stable")
-        pieces = [(None if pd.isna(d) else int(d), int(s), np.frombuffer(x, "<u4"), int(n)) for d, s, x, n in zip(rows.doc_id, rows.start, rows.ids, rows.doc_tokens, strict=True)]
+    def merge(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        held = zip(*(rows.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True)
+        pieces = [(doc_id, start, np.frombuffer(ids, "<u4"), total) for doc_id, start, ids, total in held]
         left = sum(len(p[2]) for p in pieces)
         sizes = [capacity] * (left // capacity) + [1 << b for b in reversed(range(capacity.bit_length())) if (left % capacity) >> b & 1]
         out, queue = [], iter(pieces)
@@ -134,10 +136,10 @@ def pack(
                 window.append((doc_id, start, ids[:taken], total))
                 room -= taken
                 piece = (doc_id, start + taken, ids[taken:], total) if taken < len(ids) else next(queue, None)
-            out += _rows(window, MERGED_FROM + (int(key[0]) << 32) + nth, with_ids)
-        return pd.DataFrame(out, columns=[*FIELDS, "ids"]).astype({"doc_id": "Int64"})
+            out += _rows(window, MERGED_FROM + (key[0].as_py() << 32) + nth, with_ids)
+        return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), _MERGED.types, strict=True)], schema=_MERGED)
 
     # The leftovers of a bounded number of tasks make one group, whatever the size of the table.
     leftovers = placed.where("is_open").withColumn("part", F.expr(f"task div {MERGED_TOGETHER}"))
-    merged = leftovers.groupBy("part").applyInPandas(merge, f"{PIECE}, ids binary")
+    merged = leftovers.groupBy("part").applyInArrow(merge, f"{PIECE}, ids binary")
     return placed.where("not is_open").select(*FIELDS, "ids").union(merged)

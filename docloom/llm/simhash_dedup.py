@@ -143,8 +143,8 @@ def near_classes(docs: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS
     rows = stage(fingerprints(docs), "fingerprints")
     by_fp = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-ids")
     roots = components(fingerprint_links(by_fp.select("fp"), radius, segments, bucket_limit))
-    rooted = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = stage(by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    lowest = stage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest-ids")  # both sides of the join are tables: Spark can split a giant class
     classes = stage(rooted.join(lowest, "root").select("fp", "component_id"), "classes")
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

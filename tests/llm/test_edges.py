@@ -371,3 +371,10 @@ def test_encoding_reads_the_shipped_file(spark, tmp_path):
     docs = clashing(spark, ["some words", None])
     got = bpe.encode(docs, str(copy), bpe.build_lexicon(docs, str(copy)))
     assert {r.doc_id: len(r.ids) // 4 for r in got.collect()}[1] == 0
+
+
+def test_packed_ids_keep_all_bits_beside_a_null(spark):
+    ids = [(1 << 60) + 1, None, (1 << 62) + 3, None, -(1 << 63)]
+    docs = spark.createDataFrame([(i, "some words here", "x") for i in ids], "doc_id long, text string, part string").coalesce(1)
+    got = packing.pack(docs, TOKENIZER, with_ids=False)
+    assert sorted({r.doc_id for r in got.collect()}, key=str) == sorted(set(ids), key=str)
