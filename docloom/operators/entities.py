@@ -200,8 +200,63 @@ def parent_pairs(children: DataFrame, umbrellas: DataFrame) -> DataFrame:
     return met.join(children, own).join(up, ["job_id", "u_policy_id"])
 
 
+def likely_pairs(indexed: DataFrame, others: DataFrame, weights: dict[str, Column], apart: float, same_page: float) -> DataFrame:
+    """(job_id, i, o): policies of both tables that can reach a threshold together; pairs that can't are never formed.
+
+    weights: for each signal, what one shared word of it can add at most, by the sizes of the indexed side. A pair on
+    different or unknown pages needs more than ``apart`` from shared words, one on the same page more than ``same_page``. Of an
+    indexed policy's words that the others hold at all, the most frequent ones whose weights don't reach that together aren't keys: a pair
+    that shares only those can't pass. So a word that all policies hold is a key only where it alone is enough.
+    """
+
+    def tokens(rows: DataFrame, name: str, weight: Column) -> DataFrame:
+        def keys(signal: str) -> Column:
+            return F.transform(F.array_distinct(signal), lambda w: F.concat(F.lit(f"{signal}:"), w))
+
+        listed = F.flatten(F.array(*map(keys, weights)))
+        of = [F.when(F.startswith("k", F.lit(f"{signal}:")), F.col(f"weight_{signal}")) for signal in weights]
+        named = rows.select("job_id", F.col("policy_id").alias(name), "page", *[w.alias(f"weight_{signal}") for signal, w in weights.items()], F.explode(listed).alias("k"))
+        return named.select("job_id", name, "page", "k", F.coalesce(*of).alias("weight"))
+
+    held = stage(tokens(others, "o", weights).drop("weight"), "parent-words")
+    frequency = held.groupBy("job_id", "k").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("job_id", "i").orderBy(F.desc("n"), "k").rowsBetween(Window.unboundedPreceding, 0)
+    reach = tokens(indexed, "i", weights).join(frequency, ["job_id", "k"]).withColumn("reach", F.sum("weight").over(order))
+    prefix = stage(reach.where(F.col("reach") > min(apart, same_page) - 1e-6), "parent-prefixes")
+    plain = prefix.where(F.col("reach") > apart - 1e-6).join(held.drop("page"), ["job_id", "k"])
+    near = prefix.where(F.col("page").isNotNull()).join(held, ["job_id", "k", "page"])
+    return stage(plain.select("job_id", "i", "o").union(near.select("job_id", "i", "o")).where("i <> o").distinct(), "likely-pairs")
+
+
+def with_both(pairs: DataFrame, children: DataFrame, umbrellas: DataFrame) -> DataFrame:
+    """``pairs(job_id, policy_id, u_policy_id)`` with the words of the child and those of the umbrella (``u_``)."""
+    up = umbrellas.select("job_id", *[F.col(c).alias(f"u_{c}") for c in ("policy_id", "ord", "words", "title_words", "conditions", "page")])
+    return pairs.join(children, ["job_id", "policy_id"]).join(up, ["job_id", "u_policy_id"])
+
+
+def extraction_pairs(children: DataFrame, umbrellas: DataFrame) -> DataFrame:
+    """Pairs that can pass 0.20 in extraction: a neighbour's place is worth 0.075, the same page 0.15, so 0.125 or 0.05 must come from words."""
+
+    def each(signal: str, weight: Column) -> Column:
+        return F.when(F.size(signal) > 0, weight / F.size(signal)).otherwise(0.0)
+
+    boosted = F.when(F.size(F.array_intersect("words", F.array(*map(F.lit, DOMAIN_WORDS)))) > 0, 0.6).otherwise(0.5)
+    weights = {"words": each("words", boosted), "title_words": each("title_words", F.lit(0.2)), "conditions": each("conditions", F.lit(0.15))}
+    found = likely_pairs(children, umbrellas, weights, 0.125, 0.05)
+    return with_both(found.select("job_id", F.col("i").alias("policy_id"), F.col("o").alias("u_policy_id")), children, umbrellas)
+
+
+def refinement_pairs(children: DataFrame, umbrellas: DataFrame) -> DataFrame:
+    """Pairs that can reach 0.35 in refinement. Shares are bounded by the umbrella's sizes, so its words are indexed; a neighbour's or an unknown place is worth 0.075."""
+    stop = F.array(*map(F.lit, REFINER_TITLE_STOP))
+    short = [rows.withColumn("title_words", F.array_except("title_words", stop)) for rows in (umbrellas, children)]
+    weights = {signal: F.when(F.size(signal) > 0, F.lit(w) / F.size(signal)).otherwise(0.0) for signal, w in (("words", 0.5), ("title_words", 0.2), ("conditions", 0.15))}
+    found = likely_pairs(*short, weights, 0.275, 0.20)
+    return with_both(found.select("job_id", F.col("o").alias("policy_id"), F.col("i").alias("u_policy_id")), children, umbrellas)
+
+
 def best_parents(pairs: DataFrame, score: Column, enough) -> DataFrame:
-    """(job_id, policy_id, parent_id, score): the best umbrella for each child of ``parent_pairs`` for which ``enough`` holds, the first on ties."""
+    """(job_id, policy_id, parent_id, score): the best umbrella for each child of ``pairs`` for which ``enough`` holds, the first on ties."""
     scored = pairs.withColumn("score", F.round(score, 9)).where(enough(F.col("score")))
     return scored.groupBy("job_id", "policy_id").agg(F.max_by("u_policy_id", F.struct("score", -F.col("u_ord"))).alias("parent_id"), F.max("score").alias("score"))
 
@@ -210,18 +265,24 @@ def extracted_parents(policies: DataFrame, conditions: DataFrame, page: Column)
     """Best parents of the roots that are no umbrellas, as extraction chooses them."""
     scores = umbrella_scores(policies, condition_counts(conditions), page).select("job_id", "policy_id", "is_umbrella")
     rows = stage(with_keywords(policies, conditions, page).join(scores, ["job_id", "policy_id"]), "roots")
-    return best_parents(parent_pairs(rows.where("not is_umbrella"), rows.where("is_umbrella")), parent_score(), lambda s: s > 0.20)
+    return best_parents(extraction_pairs(rows.where("not is_umbrella"), rows.where("is_umbrella")), parent_score(), lambda s: s > 0.20)
 
 
-def refined_pairs(policies: DataFrame, conditions: DataFrame, page: Column) -> DataFrame:
+def refined_roots(policies: DataFrame, conditions: DataFrame, page: Column) -> tuple[DataFrame, DataFrame]:
+    """(children, umbrellas) of refinement with what parents are chosen by."""
     scores = refined_umbrella_scores(policies, condition_counts(conditions)).select("job_id", "policy_id", "is_umbrella")
     rows = stage(with_keywords(policies, conditions, page, X.refiner_keywords).join(scores, ["job_id", "policy_id"]), "roots")
-    return parent_pairs(rows.where("not is_umbrella"), rows.where("is_umbrella"))
+    return rows.where("not is_umbrella"), rows.where("is_umbrella")
+
+
+def refined_pairs(policies: DataFrame, conditions: DataFrame, page: Column) -> DataFrame:
+    """All pairs that share a word, for a report of their signals."""
+    return parent_pairs(*refined_roots(policies, conditions, page))
 
 
 def refined_parents(policies: DataFrame, conditions: DataFrame, page: Column) -> DataFrame:
     """Best parents of the roots that are no umbrellas, as refinement chooses them."""
-    return best_parents(refined_pairs(policies, conditions, page), refined_score(), lambda s: s >= 0.35)
+    return best_parents(refinement_pairs(*refined_roots(policies, conditions, page)), refined_score(), lambda s: s >= 0.35)
 
 
 def last_definitions(definitions: DataFrame) -> DataFrame:

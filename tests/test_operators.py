@@ -313,3 +313,34 @@ def test_counts_with_cycles_and_without_nodes(spark):
     rows = [(1, 0, None, None, 0, "question", None), (1, 1, 0, "yes", 0, "question", None), (1, 2, 1, "yes", 0, "question", None), (1, 1, 2, "no", 1, "question", None), (1, 3, 2, "yes", 0, "outcome", "ok"), (2, 0, None, None, 0, "outcome", "ok")]
     assert {r.tree_id: r.paths for r in trees.path_counts(spark.createDataFrame(rows, NODES)).collect()} == {1: None, 2: 1}
     assert trees.path_counts(spark.createDataFrame([], NODES)).count() == 0
+
+
+# best parents by bounded pairs
+
+
+def parent_rows(spark, seed, common):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(120)] + list(entities.DOMAIN_WORDS)[:3]
+    rows = []
+    for i in range(90):
+        text = rng.sample(words, rng.randint(0, 16)) + ([common] if common else [])
+        rows.append((1, f"p{i}", i, text, rng.sample(words[:30], rng.randint(0, 4)), rng.sample(words[:60], rng.randint(0, 6)), rng.choice([None, 1, 1, 2, 3, 9])))
+    table = spark.createDataFrame(rows, "job_id long, policy_id string, ord int, words array<string>, title_words array<string>, conditions array<string>, page int")
+    return stage(table.where("ord >= 25"), "children"), stage(table.where("ord < 25"), "umbrellas")
+
+
+@pytest.mark.parametrize("common", [None, "everywhere"])
+def test_bounded_pairs_give_the_same_parents(spark, common):
+    for seed in (1, 2):
+        children, umbrellas = parent_rows(spark, seed, common)
+        every = entities.with_both(children.select("job_id", "policy_id").crossJoin(umbrellas.select(F.col("policy_id").alias("u_policy_id"))), children, umbrellas)
+        for pairs, score, enough in ((entities.extraction_pairs, entities.parent_score(), lambda s: s > 0.20), (entities.refinement_pairs, entities.refined_score(), lambda s: s >= 0.35)):
+            got, want = (sorted(map(tuple, entities.best_parents(found, score, enough).collect())) for found in (pairs(children, umbrellas), every))
+            assert got == want and (want or seed)
+
+
+def test_a_word_that_all_policies_hold_is_no_key(spark):
+    children = spark.createDataFrame([(1, f"c{i}", i, [f"own{i}x{j}" for j in range(20)] + ["everywhere"], ["title", f"t{i}", f"u{i}"], [], i) for i in range(200)], "job_id long, policy_id string, ord int, words array<string>, title_words array<string>, conditions array<string>, page int")
+    umbrellas = children.withColumn("policy_id", F.concat(F.lit("u"), "policy_id"))
+    for pairs in (entities.extraction_pairs, entities.refinement_pairs):
+        assert pairs(children, umbrellas).select("policy_id", "u_policy_id").count() == 200  # of 40,000 that share the word
