@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import jaccard
-from docloom.operators.iterate import components, cut
+from docloom.operators.iterate import cut
 from docloom.staging import drop, stage
 
-ROUNDS_BEFORE_LOCAL, LOCAL_ROWS = 6, 10_000
+PLAIN_ROUNDS = 6
 
 
 def rare_index(sets: DataFrame, threshold: float) -> DataFrame:
@@ -92,20 +91,15 @@ def similar_pairs(rows: DataFrame, group: str, ord_: str, tokens: str, threshold
 def greedy_leaders(rows: DataFrame, pairs: DataFrame, group: str, ord_: str) -> DataFrame:
     """(group, ord, leader): in order, a row joins the first earlier leader that it is similar to, or leads itself.
 
-    Rounds decide all rows whose earlier neighbours are decided; each decides at least the first open row of every
-    component. What is open after ``ROUNDS_BEFORE_LOCAL`` rounds are long chains: their components, where they have at
-    most ``LOCAL_ROWS`` links, are walked in order in a task each; larger ones go on in rounds. ``pairs(group, a, b)``
-    has a before b.
+    Rounds decide all rows whose earlier neighbours are decided. What is open after ``PLAIN_ROUNDS`` are long chains; they
+    are contracted, which takes as many rounds as the logarithm of a chain. ``pairs(group, a, b)`` has a before b.
     """
     edges = cut(pairs.select(F.col(group).alias("g"), "a", "b").distinct())
     state = cut(rows.select(F.col(group).alias("g"), F.col(ord_).alias("o"), F.lit(None).cast("long").alias("leader")))
     rounds = 0
     while not state.where("leader is null").isEmpty():
         rounds += 1
-        if rounds == ROUNDS_BEFORE_LOCAL:
-            decided = _walked(state, edges)
-        else:
-            decided = _round(state, edges)
+        decided = _round(state, edges) if rounds < PLAIN_ROUNDS else _contracted(state, edges)
         after = cut(state.join(decided, ["g", "o"], "left").select("g", "o", F.coalesce("leader", "decided").alias("leader")))
         drop(state)
         state = after
@@ -121,30 +115,54 @@ def _round(state: DataFrame, edges: DataFrame) -> DataFrame:
     return state.where("leader is null").join(seen, ["g", "o"], "left").select("g", "o", decided.alias("decided"))
 
 
-def _walked(state: DataFrame, edges: DataFrame) -> DataFrame:
-    """(g, o, decided) of the open rows of small components, each walked in order."""
-    ends = {s: state.select("g", F.col("o").alias(s), F.col("leader").alias(f"lead_{s}")) for s in "ab"}
-    known = edges.join(ends["a"], ["g", "a"]).join(ends["b"].where("lead_b is null"), ["g", "b"])
-    links = cut(known.where("lead_a is null or lead_a = a").select("g", "a", "b", "lead_a"))
-    node = {s: F.concat_ws(":", F.col("g").cast("string"), F.col(s).cast("string")) for s in "ab"}
-    roots = cut(components(links.where("lead_a is null").select(node["a"].alias("a"), node["b"].alias("b"))))
-    named = links.withColumn("node", node["b"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    small = named.groupBy("root").agg(F.count(F.lit(1)).alias("links")).where(F.col("links") <= LOCAL_ROWS).select("root")
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        lead = {int(a): int(a) for a in part.a[part.lead_a.notna()]}
-        earlier: dict[int, list[int]] = {}
-        for a, b in zip(part.a, part.b, strict=True):
-            earlier.setdefault(int(b), []).append(int(a))
-            if a not in lead:
-                earlier.setdefault(int(a), [])
-        for o in sorted(earlier):
-            lead[o] = next((a for a in sorted(earlier[o]) if lead[a] == a), o)
-        return pd.DataFrame({"g": [part.g.iloc[0]] * len(earlier), "o": list(earlier), "decided": [lead[o] for o in earlier]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in state.schema}
-    of_small = named.join(small, "root").select("root", "g", "a", "b", "lead_a").groupBy("root").applyInPandas(walk, f"g {kinds['g']}, o {kinds['o']}, decided long")
-    return of_small.join(state.where("leader is null").select("g", "o"), ["g", "o"], "left_semi")
+def _contracted(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g, o, decided) of all open rows.
+
+    A row leads unless an earlier neighbour does. One whose earlier neighbours all hang on one row leads exactly if that
+    one does, or exactly if it doesn't, so it points there with that parity; pointers are doubled. One that would have to
+    follow both a row and its opposite doesn't lead. Only rows that hang on several are left for the next round.
+    """
+    opened = state.where("leader is null").select("g", "o")
+    known = edges.join(state.select("g", F.col("o").alias("a"), F.col("leader").alias("lead_a")), ["g", "a"]).join(opened.withColumnRenamed("o", "b"), ["g", "b"])
+    links = cut(known.where("lead_a is null or lead_a = a").select("g", "a", "b", F.col("lead_a").isNotNull().alias("leads")))
+    beaten = links.groupBy("g", F.col("b").alias("o")).agg(F.bool_or("leads").alias("beaten"))
+    node = cut(opened.join(beaten, ["g", "o"], "left").select("g", "o", F.when(F.col("beaten"), F.lit(False)).alias("value"), F.col("o").alias("up"), F.lit(0).alias("flip")))
+    left = links.where("not leads").select("g", "a", "b")
+    while not node.where("value is null").isEmpty():
+        waiting = node.where("value is null and up = o").select("g", F.col("o").alias("b"))
+        left = cut(left.join(waiting, ["g", "b"], "left_semi"))
+        met = left.join(node.withColumnRenamed("o", "a"), ["g", "a"])
+        by_root = met.groupBy("g", "b", F.when(F.col("value").isNull(), F.col("up")).alias("root")).agg(F.bool_or("value").alias("led"), F.min("flip").alias("low"), F.max("flip").alias("high"))
+        hangs = F.col("root").isNotNull()
+        seen = by_root.groupBy("g", F.col("b").alias("o")).agg(
+            F.coalesce(F.bool_or("led"), F.lit(False)).alias("led"), F.bool_or(hangs & (F.col("low") != F.col("high"))).alias("both"), F.count_if(hangs).alias("roots"), F.max("root").alias("root"), F.max(F.when(hangs, F.col("low"))).alias("low")
+        )
+        asked = waiting.select("g", F.col("b").alias("o"), F.lit(True).alias("asked")).join(seen, ["g", "o"], "left")
+        roots = F.coalesce("roots", F.lit(0))
+        value = F.when(F.col("led") | F.col("both"), F.lit(False)).when(roots == 0, F.lit(True))
+        single = value.isNull() & (roots == 1)
+        asked = asked.select("g", "o", value.alias("new"), F.when(single, F.col("root")).alias("new_up"), F.when(single, 1 - F.col("low")).alias("new_flip"))
+        after = cut(node.join(asked, ["g", "o"], "left").select("g", "o", F.coalesce("value", "new").alias("value"), F.coalesce("new_up", "up").alias("up"), F.coalesce("new_flip", "flip").alias("flip")))
+        drop(node)
+        node = _followed(after)
+    value_a = node.select("g", F.col("o").alias("a"), "value")
+    leaders = links.join(value_a, ["g", "a"], "left").where("leads or value").groupBy("g", F.col("b").alias("o")).agg(F.min("a").alias("first"))
+    return opened.join(leaders, ["g", "o"], "left").select("g", "o", F.coalesce("first", "o").alias("decided"))
+
+
+def _followed(node: DataFrame) -> DataFrame:
+    """``node(g, o, value, up, flip)`` with every pointer at its last row, and the values that this gives."""
+    held = node
+    while True:
+        there = node.select("g", F.col("o").alias("up"), F.col("value").alias("value2"), F.col("up").alias("up2"), F.col("flip").alias("flip2"))
+        met = node.join(there, ["g", "up"])
+        value = F.coalesce("value", F.col("value2") != (F.col("flip") == 1))
+        moved = (F.col("up2") != F.col("up")) | (F.col("value").isNull() & F.col("value2").isNotNull())
+        after = cut(met.select("g", "o", value.alias("value"), F.col("up2").alias("up"), F.col("flip").bitwiseXOR(F.col("flip2")).alias("flip"), moved.alias("moved")))
+        drop(held)
+        held, node = after, after.drop("moved")
+        if after.where("moved").isEmpty():
+            return node
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

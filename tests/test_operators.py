@@ -52,6 +52,36 @@ def test_greedy_leaders_are_the_loop(spark):
     assert {(r.job, r.ord): r.leader for r in got.collect()} == leaders
 
 
+def plain_leaders(rows, links):
+    earlier, lead = {}, {}
+    for a, b in links:
+        earlier.setdefault(b, []).append(a)
+    for o in sorted(rows):
+        lead[o] = next((a for a in sorted(earlier.get(o, [])) if lead[a] == a), o)
+    return lead
+
+
+def test_contracted_leaders_are_the_loop(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "PLAIN_ROUNDS", 1)
+    rng = random.Random(6)
+    rows, links = list(range(160)), set()
+    for low in range(0, 120, 40):  # sparse, middle and dense parts, near neighbours first
+        links |= {(a, b) for a in range(low, low + 40) for b in range(a + 1, min(a + 4 + low // 20, low + 40)) if rng.random() < 0.3 + low / 200}
+    links |= {(i, i + 1) for i in range(120, 159)}
+    got = simjoin.greedy_leaders(spark.createDataFrame([(0, o) for o in rows], "g long, o long"), spark.createDataFrame([(0, *x) for x in links], "g long, a long, b long"), "g", "o")
+    assert {r.o: r.leader for r in got.collect()} == plain_leaders(rows, links)
+
+
+def test_a_chain_of_20000_takes_a_logarithmic_number_of_rounds(spark, monkeypatch):
+    n, cuts = 20_000, []
+    plain = simjoin.cut
+    monkeypatch.setattr(simjoin, "cut", lambda df: cuts.append(1) or plain(df))
+    links = spark.range(n).select(F.lit(0).alias("g"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = simjoin.greedy_leaders(spark.range(n + 1).select(F.lit(0).alias("g"), F.col("id").alias("o")), links, "g", "o")
+    assert got.where("leader <> o - o % 2").count() == 0 and got.count() == n + 1
+    assert len(cuts) < 50
+
+
 def test_depths_of_chains_cycles_and_orphans(spark):
     rows = [("j", f"n{i}", f"n{i - 1}" if i else None) for i in range(40)] + [("j", "a", "b"), ("j", "b", "a"), ("j", "c", "a"), ("j", "o", "gone")]
     got = {r.id: (r.depth, r.root) for r in iterate.depths(spark.createDataFrame(rows, "g string, id string, up string"), "g", "id", "up").collect()}
