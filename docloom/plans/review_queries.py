@@ -8,8 +8,9 @@ from docloom.operators import entities as E
 from docloom.operators import jobs, review
 from docloom.operators import trees as T
 from docloom.plans.registration import Registry
-from docloom.sources import store
+from docloom.sources.keyed import KeyedTable
 from docloom.staging import new_path
+from docloom.sources import store
 
 registry = Registry()
 query = registry.query
@@ -245,3 +246,68 @@ def e17_extract_policies(p):
 )
 def t10b_find_node(n, r):
     return T.find_nodes(n, r.select("tree_id", F.col("next_node_id").alias("node_id"))).select("tree_id", "node_id", "node_type", "found")
+
+
+def stored(rows, key: str) -> KeyedTable:
+    """``rows`` as a stored table of its own."""
+    table = KeyedTable(rows.sparkSession, new_path(rows.sparkSession, "stored") + "/table", key, rows.schema, buckets=16)
+    table.create(rows)
+    return table
+
+
+@query(
+    """SELECT job_id, CASE WHEN job_id % 64 = 5 THEN 'reopened' WHEN job_id % 32 = 5 THEN 'archived' ELSE status END AS status, created_at, coalesce(CASE WHEN job_id % 32 = 5 AND job_id % 3 = 0 THEN 0.5 END, validation_confidence) AS validation_confidence FROM {jobs} WHERE job_id % 32 <> 7""",
+    "jobs",
+)
+def s08_s19_stored_jobs(j):
+    """Two updates and a deletion in a row against a stored table, read back."""
+    rows = j.select("job_id", "status", "created_at", F.col("validation_confidence").cast("double").alias("validation_confidence"))
+    table = stored(rows, "job_id")
+    nothing = F.lit(None).cast("double").alias("validation_confidence")
+    table.update(rows.where("job_id % 32 = 5").select("job_id", F.lit("archived").alias("status"), F.when(F.col("job_id") % 3 == 0, 0.5).alias("validation_confidence")))
+    table.update(rows.where("job_id % 64 = 5").select("job_id", F.lit("reopened").alias("status"), nothing))
+    table.delete(rows.where("job_id % 32 = 7"))
+    return table.read()
+
+
+@query(
+    """SELECT job_id, event_type, details FROM (SELECT job_id, 'created' AS event_type, NULL AS details FROM {jobs} UNION ALL SELECT job_id, 'archived', '{"reason":"old"}' FROM {jobs} WHERE job_id % 32 = 5) q""",
+    "jobs",
+)
+def s07_job_history(j):
+    """The history table: a row for every job that is saved, appended to when some are archived."""
+    jobs_rows, created = jobs.save_job(j.select("job_id", "status", F.lit(None).cast("double").alias("threshold"), "created_at"))
+    history = stored(created.select("job_id", "event_type", F.lit(None).cast("string").alias("details")), "job_id")
+    history.append(jobs_rows.where("job_id % 32 = 5").select("job_id", F.lit("archived").alias("event_type"), F.to_json(F.struct(F.lit("old").alias("reason"))).alias("details")))
+    return history.read()
+
+
+@query(
+    """SELECT p_partkey AS question_id, CASE WHEN p_partkey % 40 = 0 AND p_partkey % 3 = 0 THEN 'twice' WHEN p_partkey % 40 = 0 THEN 'edited ' || p_brand ELSE p_name END AS question_text, p_type AS question_type FROM {part} WHERE p_partkey % 40 <> 1""",
+    "part",
+)
+def a05_a06_stored_questions(p):
+    """Questions edited twice and deleted in a stored table."""
+    k = F.col("p_partkey")
+    rows = p.select(k.alias("question_id"), F.col("p_name").alias("question_text"), F.col("p_type").alias("question_type"))
+    table = stored(rows, "question_id")
+    table.update(p.where(k % 40 == 0).select(k.alias("question_id"), F.concat(F.lit("edited "), "p_brand").alias("question_text")))
+    table.update(p.where((k % 40 == 0) & (k % 3 == 0)).select(k.alias("question_id"), F.lit("twice").alias("question_text")))
+    table.delete(rows.where("question_id % 40 = 1"))
+    return table.read()
+
+
+@query(
+    f"SELECT id, CASE WHEN id % 30 = 1 THEN {NEW_STATUS} ELSE status END AS status, CASE WHEN id % 30 = 2 THEN 'Denied' WHEN id % 30 = 1 AND id % 7 = 0 THEN 'Approved' ELSE final_recommendation END AS final_recommendation, CASE WHEN id % 30 = 1 AND id % 4 < 2 THEN '{NOW}' ELSE completed_at END AS completed_at FROM ({SESSIONS}) s",
+    "orders",
+)
+def a40_a41_stored_sessions(o):
+    """A status update and an update of other columns, in a row, in a stored table."""
+    rows = sessions(o).drop("application_id")
+    k = F.col("id")
+    status = F.when(k % 4 == 0, "Completed").when(k % 4 == 1, "completed").when(k % 4 == 2, "pending").otherwise("In Review")
+    changes = rows.where("id % 30 = 1").select("id", status.alias("status"), F.when(k % 7 == 0, "Approved").alias("recommendation"))
+    table = stored(rows, "id")
+    table.edit(changes, lambda old: review.updated_status(old, changes, F.lit(NOW)))
+    table.update(rows.where("id % 30 = 2").select("id", F.lit("Denied").alias("final_recommendation")))
+    return table.read()

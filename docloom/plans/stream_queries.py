@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.plans.fixtures import duck
 from docloom.plans.registration import Registry
+from docloom.sources.cache import ChunkCache
+from docloom.staging import new_path
 from docloom.streaming import jobs as W
 from docloom.streaming import state as S
 
@@ -171,3 +174,24 @@ def w12_chunk_cache(p):
     written = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 48 * 3600)
     cache = W.cache_entries(rows.where("doc_id % 3 = 0"), written, F.when(F.col("page_number") % 2 == 0, 43200).otherwise(86400))
     return W.uncached(rows, cache, F.timestamp_seconds(F.lit(1_700_000_000 + 48 * 3600))).select("doc_id", "page_number")
+
+
+@query("SELECT doc_id, page_number, length(text) AS n, (doc_id % 3 = 0 AND page_number % 2 = 0) OR (doc_id % 3 = 1 AND page_number % 2 = 1) AS cached FROM {doc_pages}", "doc_pages")
+def w12_cache_runs(p):
+    """Two runs wrote to a stored cache, an hour apart, for an hour and a half and for half of one; a third computes what neither has."""
+    spark = p.sparkSession
+    rows = p.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("document_hash"), F.col("page_number").alias("chunk_index"), "doc_id", "page_number", "text")
+    value = T.StructType([T.StructField("n", T.IntegerType())])
+    cache = ChunkCache(spark, new_path(spark, "cache") + "/table", value, buckets=16)
+
+    def compute(missing):
+        return missing.select("document_hash", "chunk_index", F.length("text").alias("n"))
+
+    hour = 3600
+    start, now = 1_700_000_000, F.timestamp_seconds(F.lit(1_700_000_000 + 2 * hour))
+    early, late = rows.where("doc_id % 3 = 0"), rows.where("doc_id % 3 = 1")
+    cache.put(compute(early), F.timestamp_seconds(F.lit(start)), F.when(F.col("chunk_index") % 2 == 0, 3 * hour).otherwise(hour))
+    cache.put(compute(late), F.timestamp_seconds(F.lit(start + hour)), F.when(F.col("chunk_index") % 2 == 1, 2 * hour).otherwise(hour // 2))
+    known = cache.found(rows, now).select("doc_id", "page_number", "n", F.lit(True).alias("cached"))
+    new = cache.missing(rows, now).select("doc_id", "page_number", F.length("text").alias("n"), F.lit(False).alias("cached"))
+    return known.union(new)
