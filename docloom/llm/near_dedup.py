@@ -22,7 +22,9 @@ differences at every length, so pairs without such a chain fall before the whole
 Only components are needed, so pairs within one are never made. In rounds, all members
 of a bucket (an indexed shingle) are compared with one hub of it, and what is found
 is joined into components. When few pairs are left, or after ``HUB_ROUNDS``, what lies
-outside a bucket's largest component is compared with the whole bucket.
+outside a bucket's largest component is compared with the rest of it that it can be near to at all: of two near copies at least one has, from
+their first common shingle on, eight ninths of its size in shared shingles (a strong member), so weak ones never meet each other. Forms filled in on
+one template, alike but below 0.8, are weak in the template's buckets: those have no strong member, and go before anything is joined.
 
 Defined results: null text counts as empty; texts without words are equal; texts of
 one to four words are one shingle; a null ``doc_id`` comes after all others; each
@@ -94,6 +96,11 @@ def can_be_near(a: str, b: str) -> Column:
     return (9 * left >= 4 * n) & ring & (9 * sum(apart) <= n)
 
 
+def is_strong(v: str) -> Column:
+    """Whether a near copy of the same size could still follow: of a pair that ``can_be_near``, the smaller member is."""
+    return 9 * (F.col(f"{v}.rest") + 1) >= 8 * F.col(f"{v}.n")
+
+
 def prefix_size(n: Column) -> Column:
     """How many of its first shingles a set of ``n`` may need before one that a near copy has."""
     return n - F.floor((4 * n + 4) / 5) + 1
@@ -172,9 +179,9 @@ def near_links(texts: DataFrame, bits: DataFrame) -> DataFrame:
     for round_ in range(HUB_ROUNDS + 1):
         roots = stage(components(links), "near-roots") if round_ else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
         rooted = index.join(roots, F.col("v.set_id") == F.col("node"), "left").select("w", "v", F.coalesce("root", "v.set_id").alias("root"))
-        by_root = rooted.groupBy("w", "root").agg(F.count(F.lit(1)).alias("m"))
-        largest = by_root.groupBy("w").agg(F.max_by("root", F.struct("m", "root")).alias("major"), F.max("m").alias("most"), F.sum("m").alias("size"))
-        buckets = stage(largest.where("size > most").select("w", "major", (F.col("size") * (F.col("size") - F.col("most"))).alias("pairs")), "near-buckets")
+        by_root = rooted.groupBy("w", "root").agg(F.count(F.lit(1)).alias("m"), F.bool_or(is_strong("v")).alias("strong"))
+        largest = by_root.groupBy("w").agg(F.max_by("root", F.struct("m", "root")).alias("major"), F.max("m").alias("most"), F.sum("m").alias("size"), F.bool_or("strong").alias("strong"))
+        buckets = stage(largest.where("strong and size > most").select("w", "major", (F.col("size") * (F.col("size") - F.col("most"))).alias("pairs")), "near-buckets")
         live = stage(rooted.join(buckets, "w").select("w", "v", "root", (F.col("root") == F.col("major")).alias("major")), "near-members")
         left = buckets.agg(F.sum("pairs")).first()[0] or 0
         if not left:
@@ -190,8 +197,9 @@ def near_links(texts: DataFrame, bits: DataFrame) -> DataFrame:
 
     minor = live.where("not major").select("w", F.col("v").alias("x"), F.col("root").alias("root_x"))
     every = live.select("w", F.col("v").alias("y"), F.col("root").alias("root_y"), "major")
-    met = minor.join(every, "w").where(F.col("major") | (F.col("root_x") < F.col("root_y"))).where(can_be_near("x", "y"))
-    return stage(links.union(near(met)), "near-links")
+    once = F.col("major") | (F.col("root_x") < F.col("root_y"))
+    met = minor.where(is_strong("x")).join(every, "w").union(minor.where(~is_strong("x")).join(every.where(is_strong("y")), "w"))
+    return stage(links.union(near(met.where(once).where(can_be_near("x", "y")))), "near-links")
 
 
 def near_classes(rows: DataFrame) -> DataFrame:

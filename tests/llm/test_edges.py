@@ -378,3 +378,21 @@ def test_packed_ids_keep_all_bits_beside_a_null(spark):
     docs = spark.createDataFrame([(i, "some words here", "x") for i in ids], "doc_id long, text string, part string").coalesce(1)
     got = packing.pack(docs, TOKENIZER, with_ids=False)
     assert sorted({r.doc_id for r in got.collect()}, key=str) == sorted(set(ids), key=str)
+
+
+def test_forms_on_one_template_make_no_pairs(spark, monkeypatch):
+    """5,000 forms of a similarity of 0.74, and a near copy of one: all pairs of them would be 12 million."""
+    sizes = {}
+
+    def counted(df, name, **options):
+        out = common.stage(df, name, **options)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stage", counted)
+    template = " ".join(f"t{i}" for i in range(200))
+    texts = [f"{template} " + " ".join(f"v{i}x{j}" for j in range(35)) for i in range(5000)]
+    texts.append(texts[7].replace("v7x34", "other"))
+    got = near_dedup.keep_one_of_each_class(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    assert {r.doc_id for r in got.select("doc_id").collect()} == set(range(5000))
+    assert sizes["near-members"] < 1000
