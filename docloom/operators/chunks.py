@@ -160,3 +160,23 @@ def duplicate_chunks(chunks: DataFrame) -> DataFrame:
     score = F.when((title > 0.8) & (words > 0.85), (title + words) / 2).when((title > 0.9) & (words > 0.75), title * 0.6 + words * 0.4).when(words > 0.95, words)
     found = met.withColumn("alike", alike).where(~both | (title >= 0.7)).withColumn("similarity", score).where("similarity is not null")
     return found.select(F.col("g").alias("doc_id"), F.col("first_o").alias("first_chunk"), F.col("o").alias("chunk"), "similarity", merge_recommendation(F.col("similarity")).alias("recommendation"))
+
+
+def filtered_chunks(chunks: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """The chunks that are extracted from: none that repeats an earlier one; with complete context (also where nothing says so), or bounded by a policy or content zone.
+
+    ``chunks(doc_id, ord, has_complete_context, boundary_type, ...)``; ``duplicates(doc_id, chunk)`` as ``duplicate_chunks`` finds them.
+    """
+    again = duplicates.select("doc_id", F.col("chunk").alias("ord")).distinct()
+    bounded = F.coalesce(F.col("boundary_type").isin("policy", "content_zone"), F.lit(False))
+    return chunks.where(F.coalesce("has_complete_context", F.lit(True)) | bounded).join(again, ["doc_id", "ord"], "left_anti")
+
+
+def covered_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """A chunk's pages: ``chunks(doc_id, chunk_id, pages_covered)`` joined with ``pages(doc_id, page_number, ...)`` page by page.
+
+    A chunk that says nothing of its pages covers its ``start_page``, or page 1; numbers that no page has give nothing, a number that comes twice gives its page once.
+    """
+    first = F.coalesce("start_page", F.lit(1)) if "start_page" in chunks.columns else F.lit(1)
+    covered = F.coalesce("pages_covered", F.array(first.cast("long")))
+    return chunks.select("doc_id", "chunk_id", F.explode(F.array_distinct(covered)).alias("page_number")).join(pages, ["doc_id", "page_number"])

@@ -122,3 +122,16 @@ def line_references(lines: DataFrame) -> DataFrame:
     summed = running_sums(lines.withColumn("__length", F.length("line") + 1), "doc_id", ["line_no"], "__length")
     placed = summed.withColumn("char_start", F.col("running") - F.col("__length")).withColumn("char_end", F.col("char_start") + F.length("line"))
     return placed.where(F.trim("line") != "").select("doc_id", "line_no", F.trim("line").alias("line"), "char_start", "char_end")
+
+
+def processing_stats(chunks: DataFrame, policies: DataFrame, trees: DataFrame) -> DataFrame:
+    """Per job: chunks and their tokens, policies, trees, mean tokens and share of complete contexts. A job that lacks one of the three has no statistics.
+
+    ``chunks(job_id, token_count, has_complete_context)``, ``policies(job_id)``, ``trees(job_id)``.
+    """
+    of_chunks = chunks.groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("total_chunks"), F.sum("token_count").alias("total_tokens"), F.avg("token_count").alias("mean_tokens"), F.avg(F.coalesce("has_complete_context", F.lit(True)).cast("double")).alias("complete_share")
+    )
+    of_policies = policies.groupBy("job_id").agg(F.count(F.lit(1)).alias("total_policies"))
+    of_trees = trees.groupBy("job_id").agg(F.count(F.lit(1)).alias("total_decision_trees"))
+    return of_chunks.join(of_policies, "job_id").join(of_trees, "job_id")

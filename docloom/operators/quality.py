@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.operators.hierarchy import orphans
 from docloom.operators.iterate import cut, depths, root_paths
+from docloom.operators.rollups import expected_policies
 from docloom.operators.simjoin import greedy_leaders, similar_sets, token_sets
 from docloom.operators.trees import IS_OUTCOME, with_children
 from docloom.staging import stage
@@ -237,3 +238,19 @@ def verification(policies: DataFrame, duplicates: DataFrame, coverage: DataFrame
     needs = (F.col("duplicate_count") > 0) | (F.col("high") > 0) | (F.col("confidence") < 0.95)
     total = sum((F.col(c) for c in ("coverage_issues", "tree_issues", "hierarchy_issues")), F.col("duplicate_count"))
     return rows.select("job_id", total.alias("total_issues"), "duplicate_count", "coverage_issues", "tree_issues", "hierarchy_issues", "confidence", needs.alias("needs_refinement"), (F.col("high") + F.col("duplicate_count")).alias("critical_issues"))
+
+
+def policy_coverage(chunks: DataFrame, policies: DataFrame) -> DataFrame:
+    """Chunks with no policy though some are expected, and with over one and a half times as many: doc_id, chunk_id, issue_type, policy_count, expected_count, policies.
+
+    ``chunks(doc_id, chunk_id, text)``, whose text says how many to expect; ``policies(doc_id, chunk_id, policy_id)``. Only the
+    ids of chunks with too many are listed.
+    """
+    held = policies.groupBy("doc_id", "chunk_id").agg(F.count(F.lit(1)).alias("policy_count"))
+    counted = chunks.select("doc_id", "chunk_id", expected_policies(F.coalesce("text", F.lit(""))).alias("expected_count")).join(held, ["doc_id", "chunk_id"], "left")
+    counted = counted.withColumn("policy_count", F.coalesce("policy_count", F.lit(0)))
+    issue = F.when(F.col("policy_count") == 0, "missing").when(F.col("policy_count") > 1.5 * F.col("expected_count"), "over_extracted")
+    issues = stage(counted.withColumn("issue_type", issue).where("issue_type is not null"), "coverage")
+    many = policies.join(issues.where("issue_type = 'over_extracted'").select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_semi")
+    listed = many.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list("policy_id")).alias("policies"))
+    return issues.join(listed, ["doc_id", "chunk_id"], "left")

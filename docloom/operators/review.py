@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.scan import running_sums
+
 NOT_FOUND = "NOT_FOUND"
 # Seconds of set-up, per item and of consolidation by kind of document.
 TIMES = {"policy": (10, 35, 15), "application": (8, 25, 12), "decision": (3, 2, 8)}
@@ -154,3 +156,58 @@ def answer_payload(answers: DataFrame) -> DataFrame:
     confidence = F.when(F.col("answer_text").isin("NOT_FOUND", "Not Found"), 0).otherwise(95)
     pages = F.when(F.coalesce("source_page_number", F.lit(0)) != 0, F.col("source_page_number").cast("string")).otherwise("")
     return answers.select("id", "answer_text", reasoning.alias("reasoning"), confidence.alias("confidence_score"), pages.alias("page_references"))
+
+
+CHUNK_BOUNDS, DOCUMENT_BOUNDS = (5, 12), (10, 25)
+
+
+def bounded_questions(questions: DataFrame, group: list[str], order: list[str], bounds: tuple[int, int]) -> DataFrame:
+    """The first questions of each group, as many as the upper bound allows, with ``n_questions``, all that there were, and whether these are ``too_few``."""
+    least, most = bounds
+    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
+    counted = questions.withColumns({"n_questions": n, "too_few": n < least})
+    return top_per_group(counted, group, [F.col(o) for o in order], most).drop("nth")
+
+
+def summarised_questions(questions: DataFrame, most: int = 10, text: int = 200, source: int = 100) -> DataFrame:
+    """The first questions of each chunk, cut, with defaults: ``questions(chunk_id, ord, question_id, question_text, question_type, criterion_type, priority, source_text_snippet, page_number)``."""
+    first = top_per_group(questions, ["chunk_id"], [F.col("ord")], most)
+    return first.select(
+        "chunk_id",
+        "ord",
+        F.coalesce("question_id", F.lit("")).alias("question_id"),
+        F.left(F.coalesce("question_text", F.lit("")), F.lit(text)).alias("question_text"),
+        *[F.coalesce(c, F.lit(default)).alias(c) for c, default in (("question_type", "text"), ("criterion_type", "general"), ("priority", "medium"))],
+        F.left(F.coalesce("source_text_snippet", F.lit("")), F.lit(source)).alias("source_text_snippet"),
+        "page_number",
+    )
+
+
+def applications_latest(applications: DataFrame, files: DataFrame) -> DataFrame:
+    """Applications with their file, latest submission first, ties by id: ``applications(application_id, file_id, submission_date)``, ``files(file_id, filename)``."""
+    return applications.join(files, "file_id", "left").orderBy(F.desc("submission_date"), "application_id")
+
+
+def sessions_of_applications(sessions: DataFrame, questionnaires: DataFrame, answers: DataFrame) -> DataFrame:
+    """Per application its sessions as structs, latest first, each with its questionnaire and its answers in order.
+
+    ``sessions(session_id, application_id, questionnaire_id, created_at, status)``, ``questionnaires(questionnaire_id, name)``,
+    ``answers(session_id, question_id, answer_text)``.
+    """
+    listed = answers.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("question_id", "answer_text"))).alias("answers"))
+    named = questionnaires.select("questionnaire_id", F.struct("questionnaire_id", "name").alias("questionnaire"))
+    rows = sessions.join(named, "questionnaire_id", "left").join(listed, "session_id", "left")
+    latest = F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), "session_id")
+    one = F.struct("session_id", "status", "questionnaire", F.coalesce("answers", F.array().cast(listed.schema["answers"].dataType)).alias("answers"))
+    ordered = F.array_sort(F.collect_list(F.struct(latest.alias("o"), one.alias("s"))))
+    return rows.groupBy("application_id").agg(F.transform(ordered, lambda x: x.s).alias("sessions"))
+
+
+def cost_timeline(entries: DataFrame) -> DataFrame:
+    """Entries in order of time with what was spent up to each: ``entries(timestamp, entry_id, description, cost)``. No task holds them all.
+
+    A cost that is not given counts as nothing, a description as ``Processing``.
+    """
+    known = entries.withColumns({"cost": F.coalesce("cost", F.lit(0.0)), "description": F.coalesce("description", F.lit("Processing")), "__one": F.lit(0)})
+    summed = running_sums(known, "__one", ["timestamp", "entry_id"], "cost").withColumnRenamed("running", "spent")
+    return summed.select("timestamp", "entry_id", "description", "cost", "spent").orderBy("timestamp", "entry_id")

@@ -293,11 +293,14 @@ DUPLICATED = f"""r0 AS (SELECT a.doc_id, a.page_number AS o, a.page_number AS st
     r4 AS (SELECT *, CASE WHEN ts > 0.8 AND c > 0.85 THEN (ts + c) / 2 WHEN ts > 0.9 AND c > 0.75 THEN 0.6 * ts + 0.4 * c WHEN c > 0.95 THEN c END AS s FROM r3 WHERE NOT both_titled OR ts >= 0.7)"""
 
 
-@query(f"WITH {DUPLICATED} SELECT doc_id, first_chunk, chunk, round(s, 6) AS similarity, CASE WHEN s > 0.9 THEN 'MERGE' WHEN s > 0.8 THEN 'REVIEW' ELSE 'MONITOR' END AS recommendation FROM r4 WHERE s IS NOT NULL", "doc_pages")
-def c19_p34_duplicate_chunks(p):
+def duplicated_chunks(p):
     n = F.col("page_number")
     first = p.where("page_number = 1").select("doc_id", F.col("text").alias("first_text"))
     text = F.when(n % 3 == 0, F.concat("first_text", F.lit(" word"), (n % 2).cast("string"))).otherwise(F.col("text"))
     title = F.when(n % 6 == 0, None).when(n % 2 == 0, "Coverage of services in part one").otherwise("coverage of services in part two")
-    chunks = p.join(first, "doc_id").select("doc_id", n.alias("ord"), n.alias("start_page"), title.alias("title"), text.alias("text"))
-    return C.duplicate_chunks(chunks).withColumn("similarity", F.round("similarity", 6))
+    return p.join(first, "doc_id").select("doc_id", n.alias("ord"), n.alias("start_page"), title.alias("title"), text.alias("text"))
+
+
+@query(f"WITH {DUPLICATED} SELECT doc_id, first_chunk, chunk, round(s, 6) AS similarity, CASE WHEN s > 0.9 THEN 'MERGE' WHEN s > 0.8 THEN 'REVIEW' ELSE 'MONITOR' END AS recommendation FROM r4 WHERE s IS NOT NULL", "doc_pages")
+def c19_p34_duplicate_chunks(p):
+    return C.duplicate_chunks(duplicated_chunks(p)).withColumn("similarity", F.round("similarity", 6))

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
+from docloom.operators import chunks as C
 from docloom.operators import hierarchy as H
 from docloom.operators import jobs, results, review
+from docloom.operators import quality as Q
 from docloom.operators import trees as T
-from docloom.plans.document_queries import CHUNKS, chunk_facts
+from docloom.plans.document_queries import CHUNKS, PACKED, chunk_facts, chunk_rows, packed
+from docloom.plans.refine_queries import DUPLICATED, duplicated_chunks
 from docloom.plans.registration import Registry
 from docloom.plans.tree_queries import PATHS
+from docloom.sources import pages
 from docloom.streaming import jobs as stream_jobs
 
 registry = Registry()
@@ -217,3 +221,128 @@ def s15_load_job_results(p, j, d):
         field("validation_result.overall_confidence", "double").alias("overall_confidence"), field("metadata.document_type").alias("document_type"), field("metadata.source").alias("source"), field("policy_hierarchy.total_policies", "long").alias("total_policies"),
         F.json_array_length(field("decision_trees")).cast("long").alias("n_trees"), F.col("document_error").isNotNull().alias("broken"), F.octet_length("document_content").cast("long").alias("n_bytes"), "document_filename",
     )
+
+
+@query(
+    """SELECT doc_id, CAST(pos AS INT) AS page_number, sha256(text || CASE WHEN doc_id % 7 = 0 THEN 'broken' ELSE '' END) || ':p' || pos AS page_key, CASE WHEN broken THEN '' ELSE line END AS text, CAST(CASE WHEN broken THEN 0 ELSE length(line) END AS INT) AS char_count, CAST(CASE WHEN broken THEN 0 ELSE greatest(1, length(line) // 4) END AS INT) AS approx_tokens, broken AS failed
+    FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos, doc_id % 7 = 0 AND unnest(generate_series(1, len(string_split(text, chr(10))))) = 1 AS broken FROM {documents} WHERE text <> '') q""",
+    "documents",
+)
+def s02_split_pages(d):
+    """Documents as files, a page per line; the first page of one in seven isn't UTF-8 and becomes a stub."""
+    body = F.encode(F.regexp_replace("text", "\n", "\f"), "UTF-8")
+    broken = F.concat(F.unhex(F.lit("FF")), body)
+    files = d.where("text <> ''").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 7 == 0, broken).otherwise(body).alias("content"), F.lit(None).cast("string").alias("error"))
+    rows = pages.page_rows(files)
+    key = F.concat(F.sha2(F.concat("d.text", F.when(F.col("doc_id") % 7 == 0, "broken").otherwise("")), 256), F.lit(":p"), F.col("page_number").cast("string"))
+    named = rows.withColumn("doc_id", F.col("path").cast("long")).join(d.select("doc_id", F.struct("text").alias("d")), "doc_id")
+    return named.select("doc_id", F.col("page_number").cast("int").alias("page_number"), key.alias("page_key"), "text", "char_count", F.col("approx_tokens").cast("int").alias("approx_tokens"), (F.size("processing_errors") > 0).alias("failed"))
+
+
+@query(
+    f"WITH {DUPLICATED}, z AS (SELECT DISTINCT doc_id, chunk FROM r4 WHERE s IS NOT NULL) SELECT r.doc_id, r.o AS ord, CASE t.primary_type WHEN 'policy_content' THEN 'policy' WHEN 'coverage' THEN 'content_zone' ELSE 'page' END AS boundary_type FROM r0 r JOIN {{page_types}} t ON t.doc_id = r.doc_id AND t.page_number = r.o WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.doc_id = r.doc_id AND z.chunk = r.o) AND (r.o % 4 <> 1 OR t.primary_type IN ('policy_content', 'coverage'))",
+    "doc_pages",
+    "page_types",
+)
+def e01_filtered_chunks(p, t):
+    """Chunks to extract from: duplicates that C19 finds are dropped; one chunk in four has no complete context, one in four says nothing of it."""
+    chunks = duplicated_chunks(p)
+    kind = F.when(F.col("primary_type") == "policy_content", "policy").when(F.col("primary_type") == "coverage", "content_zone").otherwise("page")
+    typed = chunks.join(t.select("doc_id", F.col("page_number").alias("ord"), kind.alias("boundary_type")), ["doc_id", "ord"])
+    complete = F.when(F.col("ord") % 4 == 1, F.lit(False)).when(F.col("ord") % 4 == 2, F.lit(True)).when(F.col("ord") % 4 == 3, F.lit(True))
+    return C.filtered_chunks(typed.withColumn("has_complete_context", complete), C.duplicate_chunks(chunks)).select("doc_id", "ord", "boundary_type")
+
+
+STATS = """jc AS (SELECT doc_id AS job_id, count(*) AS total_chunks, CAST(sum(token_count) AS BIGINT) AS total_tokens, round(avg(token_count), 6) AS mean_tokens, round(avg(CASE WHEN has_complete_context THEN 1.0 ELSE 0.0 END), 6) AS complete_share FROM k GROUP BY doc_id),
+    jp AS (SELECT job_id, count(*) AS total_policies, count(*) FILTER (WHERE ord % 2 = 1) AS total_decision_trees FROM {few_policies} GROUP BY job_id)"""
+
+
+@query(f"{CHUNKS}, {STATS} SELECT jc.*, jp.total_policies, jp.total_decision_trees FROM jc JOIN jp ON jp.job_id = jc.job_id WHERE total_decision_trees > 0", "doc_pages", "text_pages", "few_policies")
+def j10_processing_stats(p, t, f):
+    """Chunks, tokens, policies and trees of each job that has all of them."""
+    chunks = chunk_facts(p, t).withColumnRenamed("doc_id", "job_id")
+    return jobs.processing_stats(chunks, f, f.where("ord % 2 = 1")).withColumns({c: F.round(c, 6) for c in ("mean_tokens", "complete_share")})
+
+
+@query(f"{PACKED} SELECT f.doc_id, CAST(f.grp AS INT) AS chunk_id, f.page_number, t.primary_type FROM f JOIN {{page_types}} t ON t.doc_id = f.doc_id AND t.page_number = f.page_number UNION ALL SELECT doc_id, -1, 1, primary_type FROM {{page_types}} WHERE page_number = 1", "doc_pages", "page_types")
+def c28_chunk_to_pages(p, t):
+    """Each chunk's pages back from the list that it covers; chunk -1 of a document says nothing of its pages."""
+    chunks = packed(p).groupBy("doc_id", F.col("grp").cast("int").alias("chunk_id")).agg(F.collect_set(F.col("page_number").cast("long")).alias("pages_covered"))
+    silent = p.select("doc_id").distinct().select("doc_id", F.lit(-1).alias("chunk_id"), F.lit(None).cast("array<long>").alias("pages_covered"))
+    return C.covered_pages(chunks.union(silent), t.select("doc_id", "page_number", "primary_type")).select("doc_id", "chunk_id", "page_number", "primary_type")
+
+
+@query(
+    f"""{CHUNKS}, x AS (SELECT doc_id, grp, CAST(greatest(1, floor(len(regexp_extract_all(text, '\n[A-Z][A-Z\s]+\n')) + 0.5 * (len(regexp_extract_all(text, '\n\s*[\d\-•]\s+')) // 5))) AS INT) AS expected_count FROM k),
+    n AS (SELECT job_id, ord % 3 AS grp, count(*) AS n, string_agg(policy_id, ',' ORDER BY policy_id) AS policies FROM {{few_policies}} WHERE ord <> 1 GROUP BY 1, 2)
+    SELECT x.doc_id, CAST(x.grp AS INT) AS chunk_id, CASE WHEN n.n IS NULL THEN 'missing' ELSE 'over_extracted' END AS issue_type, coalesce(n.n, 0) AS policy_count, expected_count, CASE WHEN n.n IS NOT NULL THEN n.policies END AS policies FROM x LEFT JOIN n ON n.job_id = x.doc_id AND n.grp = x.grp WHERE n.n IS NULL OR n.n > 1.5 * expected_count""",
+    "doc_pages",
+    "text_pages",
+    "few_policies",
+)
+def q03_coverage_issues(p, t, f):
+    """Extracted policies of each chunk against what its text says to expect."""
+    chunks = chunk_rows(p, t).select("doc_id", F.col("grp").cast("int").alias("chunk_id"), "text")
+    policies = f.where("ord <> 1").select(F.col("job_id").alias("doc_id"), (F.col("ord") % 3).cast("int").alias("chunk_id"), "policy_id")
+    return Q.policy_coverage(chunks, policies).withColumn("policies", F.array_join("policies", ","))
+
+
+@query(
+    """SELECT application_id, CAST(to_json(list(s ORDER BY created_at DESC, session_id)) AS VARCHAR) AS sessions FROM (SELECT o_custkey AS application_id, o_orderdate AS created_at, o_orderkey AS session_id, {'session_id': o_orderkey, 'status': o_orderstatus, 'questionnaire': CASE WHEN n_name IS NOT NULL THEN {'questionnaire_id': o_orderkey % 30, 'name': n_name} END, 'answers': coalesce(a, [])} AS s
+    FROM {orders} LEFT JOIN {nation} ON n_nationkey = o_orderkey % 30 LEFT JOIN (SELECT l_orderkey, list({'question_id': l_linenumber, 'answer_text': l_returnflag} ORDER BY l_linenumber, l_returnflag) AS a FROM {lineitem} GROUP BY l_orderkey) l ON l_orderkey = o_orderkey) q GROUP BY application_id""",
+    "orders",
+    "nation",
+    "lineitem",
+)
+def a08_sessions_of_applications(o, n, t):
+    """Sessions of each application as structs, with questionnaire and answers."""
+    sessions = o.select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("application_id"), (F.col("o_orderkey") % 30).alias("questionnaire_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))
+    named = n.select(F.col("n_nationkey").cast("long").alias("questionnaire_id"), F.col("n_name").alias("name"))
+    answers = t.select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("question_id"), F.col("l_returnflag").alias("answer_text"))
+    return review.sessions_of_applications(sessions, named, answers).withColumn("sessions", F.to_json("sessions", {"ignoreNullFields": "false"}))
+
+
+@query("SELECT o_orderkey AS application_id, c_name AS filename, o_orderdate AS submission_date FROM {orders} LEFT JOIN {customer} ON c_custkey = o_custkey AND c_custkey % 5 <> 0 ORDER BY o_orderdate DESC, o_orderkey", "orders", "customer")
+def a07_applications_latest(o, c):
+    """Applications with their file, the latest submission first; one customer in five has none."""
+    applications = o.select(F.col("o_orderkey").alias("application_id"), F.col("o_custkey").alias("file_id"), F.col("o_orderdate").alias("submission_date"))
+    return review.applications_latest(applications, c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("file_id"), F.col("c_name").alias("filename"))).drop("file_id")
+
+
+@query(
+    """WITH c AS (SELECT policy_id, ord, ord % 2 AS chunk_id, count(*) OVER (PARTITION BY policy_id, ord % 2) AS n_in_chunk, row_number() OVER (PARTITION BY policy_id, ord % 2 ORDER BY ord) AS nth FROM {conditions}),
+    d AS (SELECT *, count(*) OVER (PARTITION BY policy_id) AS n_questions, row_number() OVER (PARTITION BY policy_id ORDER BY ord) AS place FROM c WHERE nth <= 12)
+    SELECT policy_id, ord, chunk_id, n_in_chunk, n_in_chunk < 5 AS chunk_too_few, n_questions, n_questions < 10 AS too_few FROM d WHERE place <= 25""",
+    "conditions",
+)
+def a21_bounded_questions(c):
+    """Questions cut to twelve a chunk and then to twenty-five a document, with what falls short of five and ten."""
+    rows = c.select("policy_id", "ord", (F.col("ord") % 2).alias("chunk_id"))
+    of_chunk = review.bounded_questions(rows, ["policy_id", "chunk_id"], ["ord"], review.CHUNK_BOUNDS).withColumnsRenamed({"n_questions": "n_in_chunk", "too_few": "chunk_too_few"})
+    return review.bounded_questions(of_chunk, ["policy_id"], ["ord"], review.DOCUMENT_BOUNDS)
+
+
+@query(
+    """SELECT chunk_id, ord, 'q' || ord AS question_id, substr(line, 1, 200) AS question_text, CASE WHEN ord % 2 = 0 THEN 'yes_no' ELSE 'text' END AS question_type, 'general' AS criterion_type, 'medium' AS priority, substr(line || ' ' || line, 1, 100) AS source_text_snippet, CAST(NULL AS INT) AS page_number
+    FROM (SELECT doc_id || ':' || (line_no - 1) // 20 AS chunk_id, line_no AS ord, line, row_number() OVER (PARTITION BY doc_id, (line_no - 1) // 20 ORDER BY line_no) AS nth FROM {doc_lines}) q WHERE nth <= 10""",
+    "doc_lines",
+)
+def a19_summarised_questions(t):
+    """The first ten questions of each chunk, cut to 200 characters and their sources to 100; lines are questions, twenty a chunk."""
+    chunk = F.concat_ws(":", F.col("doc_id").cast("string"), F.floor((F.col("line_no") - 1) / 20).cast("string"))
+    none = F.lit(None).cast("string")
+    rows = t.select(
+        chunk.alias("chunk_id"), F.col("line_no").alias("ord"), F.concat(F.lit("q"), F.col("line_no").cast("string")).alias("question_id"), F.col("line").alias("question_text"), F.when(F.col("line_no") % 2 == 0, "yes_no").alias("question_type"),
+        none.alias("criterion_type"), none.alias("priority"), F.concat_ws(" ", "line", "line").alias("source_text_snippet"), F.lit(None).cast("int").alias("page_number"),
+    )
+    return review.summarised_questions(rows)
+
+
+@query(
+    "SELECT ts AS timestamp, event_id AS entry_id, CASE WHEN event_id % 3 = 0 THEN 'Processing' ELSE event_type END AS description, CASE WHEN event_id % 5 = 0 THEN 0 ELSE value END AS cost, round(sum(CASE WHEN event_id % 5 = 0 THEN 0 ELSE value END) OVER (ORDER BY ts, event_id), 4) AS spent FROM {events}",
+    "events",
+)
+def a29_cost_timeline(t):
+    """Cost entries in order of time, with what was spent so far."""
+    entries = t.select(F.col("ts").alias("timestamp"), F.col("event_id").alias("entry_id"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("description"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("cost"))
+    return review.cost_timeline(entries).withColumn("spent", F.round("spent", 4))
