@@ -10,8 +10,9 @@ and roles every ``<|`` gets a backslash after the ``<`` (and ``<\\|`` another on
 so control strings never occur inside a text and unescaping is exact; in roles, a
 backslash becomes ``\\s`` and a line feed ``\\n``.
 
-Long conversations are formatted in parts of ``TURNS_IN_PART`` turns, each a row of
-its own, so no task holds more than that of one conversation before the end. The loss
+Long conversations are formatted in parts of ``TURNS_IN_PART`` turn numbers, each a row of
+its own, so no task holds more turns of one conversation than have these numbers (rows that share a number, or
+have none, are in one part) before the end. The loss
 mask is a list of spans, in code points, of each part.
 
 Defined results: a null text or role is an empty string; a null turn comes first, before

@@ -13,8 +13,8 @@ Defined results: null text counts as empty; a text without words has fingerprint
 zero; texts are used whole; equal texts have equal fingerprints; the next document
 is the one with the next lower ``doc_id``, rows that share a ``doc_id`` follow each
 other by text, nulls first, null ids come last, and the first row follows the last (a
-single row follows itself); an empty table gives an empty result; other columns are
-ignored.
+single row follows itself); ids are whole numbers, and an id that is not one (a text) is an error; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -3,7 +3,7 @@
 Features are the hashed 1- to 3-grams of a text's lower-cased characters, weighted
 by 1 + log(count) and by inverse document frequency, at unit length. The model is
 fitted by follow-the-regularised-leader with elastic-net penalties on a bounded
-sample of labelled rows (``TRAIN_ROWS``, those with the smallest hashed ids); a
+sample of labelled rows (``TRAIN_ROWS`` rows and ``TRAIN_BYTES`` of features at most, those with the smallest hashed ids); a
 temperature fitted on sampled rows that it hasn't seen calibrates its probabilities.
 Document frequencies are counted over all rows that may be learnt from, in each
 partition before the shuffle; the driver gets one number per feature.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import small_batches
-from docloom.llm.sampling import bounded_sample, fold
+from docloom.llm.sampling import TRAIN_BYTES, bounded_sample, fold, within_bytes
 
 BITS, MOST, TRAIN_ROWS, PASSES = 15, 3, 8_000, 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
@@ -140,8 +140,8 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled rows; the ids of that sample are broadcast."""
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most ``rows`` labelled rows of at most ``most_bytes`` of features together; the ids of that sample are broadcast."""
     small_batches(docs.sparkSession)
     usable = learning_rows(docs)
     frequency, total = document_frequencies(usable)
@@ -158,7 +158,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             )
 
     learnt = sample.select("doc_id", "lang", "text").mapInArrow(extract, f"doc_id {kind}, lang string, found binary, count binary")
-    got = learnt.groupBy("doc_id", "lang").agg(F.min(F.struct("found", "count")).alias("x")).select("lang", "x.found", "x.count").collect()
+    least = learnt.groupBy("doc_id", "lang").agg(F.min(F.struct("found", "count")).alias("x")).select("doc_id", "lang", "x.found", "x.count")
+    got = within_bytes(least, F.octet_length("found") + F.octet_length("count"), ["doc_id", "lang"], most_bytes).select("lang", "found", "count").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.found), bytes(r["count"])))
     languages = sorted({r.lang for r in got})
     model = Model(languages, np.log((1 + total) / (1 + frequency)) + 1)

@@ -7,7 +7,7 @@ their length. A linear hinge-loss model is fitted to them by dual coordinate
 descent, and its margins become probabilities by a logistic fit to the margins of
 sampled rows that the model hasn't seen.
 
-The fit uses a bounded sample of labelled rows (``TRAIN_ROWS``, those with the
+The fit uses a bounded sample of labelled rows (``TRAIN_ROWS`` rows and ``TRAIN_BYTES`` of features at most, those with the
 smallest hashed ids); only their feature numbers reach the driver. Scoring is a map
 over whole texts with one broadcast of ``2 ** BITS`` weights, a fixed size.
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import small_batches
-from docloom.llm.sampling import bounded_sample, fold
+from docloom.llm.sampling import TRAIN_BYTES, bounded_sample, fold, within_bytes
 
 BITS, TRAIN_ROWS, PASSES, COST, SMOOTHING = 18, 12_000, 12, 1.0, 1.0
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 5, 0
@@ -225,12 +225,13 @@ def learning_labels(labels: DataFrame) -> DataFrame:
     )
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled rows. Their ids are broadcast: ``rows`` bounds that."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most ``rows`` labelled rows of at most ``most_bytes`` of features together. The rows' ids are broadcast: ``rows`` bounds that."""
     small_batches(docs.sparkSession)
     chosen = bounded_sample(learning_labels(labels), rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = _trained_pairs(sample.select("doc_id", "text", "label")).collect()
+    pairs = _trained_pairs(sample.select("doc_id", "text", "label"))
+    got = within_bytes(pairs, F.octet_length("found"), ["doc_id", "label"], most_bytes).collect()
     if not got:
         return Model.constant(0.5)
     got.sort(key=lambda r: (bytes(r.found), r.label))

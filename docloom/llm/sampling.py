@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.common import stage
+
 ERROR, MARGIN = 0.02, 1.2
+TRAIN_BYTES = 192 << 20
 
 
 def fold(doc_id: str, folds: int):
@@ -24,3 +27,14 @@ def bounded_sample(labelled: DataFrame, rows: int) -> DataFrame:
     if MARGIN * rows < different:
         labelled = labelled.where(h <= int(MARGIN * rows / different * (2**63 - 1)))
     return labelled.select("doc_id", "label").distinct().orderBy(h, "doc_id", "label").limit(rows)
+
+
+def within_bytes(sample: DataFrame, size: Column, order: list[str], most: int = TRAIN_BYTES) -> DataFrame:
+    """The rows of a bounded sample, in hashed order, as long as their sizes add up to ``most`` at most; so long texts make the sample fewer rows, not more bytes.
+
+    The sample's rows are staged; only their sizes, a number a row, meet in one task.
+    """
+    rows = stage(sample.withColumn("__size", size.cast("long")).withColumn("__row", F.monotonically_increasing_id()), "sample")
+    before = Window.orderBy(F.xxhash64(*order), "__row").rowsBetween(Window.unboundedPreceding, 0)
+    fits = rows.select("__row", "__size", *order).withColumn("__sum", F.sum("__size").over(before)).where(F.col("__sum") <= most).select("__row")
+    return rows.join(F.broadcast(fits), "__row", "left_semi").drop("__row", "__size")

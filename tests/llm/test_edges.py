@@ -396,3 +396,20 @@ def test_forms_on_one_template_make_no_pairs(spark, monkeypatch):
     got = near_dedup.keep_one_of_each_class(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
     assert {r.doc_id for r in got.select("doc_id").collect()} == set(range(5000))
     assert sizes["near-members"] < 1000
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"{'gut' if i % 2 else 'bad'}{rng.randint(0, 300)}" for _ in range(400)), "de" if i % 2 else "en", i % 2) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    sample = docs.select("doc_id", F.lit(b"x" * 100).alias("found"))
+    assert sampling.within_bytes(sample, F.octet_length("found"), ["doc_id"], 1050).count() == 10
+    assert sampling.within_bytes(sample, F.octet_length("found"), ["doc_id"]).count() == 120
+    assert sampling.within_bytes(sample.limit(0), F.octet_length("found"), ["doc_id"]).count() == 0
+    small, whole = quality.train(docs, docs, most_bytes=200_000), quality.train(docs, docs)
+    for model in (small, whole):
+        good = {r.doc_id: r.predicted for r in quality.score(docs, model).collect()}
+        assert sum(good[i] == i % 2 for i in range(120)) > 110
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs, langid.train(docs, most_bytes=150_000)).collect()}
+    assert sum(found[i] == ("de" if i % 2 else "en") for i in range(120)) > 110
+    assert quality.train(docs, docs, most_bytes=1).scores(["x"]) == [0.5]
