@@ -81,6 +81,6 @@ def related_text(references: DataFrame, pages: DataFrame, most: int = 3000) -> D
     """The pages that a policy refers to, in order, cut: ``references(policy_id, doc_id, page_number)``."""
     rows = references.distinct().join(pages, ["doc_id", "page_number"])
     before = F.sum(F.length("text") + 1).over(Window.partitionBy("policy_id").orderBy("doc_id", "page_number").rowsBetween(Window.unboundedPreceding, -1))
-    near = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most)  # what lies beyond the cut is never gathered
+    near = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= most)  # what lies beyond the cut is never gathered
     listed = near.groupBy("policy_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "page_number", F.left("text", F.lit(most)).alias("text")))).alias("p"))
     return listed.select("policy_id", F.left(F.array_join(F.transform("p", lambda x: x["text"]), "\n"), F.lit(most)).alias("context"))

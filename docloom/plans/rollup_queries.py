@@ -35,12 +35,12 @@ def d18_d21_structure_summary(h, t):
 
 
 @query(
-    """WITH w AS (SELECT l_orderkey % 50 AS page, l_shipmode AS text, CAST(floor(l_extendedprice) AS BIGINT) % 600 AS x0, l_quantity * 15 AS top FROM (SELECT *, 'word' AS l_shipmode FROM {lineitem}) q), g AS (SELECT *, x0 - lag(x0) OVER (PARTITION BY page ORDER BY x0) AS gap FROM w)
+    """WITH w AS (SELECT l_orderkey // 20 AS page, l_shipmode AS text, CAST(floor(l_extendedprice) AS BIGINT) % 600 AS x0, l_quantity * 15 AS top FROM (SELECT *, 'word' AS l_shipmode FROM {lineitem}) q), g AS (SELECT *, x0 - lag(x0) OVER (PARTITION BY page ORDER BY x0) AS gap FROM w)
     SELECT page, bool_or(top < 79.2) AS has_header, bool_or(top > 712.8) AS has_footer, round(CAST(sum(length(text)) AS DOUBLE) / (612 * 792 / 5184.0), 6) AS density, 'portrait' AS orientation, CASE WHEN count(DISTINCT x0) > 20 THEN count(*) FILTER (WHERE gap > 50) + 1 ELSE 1 END AS columns FROM g GROUP BY page""",
     "lineitem",
 )
 def p08_layout_features(t):
-    words = t.select((F.col("l_orderkey") % 50).alias("page"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.lit("word").alias("text"), (F.floor("l_extendedprice") % 600).alias("x0"), (F.col("l_quantity") * 15).alias("top"))
+    words = t.select(F.floor(F.col("l_orderkey") / 20).alias("page"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.lit("word").alias("text"), (F.floor("l_extendedprice") % 600).alias("x0"), (F.col("l_quantity") * 15).alias("top"))
     return R.page_layout(words).withColumn("density", F.round("density", 6))
 
 
@@ -68,9 +68,9 @@ def q04_expected_policies(t):
     return listed.select("doc_id", R.expected_policies(text).alias("expected"))
 
 
-@query("SELECT 'p' || CAST(doc_id % 40 AS VARCHAR) AS policy_id, left(string_agg(text, chr(10) ORDER BY doc_id, page_number), 3000) AS context FROM {doc_pages} GROUP BY 1", "doc_pages")
+@query("SELECT 'p' || CAST(doc_id // 5 AS VARCHAR) AS policy_id, left(string_agg(text, chr(10) ORDER BY doc_id, page_number), 3000) AS context FROM {doc_pages} GROUP BY 1", "doc_pages")
 def e15_related_page_text(p):
-    refs = p.select(F.concat(F.lit("p"), (F.col("doc_id") % 40).cast("string")).alias("policy_id"), "doc_id", "page_number")
+    refs = p.select(F.concat(F.lit("p"), F.floor(F.col("doc_id") / 5).cast("string")).alias("policy_id"), "doc_id", "page_number")
     return R.related_text(refs, p)
 
 

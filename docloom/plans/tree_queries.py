@@ -77,7 +77,7 @@ def t24_leaf_only(p):
     return H.leaves(p).select("job_id", "policy_id")
 
 
-REPEATED = "SELECT job_id, ord, CASE WHEN ord % 5 = 4 THEN 'p' || CAST((ord - 1) * 20 + job_id AS VARCHAR(20)) ELSE policy_id END AS policy_id, parent_id, title, description, confidence FROM {policies}"
+REPEATED = "SELECT job_id, ord, CASE WHEN ord % 5 = 4 THEN 'p' || CAST(job_id * 100 + ord - 1 AS VARCHAR(20)) ELSE policy_id END AS policy_id, parent_id, title, description, confidence FROM {policies}"
 
 
 @query(
@@ -86,7 +86,7 @@ REPEATED = "SELECT job_id, ord, CASE WHEN ord % 5 = 4 THEN 'p' || CAST((ord - 1)
     "policies",
 )
 def e04_dedup_policy_ids(p):
-    again = F.when(F.col("ord") % 5 == 4, F.concat(F.lit("p"), ((F.col("ord") - 1) * 20 + F.col("job_id")).cast("string"))).otherwise(F.col("policy_id"))
+    again = F.when(F.col("ord") % 5 == 4, F.concat(F.lit("p"), (F.col("job_id") * 100 + F.col("ord") - 1).cast("string"))).otherwise(F.col("policy_id"))
     return H.unique_ids(p.withColumn("policy_id", again)).select("job_id", "ord", "policy_id", "parent_id")
 
 
