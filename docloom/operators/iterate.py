@@ -6,17 +6,27 @@ as the logarithm of the longest chain, a frontier as many as its longest path ou
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.staging import drop, stage
 
+MOST_PARTS = 16
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a table in the shared folder."""
     return stage(df, "round")
 
 
+def gathered(parts: list[DataFrame], more: DataFrame) -> list[DataFrame]:
+    """``parts`` of a loop's rounds and one more; as soon as they are ``MOST_PARTS`` they become one table, so plans don't grow with the rounds."""
+    parts = [*parts, more]
+    return [cut(reduce(DataFrame.unionByName, parts))] if len(parts) == MOST_PARTS else parts
+
+
 def depths(nodes: DataFrame, group: str, node: str, parent: str) -> DataFrame:
     """(group, node, depth, root) by pointer doubling: as many rounds as the logarithm of the depth.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.iterate import closure, cut, depths, path_ways, root_paths
+from docloom.operators.iterate import closure, cut, depths, gathered, path_ways, root_paths
 
 IS_OUTCOME = "node_type = 'outcome'"
 
@@ -125,14 +127,13 @@ def score(nodes: DataFrame, answers: DataFrame) -> DataFrame:
     roots = nodes.where("parent_node_id is null").select("tree_id", "node_id")
     walks = answers.select("subject", "tree_id").distinct()
     moving = walks.join(roots, "tree_id").select("subject", "tree_id", "node_id", F.array("node_id").alias("path"))
-    done = None
+    done: list[DataFrame] = []
     while True:
         stepped = cut(moving.join(answers, ["subject", "tree_id", "node_id"], "left").join(edges, ["tree_id", "node_id", "answer"], "left").select("subject", "tree_id", "node_id", "path", F.when(~F.array_contains("path", F.col("next")), F.col("next")).alias("next")))
-        ended = stepped.where("next is null").select("subject", "tree_id", "node_id", "path")
-        done = ended if done is None else done.union(ended)
+        done = gathered(done, stepped.where("next is null").select("subject", "tree_id", "node_id", "path"))
         moving = stepped.where("next is not null").select("subject", "tree_id", F.col("next").alias("node_id"), F.array_append("path", F.col("next")).alias("path"))
         if moving.isEmpty():
-            return done.join(nodes.select("tree_id", "node_id", "outcome_type"), ["tree_id", "node_id"], "left")
+            return reduce(DataFrame.unionByName, done).join(nodes.select("tree_id", "node_id", "outcome_type"), ["tree_id", "node_id"], "left")
 
 
 def holds(comparison: Column, value: Column, target: Column, low: Column, high: Column) -> Column:
@@ -167,7 +168,7 @@ def parse_nodes(trees: DataFrame) -> DataFrame:
     options count for multiple choice only.
     """
     level = cut(trees.select("tree_id", "json", F.lit(None).cast("string").alias("parent_node_id"), F.lit(None).cast("string").alias("answer"), F.lit(0).alias("sibling_ord"), F.lit("root").alias("path")))
-    found = None
+    found: list[DataFrame] = []
     while True:
         n = F.from_json("json", NODE)
         read = level.select("*", n.alias("n"))
@@ -193,12 +194,12 @@ def parse_nodes(trees: DataFrame) -> DataFrame:
                 "path",
             )
         )
-        found = rows.drop("kids", "path") if found is None else found.union(rows.drop("kids", "path"))
+        found = gathered(found, rows.drop("kids", "path"))
         level = rows.select("tree_id", F.col("node_id").alias("parent_node_id"), "path", F.posexplode("kids").alias("sibling_ord", "kid")).select(
             "tree_id", F.col("kid.value").alias("json"), "parent_node_id", F.col("kid.key").alias("answer"), "sibling_ord", F.concat_ws(".", "path", F.col("kid.key")).alias("path")
         )
         if level.isEmpty():
-            return found
+            return reduce(DataFrame.unionByName, found)
 
 
 def find_nodes(nodes: DataFrame, asked: DataFrame) -> DataFrame:

@@ -374,3 +374,12 @@ def test_a_word_that_all_policies_hold_is_no_key(spark):
     umbrellas = children.withColumn("policy_id", F.concat(F.lit("u"), "policy_id"))
     for pairs in (entities.extraction_pairs, entities.refinement_pairs):
         assert pairs(children, umbrellas).select("policy_id", "u_policy_id").count() == 200  # of 40,000 that share the word
+
+
+def test_deep_walks_keep_their_plans_small(spark):
+    n = 40
+    nodes = spark.createDataFrame([(1, i, i - 1 if i else None, "yes", 0, "outcome" if i == n else "question", "end" if i == n else None) for i in range(n + 1)], NODES)
+    answers = spark.createDataFrame([(s, 1, i, "yes") for s in range(3) for i in range(n - 15 * s)], "subject long, tree_id long, node_id long, answer string")
+    walked = trees.score(nodes, answers)
+    assert {(r.subject, r.node_id, r.outcome_type) for r in walked.collect()} == {(0, 40, "end"), (1, 25, None), (2, 10, None)}
+    assert walked._jdf.queryExecution().optimizedPlan().toString().count("Relation") < 20
