@@ -180,3 +180,29 @@ def covered_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     first = F.coalesce("start_page", F.lit(1)) if "start_page" in chunks.columns else F.lit(1)
     covered = F.coalesce("pages_covered", F.array(first.cast("long")))
     return chunks.select("doc_id", "chunk_id", F.explode(F.array_distinct(covered)).alias("page_number")).join(pages, ["doc_id", "page_number"])
+
+
+def with_defaults(chunks: DataFrame) -> DataFrame:
+    """Chunks with the defaults of what they don't say: no digits where there is no text, a boundary of ``page``. ``chunks(..., text, boundary_type)``."""
+    digits = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([0-9])"), F.lit(1)))
+    return chunks.withColumns({"digits": digits, "boundary_type": F.coalesce("boundary_type", F.lit("page"))})
+
+
+def with_metadata(chunks: DataFrame) -> DataFrame:
+    """Chunks with every field that later stages read, whether the column is absent or null: a text is the content where there is none, pages are 1."""
+
+    def given(name: str, kind: str) -> Column:
+        return (F.col(name) if name in chunks.columns else F.lit(None)).cast(kind)
+
+    content = F.coalesce(given("content", "string"), F.lit(""))
+    return chunks.withColumns(
+        {
+            "content": content,
+            "text": F.coalesce(given("text", "string"), content),
+            "chunk_id": F.coalesce(given("chunk_id", "string"), F.lit("unknown_chunk")),
+            "start_page": F.coalesce(given("start_page", "int"), F.lit(1)),
+            "end_page": F.coalesce(given("end_page", "int"), F.lit(1)),
+            "pages_covered": F.coalesce(given("pages_covered", "array<int>"), F.array(F.lit(1))),
+            "line_references": F.coalesce(given("line_references", "array<string>"), F.array().cast("array<string>")),
+        }
+    )

@@ -169,6 +169,12 @@ def bounded_questions(questions: DataFrame, group: list[str], order: list[str],
     return top_per_group(counted, group, [F.col(o) for o in order], most).drop("nth")
 
 
+def question_counts(questions: DataFrame, group: str, least: int, most: int) -> DataFrame:
+    """(group, n, kept, too_few): how many questions a group has, how many the upper bound lets stay, and whether they are fewer than the lower one."""
+    n = F.count(F.lit(1))
+    return questions.groupBy(group).agg(n.alias("n"), F.least(n, F.lit(most)).alias("kept"), (n < least).alias("too_few"))
+
+
 def summarised_questions(questions: DataFrame, most: int = 10, text: int = 200, source: int = 100) -> DataFrame:
     """The first questions of each chunk, cut, with defaults: ``questions(chunk_id, ord, question_id, question_text, question_type, criterion_type, priority, source_text_snippet, page_number)``."""
     first = top_per_group(questions, ["chunk_id"], [F.col("ord")], most)

@@ -72,8 +72,7 @@ def a03_a20_question_summaries(c):
 
 @query("SELECT policy_id, count(*) AS n, least(count(*), 4) AS kept, count(*) < 5 AS too_few FROM {conditions} GROUP BY policy_id", "conditions")
 def a21_question_count_bounds(c):
-    n = F.count(F.lit(1))
-    return c.groupBy("policy_id").agg(n.alias("n"), F.least(n, F.lit(4)).alias("kept"), (n < 5).alias("too_few"))
+    return review.question_counts(c, "policy_id", 5, 4)
 
 
 @query(f"{PATHS}, t AS (SELECT count(DISTINCT tree_id) AS trees, count(*) AS paths FROM e) SELECT trees, paths, round(0.005 * trees + 0.001 * paths, 6) AS cost FROM t", "tree_nodes")
@@ -102,8 +101,9 @@ def s10_s12_results_denormalise(t):
 @query("SELECT doc_id, page_number, coalesce(text, '') AS text, CASE WHEN page_number % 7 = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS tokens, CASE WHEN page_number % 7 = 0 THEN 'unreadable' END AS error FROM (SELECT doc_id, page_number, CASE WHEN page_number % 7 = 0 THEN NULL ELSE text END AS text FROM {doc_pages}) q", "doc_pages")
 def s02_s03_error_page_stub(p):
     """A page that can't be read becomes an empty stub with its error."""
-    text = F.when(F.col("page_number") % 7 != 0, F.col("text"))
-    return p.select("doc_id", "page_number", F.coalesce(text, F.lit("")).alias("text"), F.when(text.isNull(), 0).otherwise(X.approx_tokens(text)).alias("tokens"), F.when(text.isNull(), "unreadable").alias("error"))
+    unreadable = F.when(F.col("page_number") % 7 == 0, "unreadable")
+    stubs = pages.stubs(p.select("doc_id", "page_number", F.when(unreadable.isNull(), F.col("text")).alias("text"), unreadable.alias("error")))
+    return stubs.select("doc_id", "page_number", "text", F.col("approx_tokens").alias("tokens"), "error")
 
 
 @query("SELECT p.doc_id, p.page_number, CASE WHEN (p.doc_id + p.page_number) % 3 > 0 THEN t.primary_type END AS image FROM {doc_pages} p JOIN {page_types} t ON t.doc_id = p.doc_id AND t.page_number = p.page_number", "doc_pages", "page_types")
@@ -140,7 +140,7 @@ def w11_log_accumulator(t):
 @query("SELECT doc_id, page_number, coalesce(len(regexp_extract_all(text, '[0-9]')), 0) AS digits, CASE WHEN page_number % 2 = 0 THEN 'policy' ELSE 'page' END AS boundary_type FROM {doc_pages}", "doc_pages")
 def c26_chunk_defaults(p):
     kind = F.when(F.col("page_number") % 2 == 0, F.lit("policy"))
-    return p.select("doc_id", "page_number", F.size(F.regexp_extract_all("text", F.lit("([0-9])"), F.lit(1))).alias("digits"), F.coalesce(kind, F.lit("page")).alias("boundary_type"))
+    return C.with_defaults(p.withColumn("boundary_type", kind)).select("doc_id", "page_number", "digits", "boundary_type")
 
 
 @query(
@@ -346,3 +346,19 @@ def a29_cost_timeline(t):
     """Cost entries in order of time, with what was spent so far."""
     entries = t.select(F.col("ts").alias("timestamp"), F.col("event_id").alias("entry_id"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("description"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("cost"))
     return review.cost_timeline(entries).withColumn("spent", F.round("spent", 4))
+
+
+@query(
+    """SELECT doc_id, page_number, CASE WHEN page_number % 3 = 0 THEN '' ELSE text END AS content, CASE WHEN page_number % 2 = 0 THEN 'own' WHEN page_number % 3 = 0 THEN '' ELSE text END AS text, CASE WHEN page_number % 5 = 0 THEN 'unknown_chunk' ELSE 'c' || page_number END AS chunk_id, CAST(CASE WHEN page_number % 4 = 0 THEN 1 ELSE page_number END AS INT) AS start_page, 1 AS end_page,
+    CASE WHEN page_number % 4 = 0 THEN '1' ELSE page_number || ',' || (page_number + 1) END AS pages_covered, 0 AS n_lines FROM {doc_pages}""",
+    "doc_pages",
+)
+def c26_chunk_metadata(p):
+    """Chunks that lack one thing or another, and columns that are absent, filled."""
+    n = F.col("page_number")
+    some = p.select(
+        "doc_id", "page_number", F.when(n % 3 != 0, F.col("text")).alias("content"), F.when(n % 2 == 0, "own").alias("text"), F.when(n % 5 != 0, F.concat(F.lit("c"), n.cast("string"))).alias("chunk_id"),
+        F.when(n % 4 != 0, n).alias("start_page"), F.when(n % 4 != 0, F.array(n, n + 1)).alias("pages_covered"),
+    )
+    filled = C.with_metadata(some)
+    return filled.withColumn("pages_covered", F.array_join(F.transform("pages_covered", lambda x: x.cast("string")), ",")).withColumn("n_lines", F.size("line_references")).drop("line_references")

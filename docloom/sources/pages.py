@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import approx_tokens
@@ -27,26 +27,32 @@ def page_rows(files: DataFrame, break_: str = PAGE_BREAK) -> DataFrame:
     cut = F.split(F.coalesce(latin, F.lit("")), break_)
     pages = files.select("path", hashed.alias("document_hash"), F.coalesce("error", empty).alias("file_error"), F.posexplode(cut).alias("pos", "raw"))
     text = F.try_validate_utf8(F.encode("raw", "ISO-8859-1").cast("string"))
-    read = pages.select("*", (F.col("pos") + 1).alias("page_number"), text.alias("read"))
-    error = F.coalesce("file_error", F.when(F.col("read").isNull(), "not UTF-8"))
-    return _with_facts(read.select("path", "document_hash", "page_number", F.when(error.isNull(), F.col("read")).alias("read"), error.alias("error")), F.col("read"), F.col("error"))
+    read = pages.select("*", (F.col("pos") + 1).alias("page_number"), text.alias("text"))
+    error = F.coalesce("file_error", F.when(F.col("text").isNull(), "not UTF-8"))
+    return _with_facts(read.select("path", "document_hash", "page_number", "text", error.alias("error")))
 
 
-def _with_facts(pages: DataFrame, read: Column, error: Column) -> DataFrame:
-    text = F.coalesce(read, F.lit(""))
-    return pages.select(
+def stubs(rows: DataFrame) -> DataFrame:
+    """``rows(..., text, error)`` with ``approx_tokens``; a page with an error is an empty one of no tokens."""
+    text = F.when(F.col("error").isNull(), F.coalesce("text", F.lit(""))).otherwise("")
+    tokens = F.when(F.col("error").isNull(), approx_tokens(text)).otherwise(0)
+    return rows.withColumns({"text": text, "approx_tokens": tokens})
+
+
+def _with_facts(pages: DataFrame) -> DataFrame:
+    return stubs(pages).select(
         F.concat("document_hash", F.lit(":p"), F.col("page_number").cast("string")).alias("page_id"),
         "document_hash",
         "path",
         "page_number",
-        text.alias("text"),
-        F.left(text, F.lit(PREVIEW)).alias("text_preview"),
-        F.length(text).alias("char_count"),
-        F.when(error.isNull(), approx_tokens(text)).otherwise(0).alias("approx_tokens"),
+        "text",
+        F.left("text", F.lit(PREVIEW)).alias("text_preview"),
+        F.length("text").alias("char_count"),
+        "approx_tokens",
         F.lit(WIDTH).alias("width"),
         F.lit(HEIGHT).alias("height"),
         F.lit("portrait").alias("orientation"),
-        F.when(error.isNull(), F.array().cast("array<string>")).otherwise(F.array(error)).alias("processing_errors"),
+        F.when(F.col("error").isNull(), F.array().cast("array<string>")).otherwise(F.array("error")).alias("processing_errors"),
     )
 
 
