@@ -176,13 +176,20 @@ def near_links(texts: DataFrame, bits: DataFrame) -> DataFrame:
         return pairs.join(a, "a").join(b, "b").where(9 * both >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
     links = texts.sparkSession.createDataFrame([], "a long, b long")
+    members, before = index, None
     for round_ in range(HUB_ROUNDS + 1):
-        roots = stage(components(links), "near-roots") if round_ else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        rooted = index.join(roots, F.col("v.set_id") == F.col("node"), "left").select("w", "v", F.coalesce("root", "v.set_id").alias("root"))
+        if round_:
+            roots = stage(components(links), "near-roots")
+            rooted = members.join(roots, F.col("v.set_id") == F.col("node"), "left").select("w", "v", F.coalesce("root", "v.set_id").alias("root"))
+        else:
+            roots, rooted = None, members.select("w", "v", F.col("v.set_id").alias("root"))
         by_root = rooted.groupBy("w", "root").agg(F.count(F.lit(1)).alias("m"), F.bool_or(is_strong("v")).alias("strong"))
         largest = by_root.groupBy("w").agg(F.max_by("root", F.struct("m", "root")).alias("major"), F.max("m").alias("most"), F.sum("m").alias("size"), F.bool_or("strong").alias("strong"))
         buckets = stage(largest.where("strong and size > most").select("w", "major", (F.col("size") * (F.col("size") - F.col("most"))).alias("pairs")), "near-buckets")
         live = stage(rooted.join(buckets, "w").select("w", "v", "root", (F.col("root") == F.col("major")).alias("major")), "near-members")
+        # A bucket that is one component stays one: the next round reads the live buckets' members only.
+        drop(*[t for t in (before, roots) if t is not None])
+        members, before = live.select("w", "v"), live
         left = buckets.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             return links
@@ -193,7 +200,7 @@ def near_links(texts: DataFrame, bits: DataFrame) -> DataFrame:
         met = live.select("w", F.col("v").alias("x"), "root").join(hubs.select("w", F.col("h.v").alias("y"), F.col("h.root").alias("hub_root")), "w")
         found = near(met.where(F.col("root") != F.col("hub_root")).where(can_be_near("x", "y")))
         links = stage(links.union(found), "near-links")
-        drop(buckets, live, hubs, roots)
+        drop(buckets, hubs)
 
     minor = live.where("not major").select("w", F.col("v").alias("x"), F.col("root").alias("root_x"))
     every = live.select("w", F.col("v").alias("y"), F.col("root").alias("root_y"), "major")
