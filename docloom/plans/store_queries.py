@@ -273,7 +273,7 @@ def c28_chunk_to_pages(p, t):
 
 
 @query(
-    f"""{CHUNKS}, x AS (SELECT doc_id, grp, CAST(greatest(1, floor(len(regexp_extract_all(text, '\n[A-Z][A-Z\s]+\n')) + 0.5 * (len(regexp_extract_all(text, '\n\s*[\d\-•]\s+')) // 5))) AS INT) AS expected_count FROM k),
+    rf"""{CHUNKS}, x AS (SELECT doc_id, grp, CAST(greatest(1, floor(len(regexp_extract_all(text, '\n[A-Z][A-Z\s]+\n')) + 0.5 * (len(regexp_extract_all(text, '\n\s*[\d\-•]\s+')) // 5))) AS INT) AS expected_count FROM k),
     n AS (SELECT job_id, ord % 3 AS grp, count(*) AS n, string_agg(policy_id, ',' ORDER BY policy_id) AS policies FROM {{few_policies}} WHERE ord <> 1 GROUP BY 1, 2)
     SELECT x.doc_id, CAST(x.grp AS INT) AS chunk_id, CASE WHEN n.n IS NULL THEN 'missing' ELSE 'over_extracted' END AS issue_type, coalesce(n.n, 0) AS policy_count, expected_count, CASE WHEN n.n IS NOT NULL THEN n.policies END AS policies FROM x LEFT JOIN n ON n.job_id = x.doc_id AND n.grp = x.grp WHERE n.n IS NULL OR n.n > 1.5 * expected_count""",
     "doc_pages",
