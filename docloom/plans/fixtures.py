@@ -7,9 +7,12 @@ Every fixture has a statement for Spark and one for DuckDB that give the same ro
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.staging import stage
+
 TABLES = ("documents", "part", "lineitem", "customer", "orders", "events")
 
 # name: (Spark, DuckDB)
@@ -77,13 +80,39 @@ FIXTURES: dict[str, tuple[str, str]] = {
 }
 
 
-def spark_fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture or a driver table."""
+def _needs(name: str) -> set[str]:
+    return set(re.findall(r"\{([a-z_]+)\}", FIXTURES[name][0])) if name in FIXTURES else set()
+
+
+def spark_fixture(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A fixture or a driver table; ``made`` has fixtures that are there already."""
+    if made and name in made:
+        return made[name]
     if name not in FIXTURES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = FIXTURES[name][0]
-    plain = re.sub(r"\{(?![a-z_]+\})|(?<![a-z_])\}", lambda m: m[0] * 2, sql)
-    return spark.sql(plain, **{n: spark_fixture(spark, sf_dir, n) for n in set(re.findall(r"\{([a-z_]+)\}", sql))})
+    plain = re.sub(r"\{(?![a-z_]+\})|(?<![a-z_])\}", lambda m: m[0] * 2, FIXTURES[name][0])
+    return spark.sql(plain, **{n: spark_fixture(spark, sf_dir, n, made) for n in _needs(name)})
+
+
+def spark_fixtures(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> list[DataFrame]:
+    """The fixtures of a query. What several of them are made of is made once and staged, so no table is read and split twice."""
+    uses: Counter[str] = Counter()
+    order: list[str] = []  # after what it needs
+
+    def walk(name: str) -> None:
+        uses[name] += 1
+        if uses[name] == 1:
+            for needed in sorted(_needs(name)):
+                walk(needed)
+            order.append(name)
+
+    for name in names:
+        walk(name)
+    made: dict[str, DataFrame] = {}
+    for name in order:
+        if uses[name] > 1 and name in FIXTURES:
+            made[name] = stage(spark_fixture(spark, sf_dir, name, made), "fixture", compression="zstd")
+    return [spark_fixture(spark, sf_dir, name, made) for name in names]
 
 
 def duck(sql: str) -> str:

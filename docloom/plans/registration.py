@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans.fixtures import duck, spark_fixture
+from docloom.plans.fixtures import duck, spark_fixtures
 
 
 class Registry:
@@ -21,7 +21,7 @@ class Registry:
 
         def register(function):
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                return function(*[spark_fixture(spark, sf_dir, f) for f in fixtures])
+                return function(*spark_fixtures(spark, sf_dir, fixtures))
 
             run.__doc__, run.__name__ = function.__doc__, function.__name__
             self.queries[function.__name__] = run

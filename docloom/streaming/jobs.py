@@ -12,7 +12,6 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.operators.scan import joined_in_order, running_sums
 from docloom.staging import new_path
@@ -45,7 +44,7 @@ def _state_store(spark: SparkSession) -> Iterator[None]:
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run ``stream`` over what is available into Parquet, recovering from its checkpoint; in complete or update mode the last state of each batch counts."""
+    """Run ``stream`` over what is available into Parquet, recovering from its checkpoint; in complete mode each batch replaces the table of the one before."""
     with _state_store(stream.sparkSession):
         return _finished(stream, mode)
 
@@ -58,17 +57,9 @@ def _finished(stream: DataFrame, mode: str) -> DataFrame:
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
     else:
-
-        def keep(batch: DataFrame, batch_id: int) -> None:
-            batch.withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-        query = writer.foreachBatch(keep).start()
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    rows = spark.read.schema(stream.schema if mode == "append" else T.StructType([*stream.schema.fields, T.StructField("__batch", T.IntegerType())])).option("recursiveFileLookup", "true").parquet(out)
-    if mode == "append":
-        return rows
-    last = rows.agg(F.max("__batch").alias("__last"))
-    return rows.join(F.broadcast(last), F.col("__batch") == F.col("__last")).drop("__batch", "__last")
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def hourly_metrics(events: DataFrame, value: str, late: str = "2 hours") -> DataFrame:
