@@ -11,10 +11,10 @@ table for each choice of that many blocks, keyed by their bits, meets every such
 
 Defined results: null text counts as empty; a text without words has fingerprint
 zero; texts are used whole; equal texts have equal fingerprints; the next document
-is the one with the next lower ``doc_id``, rows that share a ``doc_id`` follow each
-other by text, nulls first, null ids come last, and the first row follows the last (a
-single row follows itself); ids are whole numbers, and an id that is not one (a text) is an error; an empty table gives an
-empty result; other columns are ignored.
+is the one with the next lower ``doc_id`` (of any type that has an order); rows that share a
+``doc_id``, null ones too, follow each other by their first ``HEAD`` characters, then by a hash of the
+text; null ids come last, and the first row follows the last (a single row follows itself); an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import shuffle_partitions, stage
+from docloom.llm.common import drop, shuffle_partitions, stage
 
 TERMS_IN_PART = 8192  # terms of weight 3 at most: a lane of 16 bits stays below its sign
 RADIUS, EXTRA_BLOCKS = 3, 2
 BUCKETS_PER_PARTITION = 4
+HEAD = 64  # characters of a text that order rows of one id
+TIE = ["head", "hash", "row"]
 
 
 def simhash(rows: DataFrame, keys: list[str], text: str, name: str = "fp") -> DataFrame:
@@ -73,62 +75,78 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _bucket(doc_id: Column, bounds: list[int]) -> Column:
-    """Number of bounds below ``doc_id``, by halving."""
+def _bounds(rows: DataFrame) -> DataFrame:
+    """(bounds, first): one row, staged. bounds: rows that cut the order of ``rows(doc_id, head, hash, row)`` into slices of like size; first: the number of its first row.
 
-    def below(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(doc_id <= bounds[middle], below(low, middle)).otherwise(below(middle + 1, high))
-
-    return F.when(doc_id.isNull(), F.lit(0)).otherwise(below(0, len(bounds)) if bounds else F.lit(0))
+    Only keys are moved, and as ``row`` tells all of them apart, rows of one id are cut like any others. The
+    number of slices depends on the partitions, not on the rows.
+    """
+    order = [F.col("doc_id").desc_nulls_last(), *TIE]
+    wanted = BUCKETS_PER_PARTITION * shuffle_partitions(rows.sparkSession)
+    keys = stage(rows.select("doc_id", *TIE).repartitionByRange(wanted, *order).withColumn("slice", F.spark_partition_id()), "keys")
+    first = keys.orderBy(*order).limit(1).select("row")
+    one_each = keys.groupBy("slice").agg(F.max(F.struct("doc_id", *TIE)).alias("bound"))
+    cuts = one_each.join(F.broadcast(first), F.col("bound.row") == first.row, "left_anti").agg(F.array_sort(F.collect_list(F.struct("slice", "bound"))).alias("cuts"))
+    found = stage(cuts.select(F.transform("cuts", lambda c: c.bound).alias("bounds"), first.scalar().alias("first")), "bounds")
+    drop(keys)
+    return found
 
 
-def with_next(docs: DataFrame, columns: list[str], tie: str) -> DataFrame:
-    """``docs`` with ``next_<column>`` of the document that follows in descending ``doc_id``, then ``tie``, and ``nth``, its place in its bucket.
+def in_buckets(rows: DataFrame) -> DataFrame:
+    """``rows(doc_id, head, hash, row, ...)`` with ``bucket``, ascending with the order, and ``ahead``: the bucket whose last row this one follows, if any.
 
-    The ids are cut into buckets at existing ids (quantiles, a fixed number for the driver);
-    the largest document of each bucket is copied into the bucket above, whose last document it
-    follows, and the largest of all into the lowest. So the rows move once, and no window sees
-    more than a bucket.
+    A bound is the first row of its bucket, so the bucket before knows what follows it; the first row of all follows the last bucket.
+    """
+    found = _bounds(rows)
+    most = BUCKETS_PER_PARTITION * shuffle_partitions(rows.sparkSession)
+    middle = "cast((a.lo + a.hi) div 2 as int)"
+    not_after = f"""coalesce(b[{middle}].doc_id > doc_id, b[{middle}].doc_id is not null and doc_id is null) or (b[{middle}].doc_id <=> doc_id
+        and struct(b[{middle}].head as h, b[{middle}].hash as x, b[{middle}].row as r) <= struct(head as h, hash as x, row as r))"""
+    # How many bounds don't come after the row, by halving.
+    at = f"""aggregate(sequence(1, {most.bit_length() + 1}), struct(0 as lo, size(b) as hi),
+        (a, i) -> if(a.lo >= a.hi, a, if({not_after}, struct({middle} + 1 as lo, a.hi as hi), struct(a.lo as lo, {middle} as hi))), a -> a.lo)"""
+    placed = rows.withColumns({"b": found.select("bounds").scalar(), "first": found.select("first").scalar()}).withColumn("bucket", F.expr(at))
+    starts = F.get("b", F.col("bucket") - 1)["row"] == F.col("row")
+    ahead = F.when(starts, F.col("bucket") - 1).when(F.col("row") == F.col("first"), F.size("b"))
+    return placed.withColumn("ahead", ahead).drop("b", "first")
+
+
+def with_next(placed: DataFrame, columns: list[str], order: list) -> DataFrame:
+    """``placed`` with ``next_<column>`` of the row that follows, and ``nth``, its place in its bucket.
+
+    Rows that start a bucket are copied behind the one before. So the rows move once, and no window sees more than a bucket.
     """
-    wanted = BUCKETS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
-    found = docs.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 20 * wanted), F.max("doc_id")).first()
-    bounds = sorted({*(found[0] or []), *([] if found[1] is None else [found[1]])})
-    home = _bucket(F.col("doc_id"), bounds)
-    # (bucket, rank): rank 0 is the row itself, 1 a copy that follows the bucket's rows, 2 the copy that follows the last row of all.
-    places = [F.struct(home.alias("bucket"), F.lit(0).alias("rank"))]
-    if bounds:
-        places += [
-            F.when(F.col("doc_id").isin(bounds[:-1]), F.struct((home + 1).alias("bucket"), F.lit(1).alias("rank"))),
-            F.when(F.col("doc_id") == bounds[-1], F.struct(F.lit(0).alias("bucket"), F.lit(2).alias("rank"))),
-        ]
-    placed = docs.select("doc_id", *columns, F.inline(F.array_compact(F.array(*places))))
-    order = Window.partitionBy("bucket").orderBy("rank", F.col("doc_id").desc_nulls_last(), F.col(tie).asc_nulls_first())
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follows = [(F.lead(c).over(order) if bounds else F.coalesce(F.lead(c).over(order), F.first(c).over(whole))).alias(f"next_{c}") for c in columns]
-    return placed.select("rank", "doc_id", *columns, *follows, F.row_number().over(order).alias("nth")).where("rank = 0").drop("rank")
+    here = F.struct("bucket", F.lit(0).alias("rank"))
+    behind = F.when(F.col("ahead").isNotNull(), F.struct(F.col("ahead").alias("bucket"), F.lit(1).alias("rank")))
+    rest = [c for c in placed.columns if c != "bucket"]
+    moved = placed.select(*rest, F.inline(F.array_compact(F.array(here, behind))))
+    window = Window.partitionBy("bucket").orderBy("rank", *order)
+    follows = [F.lead(c).over(window).alias(f"next_{c}") for c in columns]
+    return moved.select("*", *follows, F.row_number().over(window).alias("nth")).where("rank = 0").drop("rank")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its text with the second half taken from the next one, and their likeness."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(texts, ["text"], "text")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = stage(texts.withColumns({"head": F.left("text", F.lit(HEAD)), "hash": F.xxhash64("text")}), "texts", compression="zstd")
+    followed = with_next(in_buckets(rows), ["text"], [F.col("doc_id").desc_nulls_last(), *TIE])
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = rows.select(
-        F.monotonically_increasing_id().alias("row"),
+    edited = followed.select(
+        "row",
         "doc_id",
+        "bucket",
         "nth",
+        "ahead",
         F.length("text").cast("long").alias("n_chars"),
         "text",
         F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half)).alias("edited"),
     ).withColumn("sha", F.unhex(F.sha2("edited", 256)))
-    keys = ["row", "doc_id", "nth", "n_chars", "sha"]
+    keys = ["row", "doc_id", "bucket", "nth", "ahead", "n_chars", "sha"]
     both = edited.select(*keys, F.inline(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("t")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("t")))))
     prints = simhash(both, [*keys, "is_edited"], "t").groupBy(*keys).agg(F.max(F.when(~F.col("is_edited"), F.col("fp"))).alias("fp"), F.max(F.when(F.col("is_edited"), F.col("fp"))).alias("edited_fp"))
-    done = stage(prints.drop("row"), "edited")
-    after = with_next(done.withColumnRenamed("nth", "tie"), ["fp", "edited_fp", "n_chars", "sha", "tie"], "tie")
+    done = stage(prints.withColumnRenamed("nth", "place").drop("row"), "edited")
+    drop(rows)
+    after = with_next(done, ["fp"], ["place"])
     return after.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fp", "edited_fp", "next_fp")
 
 

@@ -48,9 +48,9 @@ QUERY_STEP = 50  # searches take every row whose id this divides as a query
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_within: for every queried row, how many rows have a fingerprint within the radius; null for the others."""
+    """n_within: for every queried row, how many rows have a fingerprint within the radius; null for the others, and for ids that aren't numbers."""
     rows = stage(edited_fingerprints(read(spark, sf_dir, "documents")), "fingerprints")
-    asked = F.col("doc_id") % QUERY_STEP == 0
+    asked = F.col("doc_id").try_cast("long") % QUERY_STEP == 0
     found = stage(search(rows.where(asked).select("fp"), rows.select("fp")).groupBy("fp").agg(F.sum("n").alias("n")), "within")
     return rows.join(found, "fp", "left").select(
         "doc_id",

@@ -210,6 +210,33 @@ def test_fingerprint_query_against_brute_force(spark, tmp_path):
     assert len(many) == 4 and {r.doc_id for r in many} == {None}
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rows_of_one_id_are_split_and_ids_have_any_type(spark, kind):
+    rng = random.Random(9)
+    texts = [f"word{rng.randint(0, 40)} of text" for _ in range(300)] + [""] * 200 + ["x" * fingerprint.HEAD + str(i) for i in range(100)] + ["other %d" % i for i in range(40)]
+    ids = [None] * 600 + [7 + i // 2 for i in range(40)]
+    made = [None if i is None else i if kind == "long" else f"id{i:03d}" for i in ids]
+    docs = spark.createDataFrame(list(zip(made, texts, strict=True)), f"doc_id {kind}, text string").repartition(5)
+    rows = common.stage(docs.select("doc_id", "text", F.left("text", F.lit(fingerprint.HEAD)).alias("head"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")), "test")
+    placed = fingerprint.in_buckets(rows).collect()
+    sizes = Counter(r.bucket for r in placed)
+    assert len(sizes) > 10 and max(sizes.values()) < 200 and sum(r.ahead is not None for r in placed) == len(sizes)
+    before = sorted(placed, key=lambda r: (r["head"], r["hash"], r["row"]))
+    order = sorted((r for r in before if r.doc_id is not None), key=lambda r: r.doc_id, reverse=True) + [r for r in before if r.doc_id is None]
+    assert [r.bucket for r in order] == sorted(r.bucket for r in placed)
+    want = Counter()
+    for r, after in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(r.text) // 2
+        want[(r.doc_id, sha(r.text[: len(r.text) - half] + after.text[:half]))] += 1
+    got = fingerprint.edited_fingerprints(docs).collect()
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
+def test_fingerprint_query_of_text_ids(spark, tmp_path):
+    table(spark, ["a b c", "a b c", None], [50, 51, 52]).withColumn("doc_id", F.col("doc_id").cast("string")).unionByName(spark.createDataFrame([("n/a", "a b c"), (None, "")], "doc_id string, text string"), True).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_within for r in queries.op4_fingerprint(spark, str(tmp_path)).collect()} == {"50": 3, "51": None, "52": None, "n/a": None, None: None}
+
+
 # 5, 9 and the pipeline's near-dedup
 
 
