@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,25 +93,32 @@ def sentence_end(text: str, start: int, end: int) -> int:
 
 
 def char_windows(docs: DataFrame, most: int = 1000, overlap: int = 100) -> DataFrame:
-    """(doc_id, chunk_id, start, end): windows of ``most`` characters cut at sentence ends. Where the next starts depends on the cut."""
+    """(doc_id, chunk_id, start, end): windows of ``most`` characters cut at sentence ends.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Where a window starts depends on where the one before was cut, so no built-in function of all positions at once gives
+    them; each text is walked by itself. ``doc_id`` has any type and is passed on as it is, null too; null and empty texts have no window.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            out = []
-            for doc_id, text in zip(rows.doc_id, rows.text, strict=True):
+            at, found = [], []
+            for row, text in enumerate(rows.column("text").to_pylist()):
                 text, start, n = text or "", 0, 0
                 while start < len(text):
                     end = min(start + most, len(text))
                     if end < len(text):
                         end = sentence_end(text, start, end)
-                    out.append((doc_id, n, start, end))
+                    at.append(row)
+                    found.append((n, start, end))
                     n += 1
                     if end >= len(text):
                         break
                     start = max(start + 1, end - overlap)
-            yield pd.DataFrame(out, columns=["doc_id", "chunk_id", "start", "end"])
+            numbers = [pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ([], [], []))]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(at, pa.int64())), *numbers], ["doc_id", "chunk_id", "start", "end"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, chunk_id long, start long, end long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, chunk_id long, start long, end long")
 
 
 def chunk_issues(chunks: DataFrame) -> DataFrame:

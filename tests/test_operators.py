@@ -104,6 +104,13 @@ def test_page_packing_keeps_every_page_in_order(spark):
     assert {(r.doc_id, r.page_number): r.grp for r in got} == want
 
 
+def test_char_windows_keep_ids_of_any_type(spark):
+    long, text = (1 << 60) + 1, "One sentence. " * 100
+    got = chunks.char_windows(spark.createDataFrame([(long, text), (None, text), (5, None), (6, "")], "doc_id long, text string").coalesce(1)).collect()
+    assert [(r.doc_id, r.chunk_id) for r in got] == [(long, 0), (long, 1), (None, 0), (None, 1)]
+    assert {r.doc_id for r in chunks.char_windows(spark.createDataFrame([("a", text)], "doc_id string, text string")).collect()} == {"a"}
+
+
 def test_char_windows_cover_the_text(spark):
     rng = random.Random(6)
     texts = ["", None, "x" * 2500, " ".join(rng.choice(["word.", "Next", "some"]) for _ in range(900))]
