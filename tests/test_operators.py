@@ -250,6 +250,26 @@ def test_conditions_are_deduplicated_as_by_the_fold(spark):
     assert {r.condition_id for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("folded", [0, 12, 64])
+def test_conditions_of_few_and_many_kinds_agree(spark, monkeypatch, folded):
+    rng = random.Random(5)
+    rows = [(f"p{p}", i, f"c{p}_{i}", " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 5)))) for p in range(4) for i in range(10 + 8 * p)]
+    want = set()
+    for p in range(4):
+        kept = []
+        for _, _, c, text in [r for r in rows if r[0] == f"p{p}"]:
+            t = plain_words(text)
+            if not any(t and k and len(t & k) / len(t | k) > 0.5 for k in kept):
+                kept.append(t)
+                want.add(c)
+    monkeypatch.setattr(quality, "FOLDED", folded)
+    joined = []
+    monkeypatch.setattr(quality, "similar_sets", lambda *a: joined.append(a) or simjoin.similar_sets(*a))
+    got = quality.dedup_conditions(spark.createDataFrame(rows, "policy_id string, ord long, condition_id string, description string"), 0.5)
+    assert {r.condition_id for r in got.collect()} == want
+    assert bool(joined) == (folded < 64)
+
+
 def test_merges_move_children_and_conditions(spark):
     policies = spark.createDataFrame([("j", 0, "a", None, 0, "A", "d", 0.5), ("j", 1, "b", None, 0, "B", "d", 0.5), ("j", 2, "c", "b", 1, "C", "d", 0.5)], "job_id string, ord long, policy_id string, parent_id string, level int, title string, description string, confidence double")
     conditions = spark.createDataFrame([("a", 1, "a1", "x y"), ("b", 1, "b1", "x y"), ("b", 2, "b2", "z"), ("c", 1, "c1", "x y")], "policy_id string, ord long, condition_id string, description string")
