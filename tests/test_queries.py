@@ -48,3 +48,13 @@ def test_query(spark, sf, duck, name):
 
 def test_flagship_is_registered():
     assert registry.FLAGSHIP in registry.QUERIES
+
+
+LARGE_JOBS = "h01b_h01c_flatten_policies".split()
+
+
+@pytest.mark.parametrize("name", LARGE_JOBS)
+def test_jobs_grow_with_the_table(duck, name):
+    """These queries work on twenty jobs, whatever the number of policies."""
+    fixture = registry.SQL[name].split("f_large_jobs AS (", 1)[1].split("{part}")[0]
+    assert "p_partkey%20 AS job_id" in fixture and "f_policies" not in registry.SQL[name]
