@@ -50,7 +50,7 @@ def test_flagship_is_registered():
     assert registry.FLAGSHIP in registry.QUERIES
 
 
-LARGE_JOBS = "h01b_h01c_flatten_policies h08_generation_order h05_t23_policy_context e06_e07_merge_similar e10_best_parent r06_best_parent_refined r06a_r06d_parent_signals e11_reparent r03_r04_regroup q01_duplicate_policies".split()
+LARGE_JOBS = "h01b_h01c_flatten_policies h08_generation_order h05_t23_policy_context e06_e07_merge_similar e10_best_parent r06_best_parent_refined r06a_r06d_parent_signals e11_reparent r03_r04_regroup q01_duplicate_policies r08_r09_refine".split()
 
 
 @pytest.mark.parametrize("name", LARGE_JOBS)
