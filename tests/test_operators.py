@@ -410,3 +410,20 @@ def test_deep_walks_keep_their_plans_small(spark):
     walked = trees.score(nodes, answers)
     assert {(r.subject, r.node_id, r.outcome_type) for r in walked.collect()} == {(0, 40, "end"), (1, 25, None), (2, 10, None)}
     assert walked._jdf.queryExecution().optimizedPlan().toString().count("Relation") < 20
+
+
+def test_walks_join_no_answers_from_outside(spark, monkeypatch):
+    """A round reads the steps where the walks are; the answers are joined once."""
+    rows = [("t", i, i // 2 if i > 1 else None, ["yes", "no"][i % 2], i % 2, "x") for i in range(1, 64)]
+    nodes = spark.createDataFrame(rows, "tree_id string, node_id long, parent_node_id long, answer string, sibling_ord int, outcome_type string")
+    answers = spark.createDataFrame([(s, "t", i, ["yes", "no"][(i + s) % 2]) for s in (1, 2) for i in range(1, 64)], "subject int, tree_id string, node_id long, answer string")
+    outer = []
+    monkeypatch.setattr(trees, "cut", lambda df: outer.append("LeftOuter" in df._jdf.queryExecution().analyzed().toString()) or iterate.cut(df))
+    want = []
+    for s in (1, 2):
+        path = [1]
+        while path[-1] * 2 < 64:
+            path.append(path[-1] * 2 + (path[-1] + s) % 2)
+        want.append((s, path))
+    assert sorted((r.subject, r.path) for r in trees.score(nodes, answers).collect()) == want
+    assert not any(outer)
