@@ -412,6 +412,26 @@ def test_deep_walks_keep_their_plans_small(spark):
     assert walked._jdf.queryExecution().optimizedPlan().toString().count("Relation") < 20
 
 
+@pytest.mark.parametrize("folded", [0, 4, 64])
+def test_condition_similarity_of_few_and_many(spark, monkeypatch, folded):
+    rng = random.Random(7)
+    rows = [(f"p{p}", " ".join(rng.choice(["one", "two", "three", "four", "five", ""]) for _ in range(rng.randint(0, 4)))) for p in range(5) for _ in range(1 + 2 * p)]
+    rows.append(("p1", None))
+    held = {p: [plain_words(t or "") for q, t in rows if q == p] for p, _ in rows}
+    want = {}
+    for a in held:
+        for b in held:
+            best = [max(len(x & y) / max(len(x | y), 1) for y in held[b]) for x in held[a]]
+            want[a, b] = pytest.approx(sum(best) / len(best))
+    monkeypatch.setattr(quality, "FOLDED", folded)
+    pairs = [(a, b) for a in [*held, "none"] for b in [*held, "none"]]
+    joined = []
+    monkeypatch.setattr(quality.X, "jaccard", lambda *a, of=X.jaccard: joined.append(a) or of(*a))
+    got = quality.condition_similarity(spark.createDataFrame(pairs, "a_id string, b_id string"), spark.createDataFrame(rows, "policy_id string, description string"))
+    assert {(r.a_id, r.b_id): r.similarity for r in got.collect()} == want
+    assert bool(joined) == (folded < 64)
+
+
 def test_walks_join_no_answers_from_outside(spark, monkeypatch):
     """A round reads the steps where the walks are; the answers are joined once."""
     rows = [("t", i, i // 2 if i > 1 else None, ["yes", "no"][i % 2], i % 2, "x") for i in range(1, 64)]
