@@ -27,15 +27,16 @@ def nested_json(rows: DataFrame, group: str, node: str, parent: str, order: str,
 
     head: a row's own fields as a JSON object. Children are a list in ``order``, or an object by ``key``. From the deepest level up, a
     level's objects are joined into those above it, so every row moves once per level that holds it and no path is listed.
-    A row whose parent is null or absent is a root; rows on or below a cycle are left out; ids are unique within a group.
+    A row whose parent is null or absent is a root; rows on or below a cycle are left out; ids are unique within a group. Nested
+    text is never broadcast, however well its file is compressed.
     """
     levels = depths(rows.select(group, node, parent), group, node, parent).where("depth is not null").select(group, node, "depth")
     kept = [F.col(c) for c in dict.fromkeys([group, node, parent, order, *([key] if key else [])])]
-    held = cut(rows.select(*kept, head.alias("__head")).join(levels, [group, node]))
+    held = cut(rows.select(*kept, head.alias("__head")).join(levels.hint("merge"), [group, node]))
     below = None
     for depth in range(held.agg(F.max("depth")).first()[0] or 0, -1, -1):
         level = held.where(F.col("depth") == depth)
-        level = level.withColumn("__kids", F.lit(None).cast("string")) if below is None else level.join(below, [group, node], "left")
+        level = level.withColumn("__kids", F.lit(None).cast("string")) if below is None else level.join(below.hint("merge"), [group, node], "left")
         inner = F.when(F.col("__kids").isNotNull(), F.concat(F.lit(',"children":'), "__kids")).otherwise("")
         whole = F.concat(F.substring("__head", F.lit(1), F.length("__head") - 1), inner, F.lit("}"))
         whole = F.when(F.col("__head") == "{}", F.concat(F.lit("{"), F.substring(inner, F.lit(2), F.length(inner)), F.lit("}"))).otherwise(whole)

@@ -3,7 +3,9 @@
 import json
 import random
 
-from docloom.operators import results, trees
+from pyspark.sql import functions as F
+
+from docloom.operators import iterate, results, trees
 
 NODES = "tree_id long, node_id string, parent_node_id string, answer string, sibling_ord int, node_type string, question_text string, question_type string, options array<string>, outcome_type string, confidence_score double"
 
@@ -70,3 +72,13 @@ def test_results_are_saved_and_loaded(spark):
     assert loaded[2].document_content is None and loaded[2].document_error == "not base64"
     assert json.loads(loaded[2].result_json)["validation_result"] == {"overall_confidence": 0.9}
     assert json.loads(loaded[9].result_json)["metadata"] == {} and loaded[9].document_filename is None
+
+
+def test_nested_text_is_never_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([("t", f"n{i}", f"n{i // 2}" if i > 1 else None, i) for i in range(1, 16)], "g string, id string, up string, o long")
+    plans = []
+    for module in (results, iterate):
+        monkeypatch.setattr(module, "cut", lambda df, of=iterate.cut: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or of(df))
+    got = results.nested_json(rows, "g", "id", "up", "o", F.to_json(F.struct("id"))).collect()
+    assert [r.id for r in got] == ["n1"] and got[0].json.count('"id"') == 15
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
