@@ -52,13 +52,14 @@ def _any(text: Column, phrases: list[str]) -> Column:
 def page_layout(words: DataFrame) -> DataFrame:
     """``words(page, width, height, text, x0, top)``: header, footer, density a square inch, columns."""
     order = Window.partitionBy("page").orderBy("x0")
-    wide = (F.col("x0") - F.lag("x0").over(order)) > COLUMN_GAP
-    rows = words.withColumn("gap", F.coalesce(wide, F.lit(False)))
+    before = F.lag("x0").over(order)
+    # Places are counted where the order has a new one: a distinct count would hold every place of a task's pages.
+    rows = words.withColumns({"gap": F.coalesce(F.col("x0") - before > COLUMN_GAP, F.lit(False)), "new": F.col("x0").isNotNull() & ~F.col("x0").eqNullSafe(before)})
     seen = rows.groupBy("page").agg(
         F.bool_or(F.col("top") < F.col("height") * 0.1).alias("has_header"),
         F.bool_or(F.col("top") > F.col("height") * 0.9).alias("has_footer"),
         (F.sum(F.length("text")) / (F.max(F.col("width") * F.col("height")) / (72 * 72))).alias("density"),
-        F.count_distinct("x0").alias("places"),
+        F.count_if("new").alias("places"),
         F.count_if("gap").alias("gaps"),
         F.when(F.max("height") > F.max("width"), "portrait").otherwise("landscape").alias("orientation"),
     )

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
-from docloom.operators import chunking, chunks, entities, hierarchy, iterate, jobs, quality, refine, simjoin, structure, trees
+from docloom.operators import chunking, chunks, entities, hierarchy, iterate, jobs, quality, refine, rollups, simjoin, structure, trees
 from docloom.staging import drop, stage, temporary
 
 
@@ -447,3 +447,14 @@ def test_walks_join_no_answers_from_outside(spark, monkeypatch):
         want.append((s, path))
     assert sorted((r.subject, r.path) for r in trees.score(nodes, answers).collect()) == want
     assert not any(outer)
+
+
+def test_places_of_a_page_are_counted_without_a_distinct_count(spark):
+    rows = [(1, None), *[(1, 10 * (i % 21)) for i in range(50)], *[(2, 100 * (i % 20)) for i in range(50)], (2, None)]
+    words = spark.createDataFrame([(page, 612.0, 792.0, "word", x, 100.0) for page, x in rows], "page int, width double, height double, text string, x0 int, top double")
+    laid = rollups.page_layout(words)
+    assert {r.page: r["columns"] for r in laid.collect()} == {1: 1, 2: 1}
+    wide = words.where("page = 2").withColumn("x0", F.when(F.col("x0") == 1900, 5000).otherwise(F.col("x0")))
+    more = wide.union(words.where("page = 2").withColumn("x0", F.col("x0") + 1))
+    assert [r["columns"] for r in rollups.page_layout(more).collect()] == [21]
+    assert "distinct" not in laid._jdf.queryExecution().sparkPlan().toString()
