@@ -2,7 +2,10 @@
 
 import itertools
 
+import pytest
+
 from docloom.operators import chunks as C
+from docloom.plans import registry
 
 
 def no_index(*_):
@@ -28,3 +31,10 @@ def test_chunks_of_small_documents_are_compared_in_a_row(spark, monkeypatch):
     monkeypatch.setattr(C, "LISTED_CHUNKS", 64, raising=False)
     monkeypatch.setattr(C, "similar_sets", no_index)
     assert joined and joined == plain_rows(C.duplicate_chunks(chunks))
+
+
+@pytest.mark.parametrize("name", ["e01_filtered_chunks"])
+def test_filtered_chunks_need_no_index_of_words(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(C, "LISTED_CHUNKS", 1000, raising=False)
+    monkeypatch.setattr(C, "similar_sets", no_index)
+    assert registry.QUERIES[name](spark, sf).count() > 0
