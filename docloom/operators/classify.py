@@ -29,33 +29,38 @@ BACK = {"appendix": 0.3, "index": 0.3, "references": 0.2}
 BULLET = r"^\s*[•*-]"
 
 
-def type_scores(text: Column, place: Column, headings: Column, importance: Column) -> Column:
-    """Struct (score, -rank, name) of each content type, the best first. ``headings``: array of the page's heading texts."""
-    lower = F.lower(text)
-    bullets = F.size(F.filter(F.split(text, "\n"), lambda line: line.rlike(BULLET)))
-    raw = []
+def scored_pages(pages: DataFrame) -> DataFrame:
+    """``pages(page_number, pages, text, headings, importance)`` with ``s``: (score, -rank, name) of each content type, the best first. ``headings``: array of the page's heading texts.
+
+    Each step reads columns of the one before, so a text is lower-cased once and no score is computed twice.
+    """
+    bullets = F.size(F.filter(F.split("text", "\n"), lambda line: line.rlike(BULLET)))
+    read = pages.withColumns({"lower": F.lower("text"), "place": F.col("page_number") / F.col("pages"), "bullets": bullets, "heads": F.transform("headings", F.lower)})
+    lower, place, importance = F.col("lower"), F.col("place"), F.col("importance")
+    raw = {}
     for name, words in KEYWORDS.items():
         score = sum((F.contains(lower, F.lit(w)).cast("double") for w in words), F.lit(0.0)) / max(len(words), 1)
         score = score + F.when(place < 0.1, FRONT.get(name, 0.0)).when(place > 0.9, BACK.get(name, 0.0)).otherwise(0.0)
         if name == "definitions":
-            score = score + F.when(bullets > 10, 0.2).otherwise(0.0)
+            score = score + F.when(F.col("bullets") > 10, 0.2).otherwise(0.0)
         if name == "policy_content":
             score = score + F.when(importance > 0.7, 0.3).otherwise(0.0)
         if words:
-            score = score + 0.4 * F.size(F.filter(headings, _names(words)))
-        raw.append(score)
-    weak = F.greatest(*raw) < 0.3
-    ranked = [F.struct(F.round(F.when(weak, 0.5).otherwise(s) if name == "policy_content" else s, 9).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, (name, s) in enumerate(zip(KEYWORDS, raw, strict=True))]
-    return F.reverse(F.array_sort(F.array(*ranked)))
+            score = score + 0.4 * F.size(F.filter("heads", _names(words)))
+        raw[f"raw_{name}"] = score
+    weighed = read.withColumns(raw).withColumn("weak", F.greatest(*raw) < 0.3)
+    scores = {name: F.when(F.col("weak"), 0.5).otherwise(F.col(f"raw_{name}")) if name == "policy_content" else F.col(f"raw_{name}") for name in KEYWORDS}
+    ranked = [F.struct(F.round(s, 9).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, (name, s) in enumerate(scores.items())]
+    return weighed.withColumn("s", F.sort_array(F.array(*ranked), asc=False)).select(*pages.columns, "s")
 
 
 def _names(words: list[str]):
-    return lambda heading: any_of(F.lower(heading), words)
+    return lambda heading: any_of(heading, words)
 
 
 def classify_pages(pages: DataFrame) -> DataFrame:
     """``pages(doc_id, page_number, pages, text, headings, importance)`` with type, secondary types, flags and ratios."""
-    scored = pages.withColumn("s", type_scores(F.col("text"), F.col("page_number") / F.col("pages"), F.col("headings"), F.col("importance")))
+    scored = scored_pages(pages)
     lines = F.split(F.trim("text"), "\n")
     typed = scored.select(
         "doc_id",

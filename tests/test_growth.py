@@ -5,6 +5,7 @@ import itertools
 import pytest
 
 from docloom.operators import chunks as C
+from docloom.operators import classify as K
 from docloom.plans import registry
 
 
@@ -38,3 +39,12 @@ def test_filtered_chunks_need_no_index_of_words(spark, sf, monkeypatch, name):
     monkeypatch.setattr(C, "LISTED_CHUNKS", 1000, raising=False)
     monkeypatch.setattr(C, "similar_sets", no_index)
     assert registry.QUERIES[name](spark, sf).count() > 0
+
+
+def lowered(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("lower(text")
+
+
+def test_page_scores_lower_a_text_once(spark):
+    pages = spark.createDataFrame([(1, 1, 2, "Covered services and definitions", ["Coverage"], 0.9)], "doc_id long, page_number long, pages long, text string, headings array<string>, importance double")
+    assert lowered(K.classify_pages(pages)) == 1
