@@ -85,8 +85,8 @@ def classify_pages(pages: DataFrame) -> DataFrame:
 
 def document_types(pages: DataFrame) -> DataFrame:
     """Type of each document by its first three pages: ``pages(doc_id, page_number, text, primary_type)``."""
-    first = pages.where("page_number <= 3")
-    lower = F.lower("text")
+    first = pages.where("page_number <= 3").withColumn("lower", F.lower("text"))
+    lower = F.col("lower")
     seen = first.groupBy("doc_id").agg(F.bool_or(F.col("primary_type").isin("coverage", "eligibility", "exclusions")).alias("insured"), *[F.bool_or(any_of(lower, words)).alias(name) for name, words in DOCUMENT_TYPES.items()])
     return seen.select("doc_id", F.when(F.col("insured") | F.col("insurance"), "insurance").when(F.col("regulatory"), "regulatory").when(F.col("legal"), "legal").otherwise("unknown").alias("document_type"))
 

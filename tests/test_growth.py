@@ -48,3 +48,7 @@ def lowered(df):
 def test_page_scores_lower_a_text_once(spark):
     pages = spark.createDataFrame([(1, 1, 2, "Covered services and definitions", ["Coverage"], 0.9)], "doc_id long, page_number long, pages long, text string, headings array<string>, importance double")
     assert lowered(K.classify_pages(pages)) == 1
+
+
+def test_document_types_lower_a_text_once_a_step(spark, sf):
+    assert lowered(registry.QUERIES["d11_document_type"](spark, sf)) <= 2
