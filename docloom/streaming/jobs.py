@@ -25,9 +25,10 @@ RETENTION_DAYS = 7
 
 
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
-    """A driver table as a stream of files; its event time as a timestamp."""
+    """A driver table, a file or a folder of files, as a stream of files; its event time as a timestamp."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    # As a pattern: a stream takes no path of a single file, but files and folders that a pattern finds.
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/[{table[0]}]{table[1:]}.parquet")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

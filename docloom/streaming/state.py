@@ -22,50 +22,50 @@ CLOSING = "9999-01-01"
 
 
 class InOrder(StatefulProcessor):
-    """Hands a key's events to ``fold`` in order, once the watermark has passed them, and tells ``expire`` how far it is."""
+    """Hands a key's events to ``fold_all`` in order, once the watermark has passed them, and tells it how far that is.
+
+    A call to the state store costs far more than an event: what a micro-batch brings for a key waits as one row of
+    columns, and ``fold_all`` reads and writes a key's state once, whatever the number of its events.
+    """
 
     fields = "us long, event_id long, kind string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.names = [f.split(" ")[0] for f in self.fields.split(", ")]
-        self.waiting = handle.getListState("waiting", self.fields)
+        self.names, kinds = zip(*(f.split(" ") for f in self.fields.split(", ")), strict=True)
+        self.waiting = handle.getListState("waiting", ", ".join(f"{n} array<{k}>" for n, k in zip(self.names, kinds, strict=True)))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [tuple(r[n] for n in self.names) for r in rows if r["event_id"] is not None]
+        at, new = [], []
+        for row in rows:
+            at = at or [row.__fields__.index(n) for n in self.names]
+            values = tuple(row)
+            if values[at[1]] is not None:
+                new.append([values[i] for i in at])
         if new:
-            self.waiting.appendList(new)
+            self.waiting.appendValue(tuple(map(list, zip(*new, strict=True))))
             self.wake(min(n[0] for n in new))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        out: list[Row] = []
-        if self.waiting.exists():
-            waiting = sorted(map(tuple, self.waiting.get()), key=lambda e: e[:2])
-            left = [e for e in waiting if e[0] > passed]
-            if left:
-                self.waiting.put(left)
-                self.wake(left[0][0])
-            else:
-                self.waiting.clear()
-            out = list(self.fold_all(key[0], waiting[: len(waiting) - len(left)]))
-        return iter(out + list(self.expire(key[0], passed)))
-
-    def fold_all(self, key, events: list[tuple]) -> Iterator[Row]:
-        for event in events:
-            yield from self.fold(key, *event)
+        waiting = sorted((e for part in self.waiting.get() for e in zip(*part, strict=True)), key=lambda e: e[:2])
+        left = [e for e in waiting if e[0] > passed]
+        if left and len(left) < len(waiting):
+            self.waiting.put([tuple(map(list, zip(*left, strict=True)))])
+        elif waiting and not left:
+            self.waiting.clear()
+        if left:
+            self.wake(left[0][0])
+        return iter(list(self.fold_all(key[0], waiting[: len(waiting) - len(left)], passed)))
 
     def wake(self, us: int) -> None:
         """Be called when the watermark has passed that time."""
         self.handle.registerTimer(-(-us // 1000))
 
-    def fold(self, key, *event) -> Iterator[Row]:
+    def fold_all(self, key, events: list[tuple], passed: int) -> Iterator[Row]:
         raise NotImplementedError
 
-    def expire(self, key, passed: int) -> Iterator[Row]:
-        return iter(())
-
     def close(self) -> None:
         pass
 
@@ -73,87 +73,105 @@ class InOrder(StatefulProcessor):
 class Intervals(InOrder):
     """From when until when each status of a job could be read: until the next one, or the end of its time to live."""
 
+    made = Row("job_id", "status", "since_us", "until_us")
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.current = handle.getValueState("current", "status string, since long, until long")
 
-    def _ended(self, key, at: int) -> Iterator[Row]:
-        status, since, until = self.current.get()
-        yield Row(job_id=key, status=status, since_us=since, until_us=min(until, at))
-
-    def fold(self, key, us: int, event_id: int, kind: str) -> Iterator[Row]:
-        if self.current.exists():
-            yield from self._ended(key, us)
-        until = us + ttl_seconds(kind) * 1_000_000
-        self.current.update((kind, us, until))
-        self.wake(until)
-
-    def expire(self, key, passed: int) -> Iterator[Row]:
-        if self.current.exists() and self.current.get()[2] <= passed:
-            yield from self._ended(key, passed)
+    def fold_all(self, key, events: list[tuple], passed: int) -> Iterator[Row]:
+        before = current = self.current.get()
+        for us, _, kind in events:
+            if current:
+                yield self.made(key, *current[:2], min(current[2], us))
+            current = (kind, us, us + ttl_seconds(kind) * 1_000_000)
+        if current and current[2] <= passed:
+            yield self.made(key, *current)
+            current = None
+        if current and events:
+            self.current.update(current)
+            self.wake(current[2])
+        elif before and not current:
             self.current.clear()
 
 
 class Progress(InOrder):
     """Events of a job, numbered, up to and with its first failure. All that stays of an ended job is the flag that ends it."""
 
+    made = Row("job_id", "event_id", "event_type", "step")
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.state = handle.getValueState("state", "step int, failed boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if self.state.exists() and self.state.get()[1]:
+        state = self.state.get()
+        if state and state[1]:
             return iter(())  # nothing after a failure waits
         return super().handleInputRows(key, rows, timerValues)
 
-    def fold(self, key, us: int, event_id: int, kind: str) -> Iterator[Row]:
-        step, failed = self.state.get() if self.state.exists() else (0, False)
-        if not failed:
-            self.state.update((step + 1, kind == "failed"))
-            yield Row(job_id=key, event_id=event_id, event_type=kind, step=step + 1)
+    def fold_all(self, key, events: list[tuple], passed: int) -> Iterator[Row]:
+        if not events:
+            return
+        step, failed = self.state.get() or (0, False)
+        if failed:
+            return
+        for _, event_id, kind in events:
+            step, failed = step + 1, kind == "failed"
+            yield self.made(key, event_id, kind, step)
+            if failed:
+                break
+        self.state.update((step, failed))
 
 
 class Lock(InOrder):
     """Starts that take a job's lock; a release or the end of ``LOCK_S`` seconds frees it, and its state."""
 
+    made = Row("job_id", "event_id")
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.held = handle.getValueState("held", "us long")
 
-    def fold(self, key, us: int, event_id: int, kind: str) -> Iterator[Row]:
-        free = not self.held.exists() or us - self.held.get()[0] >= LOCK_S * 1_000_000
-        if kind == "release":
+    def fold_all(self, key, events: list[tuple], passed: int) -> Iterator[Row]:
+        before = held = (self.held.get() or (None,))[0]
+        for us, event_id, kind in events:
+            if kind == "release":
+                held = None
+            elif held is None or us - held >= LOCK_S * 1_000_000:
+                held = us
+                yield self.made(key, event_id)
+        if held is not None and held + LOCK_S * 1_000_000 <= passed:
+            held = None
+        if held is None and before is not None:
             self.held.clear()
-        elif free:
-            self.held.update((us,))
-            self.wake(us + LOCK_S * 1_000_000)
-            yield Row(job_id=key, event_id=event_id)
-
-    def expire(self, key, passed: int) -> Iterator[Row]:
-        if self.held.exists() and self.held.get()[0] + LOCK_S * 1_000_000 <= passed:
-            self.held.clear()
-        return iter(())
+        elif held != before:
+            self.held.update((held,))
+            self.wake(held + LOCK_S * 1_000_000)
 
 
 class Trends(InOrder):
     """Of each sample the size of its agent's history and the trends and means of its last samples; state is a ring of ``HISTORY`` samples."""
 
     fields = "us long, event_id long, cpu double, memory double"
+    made = Row("event_id", "agent", "history", "cpu_trend", "mean_cpu", "memory_trend", "mean_memory")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.ring = handle.getListState("ring", "cpu double, memory double")
 
-    def fold_all(self, key, events: list[tuple]) -> Iterator[Row]:
-        ring = [tuple(r) for r in self.ring.get()] if self.ring.exists() else []
-        for _, event_id, *sample in events:
-            ring = [*ring, sample][-HISTORY:]
-            values = {}
-            for at, name in enumerate(("cpu", "memory")):
-                series = [s[at] for s in ring[-TREND:]]
-                values |= {f"{name}_trend": trend(name, series[0], series[-1], len(series)), f"mean_{name}": sum(series) / len(series)}
-            yield Row(event_id=event_id, agent=key, history=len(ring), **values)
-        self.ring.put([tuple(s) for s in ring])
+    def fold_all(self, key, events: list[tuple], passed: int) -> Iterator[Row]:
+        if not events:
+            return
+        samples = [*map(tuple, self.ring.get()), *(e[2:] for e in events)]
+        series = list(zip(*samples, strict=True))
+        for at, event in enumerate(events, len(samples) - len(events)):
+            found = []
+            for name, values in zip(("cpu", "memory"), series, strict=True):
+                last = values[max(0, at + 1 - TREND) : at + 1]
+                found += [trend(name, last[0], last[-1], len(last)), sum(last) / len(last)]
+            yield self.made(event[1], key, min(at + 1, HISTORY), *found)
+        self.ring.put(samples[-HISTORY:])
 
 
 def with_closing_row(stream: DataFrame) -> DataFrame:

@@ -3,10 +3,13 @@
 import itertools
 
 import pytest
+from pyspark.sql import Row
 
 from docloom.operators import chunks as C
 from docloom.operators import classify as K
 from docloom.plans import registry
+from docloom.streaming import jobs as W
+from docloom.streaming import state as S
 
 
 def no_index(*_):
@@ -52,3 +55,78 @@ def test_page_scores_lower_a_text_once(spark):
 
 def test_document_types_lower_a_text_once_a_step(spark, sf):
     assert lowered(registry.QUERIES["d11_document_type"](spark, sf)) <= 2
+
+
+class Counted:
+    """A state variable that counts the calls to it."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value if self.value is not None or not isinstance(self, Listed) else []
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.update(None)
+
+    put = update
+
+
+class Listed(Counted):
+    def appendValue(self, value):
+        self.update([*(self.value or []), value])
+
+    def appendList(self, values):
+        self.calls += len(values) - 1
+        self.update([*(self.value or []), *values])
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = [], 0
+
+    def _new(self, state):
+        self.states.append(state)
+        return state
+
+    def getListState(self, *_):
+        return self._new(Listed())
+
+    def getValueState(self, *_):
+        return self._new(Counted())
+
+    def registerTimer(self, _):
+        self.timers += 1
+
+    def getCurrentWatermarkInMs(self):
+        return 10**12
+
+
+@pytest.mark.parametrize("processor", [S.Intervals, S.Progress, S.Lock, S.Trends])
+def test_calls_to_the_state_store_do_not_grow_with_a_key(processor):
+    handle = Handle()
+    stateful = processor()
+    stateful.init(handle)
+    rows = [Row(us=i * 10**9, event_id=i, kind="start", cpu=1.0, memory=2.0) for i in range(200)]
+    stateful.handleInputRows((1,), iter(rows), handle)
+    assert len(list(stateful.handleExpiredTimer((1,), handle, None))) == 200
+    assert sum(s.calls for s in handle.states) + handle.timers < 15
+
+
+def test_a_stream_reads_a_table_of_several_files(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01' AS ts")
+    rows.repartition(3).write.parquet(f"{tmp_path}/folder/events.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/parts")
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "file" / "events.parquet")
+    for name in ("folder", "file"):
+        assert W.finished(W.event_stream(spark, f"{tmp_path}/{name}")).count() == 10
