@@ -7,6 +7,7 @@ from pyspark.sql import Row
 
 from docloom.operators import chunks as C
 from docloom.operators import classify as K
+from docloom.operators import quality as Q
 from docloom.plans import registry
 from docloom.streaming import jobs as W
 from docloom.streaming import state as S
@@ -130,3 +131,19 @@ def test_a_stream_reads_a_table_of_several_files(spark, tmp_path):
     next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "file" / "events.parquet")
     for name in ("folder", "file"):
         assert W.finished(W.event_stream(spark, f"{tmp_path}/{name}")).count() == 10
+
+
+def test_conditions_of_a_policy_are_folded_in_arrow(spark):
+    texts = ["a b c d e f g h i j", "a b c d e f g h i j k", "a b c d e f g h i j k l", "", "", "x", "x", None]
+    rows = [(f"p{d}", o, f"c{o}", texts[(o * 3 + d) % 8]) for d in range(4) for o in range(1, 17)]
+    found = Q.dedup_conditions(spark.createDataFrame(rows, "policy_id string, ord long, condition_id string, description string"), 0.85)
+    want = set()
+    for policy in {r[0] for r in rows}:
+        kept = []
+        for _, o, _, text in (r for r in rows if r[0] == policy and r[3] is not None):
+            t = set(text.split())
+            if not any(t and len(k & t) / len(k | t) > 0.85 for k in kept):
+                kept.append(t)
+                want.add((policy, o))
+    assert {(r.policy_id, r.ord) for r in found.collect()} == want
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
