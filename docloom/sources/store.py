@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import json_value
+from docloom.staging import stage
 
 # What is read of a response.
 RESPONSE = """struct<job_id:string,status:string,results:struct<job_id:string,status:string,metadata:struct<document_type:string,total_pages:int>,policy_hierarchy:struct<total_policies:int>,
@@ -42,7 +43,8 @@ def ingest(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     ``document`` are the bytes of the file. Responses are parsed once; the three tables are columns of that.
     """
-    parsed = responses.withColumn("r", F.from_json("content", RESPONSE)).withColumn("job_id", F.coalesce("r.job_id", "r.results.job_id"))
+    # Staged, so that no condition or column that reads a part of a response parses it again.
+    parsed = stage(responses.withColumn("r", F.from_json("content", RESPONSE)), "responses", compression="zstd").withColumn("job_id", F.coalesce("r.job_id", "r.results.job_id"))
     good = parsed.where((F.coalesce("r.status", F.lit("unknown")) != "failed") & F.col("r.results").isNotNull() & (F.coalesce("job_id", F.lit("")) != ""))
     x = F.col("r.results")
     documents = good.select("job_id", "policy_name", "filename", F.regexp_replace(F.base64("document"), r"\s", "").alias("content_base64"), F.sha2("document", 256).alias("document_hash"), F.octet_length("document").alias("file_size_bytes"), F.lit("application/pdf").alias("mime_type"))

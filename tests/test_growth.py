@@ -147,3 +147,8 @@ def test_conditions_of_a_policy_are_folded_in_arrow(spark):
                 want.add((policy, o))
     assert {(r.policy_id, r.ord) for r in found.collect()} == want
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_responses_are_parsed_once(spark, sf):
+    plan = registry.QUERIES["s16_ingest_response"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan
