@@ -152,3 +152,8 @@ def test_conditions_of_a_policy_are_folded_in_arrow(spark):
 def test_responses_are_parsed_once(spark, sf):
     plan = registry.QUERIES["s16_ingest_response"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan
+
+
+def test_issues_of_policies_are_not_broadcast(spark, sf):
+    df = registry.QUERIES["v08_hierarchical_completeness"](spark, sf)
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
