@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +21,8 @@ from docloom.streaming.jobs import HISTORY, LOCK_S, TREND, trend, ttl_seconds
 
 LATE = "10 minutes"
 CLOSING = "9999-01-01"
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+EMPTY = {"long": 0, "double": 0.0, "string": ""}
 
 
 class InOrder(StatefulProcessor):
@@ -174,6 +178,41 @@ class Trends(InOrder):
         self.ring.put(samples[-HISTORY:])
 
 
+class Framed(StatefulProcessor):
+    """Runs ``inner`` on a key's events and rows as frames. Rows one by one cost Spark a call of Arrow for every value.
+
+    A column of a frame can't tell null from NaN and has no null integers: nulls come as an empty value and a bit of ``nulls``, by place among
+    ``inner.fields``. A frame holds times from 1678 to 2261; an event of another time is an error.
+    """
+
+    def __init__(self, inner: InOrder, schema: str) -> None:
+        self.inner, self.schema = inner, [f.split(" ") for f in schema.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.inner.init(handle)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        made = Row(*self.inner.names)
+        events = (made(*event) for frame in rows for event in self._events(frame))
+        return self.inner.handleInputRows(key, events, timerValues)
+
+    def _events(self, frame: pd.DataFrame) -> Iterator[tuple]:
+        events = zip(*(frame[n].tolist() for n in self.inner.names), strict=True)
+        nulls = frame["nulls"]
+        if not nulls.any():
+            return events
+        return (tuple(None if bits >> i & 1 else v for i, v in enumerate(event)) for event, bits in zip(events, nulls.tolist(), strict=True))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = list(self.inner.handleExpiredTimer(key, timerValues, expiredTimerInfo))
+        if rows:
+            columns = zip(self.schema, zip(*rows, strict=True), strict=True)
+            yield pd.DataFrame({name: pd.arrays.ArrowExtensionArray(pa.array(values, ARROW[kind])) for (name, kind), values in columns})
+
+    def close(self) -> None:
+        self.inner.close()
+
+
 def with_closing_row(stream: DataFrame) -> DataFrame:
     """``stream`` and one row with no values but a time after all others, which moves the watermark past them: for a stream that ends."""
     row = stream.sparkSession.range(1).select(*[F.lit(CLOSING if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in stream.schema])
@@ -183,7 +222,12 @@ def with_closing_row(stream: DataFrame) -> DataFrame:
 
 def _ordered(events: DataFrame, key: str, processor: InOrder, schema: str, late: str) -> DataFrame:
     timed = events.withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
-    return timed.groupBy(key).transformWithState(processor, schema, "append", "EventTime")
+    fields = [f.split(" ") for f in processor.fields.split(", ")]
+    filled = [F.coalesce(name, F.lit(EMPTY[kind])).alias(name) for name, kind in fields]
+    nulls = sum((F.col(name).isNull().cast("int") * (1 << i) for i, (name, _) in enumerate(fields)), F.lit(0))
+    # The closing row ends here: pandas has no such time. The condition names ``ts``, so it stays behind the watermark, which the row has moved.
+    timed = timed.where("event_id is not null or ts is null")
+    return timed.select(key, "ts", *filled, nulls.alias("nulls")).groupBy(key).transformWithStateInPandas(Framed(processor, schema), schema, "append", "EventTime")
 
 
 def status_intervals(events: DataFrame, late: str = LATE) -> DataFrame:
