@@ -4,9 +4,11 @@ import itertools
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from docloom.operators import chunks as C
 from docloom.operators import classify as K
+from docloom.operators import entities as E
 from docloom.operators import quality as Q
 from docloom.plans import refine_queries as P
 from docloom.plans import registry
@@ -179,3 +181,45 @@ def test_duplicates_of_documents_are_those_of_their_pages(spark, monkeypatch):
     assert plain_rows(P.found_duplicates(docs)) == want
     types = spark_fixture(spark, "", "page_types", {"doc_pages": pages}).where("doc_id is not null").select("doc_id", "page_number", "primary_type")
     assert sorted(map(tuple, P.page_types_of(docs).select(*types.columns).collect())) == sorted(map(tuple, types.collect()))
+
+
+def made_policies(spark):
+    titles = ["Knee surgery", "knee surgery ", None, None, "Rules of surgery", "surgery rules of today", "Other things", ""]
+    rows = [(j, o, f"p{j}_{o}", None if o % 3 else "x", o % 2, titles[o % 8], f"{o % 5} text", (o % 8) / 8) for j, o in itertools.product((1, 2), range(24))]
+    return spark.createDataFrame(rows, "job_id long, ord long, policy_id string, parent_id string, level int, title string, description string, confidence double")
+
+
+def test_policies_are_joined_to_classes_and_none_is_lost(spark, monkeypatch):
+    policies = made_policies(spark)
+
+    def both():
+        merged, members = E.merge_similar(policies)
+        plan = members._jdf.queryExecution().executedPlan().toString()
+        return plan, sorted((r.job_id, r.ord, r.leader) for r in members.collect()), sorted(map(repr, merged.select(sorted(merged.columns)).collect()))
+
+    monkeypatch.setattr(E, "BROADCAST_ROWS", 1000, raising=False)
+    few = both()
+    monkeypatch.setattr(E, "BROADCAST_ROWS", 0, raising=False)
+    many = both()
+    assert few[1:] == many[1:] and "Broadcast" not in many[0]
+    assert [(j, o) for j, o, _ in many[1]] == list(itertools.product((1, 2), range(24)))
+    assert all(lead == o for _, o, lead in many[1] if o % 8 in (2, 3))  # no title is like no other
+
+
+def test_details_of_clusters_are_not_sorted(spark, sf):
+    """The only window is that of the conditions' numbers; the policies are hashed, never broadcast by the size of their file."""
+    plan = registry.QUERIES["e06_e07_merge_similar"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "strategy=shuffle_hash" in plan
+
+
+def test_the_first_of_equal_details_stays(spark):
+    members = spark.createDataFrame([(1, o, f"p{o}", o - o % 3) for o in range(12)], "job_id long, ord long, policy_id string, leader long")
+    rows = [(f"p{(i * 7) % 13}", i, f"c{i % 4}", f"text {i}") for i in range(60)]
+    want = {}
+    for policy, i, condition, text in sorted(rows, key=lambda r: (int(r[0][1:]), r[1])):
+        o = int(policy[1:])
+        if o < 12:
+            want.setdefault((o - o % 3, condition), (policy, i, text))
+    details = spark.createDataFrame(rows, "policy_id string, ord long, condition_id string, text string")
+    got = E.group_details(members, details, [F.col("condition_id")]).collect()
+    assert {(r.ord, r.condition_id): (r.policy_id, r.detail_ord, r.text) for r in got} == want and len(got) == len(want)
