@@ -1,6 +1,7 @@
 """What keeps the figures of large tables in proportion to their input."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -13,6 +14,7 @@ from docloom.operators import quality as Q
 from docloom.plans import refine_queries as P
 from docloom.plans import registry
 from docloom.plans.fixtures import spark_fixture
+from docloom.staging import stage
 from docloom.streaming import jobs as W
 from docloom.streaming import state as S
 
@@ -223,3 +225,58 @@ def test_the_first_of_equal_details_stays(spark):
     details = spark.createDataFrame(rows, "policy_id string, ord long, condition_id string, text string")
     got = E.group_details(members, details, [F.col("condition_id")]).collect()
     assert {(r.ord, r.condition_id): (r.policy_id, r.detail_ord, r.text) for r in got} == want and len(got) == len(want)
+
+
+ROOTS = "job_id long, policy_id string, ord int, words array<string>, title_words array<string>, conditions array<string>, page int"
+
+
+def made_roots(spark, texts, n, pages):
+    """(children, umbrellas) of few texts on many policies; words of a text come in any order."""
+    rng = random.Random(n)
+    held = [tuple(rng.sample([f"w{i}" for i in range(6)] + ["criteria"], k) for k in (rng.randint(1, 4), rng.randint(0, 3), rng.randint(0, 2))) for _ in range(texts)]
+    rows = [(1 + i % 2, f"p{i}", i // 2, *[rng.sample(t, len(t)) + ["all"] for t in rng.choice(held)], rng.choice(pages)) for i in range(n)]
+    table = spark.createDataFrame(rows, ROOTS)
+    return [E.stage(table.where(on), "half") for on in ("ord % 2 = 1", "ord % 2 = 0")]
+
+
+def every_pair(children, umbrellas):
+    ids = children.select("job_id", "policy_id").join(umbrellas.select("job_id", F.col("policy_id").alias("u_policy_id")), "job_id")
+    return E.with_both(ids, children, umbrellas)
+
+
+def ways():
+    return [(E.extracted_parents, E.parent_score(), lambda s: s > 0.20), (E.refined_parents, E.refined_score(), lambda s: s >= 0.35)]
+
+
+def halves(monkeypatch, children, umbrellas):
+    """Best parents of these roots, whatever policies and conditions are given."""
+    rows = children.withColumn("is_umbrella", F.lit(False)).union(umbrellas.withColumn("is_umbrella", F.lit(True)))
+    for scores in ("umbrella_scores", "refined_umbrella_scores"):
+        monkeypatch.setattr(E, scores, lambda *_: rows.select("job_id", "policy_id", "is_umbrella"))
+    monkeypatch.setattr(E, "with_keywords", lambda *_: rows.drop("is_umbrella"))
+    return rows.withColumn("parent_id", F.lit(None).cast("string")), rows.select("policy_id", F.lit("text").alias("description"))
+
+
+@pytest.mark.parametrize("pages", [[None, 1, 2, 3, 9], [None], [1, 40_000, 40_001, 40_002, 90_000]])
+def test_best_parents_of_texts_are_those_of_all_pairs(spark, monkeypatch, pages):
+    children, umbrellas = made_roots(spark, 12, 160, pages)
+    policies, conditions = halves(monkeypatch, children, umbrellas)
+    for parents, score, enough in ways():
+        want = sorted(map(tuple, E.best_parents(every_pair(children, umbrellas), score, enough).collect()))
+        assert want and want == sorted(map(tuple, parents(policies, conditions, F.col("page")).collect()))
+
+
+def test_pairs_of_parents_grow_with_texts_not_policies(spark, monkeypatch):
+    children, umbrellas = made_roots(spark, 4, 400, [1, 2])
+    policies, conditions = halves(monkeypatch, children, umbrellas)
+    rows = []
+
+    def counted(df, name, **options):
+        table = stage(df, name, **options)
+        rows.append(table.count())
+        return table
+
+    monkeypatch.setattr(E, "stage", counted)
+    for parents, _, _ in ways():
+        assert parents(policies, conditions, F.col("page")).count() > 0
+    assert max(rows) <= 400  # of 20,000 pairs of children and umbrellas
