@@ -280,3 +280,30 @@ def test_pairs_of_parents_grow_with_texts_not_policies(spark, monkeypatch):
     for parents, _, _ in ways():
         assert parents(policies, conditions, F.col("page")).count() > 0
     assert max(rows) <= 400  # of 20,000 pairs of children and umbrellas
+
+
+@pytest.mark.parametrize("name", ["e11_reparent", "r06_best_parent_refined"])
+def test_only_conditions_of_roots_are_looked_into(spark, sf, monkeypatch, name):
+    policies, conditions = (spark_fixture(spark, sf, f) for f in ("large_jobs", "conditions"))
+    roots = {r.policy_id for r in policies.where("parent_id is null").collect()}
+    whole, given = E.with_keywords, []
+
+    def seen(policies, conditions, *more):
+        given.append({r.policy_id: r.n for r in conditions.groupBy("policy_id").agg(F.count(F.lit(1)).alias("n")).collect()})
+        return whole(policies, conditions, *more)
+
+    monkeypatch.setattr(E, "with_keywords", seen)
+    registry.QUERIES[name](spark, sf)
+    assert given == [{r.policy_id: r.n_conditions for r in E.condition_counts(conditions).collect() if r.policy_id in roots}]
+
+
+def test_roots_without_conditions_or_with_null_ones_choose_parents(spark):
+    rows = [(1, o, f"p{o}", "p0" if o > 6 else None, title, f"{title} of surgery", 1.0) for o, title in enumerate(["knee criteria", "knee criteria", "knee rules", "hip rules", "", "knee rules", "knee rules", "knee rules", None])]
+    policies = spark.createDataFrame(rows, "job_id long, ord long, policy_id string, parent_id string, title string, description string, confidence double")
+    held = spark.createDataFrame([("p0", 1, "status known"), ("p2", 1, None), ("p2", 2, "status known"), ("p7", 1, "status known"), (None, 1, "status known"), ("p3", 1, None)], "policy_id string, ord long, description string")
+    page = F.when(F.col("ord") != 2, F.col("ord") % 3 + 1)
+    scores = E.umbrella_scores(policies, E.condition_counts(held), page).select("job_id", "policy_id", "is_umbrella")
+    rows = E.with_keywords(policies, held, page).join(scores, ["job_id", "policy_id"])
+    want = E.best_parents(every_pair(rows.where("not is_umbrella"), rows.where("is_umbrella")), E.parent_score(), lambda s: s > 0.20)
+    got = sorted(map(tuple, E.extracted_parents(policies, held, page).collect()))
+    assert got and got == sorted(map(tuple, want.collect()))
